@@ -31,24 +31,23 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 
 
 def directory(keys: DataFrame, capacity: int, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, int]:
-    """The buckets (prefix, depth, n) of the extendible hash over the column h, and the depth of the directory.
+    """The directory (entry, depth, bucket) of the extendible hash over the column h, and its own depth.
 
-    It starts as one bucket and doubles while a bucket is overfull. Only counts per slot (at most 2 ** max_depth)
-    are read again at each doubling.
+    It starts with one entry and doubles while a bucket is overfull; each doubling reads again only the counts per
+    slot (at most 2 ** max_depth). An entry's bucket is that of its shortest prefix with no more than `capacity` keys.
     """
     slots = stored(keys.groupBy(F.shiftrightunsigned("h", 64 - max_depth).alias("slot")).agg(F.count(F.lit(1)).alias("n")))
-    depth, leaves, still_open = 0, None, slots
+    depth = 0
     while True:
-        prefix = F.shiftright("slot", max_depth - depth)
-        buckets = still_open.groupBy(prefix.alias("prefix")).agg(F.sum("n").alias("n"))
-        full = F.lit(False) if depth == max_depth else F.col("n") > capacity
-        done = buckets.filter(~full).select("prefix", F.lit(depth).alias("depth"), "n")
-        leaves = done if leaves is None else leaves.unionByName(done)
-        overfull = buckets.filter(full).select(F.col("prefix").alias("split"))
-        if depth == max_depth or overfull.isEmpty():
-            return leaves, depth
-        still_open = still_open.join(overfull, prefix == F.col("split"), "left_semi")
+        entries = slots.groupBy(F.shiftright("slot", max_depth - depth).alias("entry")).agg(F.sum("n").alias("n"))
+        if depth == max_depth or entries.filter(F.col("n") > capacity).isEmpty():
+            break
         depth += 1
+    entries = stored(entries)
+    above = entries.selectExpr("entry", "n", f"explode(sequence(0, {depth})) AS d").selectExpr("entry", "n", "d", f"shiftright(entry, {depth} - d) AS prefix")
+    fits = above.groupBy("d", "prefix").agg(F.sum("n").alias("held")).filter((F.col("held") <= capacity) | (F.col("d") == depth))
+    own = above.join(fits, ["d", "prefix"]).groupBy("entry").agg(F.min("d").alias("depth"))
+    return own.selectExpr("entry", "depth", f"shiftleft(shiftright(entry, {depth} - depth), {depth} - depth) AS bucket"), depth
 
 
 def build_index(distinct: DataFrame, capacity: int = 8192, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -56,13 +55,7 @@ def build_index(distinct: DataFrame, capacity: int = 8192, max_depth: int = MAX_
 
     chain is the place of a text among those with the same key.
     """
-    leaves, depth = directory(distinct, capacity, max_depth)
-    # A bucket of a lesser depth is that of several neighbouring entries of the directory.
-    entries = leaves.selectExpr(
-        "depth",
-        f"shiftleft(prefix, {depth} - depth) AS bucket",
-        f"explode(sequence(shiftleft(prefix, {depth} - depth), shiftleft(prefix + 1, {depth} - depth) - 1)) AS entry",
-    )
+    entries, depth = directory(distinct, capacity, max_depth)
     entry = F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("long")
     owned = distinct.withColumn("entry", entry).join(entries, "entry").repartitionByRange("bucket", "h")
     chains = Window.partitionBy("bucket", "h").orderBy("sha")
