@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language_id, quality, secret_scan, token_counts, toxicity, url_filter
+from . import byte_bpe, exact_dedup, language_id, near_dedup, quality, secret_scan, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_url_filters": url_filter.op5_url_filters,
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_secret_scans": secret_scan.op7_secret_scans,
+    "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
