@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language_id, near_dedup, quality, secret_scan, token_counts, toxicity, url_filter
+from . import byte_bpe, decontamination, exact_dedup, language_id, near_dedup, quality, secret_scan, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_decontamination": decontamination.op3_decontamination,
     "op4_language_id": language_id.op4_language_id,
     "op5_url_filters": url_filter.op5_url_filters,
     "op6_quality_classifier": quality.op6_quality_classifier,
