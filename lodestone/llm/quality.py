@@ -84,6 +84,14 @@ def fit(whole: list[str], labels: list[int], steps: int = STEPS, seed: int = 5)
     return model
 
 
+def scores(model: Model, texts_of: pd.Series) -> np.ndarray:
+    whole = [(t or "").encode() for t in texts_of]
+    score = np.zeros(len(whole))
+    for part in parts(list(range(len(whole))), whole):
+        score[part] = model.predict([whole[i] for i in part])
+    return score
+
+
 def classify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, score (probability of label 1), predicted (1 from the threshold on).
 
@@ -95,15 +103,24 @@ def classify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            whole = [t.encode() for t in batch["text"]]
-            score = np.zeros(len(batch))
-            for part in parts(list(range(len(batch))), whole):
-                score[part] = model.predict([whole[i] for i in part])
+            score = scores(model, batch["text"])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": score, "predicted": (score >= threshold).astype("int32")})
 
     return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that classify() predicts 1 for. Only texts go to Python."""
+    ready(docs.sparkSession)
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(scores(model, batch))
+
+    return docs.filter(score(F.col(text_col)) >= threshold)
+
+
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(*labelled_sample(docs, labels, "quality", SAMPLE, LONGEST))
 
