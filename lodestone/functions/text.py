@@ -71,7 +71,7 @@ def anchored(key_zh: Column, key_en: Column, body: Column) -> Column:
 def sentences(c: Column) -> Column:
     """Parts of collapsed text, each up to and with a character that ends sentences."""
     parts = F.split(collapse(c), rf"(?<=[{SENTENCE_END}])\s*")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")  # trim by itself would get the index, too
 
 
 def windows(c: Column, limit: int = WINDOW_CHARS, overlap: int = OVERLAP_CHARS) -> Column:
