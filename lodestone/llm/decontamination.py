@@ -40,6 +40,8 @@ COPY, REWORDED, ANSWERED = 0.75, 0.55, 0.8
 ANSWER_WORDS = 5
 #: Words of an item that are looked for as one, and items of one run over the corpus.
 LONGEST, ITEMS = 60, 2000
+#: Characters of text that are worked on at once: their vectors then stay in the processor's cache.
+RUN = 1 << 17
 #: Terms of a slice when sums are moved.
 SLICE = 64
 
@@ -103,16 +105,33 @@ def passages(halves_sum: np.ndarray, halves: np.ndarray) -> np.ndarray:
     return out
 
 
-def summed(rows: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by ascending group number (n, width)."""
-    out = np.zeros((n, rows.shape[1]), dtype=np.float32)
-    if len(groups):
-        starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
-        out[groups[starts]] = np.add.reduceat(rows, starts, axis=0)
+def neighbourhoods(halves_sum: np.ndarray, halves: np.ndarray) -> np.ndarray:
+    """For each half, the sum of the passages that it is part of: its own and the one before."""
+    first, last = np.cumsum(halves) - halves, np.cumsum(halves) - 1
+    out = halves_sum * 2
+    out[first] -= halves_sum[first]
+    up, down = halves_sum[1:].copy(), halves_sum[:-1].copy()
+    up[last[:-1]] = 0
+    down[last[:-1]] = 0
+    out[:-1] += up
+    out[1:] += down
     return out
 
 
-def runs_of(whole: list[str], most: int = 1 << 20) -> Iterator[slice]:
+def add_rows(out: np.ndarray, group: np.ndarray, source: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """out[group] += source[index] for ascending groups, all first members at once, then all second ones, and so on."""
+    if len(group):
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        place = np.arange(len(group)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(group)]])))
+        order = np.argsort(place, kind="stable")
+        bounds = np.searchsorted(place[order], np.arange(place.max() + 2))
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            some = order[a:b]
+            out[group[some]] += source[index[some]]
+    return out
+
+
+def runs_of(whole: list[str], most: int = RUN) -> Iterator[slice]:
     at = 0
     while at < len(whole):
         end, size = at, 0
@@ -189,17 +208,10 @@ def directions(rows: DataFrame, items: Items, idf: np.ndarray, n: int, rank: int
                 _, halves, at, terms = corpus.read(whole[part])
                 keep = place[terms] >= 0
                 at, term = at[keep], place[terms[keep]]
-                y = passages(summed(start[term], at, int(halves.sum())), halves)
-                # A half is part of its own passage and of the one before.
-                both = y.copy()
-                both[1:] += y[:-1]
-                first = np.cumsum(halves) - halves
-                both[first] = y[first]
+                vectors = add_rows(np.zeros((int(halves.sum()), rank), dtype=np.float32), at, start, term)
+                both = neighbourhoods(vectors, halves)
                 order = np.argsort(term, kind="stable")
-                term = term[order]
-                if len(term):
-                    starts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
-                    total[term[starts]] += np.add.reduceat(both[at[order]], starts, axis=0)
+                add_rows(total, term[order], both, at[order])
         total[: len(used)] *= idf[used][:, None]
         data = total.reshape(slices, SLICE * rank)
         yield pd.DataFrame({"slice": np.arange(slices, dtype=np.int32), "data": [x.tobytes() for x in data]})
@@ -277,7 +289,8 @@ class Checker:
         ids, halves, at, terms = corpus.read(whole)
         keep = self.space.idf[terms] > 0
         at, terms = at[keep], terms[keep]
-        vectors = passages(summed(self.space.latent[terms], at, int(halves.sum())), halves)
+        vectors = np.zeros((int(halves.sum()), self.space.latent.shape[1]), dtype=np.float32)
+        vectors = passages(add_rows(vectors, at, self.space.latent, terms), halves)
         norm = np.linalg.norm(vectors, axis=1)
         some = np.flatnonzero(norm > 1e-9)
         first = np.cumsum(halves) - halves
