@@ -31,7 +31,7 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 
 
 def directory(keys: DataFrame, capacity: int, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, int]:
-    """The directory (entry, depth, bucket) of the extendible hash over the column h, and its own depth.
+    """The directory (entry, depth, bucket; only entries with keys) of the extendible hash over h, and its own depth.
 
     It starts with one entry and doubles while a bucket is overfull; each doubling reads again only the counts per
     slot (at most 2 ** max_depth). An entry's bucket is that of its shortest prefix with no more than `capacity` keys.
