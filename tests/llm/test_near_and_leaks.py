@@ -93,6 +93,16 @@ def test_signatures_are_unbiased(words):
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
 
 
+def test_a_signature_depends_on_the_document_alone(words):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (1, 7, 40, 300, 2000)] + ["a b c d e f " * 50]
+    together = N.signatures(*N.bags(texts), len(texts))
+    crowd = texts + [" ".join(rng.choice(words) for _ in range(400)) for _ in range(60)]
+    assert (N.signatures(*N.bags(crowd), len(crowd))[: len(texts)] == together).all()
+    for k, text in enumerate(texts):
+        assert (N.signatures(*N.bags([text]), 1)[0] == together[k]).all()
+
+
 def test_bags_of_long_texts_in_pieces(words, monkeypatch):
     rng = random.Random(3)
     text = " ".join(rng.choice(words) for _ in range(500)) + " " + "z" * 300
