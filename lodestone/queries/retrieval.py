@@ -129,7 +129,13 @@ arms AS (SELECT *, 0 AS arm FROM dense UNION ALL SELECT *, 1 AS arm FROM sparse)
 FUSED = f"""{ARMS},
 fused AS (SELECT qid, ord, round(sum(1.0::DOUBLE / (61 + rank)), 9) AS score, min(arm * 1000 + rank) AS seen FROM arms GROUP BY qid, ord)"""
 NORM = "lower(regexp_replace({0}, '[\\s/()（）]+', '', 'g'))"
-BOOSTED = f"""{FUSED},
+SPARSE_FUSED = f"""{bm25_sql(POOL)},
+arms AS (SELECT *, 1 AS arm FROM sparse),
+fused AS (SELECT qid, ord, score, 1000 + rank AS seen FROM sparse)"""
+
+
+def boosted_sql(fused: str = FUSED) -> str:
+    return f"""{fused},
 boosted AS (SELECT f.qid, f.ord, f.seen, source AS doc_id,
                    CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS priority,
                    CASE WHEN length({NORM.format("split_part(d.text, ' ', 1)")}) >= 3 AND contains({NORM.format("b.text")}, {NORM.format("split_part(d.text, ' ', 1)")})
@@ -137,14 +143,14 @@ boosted AS (SELECT f.qid, f.ord, f.seen, source AS doc_id,
             FROM fused f JOIN documents d ON d.doc_id = f.ord JOIN benchmark b ON b.item_id = f.qid)"""
 
 
-def diversified_sql(top: int) -> str:
-    return f"""{BOOSTED},
+def diversified_sql(top: int, fused: str = FUSED) -> str:
+    return f"""{boosted_sql(fused)},
 capped AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY score DESC, priority, seen, ord) AS n FROM boosted QUALIFY n <= 2),
 chosen AS (SELECT qid, ord, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, priority, seen, ord) - 1)::INT AS rank FROM capped QUALIFY rank < {top})"""
 
 
-def rescued_sql(top: int) -> str:
-    return f"""{diversified_sql(top)},
+def rescued_sql(top: int, fused: str = FUSED) -> str:
+    return f"""{diversified_sql(top, fused)},
 missing AS (SELECT a.qid, a.ord, a.arm FROM arms a WHERE a.rank = 0 AND NOT EXISTS (SELECT 1 FROM chosen c WHERE c.qid = a.qid AND c.ord = a.ord)),
 freed AS (SELECT qid, count(*) AS n_missing FROM missing GROUP BY qid),
 floors AS (SELECT qid, arg_max(score, rank) AS floor, count(*) AS n FROM chosen GROUP BY qid),
@@ -167,9 +173,9 @@ QUERIES = {
     "bm25_topk": (bm25_topk, f"WITH {bm25_sql(TOP)} SELECT * FROM sparse"),
     "cosine_topk": (cosine_topk, "WITH " + cosine_sql("SELECT vec_id AS ord, embedding AS v FROM embeddings", "SELECT vec_id AS qid, embedding AS v FROM embeddings WHERE vec_id % 50 = 0", TOP, "found") + " SELECT * FROM found"),
     "rrf_fuse": (rrf, f"WITH {FUSED} SELECT qid, ord, score, (seen // 1000)::INT AS arm, (seen % 1000)::INT AS rank FROM fused"),
-    "key_boost": (boosted, f"WITH {BOOSTED} SELECT qid, ord, score FROM boosted"),
+    "key_boost": (boosted, f"WITH {boosted_sql()} SELECT qid, ord, score FROM boosted"),
     "diversify_cap": (diversified, f"WITH {diversified_sql(TOP)} SELECT * FROM chosen"),
     "rescue": (rescued, f"WITH {rescued_sql(3)} SELECT * FROM final"),
     "hybrid_search": (hybrid, HYBRID_SQL),
-    "bm25_mode_search": (bm25_mode, None),
+    "bm25_mode_search": (bm25_mode, f"WITH {rescued_sql(5, SPARSE_FUSED)} SELECT f.qid, f.rank, f.ord, f.score, s.rank AS bm25_rank FROM final f LEFT JOIN sparse s USING (qid, ord)"),
 }
