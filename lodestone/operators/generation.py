@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import answer_numbers, strip_thinking, tokenize
+from ..functions.text import strip_thinking, tokenize
 
 REFUSAL = {"zh": "提供的規格資料中沒有這項資訊", "en": "That information is not in the provided specifications."}
 
@@ -117,5 +117,3 @@ def count_tokens(c: Column) -> Column:
     """Tokens of the lexical tokenizer; model tokenizers are given by the generator."""
     return F.size(tokenize(c))
 
-
-__all__ = ["ExtractiveGenerator", "Generator", "ModelGenerator", "answer_numbers", "build_generator", "count_tokens", "sse_pieces", "stream_stats"]

@@ -17,8 +17,7 @@ TOP, POOL = 10, 25
 
 
 def corpus(spark, sf) -> DataFrame:
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text")
-    return docs
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text")
 
 
 def questions(spark, sf) -> DataFrame:
