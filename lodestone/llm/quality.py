@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byte_cnn import CHUNK, Adam, Filters, chunks_of
+from .byte_cnn import Adam, Filters, chunks_of
 from .common import crc_mod, ready, table, texts
 from .labelled import labelled_sample
 from .language_id import parts
