@@ -209,7 +209,10 @@ def test_planted_leaks(spark, words):
     got = D.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4), spark.createDataFrame(items, "item_id bigint, text string")).collect()
     found = {(r.doc_id, r.item_id) for r in got}
     assert not found - want
-    assert len(want - found) <= 2
+    # Copies are all found. Of reworded ones some are missed here, where every word is a common one (see the README).
+    missed = want - found
+    assert all(d is not None and d < 900 and d % 2 for d, _ in missed)
+    assert len(missed) <= 0.06 * len(want)
 
 
 def test_leak_edges(spark, edge_docs, no_docs):
