@@ -7,10 +7,11 @@ register with the probability of their weighted Jaccard similarity, without bias
 next point lies behind all registers' points.
 
 Equal bags are one node. Bands of the signature make buckets. Each node is first checked against its likeliest bucket
-centre, which joins most of a group by one link a node; then, only in buckets that hold several components yet, nodes of
+centre, which joins most of a group by one link a node; in crowded buckets, nodes that are apart yet are checked against
+new centres, again and again while that helps. Then, only in buckets that hold several components yet, nodes of
 different components are compared block by block: by signature, and every pair that may reach the threshold by bag.
-Crowded buckets are split by further registers first. A block gives no more links than join its components, and all
-links are confirmed once more. No bucket is expanded into all its pairs.
+No bucket is split or cut: centres only lessen what is left to compare. A block gives no more links than join its
+components, and all links are confirmed once more.
 """
 
 from __future__ import annotations
@@ -35,10 +36,11 @@ BANDS = REGISTERS // BAND
 PLAUSIBLE = SIMILARITY - 3.2 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
 #: Nodes of a block, on either side of a comparison.
 LEFT_BLOCK, ALL_BLOCK = 1024, 2048
-#: A bucket of more nodes is split by so many further registers, again and again, up to STEPS times; what is crowded
-#: then is compared in blocks. Documents that share but a passage crowd few of the bands, so that similar ones among
-#: them still meet in the others.
-CROWD, DEEPER, STEPS = 2048, 3, 24
+#: Buckets of more nodes, with more than CROWD * LEFT_BLOCK pairs to compare, get new centres first, up to STEPS times
+#: and as long as a time saves SAVED of these pairs. What is apart then is compared whole all the same.
+CROWD, STEPS, SAVED = 2048, 24, 0.05
+#: About so many nodes of a crowded bucket say what a new centre should look like.
+SAMPLE = 512
 #: Bytes of text hashed at once.
 PIECE = 1 << 20
 
@@ -261,31 +263,82 @@ def plausible_pairs(pairs: DataFrame, sigs: DataFrame, plausible: float) -> Data
     return pairs.join(left, "u").join(right, "v").mapInPandas(run, "u long, v long")
 
 
-def split_crowds(named: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(band, bucket, node, apart, held, left): rows of the buckets that have nodes apart from the centre's component,
-    crowded ones split by further registers. Only their sizes are looked at by the driver, and rows don't multiply.
+def spread(shared: DataFrame, ends: DataFrame) -> DataFrame:
+    """(band, bucket, node, label, apart, held, left): rows of the buckets that hold several components. apart: not of
+    the component with most nodes in the bucket; left: the number of such nodes.
     """
+    of = shared.select("band", "bucket", "node").join(ends, "node")
+    order = F.least("n", F.lit(1 << 20)) * F.lit(1 << 42) + F.pmod("label", F.lit(1 << 42))
+    counts = of.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("bucket").agg(F.max_by("label", order).alias("main"), F.sum("n").alias("held"), F.max_by("n", order).alias("most")).filter("held > most")
+    apart = F.col("label") != F.col("main")
+    return stored(of.join(main, "bucket").select("band", "bucket", "node", "label", apart.alias("apart"), "held", (F.col("held") - F.col("most")).alias("left")))
 
-    def counted(rows: DataFrame) -> DataFrame:
-        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("held"), F.sum(F.col("apart").cast("int")).alias("left")).filter("left > 0")
-        return stored(rows.join(sizes, "bucket").select("band", "bucket", "node", "apart", "held", "left"))
 
-    rows, out = counted(named), None
-    for step in range(STEPS + 1):
-        crowded = F.col("held") > CROWD if step < STEPS else F.lit(False)
-        done, many = rows.filter(~crowded), rows.filter(crowded)
-        out = done if out is None else out.unionByName(done)
-        if step == STEPS or many.isEmpty():
-            return out
-        at = F.pmod((F.col("band") + 1) * BAND + step * DEEPER, F.lit(BANDS * BAND)) + 1
-        further = F.xxhash64("bucket", F.substring(F.concat("sig", "sig"), at, F.lit(DEEPER)))
-        rows = counted(many.join(sigs.select("node", "sig"), "node").select("band", further.alias("bucket"), "node", "apart"))
-    return out
+def matches(rows: DataFrame, one: str, two: str, keep: list[str]) -> DataFrame:
+    """Columns of rows, and the number n of registers in which two signatures agree."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x, y = (np.frombuffer(b"".join(b[s]), dtype=np.uint8).reshape(len(b), -1) for s in (one, two))
+                yield b[keep].assign(n=(x == y).sum(axis=1))
+
+    return rows.mapInPandas(run, ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keep) + ", n long")
+
+
+def new_centres(crowded: DataFrame, used: DataFrame) -> DataFrame:
+    """(bucket, centre) for rows (bucket, node, apart, left, sig): the node most like what is apart, if not used before."""
+
+    def common(g: pd.DataFrame) -> pd.DataFrame:
+        sig = np.frombuffer(b"".join(g["sig"]), dtype=np.uint8).reshape(len(g), -1)
+        n = sig.shape[1]
+        counts = np.bincount((sig + np.arange(n) * 256).ravel(), minlength=n * 256).reshape(n, 256)
+        return pd.DataFrame({"bucket": g["bucket"].iloc[:1].to_numpy(), "model": [counts.argmax(axis=1).astype(np.uint8).tobytes()]})
+
+    sample = crowded.filter(F.col("apart") & (F.pmod(F.xxhash64("node"), F.col("left")) < SAMPLE)).select("bucket", "sig")
+    models = stored(sample.groupBy("bucket").applyInPandas(common, "bucket long, model binary"))
+    fresh = crowded.join(used, (crowded["bucket"] == used["b"]) & (crowded["node"] == used["centre"]), "left_anti")
+    liked = matches(fresh.select("bucket", "node", "sig").join(models, "bucket"), "sig", "model", ["bucket", "node"])
+    order = F.col("n") * F.lit(1 << 42) + F.pmod("node", F.lit(1 << 42))
+    return stored(liked.groupBy("bucket").agg(F.max_by("node", order).alias("centre")))
+
+
+def gather(rows: DataFrame, shared: DataFrame, ends: DataFrame, sigs: DataFrame, bagged: DataFrame, plausible: float, similarity: float) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Rows of spread() and labels after further centre passes in crowded buckets, and the links that these found. Only
+    numbers of pairs come to the driver.
+    """
+    crowd = (F.col("held") > CROWD) & (F.col("left") * F.col("held") > CROWD * LEFT_BLOCK)
+    found, used, before = [], None, None
+    for _ in range(STEPS):
+        work = rows.filter(crowd & F.col("apart")).agg(F.sum(F.col("held").cast("double"))).first()[0]
+        if not work or (before and work > (1 - SAVED) * before):
+            break
+        before = work
+        crowded = stored(rows.filter(crowd).select("bucket", "node", "label", "apart", "left").join(sigs.select("node", "sig"), "node"))
+        if used is None:
+            used = stored(shared.join(crowded.select("bucket").distinct(), "bucket", "left_semi").select(F.col("bucket").alias("b"), "centre").distinct())
+        centres = new_centres(crowded, used)
+        used = stored(used.unionByName(centres.select(F.col("bucket").alias("b"), "centre")))
+        of = centres.join(ends, F.col("centre") == F.col("node")).select("bucket", F.col("centre").alias("v"), F.col("label").alias("vl"))
+        met = crowded.join(of, "bucket").filter("label != vl").select(F.col("node").alias("u"), "v", F.col("sig").alias("s1")).dropDuplicates(["u", "v"])
+        rated = matches(met.join(sigs.select(F.col("node").alias("v"), F.col("sig").alias("s2")), "v"), "s1", "s2", ["u", "v"])
+        likely = rated.filter(estimate(F.col("n")) >= plausible)
+        pairs = likely.groupBy("u").agg(F.max_by("v", F.col("n") * F.lit(1 << 42) + F.pmod("v", F.lit(1 << 42))).alias("v"))
+        links = confirm(pairs, bagged, similarity)
+        found.append(links)
+        one, two = (ends.select(F.col("node").alias(k), F.col("label").alias(f"{k}l")) for k in ("u", "v"))
+        joined = links.join(one, "u").join(two, "v").select(F.col("ul").alias("u"), F.col("vl").alias("v"))
+        roots = components(joined).select(F.col("node").alias("label"), F.col("label").alias("root"))
+        ends = stored(ends.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")))
+        rows = spread(rows, ends)
+    return rows, ends, found
 
 
 def across(members: DataFrame, plausible: float, similarity: float) -> DataFrame:
-    """Links (u, v) between components, in blocks of rows (bucket, a, b, side, node, label, sig, h4, c): nodes of side 0
-    are compared with those of side 1. Of a block, a link is given only if its ends aren't joined by earlier ones.
+    """Links (u, v) between components, in blocks of rows (bucket, band, a, b, side, node, label, sig, h4, c): nodes of
+    side 0 are compared with those of side 1. Of a block, a link is given only if its ends aren't joined by earlier ones.
+    Bags of a pair are compared only in the first band that it shares.
     """
 
     def compare(group: list[pd.DataFrame]) -> pd.DataFrame | None:
@@ -293,7 +346,7 @@ def across(members: DataFrame, plausible: float, similarity: float) -> DataFrame
         side, node, label = g["side"].to_numpy(), g["node"].to_numpy(), g["label"].to_numpy()
         sig = np.frombuffer(b"".join(g["sig"]), dtype=np.uint8).reshape(len(g), -1)
         h, c = g["h4"].to_numpy(), g["c"].to_numpy()
-        right = np.flatnonzero(side == 1)
+        right, band = np.flatnonzero(side == 1), int(g["band"].iloc[0])
         root = {x: x for x in label.tolist()}
 
         def find(x: int) -> int:
@@ -304,9 +357,12 @@ def across(members: DataFrame, plausible: float, similarity: float) -> DataFrame
         found = []
         for i in np.flatnonzero(side == 0):
             other = right[label[right] != label[i]]
-            guess = estimate((sig[other] == sig[i]).sum(axis=1))
+            same = sig[other] == sig[i]
+            guess = estimate(same.sum(axis=1))
             order = np.argsort(-guess, kind="stable")
-            for j in other[order[: int((guess >= plausible).sum())]]:
+            order = order[: int((guess >= plausible).sum())]
+            earlier = same[order, : band * BAND].reshape(len(order), band, BAND).all(axis=2).any(axis=1)
+            for j in other[order[~earlier]]:
                 one, two = find(label[i].item()), find(label[j].item())
                 if one != two and overlap(h[i], c[i], h[j], c[j], np.uint32) >= similarity - 1e-9:
                     root[two] = one
@@ -371,18 +427,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     to_centre = met.groupBy("u").agg(F.max_by("v", F.col("n") * F.lit(1 << 50) + F.pmod("v", F.lit(1 << 50))).alias("v"))
     first = confirm(plausible_pairs(to_centre, sigs, plausible), bagged, similarity)
     label = components(first)
-    labelled = sigs.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "sig")
-
-    ends = labelled.select("node", "label")
-    centre_label = ends.select(F.col("node").alias("centre"), F.col("label").alias("centre_label"))
-    apart = F.col("label") != F.col("centre_label")
-    named = shared.join(ends, "node").join(centre_label, "centre").select("band", "bucket", "node", apart.alias("apart"))
-    columns = ["bucket", "node", "apart", F.ceil(F.col("left") / LEFT_BLOCK).cast("int").alias("na"), F.ceil(F.col("held") / ALL_BLOCK).cast("int").alias("nb")]
-    members = split_crowds(named, sigs).select(*columns)
+    ends = stored(sigs.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    together, ends, more = gather(spread(shared, ends), shared, ends, sigs, bagged, plausible, similarity)
+    for links in more:
+        first = first.unionByName(links)
+    labelled = sigs.select("node", "sig").join(ends, "node")
+    columns = ["bucket", "band", "node", "apart", F.ceil(F.col("left") / LEFT_BLOCK).cast("int").alias("na"), F.ceil(F.col("held") / ALL_BLOCK).cast("int").alias("nb")]
+    members = together.select(*columns)
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = members.filter("apart").select("bucket", block("na").alias("a"), every("nb").alias("b"), F.lit(0).alias("side"), "node")
-    right = members.select("bucket", every("na").alias("a"), block("nb").alias("b"), F.lit(1).alias("side"), "node")
+    left = members.filter("apart").select("bucket", "band", block("na").alias("a"), every("nb").alias("b"), F.lit(0).alias("side"), "node")
+    right = members.select("bucket", "band", every("na").alias("a"), block("nb").alias("b"), F.lit(1).alias("side"), "node")
     dealt = left.unionByName(right).join(labelled, "node").join(bagged.select("node", "h4", "c"), "node")
     second = confirm(across(dealt, plausible, similarity), bagged, similarity)
 

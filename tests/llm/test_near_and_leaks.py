@@ -260,3 +260,21 @@ def test_pipeline_against_brute_force(spark):
     codec = byte_bpe.load_codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     assert {(r.doc_id, r.n_tokens, r.decoded_sha256) for r in outputs[4].collect()} == {(i, len(codec.leaf(rows[i])), hashlib.sha256(rows[i].encode()).hexdigest()) for i in ids[3]}
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == ids[3]
+
+
+@pytest.mark.parametrize("copies, crowd", [(5_000, 512), (20_000, N.CROWD)])
+def test_a_crowd_of_edited_copies_is_compared_whole(spark, words, monkeypatch, copies, crowd):
+    """A star: copies of a text with three changes each, at places of its own, which are near the text but not near one another."""
+    monkeypatch.setattr(N, "CROWD", crowd)
+    rng = random.Random(13)
+    base = [rng.choice(words) for _ in range(150)]
+    texts = [" ".join(base)]
+    for k in range(copies):
+        copy = list(base)
+        for j, at in enumerate(sorted(rng.sample(range(4, 134), 3))):
+            copy[at + 5 * j] = f"{'xyz'[j]}{k}"
+        texts.append(" ".join(copy))
+    want = sum(similarity(bag(texts[0]), bag(t)) >= 0.8 for t in texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
+    sizes = {r.doc_id: r.class_size for r in N.near_duplicates(docs).filter("doc_id = class_id").collect()}
+    assert want == len(texts) and sizes[0] >= 0.998 * want
