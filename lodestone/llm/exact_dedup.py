@@ -1,13 +1,14 @@
 """Exact de-duplication over an extendible-hash index kept in shared files.
 
 Texts are hashed to 64-bit keys. A directory over the leading bits of the key doubles until no bucket holds more
-than `capacity` distinct texts; owner tasks then each take a range of buckets, chain the texts whose keys collide,
-and write their part of the index. Equal keys alone never make two texts equal: texts are grouped by their bytes.
+than `capacity` keys. Rows are routed by it to owner tasks, which each take a range of buckets, group what they get by
+its bytes, chain the texts whose keys collide, and write their part of the index; documents are then looked up by bucket
+and key in these chains. Equal keys alone never make two texts equal.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, texts
@@ -16,20 +17,35 @@ from .common import stored, texts
 MAX_DEPTH = 20
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """(h, sha, keep_id, group_size), one row per distinct text.
+#: Copies of keys with more rows meet in the task that reads them, before they are routed.
+HOT = 64
+
+
+def distinct_texts(docs: DataFrame, task: Column | None = None) -> DataFrame:
+    """(h, sha, text, keep_id, group_size), one row per distinct text, or per distinct text of each task.
 
     Copies meet before the shuffle, in the map side of the aggregation, so a text with a third of all rows is one
     row per task when it is shuffled.
     """
     return (
         texts(docs)
-        .groupBy(F.xxhash64("text").alias("h"), "text")
+        .withColumn("task", F.lit(0) if task is None else task)
+        .groupBy("task", F.xxhash64("text").alias("h"), "text")
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("h", F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size")
+        .select("h", F.unhex(F.sha2("text", 256)).alias("sha"), "text", "keep_id", "group_size")
     )
 
 
+def parts(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows (h, sha, text, keep_id, group_size) to be routed for rows (doc_id, text): one per document, but one per task
+    for the texts of hot keys. keys: (h, n).
+    """
+    hot = stored(keys.filter(F.col("n") > HOT).select("h"))
+    keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    few = keyed.join(hot, "h", "left_anti").select("h", F.unhex(F.sha2("text", 256)).alias("sha"), "text", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    return few.unionByName(distinct_texts(keyed.join(hot, "h", "left_semi"), F.spark_partition_id()))
+
+
 def directory(keys: DataFrame, capacity: int, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, int]:
     """The directory (entry, depth, bucket; only entries with keys) of the extendible hash over h, and its own depth.
 
@@ -50,16 +66,28 @@ def directory(keys: DataFrame, capacity: int, max_depth: int = MAX_DEPTH) -> tup
     return own.selectExpr("entry", "depth", f"shiftleft(shiftright(entry, {depth} - depth), {depth} - depth) AS bucket"), depth
 
 
-def build_index(distinct: DataFrame, capacity: int = 8192, max_depth: int = MAX_DEPTH) -> DataFrame:
+def routed(rows: DataFrame, entries: DataFrame, depth: int) -> DataFrame:
+    """Rows with the bucket of their key h."""
+    entry = F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("long")
+    return rows.withColumn("entry", entry).join(entries, "entry").drop("entry")
+
+
+def owned(rows: DataFrame, entries: DataFrame, depth: int) -> DataFrame:
     """The index files: (bucket, depth, h, chain, sha, keep_id, group_size), written by owners of bucket ranges.
 
-    chain is the place of a text among those with the same key.
+    Rows that are equal but for keep_id and group_size are of one text; an owner has all of its buckets' rows, so it
+    groups them without another shuffle. chain is the place of a text among those with the same key.
     """
-    entries, depth = directory(distinct, capacity, max_depth)
-    entry = F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("long")
-    owned = distinct.withColumn("entry", entry).join(entries, "entry").repartitionByRange("bucket", "h")
+    same = [c for c in rows.columns if c not in ("h", "keep_id", "group_size")]
+    dealt = routed(rows, entries, depth).repartitionByRange("bucket", "h")
+    groups = dealt.groupBy("bucket", "depth", "h", *same).agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     chains = Window.partitionBy("bucket", "h").orderBy("sha")
-    return stored(owned.select("bucket", "depth", "h", F.row_number().over(chains).alias("chain"), "sha", "keep_id", "group_size"))
+    return stored(groups.select("bucket", "depth", "h", "sha", "keep_id", "group_size").withColumn("chain", F.row_number().over(chains)))
+
+
+def build_index(rows: DataFrame, capacity: int = 8192, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """The index of rows (h, sha, keep_id, group_size), or with the text too."""
+    return owned(rows, *directory(rows.select("h").distinct(), capacity, max_depth))
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 8192) -> DataFrame:
@@ -70,9 +98,12 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     same answer. Further columns are ignored. An empty table gives an empty result.
     """
     rows = texts(docs, id_col, text_col)
-    keys = rows.select("doc_id", F.xxhash64("text").alias("h"), F.unhex(F.sha2("text", 256)).alias("sha"))
-    index = build_index(stored(distinct_texts(rows)), capacity)
-    found = keys.join(index.select("h", "sha", "keep_id", "group_size"), ["h", "sha"])
+    keys = stored(rows.groupBy(F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("n")))
+    entries, depth = directory(keys, capacity)
+    entries = stored(entries)
+    index = owned(parts(rows, keys), entries, depth)
+    asked = routed(rows.select("doc_id", F.xxhash64("text").alias("h"), F.unhex(F.sha2("text", 256)).alias("sha")), entries, depth)
+    found = asked.join(index.select("bucket", "h", "sha", "keep_id", "group_size"), ["bucket", "h", "sha"])
     return found.select(
         "doc_id",
         "keep_id",

@@ -48,6 +48,13 @@ def test_colliding_keys_are_chained(spark):
     assert sorted((r.h, bytes(r.sha), r.chain) for r in index.collect()) == [(0, b"a", 1), (0, b"b", 2), (5, b"c", 1)]
 
 
+def test_owners_group_what_is_routed_to_them(spark):
+    """Parts of a text from several tasks become one row of the index, in the task that they are routed to."""
+    some = [(0, b"a", 2, 3), (0, b"b", 7, 1), (0, b"a", 9, 1), (5, b"c", None, 1), (5, b"c", 4, 2)]
+    index = X.build_index(spark.createDataFrame(some, "h bigint, sha binary, keep_id bigint, group_size bigint").repartition(3), capacity=1, max_depth=4)
+    assert sorted((r.h, bytes(r.sha), r.chain, r.keep_id, r.group_size) for r in index.collect()) == [(0, b"a", 1, 9, 4), (0, b"b", 2, 7, 1), (5, b"c", 1, 4, 3)]
+
+
 def judge(url, rules, default="allow"):
     rest = url.partition("://")[2] if url and "://" in url else ""
     cut = min((i for i in (rest.find(c) for c in "/?#") if i >= 0), default=len(rest))
