@@ -26,27 +26,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. Where that is unset, as in tests, one of our own, but only if the master is
+    local: on a cluster executors would write to their own disks.
+    """
     set_by_cluster = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def _hadoop(spark: SparkSession, path: str):
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and lost executors cost nothing before it.
 
-    The files go when the driver's JVM ends.
+    The files go when the driver's JVM ends, or by dropped().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    hadoop_path, files = _hadoop(spark, path)
+    files.deleteOnExit(hadoop_path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a DataFrame that stored() returned and that nothing reads any more."""
+    hadoop_path, files = _hadoop(df.sparkSession, df.stored_at)
+    files.delete(hadoop_path, True)
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,9 +2,13 @@
 
 No piece of such a model holds a word mark after other characters, and none holds a line feed, so merges never cross
 from a word into the blanks before the next one or over a line end: a text's count is the sum over its pre-tokens
-(blanks and the word after them) plus one byte piece for each line feed. Each distinct pre-token is counted once,
-in bulk; a document joins its pre-token frequencies with those counts and adds up. `check_model` proves both facts
-about the vocabulary before anything is counted.
+(blanks and the word after them) plus one byte piece for each line feed. `check_model` proves both facts about the
+vocabulary before anything is counted.
+
+Each document is read once, to the frequencies of its pre-tokens, which are stored. The distinct pre-tokens of all
+documents are then counted, each once, and stored as a table of pieces, which the frequencies are joined with and summed
+up. The HOT pre-tokens that most documents hold are broadcast, so that a word of every document is no hot key; any other
+one is held by at most 1/HOT of all pairs of document and pre-token, and these are joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -14,14 +18,18 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import ready, table, texts
+from .common import ready, stored, table, texts
 
 MARK = "▁"
 LIMIT = 4096
-#: Pre-tokens whose counts a worker keeps; beyond that it starts afresh, which costs time only.
-KEPT = 400_000
+#: Pre-tokens that are broadcast with their counts: at most KEY characters each, so some 20 MB at most.
+HOT, KEY = 65_536, 64
+#: Characters of text whose frequencies leave Python at once.
+PART = 1 << 20
 
 
 def check_model(sp) -> None:
@@ -63,60 +71,87 @@ def pre_tokens(text: str) -> Iterator[str]:
             yield blanks
 
 
-class Counts(dict):
-    """Pieces of each distinct pre-token met so far."""
-
-    def __init__(self, sp):
-        super().__init__()
-        self.sp = sp
-
-    def learn(self, tokens) -> None:
-        new = [t for t in tokens if t not in self]
-        # The model puts a mark before any text: a blank is taken off for it, or a line feed shields the start.
-        lone = [t for t in new if t == " "]
-        marked = [t for t in new if t != " " and t[0] == " "]
-        bare = [t for t in new if t[0] != " "]
-        self.update((t, 1) for t in lone)
-        self.update(zip(marked, map(len, self.sp.encode([t[1:] for t in marked], num_threads=1)), strict=True))
-        self.update((t, n - 2) for t, n in zip(bare, map(len, self.sp.encode(["\n" + t for t in bare], num_threads=1)), strict=True))
-
-
-def count_batch(texts: list[str], counts: Counts) -> list[int]:
-    out, start = [], 0
-    while start < len(texts):
-        # A few hundred thousand characters at a time: very long texts come alone.
-        end, size = start, 0
-        while end < len(texts) and (end == start or size + len(texts[end]) <= 500_000):
-            size += len(texts[end])
-            end += 1
-        frequencies = [Counter(pre_tokens(t)) if t else {} for t in texts[start:end]]
-        if len(counts) > KEPT:
-            counts.clear()
-        counts.learn({token for f in frequencies for token in f})
-        for text, f in zip(texts[start:end], frequencies, strict=True):
-            out.append(sum(counts[token] * n for token, n in f.items()) + text.count("\n"))
-        start = end
-    return out
-
-
-def count_tokens(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_tokens, over_limit.
+def pieces(sp, tokens: list[str]) -> list[int]:
+    """The number of pieces of each pre-token, as they are inside a text."""
+    # The model puts a mark before any text: a blank is taken off for it, or a line feed (2 pieces) shields the start.
+    whole = [t[1:] if t[0] == " " else "\n" + t for t in tokens]
+    found = map(len, sp.encode(whole, num_threads=1))
+    return [1 if t == " " else n - 2 * (t[0] != " ") for t, n in zip(tokens, found, strict=True)]
 
-    A null text counts as empty: no bytes and no tokens. Whole texts of any length are counted; repeated rows and
-    null ids are kept; further columns are ignored; an empty table gives an empty result.
+
+def frequencies(rows: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_lines, found array<struct<token, n>>) of rows (doc_id, text): pre-tokens and how often they are
+    there; n_lines is the number of line feeds.
     """
-    ready(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = Counts(load_model(model))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = batch["text"].tolist()
-            n = pd.Series(count_batch(whole, counts), dtype="int64")
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": pd.Series([len(t.encode()) for t in whole], dtype="int64"), "n_tokens": n, "over_limit": n > limit})
+            ids, whole = batch.column(0), batch.column(1).to_pylist()
+            start = 0
+            while start < len(whole):
+                end, size = start, 0
+                while end < len(whole) and (end == start or size + len(whole[end]) <= PART):
+                    size += len(whole[end])
+                    end += 1
+                part = whole[start:end]
+                found = [Counter(pre_tokens(t)) if t else {} for t in part]
+                offsets = [0]
+                for f in found:
+                    offsets.append(offsets[-1] + len(f))
+                tokens = pa.array([t for f in found for t in f], pa.string())
+                n = pa.array([k for f in found for k in f.values()], pa.int64())
+                pairs = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([tokens, n], ["token", "n"]))
+                sizes = pa.array([len(t.encode()) for t in part], pa.int64()), pa.array([t.count("\n") for t in part], pa.int64())
+                yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), *sizes, pairs], ["doc_id", "n_bytes", "n_lines", "found"])
+                start = end
 
-    rows = texts(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_lines long, found array<struct<token:string,n:long>>")
+
+
+def distinct_counts(tokens: DataFrame, model: str) -> DataFrame:
+    """(token, held, pieces) of rows (token): each distinct one, the number of its rows, and its pieces, counted once."""
+    distinct = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sp = load_model(model)
+        for batch in batches:
+            yield batch.assign(pieces=pd.Series(pieces(sp, batch["token"].tolist()), index=batch.index, dtype="int64"))
+
+    return distinct.mapInPandas(run, "token string, held long, pieces long")
+
+
+def join_key(token: str) -> Column:
+    """The pre-token; a digest of it, behind a line feed, which no pre-token has, if it is long."""
+    return F.when(F.length(token) <= KEY, F.col(token)).otherwise(F.concat(F.lit("\n"), F.sha2(token, 256)))
+
+
+def summed(frequent: DataFrame, counts: DataFrame, hot: int = HOT) -> DataFrame:
+    """(row, n) for rows (row, found) and counts (token, held, pieces): the pieces of each row's pre-tokens."""
+    known = stored(counts.select(join_key("token").alias("key"), "held", "pieces"))
+    most = stored(known.orderBy(F.desc("held"), "key").limit(hot).select("key", "pieces"))
+    pairs = frequent.select("row", F.inline("found")).select("row", join_key("token").alias("key"), "n")
+    total = (F.col("n") * F.col("pieces")).alias("n")
+    often = pairs.join(F.broadcast(most), "key").select("row", total)
+    seldom = pairs.join(F.broadcast(most), "key", "left_anti").join(known.join(F.broadcast(most), "key", "left_anti"), "key").select("row", total)
+    return often.unionByName(seldom)
+
+
+def count_tokens(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, hot: int = HOT) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_tokens, over_limit.
+
+    A null text counts as empty: no bytes and no tokens. Whole texts of any length are counted; repeated rows and
+    null ids are kept; further columns are ignored; an empty table gives an empty result.
+    """
+    ready(docs.sparkSession)
+    # Rows have numbers of their own, as ids may be null or repeated; they are fixed by being stored.
+    rows = stored(frequencies(texts(docs, id_col, text_col)).select(F.monotonically_increasing_id().alias("row"), "*"), compression="zstd")
+    counts = stored(distinct_counts(rows.select(F.inline("found")).select("token"), model))
+    own = rows.select("row", "doc_id", "n_bytes", F.col("n_lines").alias("n"))
+    nothing = F.lit(None)
+    more = summed(rows, counts, hot).select("row", nothing.cast(rows.schema["doc_id"].dataType).alias("doc_id"), nothing.cast("long").alias("n_bytes"), "n")
+    whole = own.unionByName(more).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
+    return whole.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

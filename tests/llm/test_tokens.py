@@ -5,6 +5,7 @@ import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestone.llm import byte_bpe as B
 from lodestone.llm import token_counts as T
@@ -39,7 +40,10 @@ def test_join_is_a_monoid(a, b, c):
 @given(mixed)
 def test_counts_equal_the_model(text):
     sp = T.load_model(MODEL)
-    assert T.count_batch([text], T.Counts(sp)) == [len(sp.encode(text))]
+    found = T.Counter(T.pre_tokens(text)) if text else {}
+    one_by_one = [T.pieces(sp, [t])[0] for t in found]
+    assert one_by_one == T.pieces(sp, list(found))
+    assert sum(n * k for n, k in zip(found.values(), one_by_one, strict=True)) + text.count("\n") == len(sp.encode(text))
 
 
 def test_bpe_rows(spark, edge_docs, no_docs):
@@ -62,11 +66,19 @@ def test_count_rows(spark, edge_docs, no_docs):
     assert T.count_tokens(no_docs, MODEL).count() == 0
 
 
-def test_counts_survive_a_small_cache(monkeypatch):
-    monkeypatch.setattr(T, "KEPT", 3)
-    sp, rng = T.load_model(MODEL), random.Random(3)
-    texts = [" ".join(rng.choice(PARTS) for _ in range(50)) for _ in range(40)]
-    assert T.count_batch(texts, T.Counts(sp)) == [len(x) for x in sp.encode(texts)]
+def test_each_pre_token_is_counted_once(spark):
+    rng = random.Random(3)
+    long = "x" * 300
+    docs = [(i if i % 9 else None, " ".join([rng.choice(["the", "of", long, long + "y", *PARTS]) for _ in range(40)])) for i in range(60)]
+    df = spark.createDataFrame([*docs, docs[0], docs[1]], "doc_id bigint, text string").repartition(5)
+    sp = T.load_model(MODEL)
+    want = sorted((str(d), len(sp.encode(t))) for d, t in [*docs, docs[0], docs[1]])
+    for hot in (0, 1, 7, 10_000):  # joined by a shuffle, partly, and by broadcast only
+        assert sorted((str(r.doc_id), r.n_tokens) for r in T.count_tokens(df, MODEL, hot=hot).collect()) == want
+    tokens = T.frequencies(df).select(F.inline("found"))
+    table = T.distinct_counts(tokens.select("token"), MODEL).collect()
+    assert len({r.token for r in table}) == len(table) and all(r.pieces == T.pieces(sp, [r.token])[0] for r in table)
+    assert {r.token: r.held for r in table} == dict(T.Counter(r.token for r in tokens.collect()))
 
 
 def test_other_models_are_refused():
