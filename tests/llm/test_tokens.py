@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -75,10 +76,30 @@ def test_each_pre_token_is_counted_once(spark):
     want = sorted((str(d), len(sp.encode(t))) for d, t in [*docs, docs[0], docs[1]])
     for hot in (0, 1, 7, 10_000):  # joined by a shuffle, partly, and by broadcast only
         assert sorted((str(r.doc_id), r.n_tokens) for r in T.count_tokens(df, MODEL, hot=hot).collect()) == want
-    tokens = T.frequencies(df).select(F.inline("found"))
-    table = T.distinct_counts(tokens.select("token"), MODEL).collect()
-    assert len({r.token for r in table}) == len(table) and all(r.pieces == T.pieces(sp, [r.token])[0] for r in table)
-    assert {r.token: r.held for r in table} == dict(T.Counter(r.token for r in tokens.collect()))
+    known = T.frequent(df.select("text").coalesce(1), MODEL, 5)
+    assert len(known) == 5 and all(len(k) <= T.KEY for k in known)
+    pairs = T.frequencies(df.select("doc_id", "text"), known).select(F.monotonically_increasing_id().alias("row"), F.inline("rest")).cache()
+    assert not {r.token for r in pairs.collect()} & set(known)
+    want = T.Counter()
+    for r in pairs.collect():
+        want[r.row] += r.k * T.pieces(sp, [r.token])[0]
+    got = T.Counter()
+    for r in T.joined(pairs, MODEL).collect():
+        got[r.row] += r.n
+    assert got == want
+
+
+def test_each_distinct_pre_token_is_counted_once(monkeypatch):
+    """Batches of two rows: what the sorted stream hands to the model holds no pre-token twice."""
+    counted, true = [], T.pieces
+    monkeypatch.setattr(T, "pieces", lambda sp, tokens: counted.extend(tokens) or true(sp, tokens))
+    rows = sorted((f" w{i % 23}", i) for i in range(200))
+    cut = [rows[i : i + 2] for i in range(0, 200, 2)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r for _, r in c]), pa.array([t for t, _ in c]), pa.array([3, 3])], ["row", "token", "k"]) for c in cut]
+    got = [x for out in T.sorted_counts(MODEL)(iter(batches)) for x in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
+    sp = T.load_model(MODEL)
+    assert got == [(i, 3 * true(sp, [t])[0]) for t, i in rows]
+    assert sorted(counted) == sorted({t for t, _ in rows})
 
 
 def test_other_models_are_refused():
