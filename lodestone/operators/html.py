@@ -6,16 +6,15 @@ All results are per page. Selectors are parameters.
 from __future__ import annotations
 
 import html as html_lib
-import os
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean
+from ..sources.shared import ready
 
 #: The class names and style that the pages use.
 SPEC_LIST, SPEC_TITLE, SPEC_DESC = "spec-item-list", "spec-title", "spec-desc"
@@ -23,6 +22,8 @@ FOOTNOTE_STYLE = r"(?i)font-size:\s*80%"
 CONTAINER, SECTION_PREFIX = "key-features", "section-"
 SPEC_ROWS = 17
 TEXT_TAGS = ["h1", "h2", "h3", "h4", "h5", "h6", "p"]
+#: Events that leave Python at once, and those of one page more.
+EVENT_ROWS = 20_000
 EVENTS = "seq int, ev string, tag string, cls string, id string, style string, href string, data string"
 
 
@@ -57,20 +58,20 @@ def html_events(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
 
     Null pages have no events. Pages are parsed one by one, in Arrow batches.
     """
-    env = pages.sparkSession.sparkContext.environment
-    root = str(Path(__file__).resolve().parents[2])
-    if root not in env.get("PYTHONPATH", ""):
-        env["PYTHONPATH"] = os.pathsep.join(p for p in (root, env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))) if p)
+    ready(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"))
     names = [c.split(" ")[0] for c in EVENTS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            held: list[tuple] = []
             for page, text in zip(batch["page_id"].tolist(), batch["html"], strict=True):
-                if found := events_of(text):
-                    out = pd.DataFrame(found, columns=names)
-                    out.insert(0, "page_id", page)
-                    yield out
+                held += [(page, *event) for event in events_of(text)]
+                if len(held) >= EVENT_ROWS:
+                    yield pd.DataFrame(held, columns=["page_id", *names])
+                    held = []
+            if held:
+                yield pd.DataFrame(held, columns=["page_id", *names])
 
     return rows.mapInPandas(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, {EVENTS}")
 
@@ -204,9 +205,11 @@ def feature_blocks(events: DataFrame, container: str = CONTAINER, section_prefix
     prose = pieces.groupBy("page_id", "block").agg(texts_where(F.col("tag") != "p").alias("headings"), texts_where(F.col("tag") == "p").alias("paragraphs"))
     closed = blocks.filter("closes IS NOT NULL").join(prose, ["page_id", "block"])
     # A section without a name is called by the number of blocks that were closed before it began.
-    before = blocks.filter("name IS NULL").select("page_id", F.col("block").alias("unnamed")).join(closed.select("page_id", "closes"), "page_id").filter(F.col("closes") < F.col("unnamed"))
-    numbers = before.groupBy("page_id", F.col("unnamed").alias("block")).agg(F.count(F.lit(1)).alias("n"))
-    named_all = closed.join(numbers, ["page_id", "block"], "left").withColumn("block_id", F.coalesce("name", F.concat(F.lit("block"), F.coalesce("n", F.lit(0)).cast("string"))))
+    ends = closed.select("page_id", F.col("closes").alias("at"), F.lit(1).alias("n"), F.lit(None).cast("int").alias("block"))
+    begins = closed.filter("name IS NULL").select("page_id", F.col("block").alias("at"), F.lit(0).alias("n"), "block")
+    so_far = F.sum("n").over(Window.partitionBy("page_id").orderBy("at"))
+    numbers = ends.unionByName(begins).withColumn("n", so_far).filter("block IS NOT NULL").select("page_id", "block", "n")
+    named_all = closed.join(numbers, ["page_id", "block"], "left").withColumn("block_id", F.coalesce("name", F.concat(F.lit("block"), F.col("n").cast("string"))))
     useful = F.exists("paragraphs", lambda p: F.length(p) > 20) | F.exists("headings", lambda h: F.length(h) > 4)
     order = F.row_number().over(Window.partitionBy("page_id").orderBy("closes")) - 1
     return named_all.filter(useful).select("page_id", order.alias("ord"), "block_id", "headings", "paragraphs")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from ..sources.shared import stored
 
 #: Fixed values of the ranking function.
 K1, B = 1.5, 0.75
@@ -32,19 +33,23 @@ class LexicalIndex:
 
 
 def term_counts(docs: DataFrame, text: str = "text", ord_col: str = "ord") -> DataFrame:
-    """(ord, doc_len, term, tf): one row per document and distinct term. Counted inside the row, without a shuffle."""
+    """(ord, doc_len, term, tf): one row per document and distinct term. A task counts the terms of its documents before
+    the one shuffle, which moves no more than these rows.
+    """
     tokens = docs.select(F.col(ord_col).alias("ord"), tokenize(F.col(text)).alias("tokens"))
     counted = tokens.select("ord", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
     return counted.groupBy("ord", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def build_index(docs: DataFrame, text: str = "text", ord_col: str = "ord") -> LexicalIndex:
-    """Documents without tokens have no postings, but count in n_docs and avg_len."""
-    postings = term_counts(docs, text, ord_col).select("term", "ord", "tf", "doc_len")
+    """Documents are tokenised once: the postings are stored, and the rest follows from them. Documents without tokens
+    have no postings, but count in n_docs and avg_len.
+    """
+    postings = stored(term_counts(docs, text, ord_col).select("term", "ord", "tf", "doc_len"))
     term_df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    lengths = docs.select(F.size(tokenize(F.coalesce(F.col(text), F.lit("")))).alias("n"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avg_len"))
-    return LexicalIndex(postings, term_df, stats)
+    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    stats = docs.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(total)  # one row each
+    return LexicalIndex(postings, term_df, stats.select("n_docs", F.try_divide("total", "n_docs").alias("avg_len")))
 
 
 def idf(n: Column, df: Column) -> Column:

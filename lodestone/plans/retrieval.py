@@ -17,18 +17,20 @@ from ..operators.generation import Generator
 from ..operators.html import feature_blocks, html_events, sku_variants, spec_rows, validate_spec_items
 from ..operators.lexical import LexicalIndex, bm25_search, build_index
 from ..operators.prompt import build_plain_prompts, build_prompts, default_plain, default_system
+from ..sources.shared import stored
 from ..sources.tables import load_index
 
 
 def build_corpus(spec_zh: DataFrame, spec_en: DataFrame, product: str, feature_zh: DataFrame | None = None, feature_en: DataFrame | None = None, validate: bool = True, markers: tuple[str, ...] = ()) -> DataFrame:
     """Chunks of one product's pages (page_id, html): facts, rows of the specification, models, prose; equal texts once."""
-    zh, en = spec_rows(html_events(spec_zh)), spec_rows(html_events(spec_en))
+    zh, en = (stored(spec_rows(html_events(p))) for p in (spec_zh, spec_en))
     if validate:
         for items in (zh, en):
             validate_spec_items(items, markers=markers)
     stages = [C.fact_chunks(extract_facts(zh, en)), C.spec_chunks(zh, en), C.sku_chunks(sku_variants(spec_zh, product), zh, en, product)]
     stages += [C.feature_chunks(feature_blocks(html_events(p)), lang, product) for p, lang in ((feature_zh, "zh"), (feature_en, "en")) if p is not None]
-    return C.renumbered(C.dedupe(C.in_order(*stages)))
+    # Each stage is a table by then: one plan over all of them would be parsed, planned and printed many times over.
+    return C.renumbered(C.dedupe(stored(C.in_order(*map(stored, stages)))))
 
 
 @dataclass
@@ -55,7 +57,7 @@ class Retriever:
 
     def search(self, queries: DataFrame, top_k: int = 4, pool: int = fusion.POOL) -> DataFrame:
         """Hits (qid, ord, score, rank, rescued, dense_rank, bm25_rank, and the chunk) of many questions at once."""
-        arms = self.arms(queries, pool).persist()  # 2 * pool rows a question, read four times
+        arms = stored(self.arms(queries, pool))  # 2 * pool rows a question, read four times
         fused = fusion.key_boost(fusion.fuse(arms, self.mode), queries, self.chunks, self.key_boost)
         selected = fusion.diversify(fused, self.chunks, top_k, self.max_per_doc)
         return fusion.hits(fusion.rescue(selected, arms, top_k), arms, self.chunks)

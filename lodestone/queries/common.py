@@ -1,10 +1,6 @@
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from ..sources.shared import table  # noqa: F401
 
 
 #: DuckDB's form of the tokenizer. RE2 has no look-behind and the same classes.

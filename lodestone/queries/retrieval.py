@@ -11,6 +11,7 @@ from ..operators import fusion
 from ..operators.dense import cosine_search
 from ..operators.lexical import bm25_search, build_index
 from ..plans.retrieval import Retriever
+from ..sources.shared import stored
 from .common import table, tokens_sql
 
 TOP, POOL = 10, 25
@@ -64,7 +65,7 @@ def retriever(spark, sf) -> tuple[Retriever, DataFrame]:
 def arms(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     r, asked = retriever(spark, sf)
     dense = cosine_search(r.vectors, asked.filter("v IS NOT NULL").select("qid", "v"), POOL)
-    return fusion.arms_of(dense, bm25_search(r.lexical, asked, POOL)).persist(), r.chunks, asked  # 50 rows a question
+    return stored(fusion.arms_of(dense, bm25_search(r.lexical, asked, POOL))), r.chunks, asked
 
 
 def rrf(spark, sf) -> DataFrame:
