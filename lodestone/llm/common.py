@@ -2,67 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
-
-
-def ready(spark: SparkSession) -> None:
-    """Let Python workers import this library wherever the driver was started."""
-    env = spark.sparkContext.environment
-    parts = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
-    if ROOT not in parts:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
+from ..sources.shared import dropped, ready, shared_dir, stored, table
 
+__all__ = ["crc_mod", "dropped", "hot_keys", "join_one", "ready", "shared_dir", "stored", "table", "texts"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset, as in tests, one of our own, but only if the master is
-    local: on a cluster executors would write to their own disks.
-    """
-    set_by_cluster = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if set_by_cluster:
-        return set_by_cluster.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def _hadoop(spark: SparkSession, path: str):
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and lost executors cost nothing before it.
-
-    The files go when the driver's JVM ends, or by dropped().
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    hadoop_path, files = _hadoop(spark, path)
-    files.deleteOnExit(hadoop_path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back.stored_at = path
-    return back
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a DataFrame that stored() returned and that nothing reads any more."""
-    hadoop_path, files = _hadoop(df.sparkSession, df.stored_at)
-    files.delete(hadoop_path, True)
+#: A key with more than one row in so many is hot: there are fewer of them than that, whatever the size of the input.
+HOT_SHARE = 4096
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,3 +21,24 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 def crc_mod(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as an empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def hot_keys(counts: DataFrame, n: str, total: int | None = None) -> DataFrame:
+    """The rows of counts (a key, its number of rows n) whose key holds more than one row in HOT_SHARE: fewer than
+    HOT_SHARE rows, stored.
+    """
+    if total is None:
+        total = counts.agg(F.sum(n)).first()[0] or 0
+    return stored(counts.filter(F.col(n) > total / HOT_SHARE))
+
+
+def join_one(rows: DataFrame, other: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """rows joined with other, which has one row for each key and in n the number of rows of the key.
+
+    The rows of other for hot keys are broadcast (see hot_keys), and so rows of a hot key stay where they are; only the
+    others are shuffled. Both are read twice: they should be stored, or cheap.
+    """
+    hot = hot_keys(other, n)
+    often = rows.join(F.broadcast(hot), keys)
+    seldom = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(other.join(F.broadcast(hot.select(*keys)), keys, "left_anti"), keys)
+    return often.unionByName(seldom)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready, stored, table, texts
+from .common import join_one, ready, stored, table, texts
 from .components import components
 
 WORDS = 5
@@ -201,9 +201,7 @@ def sign(rows: DataFrame) -> DataFrame:
 
 
 def bag_rows(rows: DataFrame) -> DataFrame:
-    """(node, h, h4, c) of rows (node, text): the shingles' hashes in order, their upper halves, and their counts, empty
-    if all are 1.
-    """
+    """(node, h, c) of rows (node, text): the shingles' hashes in order, and their counts, empty if all are 1."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -212,14 +210,14 @@ def bag_rows(rows: DataFrame) -> DataFrame:
                 owner, shingle, count = bags(whole[part])
                 ends = np.searchsorted(owner, np.arange(len(whole[part]) + 1))
                 cuts = list(zip(ends[:-1], ends[1:], strict=True))
-                yield pd.DataFrame({"node": batch["node"].iloc[part].to_numpy(), "h": [shingle[a:b].tobytes() for a, b in cuts], "h4": [(shingle[a:b] >> U(32)).astype(np.uint32).tobytes() for a, b in cuts], "c": [b"" if (count[a:b] == 1).all() else count[a:b].astype(np.int32).tobytes() for a, b in cuts]})
+                yield pd.DataFrame({"node": batch["node"].iloc[part].to_numpy(), "h": [shingle[a:b].tobytes() for a, b in cuts], "c": [b"" if (count[a:b] == 1).all() else count[a:b].astype(np.int32).tobytes() for a, b in cuts]})
 
-    return rows.mapInPandas(run, "node long, h binary, h4 binary, c binary")
+    return rows.mapInPandas(run, "node long, h binary, c binary")
 
 
-def overlap(h1: bytes, c1: bytes, h2: bytes, c2: bytes, kind: type = U) -> float:
+def overlap(h1: bytes, c1: bytes, h2: bytes, c2: bytes) -> float:
     """Weighted Jaccard similarity of two bags."""
-    a, b = np.frombuffer(h1, dtype=kind), np.frombuffer(h2, dtype=kind)
+    a, b = np.frombuffer(h1, dtype=U), np.frombuffer(h2, dtype=U)
     at = np.minimum(np.searchsorted(b, a), max(len(b) - 1, 0))
     same = b[at] == a if len(b) else np.zeros(len(a), dtype=bool)
     if not c1 and not c2:
@@ -267,12 +265,12 @@ def spread(shared: DataFrame, ends: DataFrame) -> DataFrame:
     """(band, bucket, node, label, apart, held, left): rows of the buckets that hold several components. apart: not of
     the component with most nodes in the bucket; left: the number of such nodes.
     """
-    of = shared.select("band", "bucket", "node").join(ends, "node")
+    of = stored(shared.select("band", "bucket", "node").join(ends, "node"))
     order = F.least("n", F.lit(1 << 20)) * F.lit(1 << 42) + F.pmod("label", F.lit(1 << 42))
     counts = of.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy("bucket").agg(F.max_by("label", order).alias("main"), F.sum("n").alias("held"), F.max_by("n", order).alias("most")).filter("held > most")
     apart = F.col("label") != F.col("main")
-    return stored(of.join(main, "bucket").select("band", "bucket", "node", "label", apart.alias("apart"), "held", (F.col("held") - F.col("most")).alias("left")))
+    return stored(join_one(of, stored(main), ["bucket"], "held").select("band", "bucket", "node", "label", apart.alias("apart"), "held", (F.col("held") - F.col("most")).alias("left")))
 
 
 def matches(rows: DataFrame, one: str, two: str, keep: list[str]) -> DataFrame:
@@ -336,7 +334,7 @@ def gather(rows: DataFrame, shared: DataFrame, ends: DataFrame, sigs: DataFrame,
 
 
 def across(members: DataFrame, plausible: float, similarity: float) -> DataFrame:
-    """Links (u, v) between components, in blocks of rows (bucket, band, a, b, side, node, label, sig, h4, c): nodes of
+    """Links (u, v) between components, in blocks of rows (bucket, band, a, b, side, node, label, sig, h, c): nodes of
     side 0 are compared with those of side 1. Of a block, a link is given only if its ends aren't joined by earlier ones.
     Bags of a pair are compared only in the first band that it shares.
     """
@@ -345,7 +343,7 @@ def across(members: DataFrame, plausible: float, similarity: float) -> DataFrame
         g = pd.concat(group) if len(group) > 1 else group[0]
         side, node, label = g["side"].to_numpy(), g["node"].to_numpy(), g["label"].to_numpy()
         sig = np.frombuffer(b"".join(g["sig"]), dtype=np.uint8).reshape(len(g), -1)
-        h, c = g["h4"].to_numpy(), g["c"].to_numpy()
+        h, c = g["h"].to_numpy(), g["c"].to_numpy()
         right, band = np.flatnonzero(side == 1), int(g["band"].iloc[0])
         root = {x: x for x in label.tolist()}
 
@@ -364,7 +362,7 @@ def across(members: DataFrame, plausible: float, similarity: float) -> DataFrame
             earlier = same[order, : band * BAND].reshape(len(order), band, BAND).all(axis=2).any(axis=1)
             for j in other[order[~earlier]]:
                 one, two = find(label[i].item()), find(label[j].item())
-                if one != two and overlap(h[i], c[i], h[j], c[j], np.uint32) >= similarity - 1e-9:
+                if one != two and overlap(h[i], c[i], h[j], c[j]) >= similarity - 1e-9:
                     root[two] = one
                     found.append((node[i], node[j]))
         return pd.DataFrame(found, columns=["u", "v"]) if found else None
@@ -396,30 +394,32 @@ def across(members: DataFrame, plausible: float, similarity: float) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per input row: doc_id, class_id (the least doc_id of its class), class_size (rows), kept.
-
-    Documents are in one class if links of `similarity` or more connect them. The row with the least doc_id stays.
-    Texts with equal bags are in one class; so are all texts without words, among them null and empty ones. Null ids
-    are kept, and count for a class_id only where a class has no other. Repeated rows tie and are all kept or all
-    dropped. Further columns are ignored; an empty table gives an empty result.
+    """One row per input row: doc_id, class_id (the least doc_id of its class), class_size (rows), kept, text_hash
+    (xxhash64 of the text, null as empty).
+
+    Documents are in one class if links of `similarity` or more connect them. The row with the least doc_id stays, and of
+    several texts with that id the one with the least hash; null ids come last, so class_id is null only where a class has
+    no other. Texts with equal bags are in one class; so are all texts without words, among them null and empty ones. Rows
+    that repeat id and text tie and are all kept or all dropped. Further columns are ignored; an empty table gives an empty
+    result.
     """
     ready(docs.sparkSession)
     plausible = PLAUSIBLE - SIMILARITY + similarity
     rows = texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("t"), "text")
     signed = stored(sign(rows))
-    nodes = signed.filter(F.col("sig").isNotNull()).groupBy("node", "sig").agg(F.count(F.lit(1)).alias("copies"), F.min("t").alias("t"))
-    nodes = stored(nodes)
+    one = F.min(F.struct("t", "doc_id")).alias("one")
+    nodes = stored(signed.filter(F.col("sig").isNotNull()).groupBy("node", "sig").agg(F.count(F.lit(1)).alias("copies"), one))
     pieces_of = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * BAND + 1, BAND)) for i in range(BANDS)])
     banded = nodes.select("node", "copies", F.posexplode(pieces_of).alias("band", "bucket"))
     # The centre of a bucket: the bag with most copies, as edited copies are often of what is copied most.
     order = F.least("copies", F.lit(1 << 20)) * F.lit(1 << 42) + F.pmod("node", F.lit(1 << 42))
-    centres = banded.groupBy("bucket").agg(F.max_by("node", order).alias("centre"), F.count(F.lit(1)).alias("held")).filter("held > 1")
-    shared = stored(banded.join(centres, "bucket").select("band", "bucket", "node", "centre"))
-    sigs = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "sig", "t")
-    sigs = stored(sigs)
+    centres = stored(banded.groupBy("bucket").agg(F.max_by("node", order).alias("centre"), F.count(F.lit(1)).alias("held")).filter("held > 1"))
+    shared = stored(join_one(banded, centres, ["bucket"], "held").select("band", "bucket", "node", "centre"))
+    sigs = stored(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "sig", "one"))
 
-    chosen = signed.select("doc_id", "t", "node").join(sigs.select("node", "t"), ["node", "t"]).groupBy("node", "t").agg(F.min("doc_id").alias("d"))
-    texts_of = rows.join(chosen.withColumnRenamed("t", "t2"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("t2"))).select("node", "text")
+    # The bag of a node is made of one of its texts.
+    chosen = sigs.select("node", F.col("one.t").alias("t2"), F.col("one.doc_id").alias("d"))
+    texts_of = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("t2"))).select("node", "text")
     bagged = stored(bag_rows(texts_of)).dropDuplicates(["node"])
 
     # The centre that a node shares most buckets with is its likeliest one.
@@ -438,13 +438,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = members.filter("apart").select("bucket", "band", block("na").alias("a"), every("nb").alias("b"), F.lit(0).alias("side"), "node")
     right = members.select("bucket", "band", every("na").alias("a"), block("nb").alias("b"), F.lit(1).alias("side"), "node")
-    dealt = left.unionByName(right).join(labelled, "node").join(bagged.select("node", "h4", "c"), "node")
-    second = confirm(across(dealt, plausible, similarity), bagged, similarity)
+    dealt = left.unionByName(right).join(labelled, "node").join(bagged, "node")
+    second = across(dealt, plausible, similarity)
 
     final = components(first.unionByName(second))
-    classed = signed.select("doc_id", "node").join(final, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
-    classes = classed.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return classed.join(classes, "label").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    held = signed.groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+    labels_of = stored(held.join(final, "node", "left").select("node", "copies", F.coalesce("label", "node").alias("label")))
+    classed = stored(join_one(signed.select("doc_id", "t", "node"), labels_of, ["node"], "copies").select("doc_id", "t", "label"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first")
+    classes = stored(classed.groupBy("label").agg(least, F.count(F.lit(1)).alias("class_size")))
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))
+    found = join_one(classed, classes, ["label"], "class_size")
+    return found.select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", kept.alias("kept"), F.col("t").alias("text_hash"))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
