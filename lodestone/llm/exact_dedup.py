@@ -11,14 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, texts
+from .common import join_one, stored, table, texts
 
 #: The directory never grows beyond 2 ** MAX_DEPTH entries.
 MAX_DEPTH = 20
 
 
-#: Copies of keys with more rows meet in the task that reads them, before they are routed.
-HOT = 64
+#: Copies of keys with more rows than HOT, or than one row in MOST, meet in the task that reads them, before they are routed;
+#: so there are at most MOST such keys, of 8 bytes each.
+HOT, MOST = 64, 1 << 20
 
 
 def distinct_texts(docs: DataFrame, task: Column | None = None) -> DataFrame:
@@ -40,7 +41,8 @@ def parts(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows (h, sha, text, keep_id, group_size) to be routed for rows (doc_id, text): one per document, but one per task
     for the texts of hot keys. keys: (h, n).
     """
-    hot = stored(keys.filter(F.col("n") > HOT).select("h"))
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(stored(keys.filter(F.col("n") > max(HOT, total / MOST)).select("h")))
     keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("h"))
     few = keyed.join(hot, "h", "left_anti").select("h", F.unhex(F.sha2("text", 256)).alias("sha"), "text", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     return few.unionByName(distinct_texts(keyed.join(hot, "h", "left_semi"), F.spark_partition_id()))
@@ -67,9 +69,11 @@ def directory(keys: DataFrame, capacity: int, max_depth: int = MAX_DEPTH) -> tup
 
 
 def routed(rows: DataFrame, entries: DataFrame, depth: int) -> DataFrame:
-    """Rows with the bucket of their key h."""
+    """Rows with the bucket of their key h. The directory is broadcast: it has at most 2 ** MAX_DEPTH entries of 3 numbers,
+    and an entry with a popular text is no hot key.
+    """
     entry = F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("long")
-    return rows.withColumn("entry", entry).join(entries, "entry").drop("entry")
+    return rows.withColumn("entry", entry).join(F.broadcast(entries), "entry").drop("entry")
 
 
 def owned(rows: DataFrame, entries: DataFrame, depth: int) -> DataFrame:
@@ -103,7 +107,8 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     entries = stored(entries)
     index = owned(parts(rows, keys), entries, depth)
     asked = routed(rows.select("doc_id", F.xxhash64("text").alias("h"), F.unhex(F.sha2("text", 256)).alias("sha")), entries, depth)
-    found = asked.join(index.select("bucket", "h", "sha", "keep_id", "group_size"), ["bucket", "h", "sha"])
+    # Documents of popular texts meet their row of the index where they are.
+    found = join_one(asked, index.select("bucket", "h", "sha", "keep_id", "group_size"), ["bucket", "h", "sha"], "group_size")
     return found.select(
         "doc_id",
         "keep_id",
@@ -114,8 +119,6 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
