@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import join_one, stored, table
 
 #: Host, path, verdict.
 RULES = [
@@ -38,7 +38,7 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 
 def default_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, RULES))} AS rules(host, path, verdict)")
 
 
 def expressions(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
@@ -77,10 +77,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
         return parsed.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     hashed = known.select("rule", "rule_verdict", F.col("digest").alias("rule_digest"), F.left("digest", F.lit(SHORT)).alias("short"))
     hashed = F.broadcast(hashed) if shapes.n <= BROADCAST_RULES else hashed
+    # Each distinct URL is judged once.
+    distinct = stored(parsed.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")))
     expanded = (
-        parsed.select("host", "path")
-        .distinct()
-        .select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), shapes.labels, shapes.lengths)).alias("e"))
+        distinct.select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), shapes.labels, shapes.lengths)).alias("e"))
         .select("host", "path", F.sha2("e", 256).alias("digest"))
         .withColumn("short", F.left("digest", F.lit(SHORT)))
     )
@@ -91,9 +91,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
         .groupBy("host", "path")
         .agg(F.max(F.struct(rank.alias("rank"), "rule", "rule_verdict")).alias("best"))
     )
-    return parsed.join(best, ["host", "path"], "left").select(
-        "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.rule_verdict"), F.lit(default)).alias("verdict")
-    )
+    verdict = F.coalesce(F.col("best.rule_verdict"), F.lit(default)).alias("verdict")
+    judged = stored(distinct.join(best, ["host", "path"], "left").select("host", "path", "n", F.col("best.rule").alias("rule"), verdict))
+    return join_one(parsed, judged, ["host", "path"], "n").select("page_id", "host", "path", "rule", "verdict")
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
