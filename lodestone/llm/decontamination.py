@@ -1,21 +1,23 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Documents are read as passages of 64 words, each overlapping the next by half. Their TF-IDF vectors over the
-benchmark's vocabulary (words of no item can't make a passage like one), with those of the items themselves as further
-passages of some weight, make a matrix A. One pass over the corpus gives A'(A Omega) for a random Omega, from which the
+benchmark's words (words of no item can't make a passage like one), with those of the items themselves as further
+passages of some weight and each word alone as some more, make a matrix A. One pass over the corpus gives A'(A Omega) for a random Omega, from which the
 driver has the leading singular values and right vectors of A. Passages and items are compared in that space, each
 direction divided by its singular value, by cosine; what comes near is checked by its longest common
 subsequence with the item and by the item's answer, so that paraphrases count and shared phrases don't.
 
-Three passes read the corpus: document frequencies, the range, the search. Nothing but sums over the vocabulary is
-moved between machines.
+Words stand for rows of the matrix by a hash, ROWS at most, so that everything that goes to the machines or to the driver
+has a bound whatever the number of items. Two passes over the corpus (document frequencies and the range) serve all items;
+a third one searches for ITEMS items at a time.
 """
 
 from __future__ import annotations
 
 import string
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,24 +28,27 @@ from .common import ready, table, texts
 
 #: Words of half a passage.
 HALF = 32
-#: Dimensions of the latent space.
-RANK = 256
-#: Weight of all items against all passages, and the power of the eigenvalues of A'A that directions are divided by.
-ITEM_WEIGHT, WHITEN = 9.0, 0.5
-#: Words in a greater share of half passages are left out of the vectors, but for the rarest KEPT of an item.
-COMMON, KEPT = 0.01, 6
-#: Cosine of a candidate.
-COSINE = 0.4
+#: Dimensions of the latent space, and rows of the matrix: 64 MB at most.
+RANK, ROWS = 256, 1 << 16
+#: Values of the hash of words that rows are given out for.
+HASHES = 1 << 20
+#: Weight of all items against all passages, the power of the eigenvalues of A'A that directions are divided by, and the
+#: number of passages that each word makes by itself: a few real passages then bend the space little.
+ITEM_WEIGHT, WHITEN, ALONE = 9.0, 0.5, 64.0
+#: Cosine of a candidate for items of so many words or more; shorter ones are a smaller part of a passage, and so of its vector.
+COSINE, FULL = 0.4, 32
 #: A document holds an item from COPY on, or from REWORDED on if so much of the answer is there too.
 COPY, REWORDED, ANSWERED = 0.75, 0.55, 0.8
 #: Words of an item's answer where no column gives one: its rarest.
 ANSWER_WORDS = 5
-#: Words of an item that are looked for as one, and items of one run over the corpus.
-LONGEST, ITEMS = 60, 2000
+#: Words of an item that are looked for as one, items of one search of the corpus, and of one product of matrices.
+LONGEST, ITEMS, TOGETHER = 60, 20_000, 2000
 #: Characters of text that are worked on at once: their vectors then stay in the processor's cache.
 RUN = 1 << 17
 #: Terms of a slice when sums are moved.
 SLICE = 64
+#: Words whose rows a worker keeps; beyond that it starts afresh.
+KEPT = 400_000
 
 SPACES = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
@@ -54,46 +59,71 @@ def words_of(text: str) -> list[bytes]:
 
 
 @dataclass
-class Items:
-    """The benchmark: its vocabulary, and for each passage of an item the item and its words."""
-
-    vocabulary: dict[bytes, int] = field(default_factory=dict)
-    owner: list[int] = field(default_factory=list)
-    words: list[list[int]] = field(default_factory=list)
-    answers: list[list[int] | None] = field(default_factory=list)
-
-    @classmethod
-    def of(cls, rows: list[tuple[int, str, str | None]]) -> Items:
-        items = cls()
-        number = lambda ws: [items.vocabulary.setdefault(w, len(items.vocabulary)) for w in ws]
-        for item_id, text, answer in rows:
-            words = number(words_of(text or ""))
-            parts = -(-len(words) // LONGEST)
-            for k in range(parts):
-                items.owner.append(item_id)
-                items.words.append(words[k * len(words) // parts : (k + 1) * len(words) // parts])
-                items.answers.append(number(words_of(answer)) if answer and parts == 1 else None)
-        return items
+class Item:
+    """A part of a benchmark item: its words, those of the whole item's answer, and the whole item's number of words."""
+
+    owner: object
+    words: list[bytes]
+    answer: list[bytes] | None
+    whole: int
+
+
+def parts_of(rows: list[tuple]) -> list[Item]:
+    """The items (item_id, text, answer), long ones in parts of about equal length."""
+    out = []
+    for item_id, text, answer in rows:
+        words = words_of(text or "")
+        n = -(-len(words) // LONGEST)
+        said = words_of(answer) if answer else None
+        out += [Item(item_id, words[k * len(words) // n : (k + 1) * len(words) // n], said or None, len(words)) for k in range(n)]
+    return out
+
+
+def hashed(word: bytes) -> int:
+    return zlib.crc32(word) % HASHES
+
+
+class Rows(dict):
+    """The rows of the words met so far; -1 for words of no item."""
+
+    def __init__(self, place: np.ndarray):
+        super().__init__()
+        self.place = place
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT:
+            self.clear()
+        self[word] = found = int(self.place[hashed(word)])
+        return found
+
+
+def places(items: list[Item]) -> tuple[np.ndarray, int]:
+    """The row of each hash that a word of an item has (else -1), and the number of rows."""
+    place = np.full(HASHES, -1, dtype=np.int32)
+    used = sorted({hashed(w) for item in items for w in item.words})
+    place[used] = np.arange(len(used)) % ROWS
+    return place, min(len(used), ROWS)
 
 
 class Corpus:
     """Texts as arrays of benchmark words."""
 
-    def __init__(self, vocabulary: dict[bytes, int]):
-        self.vocabulary = vocabulary
+    def __init__(self, place: np.ndarray):
+        self.rows = Rows(place)
 
-    def read(self, whole: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-        """Words of each text (-1: of no item); number of halves of each; and, for words of items, half and word."""
-        get = self.vocabulary.get
-        ids = [np.array([get(w, -1) for w in words_of(t)], dtype=np.int32) for t in whole]
-        halves = np.array([max(1, -(-len(x) // HALF)) for x in ids], dtype=np.int64)
+    def read(self, whole: list[str]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
+        """Words of each text; number of halves of each; and, for words of items, half and row."""
+        get = self.rows.__getitem__
+        words = [words_of(t) for t in whole]
+        halves = np.array([max(1, -(-len(x) // HALF)) for x in words], dtype=np.int64)
         first = np.cumsum(halves) - halves
         at, terms = [], []
-        for x, f in zip(ids, first, strict=True):
+        for ws, f in zip(words, first, strict=True):
+            x = np.fromiter(map(get, ws), dtype=np.int32, count=len(ws))
             known = np.flatnonzero(x >= 0)
             at.append(known // HALF + f)
             terms.append(x[known])
-        return ids, halves, np.concatenate(at), np.concatenate(terms)
+        return words, halves, np.concatenate(at), np.concatenate(terms)
 
 
 def passages(halves_sum: np.ndarray, halves: np.ndarray) -> np.ndarray:
@@ -142,24 +172,23 @@ def runs_of(whole: list[str], most: int = RUN) -> Iterator[slice]:
         at = end
 
 
-def frequencies(rows: DataFrame, items: Items) -> tuple[int, np.ndarray]:
-    """The number of half passages, and of those that hold each word."""
-    vocabulary, v = items.vocabulary, len(items.vocabulary)
+def frequencies(rows: DataFrame, place: np.ndarray, size: int) -> tuple[int, np.ndarray]:
+    """The number of half passages, and of those that hold each row's words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        corpus, held, n = Corpus(vocabulary), np.zeros(v, dtype=np.int64), 0
+        corpus, held, n = Corpus(place), np.zeros(size, dtype=np.int64), 0
         for batch in batches:
             whole = batch["text"].tolist()
             for part in runs_of(whole):
                 _, halves, at, terms = corpus.read(whole[part])
                 n += int(halves.sum())
-                held += np.bincount(np.unique(at * v + terms) % v, minlength=v)
+                held += np.bincount(np.unique(at * size + terms) % size, minlength=size)
         some = np.flatnonzero(held)
         yield pd.DataFrame({"term": np.concatenate([[-1], some]).astype(np.int32), "n": np.concatenate([[n], held[some]])})
 
-    held = np.zeros(v, dtype=np.int64)
+    held = np.zeros(size, dtype=np.int64)
     total = 0
-    # One row for each word of the benchmark.
+    # ROWS numbers at most.
     for r in rows.select("text").mapInPandas(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         if r.term < 0:
             total = r.n
@@ -170,49 +199,50 @@ def frequencies(rows: DataFrame, items: Items) -> tuple[int, np.ndarray]:
 
 @dataclass
 class Space:
-    """Weights of the words (0: left out), their latent vectors scaled by them, and the items'."""
+    """Rows of the words' hashes, weights of the rows, and their latent vectors scaled by these: 70 MB at most."""
 
+    place: np.ndarray
     idf: np.ndarray
     latent: np.ndarray
-    items: np.ndarray
+
+    def vectors(self, items: list[Item]) -> np.ndarray:
+        """The items' own vectors, of length 1."""
+        found = np.array([self.latent[rows_in(self.place, item.words)].sum(axis=0) for item in items])
+        return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12)
+
+
+def rows_in(place: np.ndarray, words: list[bytes]) -> np.ndarray:
+    return place[[hashed(w) for w in words]]
 
 
-def weights(items: Items, n: int, held: np.ndarray) -> np.ndarray:
-    idf = np.log((1 + n) / (1 + held)).astype(np.float32)
-    use = held <= COMMON * n
-    for words in items.words:
-        own = sorted(set(words), key=lambda w: (held[w], w))[:KEPT]
-        use[own] = True
-    return np.where(use, np.maximum(idf, 1e-3), 0).astype(np.float32)
+def weights(n: int, held: np.ndarray) -> np.ndarray:
+    """Common words weigh little, and none weighs nothing."""
+    return np.maximum(np.log((1 + n) / (1 + held)), 1e-3).astype(np.float32)
 
 
-def directions(rows: DataFrame, items: Items, idf: np.ndarray, n: int, rank: int, seed: int = 17) -> np.ndarray:
-    """The leading right singular vectors of A, whitened: (words in use, rank).
+def directions(rows: DataFrame, items: list[Item], place: np.ndarray, idf: np.ndarray, n: int, rank: int, seed: int = 17) -> np.ndarray:
+    """The leading right singular vectors of A, whitened: (rows, rank).
 
     With Y = A'A Omega and Q a basis of its range, Q'A'A Q follows from Q'Y and Q'Omega, so one pass is enough.
     """
-    vocabulary, used = items.vocabulary, np.flatnonzero(idf)
-    place = np.full(len(idf), -1)
-    place[used] = np.arange(len(used))
-    slices = -(-len(used) // SLICE)
+    size = len(idf)
+    slices = -(-size // SLICE)
 
     def omega() -> np.ndarray:
-        return np.random.default_rng(seed).standard_normal((len(used), rank), dtype=np.float32)
+        return np.random.default_rng(seed).standard_normal((size, rank), dtype=np.float32)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        corpus, start = Corpus(vocabulary), omega() * idf[used][:, None]
+        corpus, start = Corpus(place), omega() * idf[:, None]
         total = np.zeros((slices * SLICE, rank), dtype=np.float32)
         for batch in batches:
             whole = batch["text"].tolist()
             for part in runs_of(whole):
-                _, halves, at, terms = corpus.read(whole[part])
-                keep = place[terms] >= 0
-                at, term = at[keep], place[terms[keep]]
+                _, halves, at, term = corpus.read(whole[part])
                 vectors = add_rows(np.zeros((int(halves.sum()), rank), dtype=np.float32), at, start, term)
                 both = neighbourhoods(vectors, halves)
                 order = np.argsort(term, kind="stable")
                 add_rows(total, term[order], both, at[order])
-        total[: len(used)] *= idf[used][:, None]
+        total[:size] *= idf[:, None]
         data = total.reshape(slices, SLICE * rank)
         yield pd.DataFrame({"slice": np.arange(slices, dtype=np.int32), "data": [x.tobytes() for x in data]})
 
@@ -225,37 +255,34 @@ def directions(rows: DataFrame, items: Items, idf: np.ndarray, n: int, rank: int
 
     sums = rows.select("text").mapInPandas(run, "slice int, data binary").repartition(min(slices, 64), "slice").mapInPandas(add, "slice int, data binary")
     y = np.zeros((slices, SLICE * rank))
-    for r in sums.collect():  # the benchmark's words times `rank` numbers
+    for r in sums.toLocalIterator():  # ROWS times `rank` numbers at most
         y[r.slice] += np.frombuffer(r.data, dtype=np.float32)
-    y, start = y.reshape(-1, rank)[: len(used)], omega()
-    scale = np.sqrt(ITEM_WEIGHT * n / len(items.words))
-    for words in items.words:
-        own = [w for w in words if place[w] >= 0]
-        at, weight = place[own], idf[own] * (scale / np.linalg.norm(idf[own]))
+    y, start = y.reshape(-1, rank)[:size], omega()
+    scale = np.sqrt(ITEM_WEIGHT * n / len(items))
+    for item in items:
+        at = rows_in(place, item.words)
+        weight = idf[at] * (scale / np.linalg.norm(idf[at]))
         np.add.at(y, at, weight[:, None] * (weight @ start[at]))
+    y += ALONE * idf[:, None] ** 2 * start
     q = np.linalg.qr(y)[0]
     core = np.linalg.lstsq((q.T @ start).T, (q.T @ y).T, rcond=None)[0]
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     return (q @ vectors * np.maximum(values, 1e-6 * values.max()) ** -WHITEN).astype(np.float32)
 
 
-def fit(rows: DataFrame, items: Items, rank: int = RANK) -> Space | None:
-    """The latent space of the corpus; None if it or the benchmark has no words."""
-    if not items.words:
+def fit(rows: DataFrame, items: list[Item], rank: int = RANK) -> Space | None:
+    """The latent space of the corpus, one for all items; None if it or the benchmark has no words."""
+    if not items:
         return None
-    n, held = frequencies(rows, items)
+    place, size = places(items)
+    n, held = frequencies(rows, place, size)
     if not n or not held.any():
         return None
-    idf = weights(items, n, held)
-    used = np.flatnonzero(idf)
-    basis = directions(rows, items, idf, n, min(rank, len(used)))
-    latent = np.zeros((len(idf), basis.shape[1]), dtype=np.float32)
-    latent[used] = basis * idf[used][:, None]
-    vectors = np.array([latent[words].sum(axis=0) for words in items.words])
-    return Space(idf, latent, vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12))
+    idf = weights(n, held)
+    return Space(place, idf, directions(rows, items, place, idf, n, min(rank, size)) * idf[:, None])
 
 
-def common_subsequence(masks: dict[int, int], length: int, words: list[int]) -> int:
+def common_subsequence(masks: dict, length: int, words: list) -> int:
     """Length of the longest common subsequence; masks has, for each word of the item, the bits of its places."""
     row, full = (1 << length) - 1, (1 << length) - 1
     for w in words:
@@ -266,76 +293,85 @@ def common_subsequence(masks: dict[int, int], length: int, words: list[int]) ->
 
 
 class Checker:
-    def __init__(self, items: Items, space: Space):
+    """Looks for items in texts."""
+
+    def __init__(self, items: list[Item], space: Space):
         self.items, self.space = items, space
-        self.masks = []
-        self.answers = []
-        for words, answer in zip(items.words, items.answers, strict=True):
-            masks: dict[int, int] = {}
-            for k, w in enumerate(words):
+        self.vectors = space.vectors(items)
+        lengths = np.array([len(item.words) for item in items])
+        self.least = (COSINE * np.sqrt(np.minimum(lengths / FULL, 1))).astype(np.float32)
+        self.masks, self.answers = [], []
+        for item in items:
+            masks: dict[bytes, int] = {}
+            for k, w in enumerate(item.words):
                 masks[w] = masks.get(w, 0) | 1 << k
             self.masks.append(masks)
-            self.answers.append(set(answer or sorted(set(words), key=lambda w: (-space.idf[w], w))[:ANSWER_WORDS]))
-
-    def check(self, ids: np.ndarray, half: int, item: int) -> tuple[float, float]:
-        """Share of the item's words in the common subsequence with the passage and its surroundings, and of its answer."""
-        length = len(self.items.words[item])
-        words = ids[max(0, half * HALF - length) : (half + 2) * HALF + length].tolist()
-        answer = self.answers[item]
-        return common_subsequence(self.masks[item], length, words) / length, len(answer.intersection(words)) / len(answer)
-
-    def leaks(self, whole: list[str], corpus: Corpus) -> list[tuple[int, int, float, float, float]]:
+            rare = sorted(set(item.words), key=lambda w: (-space.idf[space.place[hashed(w)]], w))
+            self.answers.append(set(item.answer or rare[:ANSWER_WORDS]))
+
+    def check(self, words: list[bytes], half: int, k: int) -> tuple[float, float]:
+        """Share of the item's words in the common subsequence with the passage and its surroundings, and of its answer's
+        words there; the answer of an item in parts may be as far off as the item is long.
+        """
+        length, whole = len(self.items[k].words), self.items[k].whole
+        near = words[max(0, half * HALF - length) : (half + 2) * HALF + length]
+        wide = near if whole == length else words[max(0, half * HALF - whole) : (half + 2) * HALF + whole]
+        return common_subsequence(self.masks[k], length, near) / length, len(self.answers[k].intersection(wide)) / len(self.answers[k])
+
+    def leaks(self, whole: list[str], corpus: Corpus) -> list[tuple]:
         """(text, item_id, cosine, lcs, answer) of the leaks in these texts, the best of each text and item."""
-        ids, halves, at, terms = corpus.read(whole)
-        keep = self.space.idf[terms] > 0
-        at, terms = at[keep], terms[keep]
+        words, halves, at, terms = corpus.read(whole)
         vectors = np.zeros((int(halves.sum()), self.space.latent.shape[1]), dtype=np.float32)
         vectors = passages(add_rows(vectors, at, self.space.latent, terms), halves)
         norm = np.linalg.norm(vectors, axis=1)
         some = np.flatnonzero(norm > 1e-9)
         first = np.cumsum(halves) - halves
-        best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        best: dict[tuple, tuple[float, float, float]] = {}
         for s in range(0, len(some), 4096):
             rows = some[s : s + 4096]
-            cosine = vectors[rows] / norm[rows, None] @ self.space.items.T
-            r, i = np.nonzero(cosine >= COSINE)
-            for row, item, c in zip(rows[r].tolist(), i.tolist(), cosine[r, i].tolist(), strict=True):
-                text = int(np.searchsorted(first, row, side="right")) - 1
-                lcs, answer = self.check(ids[text], row - int(first[text]), item)
-                if lcs >= COPY or (lcs >= REWORDED and answer >= ANSWERED):
-                    key = (text, self.items.owner[item])
-                    best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (lcs, answer, c))
-        return [(text, item, c, lcs, answer) for (text, item), (lcs, answer, c) in sorted(best.items())]
+            directed = vectors[rows] / norm[rows, None]
+            for k in range(0, len(self.items), TOGETHER):
+                cosine = directed @ self.vectors[k : k + TOGETHER].T
+                r, i = np.nonzero(cosine >= self.least[k : k + TOGETHER])
+                for row, item, c in zip(rows[r].tolist(), (i + k).tolist(), cosine[r, i].tolist(), strict=True):
+                    text = int(np.searchsorted(first, row, side="right")) - 1
+                    lcs, answer = self.check(words[text], row - int(first[text]), item)
+                    if lcs >= COPY or (lcs >= REWORDED and answer >= ANSWERED):
+                        key = (text, self.items[item].owner)
+                        best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (lcs, answer, c))
+        return [(text, item, c, lcs, answer) for (text, item), (lcs, answer, c) in best.items()]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None, rank: int = RANK) -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, item_id, cosine, lcs, answer.
 
     lcs is the share of the item's words, in their order, that a passage has; answer the share of its answer's words
-    (those of answer_col, else its rarest). Null and empty texts on either side hold nothing. Repeated rows give
-    repeated results; null ids are kept; further columns are ignored; empty tables give an empty result. Items of more
-    than 60 words are looked for in parts, one of which is enough. The benchmark is the query set: it is read in
-    blocks of 2,000 items, each with its own passes over the corpus.
+    (those of answer_col, else its rarest). Null and empty texts on either side hold nothing; a null or empty answer is
+    taken to be missing. Repeated rows give repeated results; null ids are kept; of parts or items that tie the best cosine
+    counts; further columns are ignored; empty tables give an empty result. Items of more than 60 words are looked for in
+    parts, one of which is enough; each part keeps the item's answer. The benchmark is the query set: it comes to the
+    driver, and goes to the machines in blocks of 20,000 items, each with its own search of the corpus in the space that
+    all blocks share.
     """
     ready(docs.sparkSession)
     rows = texts(docs, id_col, text_col)
     asked = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text"), (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("answer"))
     asked = asked.filter(F.col("text").isNotNull()).distinct()
     kinds = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {asked.schema['item_id'].dataType.simpleString()}, cosine double, lcs double, answer double"
-    runs = -(-asked.count() // ITEMS)
+    items = parts_of(sorted(((r.item_id, r.text, r.answer) for r in asked.toLocalIterator()), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or "")))
     found = docs.sparkSession.createDataFrame([], kinds)
-    for k in range(runs):
-        block = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(runs)) == k)
-        items = Items.of(sorted(((r.item_id, r.text, r.answer) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
-        if (space := fit(rows, items, rank)) is not None:
-            search = searched(rows, items, space, kinds)
-            found = search if runs == 1 else found.unionByName(search)
-    return found
+    if (space := fit(rows, items, rank)) is not None:
+        sent = docs.sparkSession.sparkContext.broadcast(space)
+        for k in range(0, len(items), ITEMS):
+            search = searched(rows, items[k : k + ITEMS], sent, kinds)
+            found = search if len(items) <= ITEMS else found.unionByName(search)
+    return found if len(items) <= ITEMS else found.groupBy("doc_id", "item_id").agg(*[F.max_by(c, F.struct("lcs", "answer", "cosine")).alias(c) for c in ("cosine", "lcs", "answer")])
 
 
-def searched(rows: DataFrame, items: Items, space: Space, kinds: str) -> DataFrame:
+def searched(rows: DataFrame, items: list[Item], sent, kinds: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        checker, corpus = Checker(items, space), Corpus(items.vocabulary)
+        space = sent.value
+        checker, corpus = Checker(items, space), Corpus(space.place)
         for batch in batches:
             whole, doc = batch["text"].tolist(), batch["doc_id"].tolist()
             for part in runs_of(whole):
