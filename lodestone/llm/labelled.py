@@ -1,8 +1,12 @@
-"""Bounded samples of labelled documents, chosen by a hash of the id: the same for any order and partitioning."""
+"""Bounded samples of documents, chosen by a hash of the id: the same for any order and partitioning.
+
+A sample has two bounds that its caller states: documents, and characters in all. Texts are taken whole, in the order of
+the hash, as long as both bounds hold.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, texts
@@ -19,25 +23,40 @@ def part_of(column: str = "doc_id"):
     return F.pmod(F.xxhash64(column), F.lit(PARTS))
 
 
-def sample(rows: DataFrame, label: str, most: int, longest: int) -> tuple[list[str], list]:
-    """Texts and labels of at most `most` rows (doc_id, text, label), those with the least hashes of their ids.
+def within(chosen: DataFrame, total: int, order: list) -> DataFrame:
+    """The rows (text, ...) of a bounded number in this order, as long as they have no more than `total` characters in all.
+    Lengths are summed in one place: one number for each row.
+    """
+    so_far = F.sum(F.length("text").cast("long")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return chosen.withColumn("so_far", so_far).filter(F.col("so_far") <= total).orderBy(*order).drop("so_far")
+
 
-    `longest` bounds the characters that training sees of one text; scoring always reads whole texts.
+def sample(rows: DataFrame, label: str | None, most: int, total: int) -> tuple[list[str], list]:
+    """Texts and labels of at most `most` rows (doc_id, text, label), those with the least hashes of their ids, and then of
+    their texts where ids are null or repeated. Rows that tie in both are the same but for their label. No rows: empty lists.
     """
-    chosen = rows.filter(part_of() < share_for(most, rows.count())).select("doc_id", F.left("text", F.lit(longest)).alias("text"), label)
-    found = chosen.orderBy(F.xxhash64("doc_id"), "text", label).limit(most).collect()
-    return [r.text for r in found], [r[label] for r in found]
+    order = [F.xxhash64("doc_id"), F.xxhash64("text"), F.col(label) if label else F.col("doc_id")]
+    chosen = rows.filter(part_of() < share_for(most, rows.count())).orderBy(*order).limit(most)
+    found = within(chosen, total, order).collect()
+    return [r.text for r in found], [r[label] for r in found] if label else []
+
+
+def sample_texts(docs: DataFrame, most: int, total: int) -> list[str]:
+    """At most `most` texts of `total` characters in all; null texts count as empty."""
+    return sample(texts(docs), None, most, total)[0]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most: int, longest: int, held_out: int = 0, of: int = 5) -> tuple[list[str], list[int]]:
-    """At most `most` texts and their labels, of documents whose crc32 modulo `of` is not `held_out`.
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most: int, total: int, held_out: int = 0, of: int = 5) -> tuple[list[str], list[int]]:
+    """At most `most` texts, of `total` characters in all, and their labels, of documents whose crc32 modulo `of` is not
+    `held_out`.
 
     The sample is taken from the labels, so that only its own texts are moved. Null labels and ids are left out; of
-    several labels of a document the largest counts.
+    several labels of a document the largest counts; of several texts of one id, those with the least hashes.
     """
     marked = labels.select("doc_id", F.col(column).alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
     marked = marked.filter(crc_mod(F.col("doc_id"), of) != held_out).groupBy("doc_id").agg(F.max("label").alias("label"))
-    chosen = marked.filter(part_of() < share_for(most, marked.count())).orderBy(F.xxhash64("doc_id")).limit(most)
+    chosen = marked.filter(part_of() < share_for(most, marked.count())).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = texts(docs).join(F.broadcast(chosen), "doc_id")  # `most` rows of two numbers
-    found = sorted((r.doc_id, r.text, r.label) for r in rows.select("doc_id", F.left("text", F.lit(longest)).alias("text"), "label").limit(2 * most).collect())
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text"), F.col("text")]
+    found = sorted((r.doc_id, r.text, r.label) for r in within(rows.orderBy(*order).limit(most), total, order).collect())
     return [r[1] for r in found], [r[2] for r in found]

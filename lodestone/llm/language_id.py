@@ -20,8 +20,8 @@ from .labelled import sample
 
 WIDTHS = (2, 3, 4)
 FILTERS = 8
-#: Bounds of the training sample: documents, and characters of each.
-SAMPLE, LONGEST = 2000, 1 << 17
+#: Bounds of the training sample: documents, and characters in all.
+SAMPLE, TOTAL = 2000, 24_000_000
 STEPS, BATCH = 500, 64
 UNKNOWN = "und"
 LETTER = r"\p{L}"
@@ -112,6 +112,6 @@ def parts(at: list[int], whole: list[bytes], most: int = 1 << 20) -> Iterator[li
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(*sample(training_rows(docs), "lang", SAMPLE, LONGEST))
+    model = fit(*sample(training_rows(docs), "lang", SAMPLE, TOTAL))
     found = identify(docs, model)
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")

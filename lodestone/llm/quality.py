@@ -22,9 +22,10 @@ from .language_id import parts
 WIDTHS = (1, 3, 5)
 FILTERS = 8
 THRESHOLD = 0.3
-#: Bounds of the training sample: documents, characters of each, and chunks of a document in one step.
-SAMPLE, LONGEST, CHUNKS = 3000, 1 << 17, 12
-STEPS, BATCH = 700, 32
+#: Bounds of the training sample: documents, and characters in all.
+SAMPLE, TOTAL = 3000, 24_000_000
+#: Steps of training, documents of one, and chunks of a document that a step takes at first; the last LATE steps take all.
+STEPS, BATCH, CHUNKS, LATE = 700, 32, 12, 60
 
 
 @dataclass
@@ -57,7 +58,9 @@ def spread(upper: np.ndarray, pooled: np.ndarray, counts: np.ndarray) -> np.ndar
 
 
 def fit(whole: list[str], labels: list[int], steps: int = STEPS, seed: int = 5) -> Model:
-    """Both classes have the same weight in training; the bias then moves to the classes' shares."""
+    """Both classes have the same weight in training; the bias is then moved by the logarithm of their odds, so that scores
+    are probabilities at the classes' true shares.
+    """
     rng = np.random.default_rng(seed)
     filters = Filters.random(WIDTHS, FILTERS, rng)
     model = Model(filters, rng.normal(0, 0.05, 3 * FILTERS * len(WIDTHS)).astype(np.float32), np.zeros(1, dtype=np.float32))
@@ -73,7 +76,9 @@ def fit(whole: list[str], labels: list[int], steps: int = STEPS, seed: int = 5)
     for step in range(steps):
         adam.rate = 0.015 * (1 - step / steps) + 1e-4
         picked = np.concatenate([rng.choice(g, BATCH // 2) for g in groups])
-        own = [starts[d] + (np.arange(counts[d]) if counts[d] <= CHUNKS else np.sort(rng.choice(counts[d], CHUNKS, replace=False))) for d in picked]
+        # Long texts have other extremes than their parts: what is learnt last is learnt from whole texts.
+        most = CHUNKS if step < steps - LATE else counts.max()
+        own = [starts[d] + (np.arange(counts[d]) if counts[d] <= most else np.sort(rng.choice(counts[d], most, replace=False))) for d in picked]
         n = np.array([len(x) for x in own])
         part = rows[np.concatenate(own)]
         places = filters.argmax(part)
@@ -81,6 +86,7 @@ def fit(whole: list[str], labels: list[int], steps: int = STEPS, seed: int = 5)
         seen = combined(pooled, n)
         g = ((1 / (1 + np.exp(-np.clip(seen @ model.weights + model.bias[0], -30, 30))) - y[picked]) / len(picked)).astype(np.float32)
         adam.step([*filters.gradient(part, places, spread(g[:, None] * model.weights, pooled, n)), seen.T @ g, g.sum(keepdims=True)])
+    model.bias += np.float32(np.log(len(groups[1]) / len(groups[0])))
     return model
 
 
@@ -110,7 +116,11 @@ def classify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 
 def keep_good(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, that classify() predicts 1 for. Only texts go to Python."""
+    """The rows of docs, with all their columns, that classify() predicts 1 for. Only texts go to Python.
+
+    A null text is scored as an empty one; repeated rows and rows with null ids are judged each by its text; columns of any
+    name are kept; an empty table stays empty.
+    """
     ready(docs.sparkSession)
 
     @F.pandas_udf("double")
@@ -122,7 +132,7 @@ def keep_good(docs: DataFrame, model: Model, *, text_col: str = "text", threshol
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(*labelled_sample(docs, labels, "quality", SAMPLE, LONGEST))
+    return fit(*labelled_sample(docs, labels, "quality", SAMPLE, TOTAL))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,28 +1,33 @@
 """Secret scanning with a linear-chain conditional random field, beside fixed patterns.
 
-Tokens are runs of characters that keys are written in. Each is tagged begin (B), inside (I) or outside (O) of a
-secret by its shape, the words around it and features of the whole file; Viterbi decodes. Only a token of 8 or more
-characters with a digit may be tagged B or I: all others are O in every path, so the chain falls apart at them
-without loss, and only runs of such candidates are decoded, each between outside neighbours.
-
-The field learns from the values that the patterns find in a bounded sample of documents; in training the words
-around a value are hidden at random, so that shape alone carries over to secrets that no pattern names.
+Every run of letters, digits and key punctuation is a token of the chain. Each is tagged begin (B), inside (I) or outside
+(O) of a secret by its shape, its neighbouring words and what is between them, and features of the whole file; Viterbi
+decodes. A token whose B and I score so far below O that no step between tags can make up for it is outside in every best
+path; so only runs of other tokens are decoded, which gives exactly the tags that decoding the whole chain would.
+
+The field is fitted on pieces of a bounded sample of documents: values that the patterns find, ordinary prose, and made-up
+secrets of many shapes and look-alikes (dates, addresses, names of files) put into prose. Neighbours are hidden in half of
+the pieces at random, so that shape alone carries over to secrets that no pattern names.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
+import random
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+import string
+from collections import Counter
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_cnn import Adam
 from .common import ready, table, texts
+from .labelled import sample_texts
 
 #: Fixed patterns and least lengths.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -32,16 +37,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "crf")
 
-DIGIT = re.compile(r"[0-9]")
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+")
-IN_TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
-EDGE = "+/_.=-"
-LEAST = 8
-WORD_BEFORE = re.compile(r"(\w{1,40})\W{0,6}\Z")
-WORD_AFTER = re.compile(r"\W{0,6}(\w{1,40})")
-#: Hashed features, and documents of the training sample.
-SLOTS = 1 << 14
-SAMPLE = 3000
+TOKEN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9+/_.\-]*[A-Za-z0-9])?")
+#: Characters between two tokens beyond which they are no neighbours.
+NEAR = 8
+#: Bounds of the training sample: documents and characters in all; and pieces of text that are trained on, of so many tokens.
+SAMPLE, TOTAL = 3000, 24_000_000
+PIECES, TOKENS = 2600, 28
+#: Tokens whose scores a worker keeps; beyond that it starts afresh.
+KEPT = 200_000
 B, I, O = 0, 1, 2
 
 
@@ -60,90 +63,98 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans of the tokens that may be tagged B or I, without the punctuation at their ends."""
-    found, at = [], 0
-    while m := DIGIT.search(text, at):
-        start, floor = m.start(), at
-        while start > floor and text[start - 1] in IN_TOKEN:
-            start -= 1
-        end = at = TOKEN.match(text, m.start()).end()
-        while text[end - 1] in EDGE:
-            end -= 1
-        while text[start] in EDGE:
-            start += 1
-        if end - start >= LEAST:
-            found.append((start, end))
-    return found
+def values(text: str) -> list[tuple[int, int]]:
+    """Spans of the secrets themselves that the patterns find: without the name that a value is assigned to."""
+    found = [m.span(2) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
+    return found + [m.span() for p in (ACCESS, HEX) for m in p.finditer(text)]
+
+
+def entropy(token: str) -> int:
+    n = len(token)
+    return int(-sum(k / n * math.log2(k / n) for k in Counter(token).values()) * 2)
 
 
-def runs(spans: list[tuple[int, int]], text: str) -> Iterator[list[tuple[int, int]]]:
-    """Candidates with no other token between them."""
-    run: list[tuple[int, int]] = []
-    for span in spans:
-        if run and (span[0] - run[-1][1] > 8 or TOKEN.search(text, run[-1][1], span[0])):
-            yield run
-            run = []
-        run.append(span)
-    if run:
-        yield run
+VOWELS = frozenset("aeiouyAEIOUY")
 
 
 def shape(token: str) -> list[str]:
+    """Features of the token by itself, all of it."""
     n = len(token)
-    digits = sum(c.isdigit() for c in token)
-    upper, lower = sum("A" <= c <= "Z" for c in token), sum("a" <= c <= "z" for c in token)
-    turns = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:], strict=False))
+    kinds = ["d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "p" for c in token]
+    held = Counter(kinds)
+    turns = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
+    letters = held["l"] + held["u"]
+    vowels = sum(c in VOWELS for c in token)
+    run = longest = 0
+    for c, k in zip(token, kinds, strict=True):
+        run = run + 1 if k in "lu" and c not in VOWELS else 0
+        longest = max(longest, run)
+    size = f"{min(n, 8)}" if n < 12 else f"{min(n // 4, 10) * 4}+"
+    which = "".join(k for k in "lupd" if held[k])
+    usual = "w" if kinds[1:].count("l") == n - 1 else "U" if held["u"] == n else ""
     return [
-        f"len{min(n // 4, 12)}",
-        f"kinds{int(digits > 0)}{int(upper > 0)}{int(lower > 0)}{int(digits + upper + lower < n)}",
-        f"digits{digits * 4 // n}",
-        f"turns{min(turns * 8 // n, 4)}",
-        f"hex{int(all(c in '0123456789abcdef' for c in token))}",
-        f"head{token[:4]}" if token[:4].isalpha() else "head",
-        f"dots{min(token.count('.'), 3)}",
-        f"slashes{min(token.count('/'), 3)}",
-        f"entropy{entropy(token)}",
+        "any",
+        f"size={size}",
+        f"kinds={which}",
+        f"size,kinds={size},{which}",
+        f"digits={held['d'] * 4 // n}",
+        f"turns={min(turns * 8 // n, 5)}",
+        f"turns,size={min(turns, 6)},{min(n // 8, 4)}",
+        f"hex={int(all(c in '0123456789abcdef' for c in token))},{min(n // 8, 3)}",
+        f"vowels={vowels * 6 // max(letters, 1) if letters else 'none'}",
+        f"consonants={min(longest, 7)}",
+        f"consonants,usual={min(longest, 7)},{usual},{min(n // 8, 3)}",
+        f"dots={min(token.count('.'), 3)}",
+        f"slashes={min(token.count('/'), 3)}",
+        f"marks={min(token.count('-') + token.count('_'), 5)},{which}",
+        f"entropy={entropy(token)}",
+        f"head={token[:4]}" if token[:4].isalpha() and n >= 12 else "head",
     ]
 
 
-def entropy(token: str) -> int:
-    counts: dict[str, int] = defaultdict(int)
-    for c in token[:256]:
-        counts[c] += 1
-    n = min(len(token), 256)
-    return int(-sum(k / n * math.log2(k / n) for k in counts.values()) * 2)
+def between(gap: str) -> str:
+    return next((c for c in "=:@" if c in gap), "'" if "'" in gap or '"' in gap else "")
 
 
-def around(text: str, start: int, end: int) -> list[str]:
-    head, tail = text[max(0, start - 48) : start], text[end : end + 48]
-    before, after = WORD_BEFORE.search(head), WORD_AFTER.match(tail)
-    gap = head[before.end(1) :] if before else head[-3:]
-    return [
-        f"before={before[1].lower() if before else ''}",
-        f"after={after[1].lower() if after else ''}",
-        f"gap={gap.replace(' ', '')[:3]}",
-        f"quote={tail[:1] in tuple(chr(34) + chr(39))}",
-        f"at={head[-1:] == '@' or tail[:1] == '@'}",
-    ]
+def around(before: str, gap: str, after: str, next_gap: str) -> list[str]:
+    """Features of the tokens on either side, and of what is between."""
+    return [f"before={before.lower()}", f"after={after.lower()}", f"gap={between(gap)}", f"next={between(next_gap)}"]
 
 
-def of_file(text: str, n: int) -> list[str]:
-    return [f"file-size{len(text).bit_length()}", f"file-candidates{min(n, 6)}", f"file-assigns{min(text.count('='), 4)}"]
+def of_file(text: str) -> list[str]:
+    return [f"file-size={min(len(text).bit_length(), 16)}", f"file-assigns={min(text.count('='), 4)}", f"file-colons={min(text.count(':'), 4)}"]
 
 
-def slots(names: list[str]) -> list[int]:
-    return [int.from_bytes(hashlib.blake2b(n.encode("utf-8", "replace"), digest_size=4).digest(), "little") % SLOTS for n in names]
+def neighbours(text: str, spans: list[tuple[int, int]], i: int) -> tuple[str, str, str, str]:
+    """Token before, gap, token after, next gap of the i-th token; tokens too far off are empty."""
+    start, end = spans[i]
+    left, right = spans[i - 1] if i else (0, -NEAR - 1), spans[i + 1] if i + 1 < len(spans) else (len(text) + NEAR + 1, 0)
+    before = text[slice(*left)] if i and start - left[1] <= NEAR else ""
+    after = text[slice(*right)] if right[0] - end <= NEAR else ""
+    return before, text[max(left[1], start - NEAR, 0) : start], after, text[end : min(right[0], end + NEAR)]
 
 
+@dataclass
 class Field:
-    """Weights of a chain over B, I and O; start and end are outside."""
-
-    def __init__(self, seen: np.ndarray, steps: np.ndarray):
-        self.seen, self.steps = seen, steps
-
-    def scores(self, features: list[list[int]]) -> np.ndarray:
-        return np.array([self.seen[f].sum(axis=0) for f in features])
+    """Weights of the features by name (n, 3), and of steps between tags; the chain starts and ends outside."""
+
+    names: dict[str, int]
+    seen: np.ndarray
+    steps: np.ndarray
+
+    def of(self, features: list[str], rare: str | None = None) -> np.ndarray:
+        """The sum of the weights; features that training didn't see weigh nothing, or as much as `rare`."""
+        at = [self.names.get(f, self.names.get(rare, -1)) for f in features]
+        return self.seen[[k for k in at if k >= 0]].sum(axis=0)
+
+    def unary(self, text: str, spans: list[tuple[int, int]]) -> np.ndarray:
+        """The scores (n, 3) of all tokens of a text."""
+        whole = self.of(of_file(text))
+        out = np.zeros((len(spans), 3))
+        for i, (start, end) in enumerate(spans):
+            before, after, gap, following = around(*neighbours(text, spans, i))
+            out[i] = whole + self.of(shape(text[start:end])) + self.of([before], "before=?") + self.of([after], "after=?") + self.of([gap, following])
+        return out
 
     def viterbi(self, unary: np.ndarray) -> list[int]:
         best, back = self.steps[O] + unary[0], []
@@ -156,109 +167,265 @@ class Field:
             tags.append(int(b[tags[-1]]))
         return tags[::-1]
 
-    def gradient(self, features: list[list[int]], tags: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Of the log-likelihood, by forward and backward sums: per token and per step."""
-        unary, n = self.scores(features), len(tags)
-        fore, after = np.zeros((n, 3)), np.zeros((n, 3))
-        fore[0] = self.steps[O] + unary[0]
-        for i in range(1, n):
-            fore[i] = np.logaddexp.reduce(fore[i - 1][:, None] + self.steps, axis=0) + unary[i]
-        after[-1] = self.steps[:, O]
-        for i in range(n - 2, -1, -1):
-            after[i] = np.logaddexp.reduce(self.steps + unary[i + 1] + after[i + 1], axis=1)
-        total = np.logaddexp.reduce(fore[-1] + after[-1])
-        tokens = -np.exp(fore + after - total)
-        tokens[range(n), tags] += 1
-        steps = np.zeros((3, 3))
-        steps[O] -= np.exp(fore[0] + after[0] - total)
-        steps[:, O] -= np.exp(fore[-1] + after[-1] - total)
-        for i in range(1, n):
-            steps -= np.exp(fore[i - 1][:, None] + self.steps + unary[i] + after[i] - total)
-        for a, b in zip([O, *tags], [*tags, O], strict=True):
-            steps[a, b] += 1
-        return tokens, steps
-
-
-def labelled(text: str) -> Iterator[tuple[list[list[str]], list[list[str]], list[int]]]:
-    """Runs of candidates with their own and surrounding features, and the tags that the patterns give them."""
-    values = [(s, e) for _, s, e in base_spans(text)]
-    spans = candidates(text)
-    whole = of_file(text, len(spans))
-    for run in runs(spans, text):
-        tags, open_ = [], None
-        for start, end in run:
-            hit = next(((s, e) for s, e in values if s < end and start < e), None)
-            tags.append(O if hit is None else I if hit == open_ else B)
-            open_ = hit
-        yield [shape(text[s:e]) + whole for s, e in run], [around(text, s, e) for s, e in run], tags
-
-
-def fit(sample: list[str], epochs: int = 8, rate: float = 0.1, decay: float = 1e-3, hidden: float = 0.5, seed: int = 7) -> Field:
-    """A field fitted by stochastic gradient steps; without any candidate it tags all as outside."""
-    field = Field(np.zeros((SLOTS, 3)), np.zeros((3, 3)))
-    field.steps[O, I] = field.steps[I, I] = -1.0
-    chains = [(list(map(slots, own)), list(map(slots, near)), tags) for text in sample for own, near, tags in labelled(text)]
-    rng = np.random.default_rng(seed)
-    field.seen[:, O] += 0.01
+
+class Decoder(dict):
+    """Decodes whole texts with a field. Keeps, for tokens met so far, how far B and I are above O by their shape, and by
+    being the token before and after another one.
+    """
+
+    def __init__(self, field: Field):
+        super().__init__()
+        self.field = field
+        gains = lambda v: (float(v[B] - v[O]), float(v[I] - v[O]))
+        self.gains = gains
+        steps = field.steps
+        # What the steps to and from a tag can give more than those to and from O, at most.
+        into, out = steps - steps[:, [O]], steps - steps[[O], :]
+        self.slack = tuple(float(into[:, t].max() + out[t].max()) for t in (B, I))
+        self.gaps = {side: {k: gains(field.of([f"{side}={k}"])) for k in ("", "=", ":", "@", "'")} for side in ("gap", "next")}
+        self.none = gains(field.of(["before="], "before=?")), gains(field.of(["after="], "after=?"))
+
+    def __missing__(self, token: str) -> tuple[float, ...]:
+        if len(self) >= KEPT:
+            self.clear()
+        field, low = self.field, token.lower()
+        self[token] = found = (*self.gains(field.of(shape(token))), *self.gains(field.of([f"before={low}"], "before=?")), *self.gains(field.of([f"after={low}"], "after=?")))
+        return found
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        """Spans of the secrets in the best path of the whole chain."""
+        distinct = set(TOKEN.findall(text))
+        if not distinct:
+            return []
+        columns = list(zip(*map(self.__getitem__, distinct), strict=True))
+        file = self.gains(self.field.of(of_file(text)))
+        marks = [""] + [k for k, cs in (("=", "="), (":", ":"), ("@", "@"), ("'", "'\"")) if any(c in text for c in cs)]
+        # What everything but its shape can give a token of this text, at most.
+        most = [
+            file[t] + max(max(columns[2 + t]), self.none[0][t]) + max(max(columns[4 + t]), self.none[1][t]) + sum(max(self.gaps[side][k][t] for k in marks) for side in ("gap", "next")) + self.slack[t]
+            for t in (B, I)
+        ]
+        need_b, need_i = -most[B] - 1e-9, -most[I] - 1e-9
+        if max(columns[0]) < need_b and max(columns[1]) < need_i:
+            return []
+        spans = [m.span() for m in TOKEN.finditer(text)]
+        found: list[tuple[int, int]] = []
+        run: list[tuple[float, float, float]] = []
+        for i, (start, end) in enumerate([*spans, (-1, -1)]):
+            gain = None
+            if start >= 0:
+                own = self[text[start:end]]
+                if own[0] >= need_b or own[1] >= need_i:
+                    before, gap, after, next_gap = neighbours(text, spans, i)
+                    b = self[before][2:4] if before else self.none[0]
+                    a = self[after][4:6] if after else self.none[1]
+                    g, n = self.gaps["gap"][between(gap)], self.gaps["next"][between(next_gap)]
+                    gain = [file[t] + own[t] + b[t] + a[t] + g[t] + n[t] for t in (B, I)]
+                    if gain[B] + self.slack[B] < -1e-9 and gain[I] + self.slack[I] < -1e-9:
+                        gain = None
+            if gain is not None:
+                run.append((gain[0], gain[1], 0.0))
+            elif run:
+                found += tagged(spans[i - len(run) : i], self.field.viterbi(np.array(run)))
+                run = []
+        return found
+
+
+def tagged(spans: list[tuple[int, int]], tags: list[int]) -> list[tuple[int, int]]:
+    """Spans of the secrets: B begins one, I goes on with it or, after O, begins one too."""
+    found: list[tuple[int, int]] = []
+    last = O
+    for (start, end), tag in zip(spans, tags, strict=True):
+        if tag == B or (tag == I and last == O):
+            found.append((start, end))
+        elif tag == I:
+            found[-1] = (found[-1][0], end)
+        last = tag
+    return found
+
+
+def some(rng: random.Random, alphabet: str, least: int, most: int) -> str:
+    return "".join(rng.choices(alphabet, k=rng.randint(least, most)))
+
+
+HEXA, UPPER, LOWER, DIGITS = "0123456789abcdef", string.ascii_uppercase, string.ascii_lowercase, string.digits
+WORDY = UPPER + LOWER + DIGITS
+#: Shapes of made-up secrets.
+SHAPES: dict[str, Callable[[random.Random], str]] = {
+    "hex": lambda r: some(r, HEXA, 16, 64),
+    "mixed": lambda r: some(r, WORDY, 18, 48),
+    "base64": lambda r: some(r, WORDY + "+/", 22, 64),
+    "letters": lambda r: some(r, UPPER + LOWER, 18, 40),
+    "lower": lambda r: some(r, LOWER, 18, 32),
+    "upper": lambda r: some(r, UPPER + DIGITS, 18, 36),
+    "prefixed": lambda r: some(r, LOWER, 2, 4) + r.choice(["_", "-", "_live_", "_test_"]) + some(r, WORDY, 18, 40),
+    "dotted": lambda r: "eyJ" + ".".join(some(r, WORDY + "_-", 20, 60) + "a" for _ in range(3)),
+    "access": lambda r: "AKIA" + some(r, UPPER + DIGITS, 16, 16),
+    "grouped": lambda r: "-".join(some(r, UPPER + DIGITS, 5, 5) for _ in range(r.randint(4, 5))),
+    "password": lambda r: some(r, LOWER, 3, 6).title() + some(r, DIGITS, 2, 4) + r.choice("_-.") + some(r, WORDY, 6, 10),
+}
+PLACED = ("{k} = {v}", "{k}={v}", "{k}: {v}", '"{k}": "{v}"', "{k} is {v}", "use {v} as {k}", "{v}", "{v}", "({v})", "with {v} and", "Bearer {v}", "export {k}='{v}'", "https://user:{v}@host.example/x")
+NAMES = ("password", "secret", "token", "api_key", "key", "auth", "credential", "pwd", "passphrase", "private_key", "access")
+#: What looks like a secret and is none.
+LOOKALIKES: tuple[Callable[[random.Random], str], ...] = (
+    lambda r: f"{r.randint(1990, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}",
+    lambda r: f"{r.randint(2000, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}T{r.randint(0, 23):02d}:{r.randint(0, 59):02d}:00Z",
+    lambda r: ".".join(str(r.randint(0, 255)) for _ in range(4)),
+    lambda r: f"v{r.randint(0, 20)}.{r.randint(0, 20)}.{r.randint(0, 20)}",
+    lambda r: f"+{r.randint(1, 99)}-{r.randint(100, 999)}-{r.randint(100, 999)}-{r.randint(1000, 9999)}",
+    lambda r: f"{some(r, LOWER, 3, 9)}.{some(r, LOWER, 3, 9)}{r.randint(1, 99)}@{some(r, LOWER, 4, 9)}.example.org",
+    lambda r: f"https://www.{some(r, LOWER, 4, 9)}.org/{some(r, LOWER, 4, 9)}/{some(r, LOWER, 4, 9)}-{some(r, LOWER, 3, 9)}/{r.randint(1, 9999)}.html",
+    lambda r: "/" + "/".join(some(r, LOWER, 2, 8) for _ in range(r.randint(2, 5))) + ".txt",
+    lambda r: str(r.randint(10**6, 10**15)),
+    lambda r: f"{r.randint(1, 999)},{r.randint(100, 999)}.{r.randint(0, 99):02d}",
+    lambda r: " ".join(str(r.randint(1000, 9999)) for _ in range(4)),
+    lambda r: f"{some(r, UPPER, 2, 2)}{r.randint(10, 99)} " + " ".join(str(r.randint(1000, 9999)) for _ in range(5)),
+    lambda r: "_".join(r.choice(("user", "name", "get", "set", "value", "list", "count", "index", "total", "size", "max")) for _ in range(r.randint(2, 4))),
+    lambda r: "".join(r.choice(("User", "Name", "Get", "Set", "Value", "List", "Count", "Index", "Total", "Size", "Max")) for _ in range(r.randint(2, 5))),
+    lambda r: f"{some(r, UPPER, 2, 4)}-{r.randint(10, 99999)}",
+)
+
+
+def piece_around(text: str, spans: list[tuple[int, int]], i: int, rng: random.Random) -> tuple[int, int]:
+    """Ends of a piece of TOKENS tokens that has the i-th one at a random place."""
+    first = max(0, min(i - rng.randrange(TOKENS), len(spans) - TOKENS))
+    return spans[first][0], spans[min(first + TOKENS, len(spans)) - 1][1]
+
+
+def examples(sample: list[str], pieces: int, rng: random.Random) -> list[tuple[str, list[tuple[int, int]], list[str]]]:
+    """(piece of text, spans of secrets in it, features of its file): a third with what the patterns find or with odd tokens
+    of the documents, a third with made-up secrets, a third with look-alikes or nothing else than prose.
+    """
+    out: list[tuple[str, list[tuple[int, int]], list[str]]] = []
+    whole = [t for t in sample if TOKEN.search(t)]
+    if not whole:
+        return out
+    for n in range(pieces):
+        text = whole[n % len(whole)]
+        spans = [m.span() for m in TOKEN.finditer(text)]
+        if n % 3 == 0:
+            known = values(text)
+            odd = [i for i, (s, e) in enumerate(spans) if any(s < y and x < e for x, y in known)] if known and n % 2 == 0 else [i for i, (s, e) in enumerate(spans) if e - s > 11 or any(c.isdigit() for c in text[s:e])]
+            a, b = piece_around(text, spans, rng.choice(odd or range(len(spans))), rng)
+            out.append((text[a:b], [(s - a, e - a) for s, e in known if a <= s and e <= b], of_file(text)))
+            continue
+        a, b = piece_around(text, spans, rng.randrange(len(spans)), rng)
+        piece = text[a:b]
+        own = values(piece)
+        cuts = [m.start() for m in re.finditer(r"(?<=\S)\s", piece)]
+        at = rng.choice([c for c in cuts if not any(s < c < e for s, e in own)] or [len(piece)])
+        put, secret = "", None
+        if n % 3 == 1:
+            secret = SHAPES[rng.choice(list(SHAPES))](rng)
+            put = " " + rng.choice(PLACED).format(k=rng.choice(NAMES), v=secret)
+        elif n % 6 == 2:
+            put = " " + rng.choice(("{v}", "{v}", "{k}: {v}", "{k} = {v}")).format(k=rng.choice(("date", "id", "no", "phone", "version", "see", "file")), v=rng.choice(LOOKALIKES)(rng))
+        moved = [(s + len(put), e + len(put)) if s >= at else (s, e) for s, e in own]
+        if secret is not None:
+            start = at + put.index(secret)
+            moved.append((start, start + len(secret)))
+        made = piece[:at] + put + piece[at:]
+        out.append((made, moved, of_file(text)))
+    return out
+
+
+def tags_of(spans: list[tuple[int, int]], secrets: list[tuple[int, int]]) -> list[int]:
+    tags, last = [], None
+    for start, end in spans:
+        hit = next(((s, e) for s, e in secrets if s < end and start < e), None)
+        tags.append(O if hit is None else I if hit == last else B)
+        last = hit
+    return tags
+
+
+def log_likelihood(unary: np.ndarray, steps: np.ndarray, tags: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the log-likelihood of chains (n, t) of these lengths by their scores (n, t, 3) and the steps (3, 3)."""
+    n, t = tags.shape
+    inside = np.arange(t)[None, :] < length[:, None]
+    unary = np.where(inside[:, :, None], unary, np.array([-1e3, -1e3, 0.0]))  # behind the end all is outside
+    add = lambda x, axis: (m := x.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis=axis))
+    fore, after = np.zeros((n, t, 3)), np.zeros((n, t, 3))
+    fore[:, 0] = steps[O] + unary[:, 0]
+    for i in range(1, t):
+        fore[:, i] = add(fore[:, i - 1, :, None] + steps, 1) + unary[:, i]
+    after[:, -1] = steps[:, O]
+    for i in range(t - 2, -1, -1):
+        after[:, i] = add(steps + (unary[:, i + 1] + after[:, i + 1])[:, None, :], 2)
+    total = add(fore[:, -1] + after[:, -1], 1)
+    by_token = -np.exp(fore + after - total[:, None, None])
+    np.put_along_axis(by_token, tags[:, :, None], np.take_along_axis(by_token, tags[:, :, None], 2) + 1, 2)
+    by_token[~inside] = 0
+    by_step = np.zeros((3, 3))
+    by_step[O] -= np.exp(fore[:, 0] + after[:, 0] - total[:, None]).sum(axis=0)
+    by_step[:, O] -= np.exp(fore[:, -1] + after[:, -1] - total[:, None]).sum(axis=0)
+    for i in range(1, t):
+        by_step -= np.exp(fore[:, i - 1, :, None] + steps + (unary[:, i] + after[:, i])[:, None, :] - total[:, None, None]).sum(axis=0)
+    path = np.concatenate([np.full((n, 1), O), tags, np.full((n, 1), O)], axis=1)
+    np.add.at(by_step, (path[:, :-1].ravel(), path[:, 1:].ravel()), 1)
+    return by_token, by_step
+
+
+def fit(sample: list[str], pieces: int = PIECES, epochs: int = 90, rate: float = 0.15, decay: float = 2e-4, hidden: float = 0.5, seed: int = 7) -> Field:
+    """A field fitted to pieces of the sample by gradient steps on all of them; without any text it tags all as outside."""
+    made = examples(sample, pieces, random.Random(seed))
+    chains = [(text, spans, tags_of(spans, secrets), file) for text, secrets, file in made if (spans := [m.span() for m in TOKEN.finditer(text)])]
+    if not chains:
+        return Field({"any": 0}, np.array([[0.0, 0.0, 9.0]]), np.zeros((3, 3)))
+    near = [[around(*neighbours(text, spans, i)) for i in range(len(spans))] for text, spans, _, _ in chains]
+    often = Counter(f for chain in near for names in chain for f in names[:2])
+    names: dict[str, int] = {}
+    n, t = len(chains), max(len(spans) for _, spans, _, _ in chains)
+    own_at, own, near_at, near_of = [], [], [], []
+    tags, length = np.full((n, t), O), np.array([len(spans) for _, spans, _, _ in chains])
+    for c, (text, spans, marks, file) in enumerate(chains):
+        tags[c, : len(marks)] = marks
+        for i, (start, end) in enumerate(spans):
+            for f in shape(text[start:end]) + file:
+                own_at.append(c * t + i)
+                own.append(names.setdefault(f, len(names)))
+            for f in near[c][i]:
+                # Words that are met only once or twice are as good as unknown.
+                f = f if often[f] > 2 or f.startswith(("gap", "next")) else f.split("=", 1)[0] + "=?"
+                near_at.append(c * t + i)
+                near_of.append(names.setdefault(f, len(names)))
+    own_at, own, near_at, near_of = map(np.array, (own_at, own, near_at, near_of))
+    field = Field(names, np.zeros((len(names), 3)), np.zeros((3, 3)))
+    rng, adam = np.random.default_rng(seed), Adam([field.seen, field.steps], rate)
     for epoch in range(epochs):
-        step = rate / (1 + epoch)
-        for c in rng.permutation(len(chains)):
-            own, near, tags = chains[c]
-            hide = rng.random() < hidden
-            features = own if hide else [a + b for a, b in zip(own, near, strict=True)]
-            tokens, steps = field.gradient(features, tags)
-            for f, g in zip(features, tokens, strict=True):
-                field.seen[f] += step * (g - decay * field.seen[f])
-            field.steps += step * (steps - decay * field.steps)
+        adam.rate = rate * (1 - epoch / epochs) + 1e-3
+        shown = rng.random(n)[near_at // t] >= hidden
+        at, which = np.concatenate([own_at, near_at[shown]]), np.concatenate([own, near_of[shown]])
+        unary = np.stack([np.bincount(at, field.seen[which, k], minlength=n * t) for k in range(3)], axis=1).reshape(n, t, 3)
+        by_token, by_step = log_likelihood(unary, field.steps, tags, length)
+        by_token = by_token.reshape(-1, 3)[at]
+        grad = np.stack([np.bincount(which, by_token[:, k], minlength=len(names)) for k in range(3)], axis=1)
+        adam.step([-grad / n + decay * field.seen, -by_step / n + decay * field.steps])
     return field
 
 
-def scan(text: str, field: Field) -> list[tuple[str, int, int]]:
-    """The patterns' spans, and the field's where no pattern has found anything."""
-    base = base_spans(text)
-    spans = candidates(text)
-    more: list[tuple[str, int, int]] = []
-    if spans:
-        whole = slots(of_file(text, len(spans)))
-        for run in runs(spans, text):
-            features = [slots(shape(text[s:e]) + around(text, s, e)) + whole for s, e in run]
-            for (start, end), tag in zip(run, field.viterbi(field.scores(features)), strict=True):
-                if tag == B or (tag == I and not more):
-                    more.append(("crf", start, end))
-                elif tag == I:
-                    more[-1] = ("crf", more[-1][1], end)
-    return base + [x for x in more if not any(s < x[2] and x[1] < e for _, s, e in base)]
+def scan(text: str, decoder: Decoder) -> list[tuple[str, int, int]]:
+    """The patterns' spans and the field's."""
+    return base_spans(text) + [("crf", start, end) for start, end in decoder.spans(text)]
 
 
 def written(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])))
 
 
-def training_sample(docs: DataFrame, most: int = SAMPLE) -> list[str]:
-    """At most so many texts with a digit, chosen by a hash of their id: a share of rows that follows their number, so
-    that the same documents are chosen in any order and partitioning.
-    """
-    rows = texts(docs)
-    n = rows.count()
-    share = min(1.0, 1.5 * most / max(n, 1))
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).filter(F.col("text").rlike("[0-9]{2}") & (F.length("text") < 20_000))
-    return [r.text for r in chosen.orderBy(F.xxhash64("doc_id"), "text").limit(most).collect()]
-
-
 def scan_secrets(docs: DataFrame, field: Field, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, findings array<struct<kind, start, end>> by start and kind, in code points.
 
-    A null text counts as empty and has no findings. Whole texts are scanned; repeated rows and null ids are kept;
-    further columns are ignored; an empty table gives an empty result.
+    Spans of the field (kind crf) are of the secret itself and stand beside those of the patterns, also where both have
+    found the same. A null text counts as empty and has no findings. Whole texts are scanned; repeated rows and null ids
+    are kept; further columns are ignored; an empty table gives an empty result.
     """
     ready(docs.sparkSession)
     rows = texts(docs, id_col, text_col)
-    seen, steps = field.seen.astype("float32"), field.steps
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Field(seen, steps)
+        decoder = Decoder(field)
         for batch in batches:
-            found = [sorted(scan(t, own), key=lambda x: (x[1], KINDS.index(x[0]), x[2])) for t in batch["text"]]
+            found = [sorted(scan(t, decoder), key=lambda x: (x[1], KINDS.index(x[0]), x[2])) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "findings": [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in found]})
 
     return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, findings array<struct<kind:string,start:int,end:int>>")
@@ -274,4 +441,4 @@ def digest(found: DataFrame) -> DataFrame:
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return digest(scan_secrets(docs, fit(training_sample(docs))))
+    return digest(scan_secrets(docs, fit(sample_texts(docs, SAMPLE, TOTAL))))

@@ -2,7 +2,7 @@
 
 A document's logit is a bias and, for each distinct word, the positive part of the word's weight: harmless words add
 nothing however many there are. A word's weight is the sum of those of its features, the word itself and its first
-three to six letters. Training in numpy follows the labels, and for each text also a counterfactual: an identity term
+three to six letters. Training in numpy follows the labels, and for each text also counterfactuals: every identity term
 in it is swapped for another one, or, where there is none, a neutral mention is put in; the squared change of the
 logit is a penalty, so that naming a group moves no score.
 """
@@ -32,8 +32,8 @@ flüchtlinge mujeres hombres negros judíos musulmanes inmigrantes
 """.split()
 WORD = re.compile(r"[^\W\d_]+")
 SLOTS = 1 << 18
-#: Bounds of the training sample: documents, and characters of each.
-SAMPLE, LONGEST = 8000, 1 << 17
+#: Bounds of the training sample: documents, and characters in all.
+SAMPLE, TOTAL = 8000, 24_000_000
 #: Words whose weights a worker keeps; beyond that it starts afresh.
 KEPT = 400_000
 
@@ -43,7 +43,7 @@ def words_of(text: str) -> set[str]:
 
 
 def features(word: str) -> list[int]:
-    names = [f"w:{word[:64]}", *(f"{n}:{word[:n]}" for n in (3, 4, 5, 6) if len(word) > n)]
+    names = [f"w:{word}", *(f"{n}:{word[:n]}" for n in (3, 4, 5, 6) if len(word) > n)]
     return [zlib.crc32(n.encode()) % SLOTS for n in names]
 
 
@@ -127,15 +127,16 @@ def fit(sample: list[str], labels: list[int], epochs: int = 15, negatives: float
             else:
                 g = 1 / (1 + np.exp(-bias)) - y[d]
             bias -= step * g
+            # Each identity term of the text is swapped for another; a text without any gets a neutral mention.
             present = which[which < len(terms)]
-            here = int(present[0]) if len(present) else None
-            other = int(rng.choice(terms))
-            pair = np.array([other] if here is None else [here, other])
-            at, owner, u = lookup(pair)
-            change = max(u[0], 0) - (max(u[1], 0) if here is not None else 0)
-            if change and here != other:
-                sign = np.where(owner == 0, 1.0, -1.0) * (u[owner] > 0)
-                np.subtract.at(theta, at, np.clip(step * penalty * 2 * change, -0.05, 0.05) * sign)
+            for here in present.tolist() or [None]:
+                other = int(rng.choice(terms))
+                pair = np.array([other] if here is None else [here, other])
+                at, owner, u = lookup(pair)
+                change = max(u[0], 0) - (max(u[1], 0) if here is not None else 0)
+                if change and here != other:
+                    sign = np.where(owner == 0, 1.0, -1.0) * (u[owner] > 0)
+                    np.subtract.at(theta, at, np.clip(step * penalty * 2 * change, -0.05, 0.05) * sign)
     return Model(theta.astype(np.float32), float(bias))
 
 
@@ -164,5 +165,5 @@ def score_texts(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_c
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(*labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", SAMPLE, LONGEST))
+    model = fit(*labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", SAMPLE, TOTAL))
     return score_texts(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import os
 import random
@@ -13,7 +14,7 @@ from lodestone.llm import quality as Q
 from lodestone.llm import secret_scan as S
 from lodestone.llm import toxicity as X
 from lodestone.llm.byte_cnn import Filters, chunks_of
-from lodestone.llm.labelled import labelled_sample
+from lodestone.llm.labelled import labelled_sample, sample_texts
 
 SF = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -63,7 +64,7 @@ def test_degenerate_training():
     assert Q.fit(["a"], [1]).predict([b"x"])[0] > 0.5
     assert L.fit([], []).languages == ["und"]
     assert X.fit([], []).logit(set()) < 0
-    assert S.scan("nothing", S.fit([])) == []
+    assert S.scan("nothing at all AB1234567890cdXYZ", S.Decoder(S.fit([]))) == []
 
 
 def test_language_rows(edge_docs, no_docs):
@@ -87,11 +88,19 @@ def test_score_rows(edge_docs, no_docs):
 def test_sample_keeps_out_held_out_rows(spark):
     docs = spark.createDataFrame([(i, f"t{i}") for i in range(200)], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i if i else None, i % 2 if i % 7 else None, 0) for i in range(200)], "doc_id bigint, quality int, text int")
-    texts, marks = labelled_sample(docs, labels, "quality", 1000, 10)
+    texts, marks = labelled_sample(docs, labels, "quality", 1000, 10_000)
     want = {f"t{i}": i % 2 for i in range(1, 200) if i % 7 and zlib.crc32(str(i).encode()) % 5}
     assert dict(zip(texts, marks, strict=True)) == want
-    few = labelled_sample(docs.repartition(9), labels.repartition(5), "quality", 20, 10)
-    assert len(few[0]) == 20 and few == labelled_sample(docs, labels, "quality", 20, 10)
+    few = labelled_sample(docs.repartition(9), labels.repartition(5), "quality", 20, 1000)
+    assert len(few[0]) == 20 and few == labelled_sample(docs, labels, "quality", 20, 1000)
+    short = labelled_sample(docs, labels, "quality", 20, 30)
+    assert 0 < sum(map(len, short[0])) <= 30 and set(short[0]) < set(few[0])
+    # Ids with several texts, ids without labels, and null ids.
+    more = docs.unionByName(spark.createDataFrame([(i, f"u{i}") for i in range(200)] + [(None, "n"), (None, None)], "doc_id bigint, text string"))
+    twice = labelled_sample(more, labels, "quality", 30, 1000)
+    assert twice == labelled_sample(more.repartition(7), labels, "quality", 30, 1000) and len(twice[0]) == 30
+    assert labelled_sample(docs.limit(0), labels, "quality", 5, 10) == labelled_sample(docs, labels.limit(0), "quality", 5, 10) == ([], [])
+    assert sample_texts(docs.limit(0), 5, 100) == [] and sorted(sample_texts(more.filter("doc_id IS NULL"), 5, 100)) == ["", "n"]
 
 
 @needs_data
@@ -138,35 +147,86 @@ def test_base_spans():
 
 def test_viterbi_and_gradient_against_all_paths():
     rng = np.random.default_rng(2)
-    field = S.Field(rng.normal(size=(S.SLOTS, 3)), rng.normal(size=(3, 3)))
-    features = [rng.integers(0, S.SLOTS, 4).tolist() for _ in range(4)]
-    unary = field.scores(features)
-    score = lambda p: sum(unary[i][t] for i, t in enumerate(p)) + sum(field.steps[a, b] for a, b in itertools.pairwise([S.O, *p, S.O]))
-    paths = list(itertools.product(range(3), repeat=4))
-    assert field.viterbi(unary) == list(max(paths, key=score))
-    tags = [0, 1, 2, 0]
-    weights = np.exp([score(p) for p in paths])
-    weights /= weights.sum()
-    tokens, steps = field.gradient(features, tags)
-    for i, t in itertools.product(range(4), range(3)):
-        assert tokens[i, t] == pytest.approx((tags[i] == t) - sum(w for w, p in zip(weights, paths, strict=True) if p[i] == t))
-    for a, b in itertools.product(range(3), repeat=2):
-        own = sum((x, y) == (a, b) for x, y in itertools.pairwise([S.O, *tags, S.O]))
-        assert steps[a, b] == pytest.approx(own - sum(w * sum((x, y) == (a, b) for x, y in itertools.pairwise([S.O, *p, S.O])) for w, p in zip(weights, paths, strict=True)))
-
-
-def test_secrets(spark, edge_docs, no_docs):
+    field = S.Field({}, np.zeros((0, 3)), rng.normal(size=(3, 3)))
+    unary = rng.normal(size=(2, 4, 3))
+    score = lambda u, p: sum(u[i][t] for i, t in enumerate(p)) + sum(field.steps[a, b] for a, b in itertools.pairwise([S.O, *p, S.O]))
+    tags, length = np.array([[0, 1, 2, 0], [2, 0, 2, 2]]), np.array([4, 2])
+    by_token, by_step = S.log_likelihood(unary, field.steps, tags, length)
+    want = np.zeros((3, 3))
+    for n in range(2):
+        paths = list(itertools.product(range(3), repeat=int(length[n])))
+        assert field.viterbi(unary[n, : length[n]]) == list(max(paths, key=lambda p: score(unary[n], p)))
+        weights = np.exp([score(unary[n], p) for p in paths])
+        weights /= weights.sum()
+        for i, t in itertools.product(range(length[n]), range(3)):
+            assert by_token[n, i, t] == pytest.approx((tags[n, i] == t) - sum(w for w, p in zip(weights, paths, strict=True) if p[i] == t))
+        for w, p in [(1, tags[n, : length[n]].tolist()), *zip(-weights, paths, strict=True)]:
+            for a, b in itertools.pairwise([S.O, *p, S.O]):
+                want[a, b] += w
+    assert (by_token[1, 2:] == 0).all() and np.allclose(by_step, want)
+
+
+@pytest.fixture(scope="module")
+def prose():
     rng = random.Random(8)
-    value = lambda n, al: "".join(rng.choice(al) for _ in range(n))
-    hexa, mixed = "0123456789abcdef", "ABCDEFGHabcdefgh0123456789"
-    sample = [f"some words token = {value(40, hexa)} and 192.168.0.{i} or 2024-01-{i:02d} x{i:08d}" for i in range(60)] + [f"the key AKIA{value(16, mixed.upper())} is 4111 1111 {i}" for i in range(60)]
-    field = S.fit(sample)
-    found = S.scan(f"my ghp_{value(36, mixed)} from 192.168.1.100 on 2024-05-06", field)
-    assert found and all(k == "crf" for k, _, _ in found)
-    assert all(not (s >= 47) for _, s, _ in found)
+    words = "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were her all she there would their we him been has when who will more no if out so said what up its about into than them can only other new some could time these two may then do first any my now such like our over man me even most made after also did many before must through back years where much your way well down should because each just those people how too little state good very make world still own see men work long get here between both life being under never day same another know while last might us great old year off come since against go came right used take three".split()
+    odd = lambda: rng.choice(S.LOOKALIKES)(rng) if rng.random() < 0.03 else rng.choice(words)
+    return [" ".join(odd() for _ in range(rng.randint(30, 120))) + "." for _ in range(500)]
+
+
+@pytest.fixture(scope="module")
+def field(prose):
+    return S.fit(prose[:300])
+
+
+#: Shapes that training has not.
+UNSEEN = {
+    "slack": lambda r: f"xoxb-{S.some(r, S.DIGITS, 11, 11)}-{S.some(r, S.DIGITS, 12, 12)}-{S.some(r, S.WORDY, 24, 24)}",
+    "maps": lambda r: "AIza" + S.some(r, S.WORDY + "_-", 34, 34) + "x",
+    "mail": lambda r: "SG." + S.some(r, S.WORDY, 22, 22) + "." + S.some(r, S.WORDY, 43, 43),
+    "upper hex": lambda r: S.some(r, "0123456789ABCDEF", 32, 40),
+    "letters": lambda r: S.some(r, S.UPPER + S.LOWER, 26, 26),
+}
+
+
+def test_field_finds_secrets_that_no_pattern_names(prose, field):
+    """Precision and recall of the field's spans on planted secrets of unseen shapes, and none in clean texts."""
+    rng, decoder = random.Random(5), S.Decoder(field)
+    hit = wrong = added = 0
+    clean = sum(len(decoder.spans(t)) for t in prose[400:])
+    for text in prose[300:400]:
+        at = rng.choice([m.start() for m in re.finditer(" ", text)])
+        secret = UNSEEN[rng.choice(list(UNSEEN))](rng)
+        made = f"{text[:at]} {rng.choice(['key {}', 'here: {}', '{}', 'use {} now']).format(secret)}{text[at:]}"
+        where = (made.index(secret), made.index(secret) + len(secret))
+        assert not S.base_spans(made)
+        found = decoder.spans(made)
+        hit += any(s <= where[0] and e >= where[1] for s, e in found)
+        added += len(found)
+        wrong += sum(not (s < where[1] and where[0] < e) for s, e in found)
+    assert hit >= 90 and wrong <= 5 and clean <= 3, (hit, wrong, clean)
+
+
+def test_runs_decode_as_the_whole_chain_does(prose, field):
+    """Leaving out tokens that are surely outside changes no tag, whatever the weights."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join((a[:200], secret(random.Random(i)), "token =", b[:150], "a.b:c@d")) for i, (a, b, secret) in enumerate(zip(prose, prose[1:], itertools.cycle(S.SHAPES.values())))][:120]
+    for f in (field, S.Field(field.names, field.seen + rng.normal(0, 1, field.seen.shape), field.steps + rng.normal(0, 1, (3, 3)))):
+        decoder = S.Decoder(f)
+        for text in [*texts, "", "x", "12345678901234567890"]:
+            spans = [m.span() for m in S.TOKEN.finditer(text)]
+            whole = S.tagged(spans, f.viterbi(f.unary(text, spans))) if spans else []
+            assert decoder.spans(text) == whole
+
+
+def test_secrets(spark, edge_docs, no_docs, field):
     got = S.digest(S.scan_secrets(edge_docs, field)).collect()
     assert len(got) == edge_docs.count()
     row = next(r for r in got if r.doc_id == 9)
     assert (row.n_hex, row.n_assign, row.spans.split(",")[0]) == (1, 0, "hex:0:16")
     assert S.digest(S.scan_secrets(no_docs, field)).count() == 0
-    assert S.training_sample(no_docs) == []
+    key = "ghp_Ab3xQ9zKpL7mN2vR8tYw4sD6fG1hJ5kC0eUi"
+    docs = spark.createDataFrame([(1, f"😀 password = '0123456789abcdef' and {key} too"), (1, None), (None, "plain words")], "doc_id bigint, text string")
+    rows = sorted(S.digest(S.scan_secrets(docs, field)).collect(), key=lambda r: -len(r.spans))
+    assert rows[0].spans == "assign:2:30,hex:14:30,crf:14:30,crf:36:76" and rows[0].base_sha256 == hashlib.sha256(b"assign:2:30,hex:14:30").hexdigest()
+    assert [(r.n_assign, r.spans, r.base_sha256) for r in rows[1:]] == [(0, "", hashlib.sha256(b"").hexdigest())] * 2
