@@ -26,7 +26,7 @@ from .common import ready, table, texts
 SEAM = re.compile(r"(?<=\S)(?=[ \t\r\n])")
 BLANKS = " \t\r\n"
 #: Characters of a leaf, encoded in one call, and ids of a leaf of the decoding tree.
-LEAF = 4096
+LEAF = 256
 #: Characters on either side of a border that are tried first.
 WINDOW = 32
 
