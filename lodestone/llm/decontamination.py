@@ -2,22 +2,28 @@
 
 Documents are read as passages of 64 words, each overlapping the next by half. Their TF-IDF vectors over the
 benchmark's words (words of no item can't make a passage like one), with those of the items themselves as further
-passages of some weight and each word alone as some more, make a matrix A. One pass over the corpus gives A'(A Omega) for a random Omega, from which the
-driver has the leading singular values and right vectors of A. Passages and items are compared in that space, each
-direction divided by its singular value, by cosine; what comes near is checked by its longest common
-subsequence with the item and by the item's answer, so that paraphrases count and shared phrases don't.
-
-Words stand for rows of the matrix by a hash, ROWS at most, so that everything that goes to the machines or to the driver
-has a bound whatever the number of items. Two passes over the corpus (document frequencies and the range) serve all items;
-a third one searches for ITEMS items at a time.
+passages of some weight and each word alone as some more, make a matrix A. One pass over the corpus gives the document
+frequencies and A'(A Omega) for a random Omega, from which the driver has the leading singular values and right vectors of
+A. Passages and items are compared in that space, each direction divided by its singular value, by cosine; what comes near
+is checked by its longest common subsequence with the item and by the item's answer, so that paraphrases count and shared
+phrases don't.
+
+A leak has more than half of an item's words, so it has one of the item's rarer words at least: the search works out the
+vectors of passages near such words only, which loses none.
+
+Words stand for rows of the matrix by a hash, ROWS at most, so that the matrices that go to the machines or to the driver
+have a bound whatever the number of items. One pass over the corpus serves all items; a second one searches for ITEMS items
+at a time.
 """
 
 from __future__ import annotations
 
+import math
 import string
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -43,11 +49,12 @@ COPY, REWORDED, ANSWERED = 0.75, 0.55, 0.8
 ANSWER_WORDS = 5
 #: Words of an item that are looked for as one, items of one search of the corpus, and of one product of matrices.
 LONGEST, ITEMS, TOGETHER = 60, 20_000, 2000
-#: Characters of text that are worked on at once: their vectors then stay in the processor's cache.
-RUN = 1 << 17
+#: Characters of text that are worked on at once: their matrices then stay in the processor's cache.
+RUN = 1 << 13
 #: Terms of a slice when sums are moved.
 SLICE = 64
-#: Words whose rows a worker keeps; beyond that it starts afresh.
+#: Words of the benchmark that a worker holds; of a larger benchmark it works out the words' rows as it meets them, and keeps
+#: those of so many.
 KEPT = 400_000
 
 SPACES = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
@@ -84,7 +91,7 @@ def hashed(word: bytes) -> int:
 
 
 class Rows(dict):
-    """The rows of the words met so far; -1 for words of no item."""
+    """The rows of the words met so far; -1 for hashes that no item's word has."""
 
     def __init__(self, place: np.ndarray):
         super().__init__()
@@ -97,42 +104,50 @@ class Rows(dict):
         return found
 
 
-def places(items: list[Item]) -> tuple[np.ndarray, int]:
-    """The row of each hash that a word of an item has (else -1), and the number of rows."""
-    place = np.full(HASHES, -1, dtype=np.int32)
-    used = sorted({hashed(w) for item in items for w in item.words})
-    place[used] = np.arange(len(used)) % ROWS
-    return place, min(len(used), ROWS)
+@dataclass
+class Vocabulary:
+    """The row of each hash that a word of an item has (else -1), the number of rows, and the words if they are few enough."""
+
+    place: np.ndarray
+    size: int
+    words: dict[bytes, int] | None
+
+    @classmethod
+    def of(cls, items: list[Item]) -> Vocabulary:
+        place, words = np.full(HASHES, -1, dtype=np.int32), {w for item in items for w in item.words}
+        used = sorted({hashed(w) for w in words})
+        place[used] = np.arange(len(used)) % ROWS
+        return cls(place, min(len(used), ROWS), {w: int(place[hashed(w)]) for w in words} if len(words) <= KEPT else None)
+
+    def rows(self, words: list[bytes]) -> np.ndarray:
+        return self.place[[hashed(w) for w in words]]
 
 
 class Corpus:
     """Texts as arrays of benchmark words."""
 
-    def __init__(self, place: np.ndarray):
-        self.rows = Rows(place)
+    def __init__(self, vocabulary: Vocabulary):
+        self.known, self.rows = vocabulary.words, Rows(vocabulary.place)
 
     def read(self, whole: list[str]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
         """Words of each text; number of halves of each; and, for words of items, half and row."""
-        get = self.rows.__getitem__
         words = [words_of(t) for t in whole]
-        halves = np.array([max(1, -(-len(x) // HALF)) for x in words], dtype=np.int64)
-        first = np.cumsum(halves) - halves
-        at, terms = [], []
-        for ws, f in zip(words, first, strict=True):
-            x = np.fromiter(map(get, ws), dtype=np.int32, count=len(ws))
-            known = np.flatnonzero(x >= 0)
-            at.append(known // HALF + f)
-            terms.append(x[known])
-        return words, halves, np.concatenate(at), np.concatenate(terms)
-
-
-def passages(halves_sum: np.ndarray, halves: np.ndarray) -> np.ndarray:
-    """Vectors of the passages: that of half k is halves k and k + 1 of a document, the last one alone."""
-    out = halves_sum.copy()
-    out[:-1] += halves_sum[1:]
-    last = np.cumsum(halves) - 1
-    out[last] = halves_sum[last]
-    return out
+        lengths = [len(ws) for ws in words]
+        flat = chain.from_iterable(words)
+        found = map(self.rows.__getitem__, flat) if self.known is None else map(self.known.get, flat, repeat(-1))
+        rows = np.fromiter(found, dtype=np.int32, count=sum(lengths))
+        n = np.array(lengths, dtype=np.int64)
+        halves = np.maximum(1, -(-n // HALF))
+        known = np.flatnonzero(rows >= 0)
+        starts, first = np.cumsum(n) - n, np.cumsum(halves) - halves
+        text = np.searchsorted(starts, known, side="right") - 1
+        return words, halves, (known - starts[text]) // HALF + first[text], rows[known]
+
+
+def counted(at: np.ndarray, terms: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that are met, and how often each is in each of n halves (n, rows met)."""
+    used, place = np.unique(terms, return_inverse=True)
+    return used, np.bincount(at * len(used) + place, minlength=n * len(used)).astype(np.float32).reshape(n, len(used))
 
 
 def neighbourhoods(halves_sum: np.ndarray, halves: np.ndarray) -> np.ndarray:
@@ -148,19 +163,6 @@ def neighbourhoods(halves_sum: np.ndarray, halves: np.ndarray) -> np.ndarray:
     return out
 
 
-def add_rows(out: np.ndarray, group: np.ndarray, source: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """out[group] += source[index] for ascending groups, all first members at once, then all second ones, and so on."""
-    if len(group):
-        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        place = np.arange(len(group)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(group)]])))
-        order = np.argsort(place, kind="stable")
-        bounds = np.searchsorted(place[order], np.arange(place.max() + 2))
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            some = order[a:b]
-            out[group[some]] += source[index[some]]
-    return out
-
-
 def runs_of(whole: list[str], most: int = RUN) -> Iterator[slice]:
     at = 0
     while at < len(whole):
@@ -172,95 +174,84 @@ def runs_of(whole: list[str], most: int = RUN) -> Iterator[slice]:
         at = end
 
 
-def frequencies(rows: DataFrame, place: np.ndarray, size: int) -> tuple[int, np.ndarray]:
-    """The number of half passages, and of those that hold each row's words."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        corpus, held, n = Corpus(place), np.zeros(size, dtype=np.int64), 0
-        for batch in batches:
-            whole = batch["text"].tolist()
-            for part in runs_of(whole):
-                _, halves, at, terms = corpus.read(whole[part])
-                n += int(halves.sum())
-                held += np.bincount(np.unique(at * size + terms) % size, minlength=size)
-        some = np.flatnonzero(held)
-        yield pd.DataFrame({"term": np.concatenate([[-1], some]).astype(np.int32), "n": np.concatenate([[n], held[some]])})
-
-    held = np.zeros(size, dtype=np.int64)
-    total = 0
-    # ROWS numbers at most.
-    for r in rows.select("text").mapInPandas(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        if r.term < 0:
-            total = r.n
-        else:
-            held[r.term] = r.n
-    return total, held
-
-
 @dataclass
 class Space:
-    """Rows of the words' hashes, weights of the rows, and their latent vectors scaled by these: 70 MB at most."""
+    """The vocabulary, weights of the rows, and their latent vectors scaled by these: 70 MB at most beside the words."""
 
-    place: np.ndarray
+    vocabulary: Vocabulary
     idf: np.ndarray
     latent: np.ndarray
 
     def vectors(self, items: list[Item]) -> np.ndarray:
         """The items' own vectors, of length 1."""
-        found = np.array([self.latent[rows_in(self.place, item.words)].sum(axis=0) for item in items])
+        found = np.array([self.latent[self.vocabulary.rows(item.words)].sum(axis=0) for item in items])
         return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12)
 
 
-def rows_in(place: np.ndarray, words: list[bytes]) -> np.ndarray:
-    return place[[hashed(w) for w in words]]
-
-
 def weights(n: int, held: np.ndarray) -> np.ndarray:
     """Common words weigh little, and none weighs nothing."""
-    return np.maximum(np.log((1 + n) / (1 + held)), 1e-3).astype(np.float32)
+    return np.maximum(np.log((1 + n) / (1 + held)), 0.05).astype(np.float32)
+
 
+def random_rows(size: int, rank: int, seed: int = 17) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((size, rank), dtype=np.float32)
 
-def directions(rows: DataFrame, items: list[Item], place: np.ndarray, idf: np.ndarray, n: int, rank: int, seed: int = 17) -> np.ndarray:
-    """The leading right singular vectors of A, whitened: (rows, rank).
 
-    With Y = A'A Omega and Q a basis of its range, Q'A'A Q follows from Q'Y and Q'Omega, so one pass is enough.
+def sketch(rows: DataFrame, vocabulary: Vocabulary, rank: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of half passages, of those that hold each row's words, and P'(P G) for the passages' counts P, without
+    weights, and a random matrix G.
     """
-    size = len(idf)
+    size = vocabulary.size
     slices = -(-size // SLICE)
-
-    def omega() -> np.ndarray:
-        return np.random.default_rng(seed).standard_normal((size, rank), dtype=np.float32)
+    sent = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        corpus, start = Corpus(place), omega() * idf[:, None]
-        total = np.zeros((slices * SLICE, rank), dtype=np.float32)
+        corpus, start, n = Corpus(sent.value), random_rows(size, rank), 0
+        total, held = np.zeros((slices * SLICE, rank), dtype=np.float32), np.zeros(slices * SLICE, dtype=np.int64)
         for batch in batches:
             whole = batch["text"].tolist()
             for part in runs_of(whole):
-                _, halves, at, term = corpus.read(whole[part])
-                vectors = add_rows(np.zeros((int(halves.sum()), rank), dtype=np.float32), at, start, term)
-                both = neighbourhoods(vectors, halves)
-                order = np.argsort(term, kind="stable")
-                add_rows(total, term[order], both, at[order])
-        total[:size] *= idf[:, None]
-        data = total.reshape(slices, SLICE * rank)
-        yield pd.DataFrame({"slice": np.arange(slices, dtype=np.int32), "data": [x.tobytes() for x in data]})
+                _, halves, at, terms = corpus.read(whole[part])
+                n += int(halves.sum())
+                if len(terms):
+                    used, counts = counted(at, terms, int(halves.sum()))
+                    total[used] += counts.T @ neighbourhoods(counts @ start[used], halves)
+                    held[used] += np.count_nonzero(counts, axis=0)
+        data, held = total.reshape(slices, SLICE * rank), held.reshape(slices, SLICE)
+        yield pd.DataFrame({"slice": np.arange(-1, slices, dtype=np.int32), "held": [np.array([n]).tobytes()] + [x.tobytes() for x in held], "data": [b""] + [x.tobytes() for x in data]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for k, data in zip(batch["slice"], batch["data"], strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(data, dtype=np.float32).astype(np.float64)
-        yield pd.DataFrame({"slice": np.array(list(sums), dtype=np.int32), "data": [x.astype(np.float32).tobytes() for x in sums.values()]})
-
-    sums = rows.select("text").mapInPandas(run, "slice int, data binary").repartition(min(slices, 64), "slice").mapInPandas(add, "slice int, data binary")
-    y = np.zeros((slices, SLICE * rank))
+            for k, held, data in zip(batch["slice"], batch["held"], batch["data"], strict=True):
+                n, x = sums.get(k, (0, 0))
+                sums[k] = n + np.frombuffer(held, dtype=np.int64), x + np.frombuffer(data, dtype=np.float32).astype(np.float64)
+        yield pd.DataFrame({"slice": np.array(list(sums), dtype=np.int32), "held": [n.tobytes() for n, _ in sums.values()], "data": [x.astype(np.float32).tobytes() for _, x in sums.values()]})
+
+    kinds = "slice int, held binary, data binary"
+    sums = rows.select("text").mapInPandas(run, kinds).repartition(min(slices + 1, 64), "slice").mapInPandas(add, kinds)
+    n, held, y = 0, np.zeros((slices, SLICE), dtype=np.int64), np.zeros((slices, SLICE * rank))
     for r in sums.toLocalIterator():  # ROWS times `rank` numbers at most
-        y[r.slice] += np.frombuffer(r.data, dtype=np.float32)
-    y, start = y.reshape(-1, rank)[:size], omega()
+        if r.slice < 0:
+            n += int(np.frombuffer(r.held, dtype=np.int64)[0])
+        else:
+            held[r.slice] += np.frombuffer(r.held, dtype=np.int64)
+            y[r.slice] += np.frombuffer(r.data, dtype=np.float32)
+    return n, held.ravel()[:size], y.reshape(-1, rank)[:size]
+
+
+def directions(vocabulary: Vocabulary, items: list[Item], idf: np.ndarray, n: int, pp: np.ndarray) -> np.ndarray:
+    """The leading right singular vectors of A, whitened: (rows, rank), from pp = P'(P G).
+
+    With D for the weights, A = P D and Omega = G / D, so A'(A Omega) is D P'(P G): the weights need not be known before the
+    pass. With Y = A'A Omega and Q a basis of its range, Q'A'A Q follows from Q'Y and Q'Omega, so one pass is enough.
+    """
+    rank = pp.shape[1]
+    start = random_rows(len(idf), rank) / idf[:, None]
+    y = pp * idf[:, None]
     scale = np.sqrt(ITEM_WEIGHT * n / len(items))
     for item in items:
-        at = rows_in(place, item.words)
+        at = vocabulary.rows(item.words)
         weight = idf[at] * (scale / np.linalg.norm(idf[at]))
         np.add.at(y, at, weight[:, None] * (weight @ start[at]))
     y += ALONE * idf[:, None] ** 2 * start
@@ -274,12 +265,12 @@ def fit(rows: DataFrame, items: list[Item], rank: int = RANK) -> Space | None:
     """The latent space of the corpus, one for all items; None if it or the benchmark has no words."""
     if not items:
         return None
-    place, size = places(items)
-    n, held = frequencies(rows, place, size)
+    vocabulary = Vocabulary.of(items)
+    n, held, pp = sketch(rows, vocabulary, min(rank, vocabulary.size))
     if not n or not held.any():
         return None
     idf = weights(n, held)
-    return Space(place, idf, directions(rows, items, place, idf, n, min(rank, size)) * idf[:, None])
+    return Space(vocabulary, idf, directions(vocabulary, items, idf, n, pp) * idf[:, None])
 
 
 def common_subsequence(masks: dict, length: int, words: list) -> int:
@@ -301,13 +292,18 @@ class Checker:
         lengths = np.array([len(item.words) for item in items])
         self.least = (COSINE * np.sqrt(np.minimum(lengths / FULL, 1))).astype(np.float32)
         self.masks, self.answers = [], []
+        #: Rows of words of which a leak has one at least: an item's rarest places, one more than a leak may lack.
+        self.telling = np.zeros(space.vocabulary.size, dtype=bool)
         for item in items:
             masks: dict[bytes, int] = {}
             for k, w in enumerate(item.words):
                 masks[w] = masks.get(w, 0) | 1 << k
             self.masks.append(masks)
-            rare = sorted(set(item.words), key=lambda w: (-space.idf[space.place[hashed(w)]], w))
-            self.answers.append(set(item.answer or rare[:ANSWER_WORDS]))
+            weight = space.idf[space.vocabulary.rows(item.words)]
+            order = sorted(range(len(item.words)), key=lambda k: (-weight[k], item.words[k]))
+            lacking = len(item.words) - math.ceil(REWORDED * len(item.words) - 1e-9)
+            self.telling[space.vocabulary.rows([item.words[k] for k in order[: lacking + 1]])] = True
+            self.answers.append(set(item.answer or list(dict.fromkeys(item.words[k] for k in order))[:ANSWER_WORDS]))
 
     def check(self, words: list[bytes], half: int, k: int) -> tuple[float, float]:
         """Share of the item's words in the common subsequence with the passage and its surroundings, and of its answer's
@@ -321,15 +317,33 @@ class Checker:
     def leaks(self, whole: list[str], corpus: Corpus) -> list[tuple]:
         """(text, item_id, cosine, lcs, answer) of the leaks in these texts, the best of each text and item."""
         words, halves, at, terms = corpus.read(whole)
-        vectors = np.zeros((int(halves.sum()), self.space.latent.shape[1]), dtype=np.float32)
-        vectors = passages(add_rows(vectors, at, self.space.latent, terms), halves)
-        norm = np.linalg.norm(vectors, axis=1)
-        some = np.flatnonzero(norm > 1e-9)
         first = np.cumsum(halves) - halves
+        owner = np.repeat(np.arange(len(halves)), halves)
+        # A passage and what is checked around it reach over two halves before it and two behind.
+        telling = np.unique(at[self.telling[terms]])
+        near = (telling[:, None] + np.arange(-3, 3)).ravel()
+        same = (near >= 0) & (near < len(owner))
+        near, of = near[same], np.repeat(telling, 6)[same]
+        some = np.unique(near[owner[near] == owner[of]])
+        if not len(some):
+            return []
+        last = np.append(owner[1:] != owner[:-1], True)
+        held = np.zeros(len(owner), dtype=bool)
+        held[some] = True
+        held[some[~last[some]] + 1] = True
+        own = held[at]
+        place = np.cumsum(held) - 1
+        used, counts = counted(place[at[own]], terms[own], int(held.sum()))
+        sums = counts @ self.space.latent[used]
+        vectors = sums[place[some]]
+        more = ~last[some]
+        vectors[more] += sums[place[some[more] + 1]]
+        norm = np.linalg.norm(vectors, axis=1)
+        some, vectors, norm = some[norm > 1e-9], vectors[norm > 1e-9], norm[norm > 1e-9]
         best: dict[tuple, tuple[float, float, float]] = {}
         for s in range(0, len(some), 4096):
             rows = some[s : s + 4096]
-            directed = vectors[rows] / norm[rows, None]
+            directed = vectors[s : s + 4096] / norm[s : s + 4096, None]
             for k in range(0, len(self.items), TOGETHER):
                 cosine = directed @ self.vectors[k : k + TOGETHER].T
                 r, i = np.nonzero(cosine >= self.least[k : k + TOGETHER])
@@ -371,7 +385,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 def searched(rows: DataFrame, items: list[Item], sent, kinds: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         space = sent.value
-        checker, corpus = Checker(items, space), Corpus(space.place)
+        checker, corpus = Checker(items, space), Corpus(space.vocabulary)
         for batch in batches:
             whole, doc = batch["text"].tolist(), batch["doc_id"].tolist()
             for part in runs_of(whole):

@@ -79,6 +79,7 @@ def test_edges(edge_docs, no_docs):
     assert len(got) == edge_docs.count()
     of = {r.doc_id: r.class_id for r in got}
     assert of[0] == of[1] == of[2] == of[3] == 0 and of[7] == of[8] == 7 and of[12] == of[13] == 12
+    assert sum(r.kept for r in got if r.class_id == 0) == 2  # the row that is repeated
     assert N.near_duplicates(no_docs).count() == 0
 
 
@@ -129,6 +130,19 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 100 for i in range(100, 161)}, 5: 5, 7: 5, 9: 9}
 
 
+@pytest.mark.parametrize("share", [2, 10, 10**9])
+def test_components_of_stars_and_odd_links(spark, monkeypatch, share):
+    """Centres with many links, which are joined by broadcast or not; null ends, repeats, and no links at all."""
+    from lodestone.llm import common
+
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    edges = [(500, i) for i in range(501, 560)] + [(i, 400) for i in range(401, 420)] + [(419, 501)] + [(3, 3), (4, None), (None, 6), (None, None), (500, 501)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u bigint, v bigint").repartition(3)).collect()}
+    assert got == {**{i: 400 for i in [400, *range(401, 420), *range(500, 560)]}, 3: 3}
+    assert components(spark.createDataFrame([(4, None)], "u bigint, v bigint")).count() == 0
+    assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
 def longest(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
@@ -149,19 +163,14 @@ def test_common_subsequence():
         assert D.common_subsequence(masks, len(a), b) == longest(a, b)
 
 
-def test_sums_by_group():
-    rng = np.random.default_rng(0)
-    group, source, index = np.sort(rng.integers(0, 9, 50)), rng.normal(size=(7, 3)), rng.integers(0, 7, 50)
-    want = np.zeros((10, 3))
-    np.add.at(want, group, source[index])
-    assert np.allclose(D.add_rows(np.zeros((10, 3)), group, source, index), want)
-    halves, x = np.array([1, 3, 2]), rng.normal(size=(6, 2))
-    y = D.passages(x, halves)
-    both = y.copy()
-    both[1:] += y[:-1]
-    first = np.cumsum(halves) - halves
-    both[first] = y[first]
-    assert np.allclose(D.neighbourhoods(x, halves), both)
+def test_neighbourhoods():
+    """The passages that a half is part of, summed."""
+    halves, x = np.array([1, 3, 2]), np.random.default_rng(0).normal(size=(6, 2))
+    a = np.zeros((6, 6))  # passages by halves
+    for start, n in ((0, 1), (1, 3), (4, 2)):
+        for k in range(n):
+            a[start + k, start + k : min(start + k + 2, start + n)] = 1
+    assert np.allclose(D.neighbourhoods(x, halves), a.T @ (a @ x))
 
 
 def test_directions_span_the_leading_singular_vectors(spark, words):
@@ -170,19 +179,26 @@ def test_directions_span_the_leading_singular_vectors(spark, words):
     items = D.parts_of([(k, " ".join(t), None) for k, t in enumerate(topics)])
     texts = [" ".join(rng.choices(topics[rng.randrange(6)], k=100)) for _ in range(80)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
-    place, size = D.places(items)
-    idf = np.ones(size, dtype=np.float32)
-    _, halves, at, terms = D.Corpus(place).read(texts)
-    a = np.zeros((halves.sum(), len(idf)))
-    np.add.at(a, (at, terms), 1)
-    a = D.passages(a, halves)
+    vocabulary = D.Vocabulary.of(items)
+    _, halves, at, terms = D.Corpus(vocabulary).read(texts)
+    n, held, pp = D.sketch(docs, vocabulary, 24)
+    counts = np.zeros((halves.sum(), vocabulary.size))
+    np.add.at(counts, (at, terms), 1)
+    assert n == halves.sum() and (held == (counts > 0).sum(axis=0)).all()
+    idf = D.weights(n, held)
+    last = np.cumsum(halves) - 1
+    a = counts.copy()
+    a[:-1] += counts[1:]
+    a[last] = counts[last]
+    a *= idf
     for item in items:
         v = np.zeros(len(idf))
-        np.add.at(v, D.rows_in(place, item.words), 1)
-        a = np.vstack([a, v / np.sqrt(len(item.words)) * np.sqrt(D.ITEM_WEIGHT * halves.sum() / len(items))])
-    a = np.vstack([a, np.sqrt(D.ALONE) * np.eye(size)])
+        at = vocabulary.rows(item.words)
+        np.add.at(v, at, idf[at])
+        a = np.vstack([a, v / np.linalg.norm(idf[at]) * np.sqrt(D.ITEM_WEIGHT * n / len(items))])
+    a = np.vstack([a, np.sqrt(D.ALONE) * np.diag(idf)])
     top = np.linalg.svd(a, full_matrices=False)[2][:6]
-    got = D.directions(docs, items, place, idf, int(halves.sum()), 24)
+    got = D.directions(vocabulary, items, idf, n, pp)
     q = np.linalg.qr(got)[0]
     assert np.linalg.norm(top @ q) ** 2 > 5.99
 
@@ -236,6 +252,31 @@ def test_leaks_among_many_items(spark, words, monkeypatch):
     assert len(want - one) <= 0.03 * len(want) and len(one - want) <= 3
 
 
+def test_passages_without_telling_words_hold_nothing(spark, words):
+    """What the search leaves out has no leak: with every passage worked out the result is the same."""
+    rng = random.Random(10)
+    items = [(k, " ".join(rng.choices(words, k=rng.randint(1, 60)))) for k in range(60)]
+    docs, _ = planted(rng, words, items, 200, 0.3)
+    texts, parts = [t for _, t in docs], D.parts_of([(k, t, None) for k, t in items])
+    space = D.fit(spark.createDataFrame(docs, "doc_id bigint, text string"), parts)
+    checker, corpus = D.Checker(parts, space), D.Corpus(space.vocabulary)
+    found = {x[:2] + x[3:] for x in checker.leaks(texts, corpus)}
+    assert not checker.telling.all()
+    checker.telling[:] = True
+    assert len(found) > 20 and {x[:2] + x[3:] for x in checker.leaks(texts, corpus)} == found
+
+
+def test_large_vocabularies_are_hashed(spark, words, monkeypatch):
+    """Without the words themselves rows come from their hashes, and what is found is the same."""
+    rng = random.Random(12)
+    items = [(k, " ".join(rng.choices(words, k=20))) for k in range(30)]
+    docs, want = planted(rng, words, items, 60, 0.0)
+    assert leaks_of(spark, docs, items) == want
+    monkeypatch.setattr(D, "KEPT", 100)
+    assert D.Vocabulary.of(D.parts_of([(k, t, None) for k, t in items])).words is None
+    assert leaks_of(spark, docs, items) == want
+
+
 def test_items_with_answers(spark, words):
     """Long items in parts keep their answer: a text reworded beyond COPY counts only if the answer is there."""
     rng = random.Random(9)
@@ -297,6 +338,49 @@ def test_pipeline_against_brute_force(spark):
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == ids[3]
 
 
+def test_recall_on_a_loose_family(spark, words, monkeypatch):
+    """8,000 texts in chains: each is an edit of some earlier one, so that a text is near its neighbours in the tree only, and
+    all share buckets. Classes are held against all pairs that may reach the threshold.
+    """
+    monkeypatch.setattr(N, "CROWD", 256)
+    rng = random.Random(17)
+    texts = [[rng.choice(words) for _ in range(200)]]
+    for k in range(1, 8000):
+        texts.append(edited(rng, texts[rng.randrange(max(0, k - 400), k)], words, rng.randint(2, 4)))
+    whole = [" ".join(t) for t in texts]
+    owner, shingle, count = N.bags(whole)
+    ends = np.searchsorted(owner, np.arange(len(whole) + 1))
+    # Pairs are counted by shared shingles, in sparse form; equal shingles within a text are so rare here that sets will do.
+    by_shingle = collections.defaultdict(list)
+    for d, h in zip(owner.tolist(), shingle.tolist(), strict=True):
+        by_shingle[h].append(d)
+    by_shingle = {h: np.array(ds) for h, ds in by_shingle.items()}
+    root = list(range(len(whole)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    bagged = [set(shingle[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    shared = np.zeros(len(whole), dtype=np.int64)
+    sizes = np.array([len(b) for b in bagged])
+    for d, own in enumerate(bagged):
+        shared[:] = 0
+        for h in own:
+            shared[by_shingle[h]] += 1
+        near = np.flatnonzero(shared / (sizes[d] + sizes - shared) >= 0.8)
+        for other in near.tolist():
+            root[find(other)] = find(d)
+    want = collections.Counter(find(d) for d in range(len(whole)))
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(spark.createDataFrame(list(enumerate(whole)), "doc_id bigint, text string").repartition(8)).collect()}
+    # Share of the pairs that are in one class by all pairs and in one class here, and nothing joined beyond that.
+    both = collections.Counter((find(d), got[d]) for d in range(len(whole)))
+    pairs = lambda c: sum(n * (n - 1) / 2 for n in c.values())
+    assert max(want.values()) > 2000
+    assert pairs(both) >= 0.99 * pairs(want) and pairs(collections.Counter(got.values())) <= 1.001 * pairs(want)
+
+
 @pytest.mark.parametrize("copies, crowd", [(5_000, 512), (20_000, N.CROWD)])
 def test_a_crowd_of_edited_copies_is_compared_whole(spark, words, monkeypatch, copies, crowd):
     """A star: copies of a text with three changes each, at places of its own, which are near the text but not near one another."""
