@@ -78,7 +78,7 @@ class Words(dict):
         return math.fsum([bias, *filter(None, map(self.__getitem__, words))])
 
 
-def fit(sample: list[str], labels: list[int], epochs: int = 15, negatives: float = 3, rate: float = 0.1, shrink: float = 1e-4, penalty: float = 0.5, seed: int = 3) -> Model:
+def fit(sample: list[str], labels: list[int], epochs: int = 15, negatives: float = 3, rate: float = 0.1, shrink: float = 3e-4, penalty: float = 0.5, seed: int = 3) -> Model:
     """Stochastic gradient steps; each epoch takes all texts of label 1 and `negatives` times as many of the others.
     Weights shrink towards 0 with each use.
     """

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from lodestone.llm import common
 from lodestone.llm import exact_dedup as X
 from lodestone.llm import url_filter as U
 
@@ -24,6 +25,30 @@ def rows_of(df):
     return sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in df.collect())
 
 
+def test_the_index_decides(spark, monkeypatch):
+    """Whatever the index says of a text is what its documents are told."""
+    docs = spark.createDataFrame([(i, f"t{i % 3}") for i in range(30)], "doc_id bigint, text string")
+    true = X.owned
+
+    def other(*args):
+        return true(*args).withColumn("keep_id", F.col("keep_id") - 100).withColumn("group_size", F.col("group_size") + 1)
+
+    monkeypatch.setattr(X, "owned", other)
+    got = X.exact_dedup(docs).collect()
+    assert len(got) == 30 and all(r.keep_id < 0 and r.group_size == 11 and not r.kept for r in got)
+
+
+def test_popular_texts(spark, monkeypatch):
+    """Keys of all kinds of popularity: joined where they are, or by a shuffle."""
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"warm{rng.randrange(9)}" if i % 3 == 1 else f"cold{i}") for i in range(900)], "doc_id bigint, text string").repartition(6)
+    want = brute(docs.collect())
+    for share, hot in ((2, 5), (20, 64), (10**9, 10**6)):
+        monkeypatch.setattr(common, "HOT_SHARE", share)
+        monkeypatch.setattr(X, "HOT", hot)
+        assert rows_of(X.exact_dedup(docs)) == want
+
+
 def test_edges(edge_docs, no_docs):
     assert rows_of(X.exact_dedup(edge_docs)) == brute(edge_docs.collect())
     assert X.exact_dedup(no_docs).count() == 0

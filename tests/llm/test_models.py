@@ -110,8 +110,49 @@ def test_held_out_accuracy(spark):
     assert lang.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
     quality = Q.op6_quality_classifier(spark, SF).filter("held_out").join(labels, "doc_id")
     assert quality.agg(F.avg((F.col("quality") == F.col("predicted")).cast("int"))).first()[0] > 0.95
-    toxic = X.op2_toxicity(spark, SF).filter("held_out").join(labels, "doc_id")
-    assert toxic.agg(F.avg((F.col("toxic") == F.col("predicted")).cast("int"))).first()[0] > 0.93
+
+
+def held_out(doc_id, of, rest):
+    return zlib.crc32(str(doc_id).encode()) % of == rest
+
+
+@needs_data
+def test_queries_against_brute_force(spark):
+    """The registered queries, held row by row against the models run plainly over every whole text, and the held-out rule."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    marks = {r.doc_id: r for r in labels.collect()}
+
+    quality = Q.trained(docs, labels)
+    toxic = X.fit(*labelled_sample(docs, labels, "toxic", X.SAMPLE, X.TOTAL))
+    for got, score, of, rest, least in (
+        (Q.op6_quality_classifier(spark, SF), lambda t: float(quality.predict([t.encode()])[0]), 5, 0, 0.3),
+        (X.op2_toxicity(spark, SF), lambda t: float(1 / (1 + np.exp(-toxic.logit(X.words_of(t))))), 5, 0, 0.5),
+    ):
+        found = got.collect()
+        assert sorted(r.doc_id for r in found) == sorted(rows)
+        for r in found:
+            assert r.score == pytest.approx(score(rows[r.doc_id].text or ""), abs=1e-4)
+            assert r.held_out == held_out(r.doc_id, of, rest) and r.predicted == int(r.score >= least)
+    lang = L.fit(*L.sample(L.training_rows(docs), "lang", L.SAMPLE, L.TOTAL))
+    found = L.op4_language_id(spark, SF).collect()
+    assert sorted(r.doc_id for r in found) == sorted(rows)
+    for r in found:
+        p = lang.predict([(rows[r.doc_id].text or "").encode()])[0]
+        if re.search(r"[^\W\d_]", rows[r.doc_id].text or ""):
+            assert r.lang_pred == lang.languages[int(p.argmax())] and r.score == pytest.approx(float(p.max()), abs=1e-4)
+        assert r.held_out == held_out(r.doc_id, 3, 1)
+
+    # Of held-out documents: recall of what is toxic, and how often others are called so. A sixth of the labels are noise.
+    scored = {r.doc_id: r.predicted for r in X.op2_toxicity(spark, SF).collect()}
+    test = [(scored[i], m.toxic) for i, m in marks.items() if held_out(i, 5, 0) and m.toxic is not None]
+    assert sum(p for p, y in test if y) >= 0.65 * sum(y for _, y in test)
+    assert sum(p for p, y in test if not y) <= 0.02 * sum(not y for _, y in test)
+    # Neutral mentions of groups in documents that are not toxic call up no false positives.
+    clean = [rows[i].text or "" for i, m in marks.items() if held_out(i, 5, 0) and m.toxic == 0]
+    logits = [(toxic.logit(X.words_of(t)), toxic.logit(X.words_of(f"{t} the {term} people of our town")), term) for t, term in zip(clean, itertools.cycle(X.IDENTITY_TERMS))]
+    assert sum(b >= 0 > a for a, b, _ in logits) <= 0.01 * len(logits)
+    assert np.mean([abs(a - b) for a, b, _ in logits]) < 0.2
 
 
 def test_toxicity_ignores_group_names():
@@ -124,6 +165,10 @@ def test_toxicity_ignores_group_names():
     fair, unfair = X.fit(sample, labels), X.fit(sample, labels, penalty=0.0)
     assert fair.logit({"zzzbad"}) > 0 > fair.logit({"women"})
     assert fair.word("women") < 0.5 * unfair.word("women")
+    # Of several terms in a text each is swapped.
+    both = [n + " zzzbad women zzzbad muslims" for n in neutral[:100]]
+    fair2 = X.fit(both + neutral[100:], labels)
+    assert fair2.logit({"zzzbad"}) > 0 > fair2.logit({"women", "muslims"})
     words = X.Words(fair)
     assert words.logit(fair.bias, {"zzzbad", "other"}) == pytest.approx(fair.logit({"zzzbad", "other"}), abs=1e-5)
 

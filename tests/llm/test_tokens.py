@@ -59,6 +59,29 @@ def test_bpe_rows(spark, edge_docs, no_docs):
     assert back == {r.doc_id: r.text or "" for r in edge_docs.filter("doc_id < 7").collect()}
 
 
+def test_whole_queries_against_the_libraries(spark):
+    """op1 and op9 over a whole table, every column held against the libraries run on each whole text."""
+    import os
+
+    import sentencepiece
+    import tiktoken
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    codec, sp = B.load_codec(RANKS, P.PATTERN), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    ranks = {t: i for i, t in enumerate(codec.bytes_of) if t}
+    library = tiktoken.Encoding("whole", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in B.op1_byte_bpe(spark, sf).collect()}
+    ids = {i: library.encode_ordinary(t) for i, t in texts.items()}
+    assert got == {(i, len(x), digest(" ".join(map(str, x)).encode()), digest(texts[i].encode())) for i, x in ids.items()}
+    assert max(map(len, texts.values())) > 8 * B.LEAF and sum(len(t) > B.LEAF for t in texts.values()) > 0.9 * len(texts)  # trees, not leaves
+    got = {(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in T.op9_token_counts(spark, sf).collect()}
+    assert got == {(i, len(t.encode()), n := len(sp.encode(t)), n > 4096) for i, t in texts.items()}
+
+
 def test_count_rows(spark, edge_docs, no_docs):
     sp = T.load_model(MODEL)
     got = T.count_tokens(edge_docs, MODEL, limit=2).collect()
