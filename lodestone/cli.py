@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import re
 import sys
 
 from pyspark.errors import AnalysisException
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 
 from .operators.chunks import kind_counts
 from .operators.dense import build_embedder, embed_corpus
-from .operators.generation import build_generator
+from .operators.generation import build_generator, shown_to_reader
 from .plans.retrieval import Answering, Retriever, build_corpus, evaluate_generation, evaluate_retrieval, load_retriever
-from .sources.tables import cache_status, read_corpus, read_manifest, read_pages, read_questions, save_index, write_corpus
+from .sources.tables import cache_status, not_cached, read_corpus, read_manifest, read_pages, read_questions, save_index, write_corpus
 
 MODES = ("dense", "bm25", "hybrid")
 
@@ -35,9 +36,13 @@ def retriever(spark: SparkSession, a: argparse.Namespace, mode: str | None = Non
 
 
 def fetch(spark: SparkSession, a: argparse.Namespace) -> None:
-    """What the cache holds; fetching itself is left to whatever fills the folder."""
+    """What the cache holds; fetching itself is left to whatever fills the folder: without --status what is left to fetch is
+    listed, with --force all of it.
+    """
     manifest = read_manifest(spark, f"{a.data}/raw/manifest.json")
-    shown(cache_status(manifest.select("key", "url"), manifest).orderBy("key"))
+    sources = manifest.select("key", "url")
+    status = cache_status(sources, manifest.filter("fetched_at IS NOT NULL"))
+    shown((status if a.status else not_cached(sources, status.filter("cached"), "key", a.force)).orderBy("key"))
 
 
 def build(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -61,11 +66,18 @@ def search(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def ask(spark: SparkSession, a: argparse.Namespace) -> None:
-    answering = Answering(retriever(spark, a), build_generator(a.generator), a.product)
+    answering = Answering(retriever(spark, a), build_generator(a.generator, max_tokens=a.max_tokens), a.product)
     row = answering.answer(asked(spark, a.question), a.top_k, not a.no_rag).first()
     if a.show_context:
         print(row.context)
-    print(json.dumps({k: row[k] for k in ("question", "lang", "answer", "n_used", "context_chars")}, ensure_ascii=False) if a.json else row.answer)
+    if a.json:
+        print(json.dumps({k: row[k] for k in ("question", "lang", "answer", "n_used", "context_chars")}, ensure_ascii=False))
+    elif a.no_stream:
+        print("".join(shown_to_reader([row.answer])))
+    else:
+        for piece in shown_to_reader(re.findall(r"\s*\S+\s*", row.answer)):
+            print(piece, end="", flush=True)
+        print()
 
 
 def eval_retrieval(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -78,10 +90,11 @@ def bench(spark: SparkSession, a: argparse.Namespace) -> None:
     questions = read_questions(spark, a.questions)
     if a.limit:
         questions = questions.orderBy("qid").limit(a.limit)
-    answering = Answering(retriever(spark, a), build_generator(a.generator), a.product)
-    rows = [{"top_k": k, "context": True} | evaluate_generation(answering, questions, k).first().asDict() for k in a.top_k_sweep]
+    answering = Answering(retriever(spark, a), build_generator(a.generator, max_tokens=a.max_tokens), a.product)
+    scores = lambda *how: evaluate_generation(answering, questions, *how, repeats=a.repeats, warmup=True).first().asDict()
+    rows = [{"top_k": k, "context": True, "repeats": a.repeats} | scores(k) for k in a.top_k_sweep]
     if a.no_rag_control:
-        rows.append({"top_k": 0, "context": False} | evaluate_generation(answering, questions, use_context=False).first().asDict())
+        rows.append({"top_k": 0, "context": False, "repeats": a.repeats} | scores(None, False))
     _out(rows, a.output)
 
 
@@ -110,13 +123,14 @@ def parser() -> argparse.ArgumentParser:
 
     flag = {"action": "store_true"}
     questions, output = ("--questions", {"default": "data/eval/qa.jsonl"}), ("--output", {"default": None})
-    command(fetch, ("--status", flag))
+    most = ("--max-tokens", {"type": int, "default": 384})
+    command(fetch, ("--status", flag), ("--force", flag))
     command(build, ("--features", {"nargs": "*", "default": ["feature_zh", "feature_en"]}), ("--no-validation", flag), ("--marker", {"action": "append", "default": []}))
     command(inspect, ("--facts", flag))
     command(search, ("question", {}), ("--top-k", {"type": int, "default": 5}))
-    command(ask, ("question", {}), ("--top-k", {"type": int, "default": 4}), ("--no-rag", flag), ("--show-context", flag), ("--json", flag))
+    command(ask, ("question", {}), ("--top-k", {"type": int, "default": 4}), ("--no-rag", flag), ("--show-context", flag), ("--json", flag), ("--no-stream", flag), most)
     command(eval_retrieval, questions, ("--modes", {"nargs": "+", "choices": MODES, "default": list(MODES)}), output)
-    command(bench, questions, ("--top-k-sweep", {"nargs": "+", "type": int, "default": [4]}), ("--limit", {"type": int, "default": 0}), ("--no-rag-control", flag), output)
+    command(bench, questions, ("--top-k-sweep", {"nargs": "+", "type": int, "default": [4]}), ("--limit", {"type": int, "default": 0}), ("--no-rag-control", flag), ("--repeats", {"type": int, "default": 3}), most, output)
     return p
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let, tokenize
+from ..sources.shared import stored
 from .lexical import DIGITS, ranked
 
 FLOOR = 1e-12
@@ -139,13 +140,39 @@ def embed_corpus(chunks: DataFrame, embedder: Embedder) -> DataFrame:
 def cosine_search(vectors: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
     """(qid, ord, score, rank) for vectors (ord, v) and queries (qid, v); all scores count, whatever their sign.
 
-    Exact: every vector meets every query, as the query set is stated and the smaller side. Queries of up to
-    QUERY_BLOCK rows are broadcast; more are spread and each block of them meets all vectors. WindowGroupLimit keeps
-    top_k rows of a task before the shuffle.
+    Exact: every vector meets every query, as the query set is stated. Up to QUERY_BLOCK queries are broadcast and compared
+    in the JVM; WindowGroupLimit keeps top_k rows of a task before the shuffle. Larger sets are searched for block by
+    block, each a product of matrices over batches of the vectors, of which a batch gives top_k rows a query.
     """
     asked = queries.select("qid", normalised(F.col("v")).alias("q"))
     rows = vectors.select("ord", normalised(F.col("v")).alias("d"))
-    if queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK:
-        asked = F.broadcast(asked)
-    scored = rows.crossJoin(asked).select("qid", "ord", F.round(dot(F.col("d"), F.col("q")), DIGITS).alias("score"))
-    return ranked(scored, top_k)
+    n = queries.count()
+    if n <= QUERY_BLOCK:
+        scored = rows.crossJoin(F.broadcast(asked)).select("qid", "ord", F.round(dot(F.col("d"), F.col("q")), DIGITS).alias("score"))
+        return ranked(scored, top_k)
+    blocks = -(-n // QUERY_BLOCK)
+    number = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    numbered = stored(asked.withColumn("block", number))
+    found = None
+    for k in range(blocks):
+        block = [(r.qid, r.q) for r in numbered.filter(F.col("block") == k).select("qid", "q").collect()]  # QUERY_BLOCK rows or so
+        best = best_of_batches(rows, [qid for qid, _ in block], np.array([q for _, q in block]), top_k, asked.schema["qid"].dataType.simpleString()) if block else None
+        found = best if found is None else found if best is None else found.unionByName(best)
+    return ranked(found, top_k)
+
+
+def best_of_batches(rows: DataFrame, qids: list, q: np.ndarray, top_k: int, qid_type: str) -> DataFrame:
+    """(qid, ord, score): the top_k of rows (ord, d) for each query in each batch."""
+    sent = rows.sparkSession.sparkContext.broadcast((qids, q.T.copy()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qids, q = sent.value
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                part = batch.iloc[at : at + 1024].sort_values("ord")
+                score = np.round(np.stack(part["d"].to_numpy()) @ q, DIGITS)
+                top = np.argsort(-score, axis=0, kind="stable")[:top_k]
+                ords = part["ord"].to_numpy()
+                yield pd.DataFrame({"qid": np.repeat(np.array(qids, dtype=object), len(top)).tolist(), "ord": ords[top.T.ravel()], "score": np.take_along_axis(score, top, 0).T.ravel()})
+
+    return rows.mapInPandas(run, f"qid {qid_type}, ord {rows.schema['ord'].dataType.simpleString()}, score double")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_thinking, tokenize
+from ..functions.text import let, strip_thinking, tokenize
 
+#: They must hold a phrase of a refusal.
 REFUSAL = {"zh": "提供的規格資料中沒有這項資訊", "en": "That information is not in the provided specifications."}
 
 
@@ -27,13 +28,17 @@ class ExtractiveGenerator:
 
     name = "extractive"
 
+    def __init__(self, max_tokens: int | None = None):
+        self.max_tokens = max_tokens
+
     def answer(self, prompts: DataFrame) -> DataFrame:
         asked = F.array_distinct(tokenize(F.col("question")))
         lines = F.filter(F.split("context", "\n"), lambda x: x != "")
         scored = F.transform(lines, lambda x: F.struct(F.size(F.array_intersect(asked, tokenize(x))).alias("n"), x.alias("line")))
         best = F.aggregate(scored, F.struct(F.lit(0).alias("n"), F.lit("").alias("line")), lambda a, b: F.when(b["n"] > a["n"], b).otherwise(a))
         quoted = F.regexp_replace(best["line"], r"(?s)^(\[\d+\]) (.*)$", "$2 $1")
-        return prompts.withColumn("answer", F.when(best["n"] > 0, quoted).otherwise(F.when(F.col("lang") == "zh", REFUSAL["zh"]).otherwise(REFUSAL["en"])))
+        said = F.when(best["n"] > 0, quoted).otherwise(F.when(F.col("lang") == "zh", REFUSAL["zh"]).otherwise(REFUSAL["en"]))
+        return prompts.withColumn("answer", said if self.max_tokens is None else F.regexp_extract(said, rf"(?U)^(\s*(?:\S+\s*){{0,{self.max_tokens}}})", 1))
 
 
 class ModelGenerator:
@@ -55,13 +60,35 @@ class ModelGenerator:
         return prompts.withColumn("answer", run("messages"))
 
 
-GENERATORS: dict[str, Callable[[], Generator]] = {"extractive": ExtractiveGenerator}
+GENERATORS: dict[str, Callable[..., Generator]] = {"extractive": ExtractiveGenerator}
 
 
-def build_generator(name: str) -> Generator:
+def build_generator(name: str, **options) -> Generator:
     if name not in GENERATORS:
         raise KeyError(f"no generator {name!r}; known: {', '.join(sorted(GENERATORS))}")
-    return GENERATORS[name]()
+    return GENERATORS[name](**options)
+
+
+def shown_to_reader(pieces: Iterable[str]) -> Iterator[str]:
+    """The pieces of a stream without the reasoning block that it may begin with. What may be the start of one is held
+    back until that is clear; of a block that never ends nothing is shown.
+    """
+    held, clear = "", False
+    for piece in pieces:
+        if clear:
+            yield piece
+            continue
+        held += piece
+        begins = held.lstrip()
+        if "</think>" in held:
+            clear = True
+            if rest := held.split("</think>", 1)[1].lstrip():
+                yield rest
+        elif begins and not begins.startswith("<"):
+            clear = True
+            yield held
+    if not clear and held and not held.lstrip().startswith("<think>"):
+        yield held
 
 
 def sse_pieces(lines: DataFrame) -> DataFrame:
@@ -82,21 +109,27 @@ def stream_stats(pieces: DataFrame, starts: DataFrame) -> DataFrame:
     ttft_s: to the first piece; ttft_answer_s: to the first piece that a reader sees, else ttft_s; thinking_tokens:
     pieces inside an open reasoning block before that; decode_s: first to last piece. Empty pieces count for nothing.
     """
-    order = Window.partitionBy("req_id").orderBy("seq")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    seen = pieces.filter("piece <> ''").withColumn("seen", F.array_join(F.collect_list("piece").over(upto), ""))
-    opened, closed = F.contains("seen", F.lit("<think>")), F.contains("seen", F.lit("</think>"))
-    thinking = opened & ~closed
-    seen = seen.withColumn("thinking", thinking).withColumn("thought", F.max(thinking).over(upto))
-    visible = ~F.col("thinking") & (F.col("thought") | ~opened) & (strip_thinking(F.col("seen")) != "")
-    seen = seen.withColumn("visible", visible).withColumn("answered", F.coalesce(F.max("visible").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
-    figures = seen.groupBy("req_id").agg(
-        F.count(F.lit(1)).alias("n_tokens"),
-        F.min("t").alias("t_first"),
-        F.max("t").alias("t_last"),
-        F.min(F.when(F.col("visible"), F.col("t"))).alias("t_answer"),
-        F.sum((F.col("thinking") & ~F.col("answered")).cast("int")).alias("thinking_tokens"),
-    )
+    told = pieces.filter("piece <> ''").groupBy("req_id").agg(
+        F.array_sort(F.collect_list(F.struct("seq", "t", "piece"))).alias("told"), F.count(F.lit(1)).alias("n_tokens"), F.min("t").alias("t_first"), F.max("t").alias("t_last")
+    )
+    start = F.struct(F.lit("").alias("seen"), F.lit(False).alias("thought"), F.lit(None).cast("double").alias("t_answer"), F.lit(0).cast("long").alias("thinking_tokens"))
+
+    def step(so_far: Column, p: Column) -> Column:
+        """What a reader has seen. Of an open reasoning block only the end is kept, in which its end tag may begin, and nothing
+        more is collected once there is an answer: so a stream costs no more than its length.
+        """
+        return F.when(so_far["t_answer"].isNotNull(), so_far).otherwise(let(F.concat(so_far["seen"], p["piece"]), lambda seen: read(so_far, p, seen)))
+
+    def read(so_far: Column, p: Column, seen: Column) -> Column:
+        opened = F.contains(seen, F.lit("<think>"))
+        thinking = opened & ~F.contains(seen, F.lit("</think>"))
+        thought = so_far["thought"] | thinking
+        visible = ~thinking & (thought | ~opened) & (strip_thinking(seen) != "")
+        inside = F.instr(seen, "<think>") + 7
+        kept = F.when(thinking, F.concat(F.substring(seen, F.lit(1), inside - 1), F.right(F.substring(seen, inside, F.length(seen)), F.lit(8)))).otherwise(seen)
+        return F.struct(kept.alias("seen"), thought.alias("thought"), F.when(visible, p["t"]).alias("t_answer"), (so_far["thinking_tokens"] + thinking.cast("long")).alias("thinking_tokens"))
+
+    figures = told.select("req_id", "n_tokens", "t_first", "t_last", F.aggregate("told", start, step).alias("end")).select("req_id", "n_tokens", "t_first", "t_last", "end.t_answer", "end.thinking_tokens")
     rows = starts.join(figures, "req_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     ttft, decode, total, n = zero(F.col("t_first") - F.col("t0")), zero(F.col("t_last") - F.col("t_first")), F.col("t_end") - F.col("t0"), F.coalesce("n_tokens", F.lit(0))

@@ -13,6 +13,8 @@ from ..sources.shared import stored
 #: Fixed values of the ranking function.
 K1, B = 1.5, 0.75
 DIGITS = 6
+#: Rows of queries and terms that are broadcast at once: some 20 MB.
+TERM_ROWS = 262_144
 
 
 @dataclass
@@ -65,13 +67,21 @@ def ranked(scored: DataFrame, top_k: int, by: Column | None = None) -> DataFrame
 def bm25_search(index: LexicalIndex, queries: DataFrame, top_k: int = 10) -> DataFrame:
     """(qid, ord, score, rank) for queries (qid, text): distinct query terms, scores above 0, rounded to 6 digits.
 
-    Query terms that no document has fall out with term_df, which is far smaller than the postings; postings are
-    then joined by term only. Spark broadcasts the terms if they are few.
+    Only postings of query terms are moved, once, by document. They then meet the queries' terms, which are broadcast in
+    blocks of TERM_ROWS or so, where they are: a document's scores for all queries are added up in one place, and no more
+    than top_k rows of a query leave it. So neither a frequent term nor the number of pairs of query and document is shuffled.
     """
     terms = queries.select("qid", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
     weighted = terms.join(index.term_df, "term").crossJoin(F.broadcast(index.stats))  # stats: one row
-    weighted = weighted.select("qid", "term", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avg_len")
-    f = F.col("tf")
-    part = F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    scored = index.postings.join(weighted, "term").select("qid", "ord", part.alias("part")).groupBy("qid", "ord").agg(F.round(F.sum("part"), DIGITS).alias("score"))
-    return ranked(scored.filter("score > 0"), top_k)
+    weighted = stored(weighted.select("qid", "term", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avg_len"))
+    blocks = max(1, -(-weighted.count() // TERM_ROWS))
+    found = None
+    for k in range(blocks):
+        block = weighted if blocks == 1 else weighted.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k)
+        here = index.postings.join(F.broadcast(block.select("term").distinct()), "term", "left_semi").repartition("ord")
+        f = F.col("tf")
+        part = F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
+        scored = here.join(F.broadcast(block), "term").groupBy("qid", "ord").agg(F.round(F.sum(part), DIGITS).alias("score"))
+        best = ranked(scored.filter("score > 0"), top_k)
+        found = best if found is None else found.unionByName(best)
+    return found

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import chunks as C
 from ..operators import fusion
 from ..operators.dense import Embedder, cosine_search, embed_corpus
-from ..operators.evaluate import first_gold, generation_scores, retrieval_scores, score_answers
+from ..operators.evaluate import first_gold, generation_scores, per_question_medians, retrieval_scores, score_answers
 from ..operators.facts import extract_facts
 from ..operators.generation import Generator
 from ..operators.html import feature_blocks, html_events, sku_variants, spec_rows, validate_spec_items
@@ -52,7 +53,7 @@ class Retriever:
         dense = None
         if self.mode != "bm25" and self.vectors is not None and (self.embedder is not None or "v" in queries.columns):
             asked = queries.select("qid", "v") if "v" in queries.columns else queries.select("qid", self.embedder.encode(F.col("text"), is_query=True).alias("v"))
-            dense = cosine_search(self.vectors, asked, pool)
+            dense = cosine_search(self.vectors, asked.filter("v IS NOT NULL"), pool)
         return fusion.arms_of(empty if dense is None else dense, empty if sparse is None else sparse)
 
     def search(self, queries: DataFrame, top_k: int = 4, pool: int = fusion.POOL) -> DataFrame:
@@ -102,6 +103,20 @@ def evaluate_retrieval(retriever: Retriever, questions: DataFrame, ks: tuple[int
     return retrieval_scores(first_gold(hits.select("qid", "rank", "doc_id"), questions), ks)
 
 
-def evaluate_generation(answering: Answering, questions: DataFrame, top_k: int | None = None, use_context: bool = True) -> DataFrame:
-    answers = answering.answer(questions.select("qid", "text", "lang"), top_k, use_context).select("qid", "answer", "context")
-    return generation_scores(score_answers(answers.join(questions.select("qid", "type", "must_include"), "qid")))
+def evaluate_generation(answering: Answering, questions: DataFrame, top_k: int | None = None, use_context: bool = True, repeats: int = 1, warmup: bool = False) -> DataFrame:
+    """Scores of the last of `repeats` runs, with the medians over runs of the seconds a question and of the context's
+    length. The first of all runs starts workers and models: with warmup one question is answered before any is timed.
+    """
+    asked = questions.select("qid", "text", "lang")
+    n = max(asked.count(), 1)
+    if warmup:
+        answering.answer(asked.limit(1), top_k, use_context).collect()
+    runs = None
+    for _ in range(max(repeats, 1)):
+        began = time.perf_counter()
+        answers = stored(answering.answer(asked, top_k, use_context).select("qid", "answer", "context", "context_chars"))
+        one = answers.select("qid", F.lit((time.perf_counter() - began) / n).alias("answer_s"), F.col("context_chars").cast("double").alias("context_chars"))
+        runs = one if runs is None else runs.unionByName(one)
+    rows = answers.drop("context_chars").join(questions.select("qid", "type", "must_include"), "qid")
+    medians = ["answer_s", "context_chars"]
+    return generation_scores(score_answers(rows).join(per_question_medians(runs, medians), "qid"), medians)

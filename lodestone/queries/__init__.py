@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import evaluation, retrieval, structure, text
+from . import corpus, evaluation, retrieval, structure, text
 
-ALL = {**text.QUERIES, **retrieval.QUERIES, **evaluation.QUERIES, **structure.QUERIES}
+ALL = {**text.QUERIES, **retrieval.QUERIES, **evaluation.QUERIES, **structure.QUERIES, **corpus.QUERIES}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import fusion
 from ..operators.dense import cosine_search
 from ..operators.lexical import bm25_search, build_index
-from ..plans.retrieval import Retriever
+from ..plans.retrieval import Retriever, load_retriever
 from ..sources.shared import stored
 from .common import table, tokens_sql
 
@@ -102,6 +102,22 @@ def bm25_mode(spark, sf) -> DataFrame:
     return r.search(asked.select("qid", "text"), 5).select("qid", "rank", "ord", "score", "bm25_rank")
 
 
+def dense_mode(spark, sf) -> DataFrame:
+    """Single-arm search: the cosines themselves through boost, order, cap and rescue."""
+    r, asked = retriever(spark, sf)
+    r.mode = "dense"
+    return r.search(asked, 5).select("qid", "rank", "ord", "score", "dense_rank")
+
+
+def degraded(spark, sf) -> DataFrame:
+    """Without an embedder a hybrid retriever is loaded as a lexical one."""
+    said: list[str] = []
+    r = load_retriever(chunks(spark, sf), mode="hybrid", on_degrade=said.append)
+    if len(said) != 1:
+        raise ValueError("nobody was told")
+    return r.search(questions(spark, sf), 5).select("qid", "rank", "ord", "score", "bm25_rank")
+
+
 @lru_cache
 def bm25_sql(top: int, name: str = "sparse") -> str:
     return f"""
@@ -134,6 +150,11 @@ arms AS (SELECT *, 1 AS arm FROM sparse),
 fused AS (SELECT qid, ord, score, 1000 + rank AS seen FROM sparse)"""
 
 
+DENSE_FUSED = f"""{cosine_sql(PAIRED, ASKED, POOL, "dense").strip()},
+arms AS (SELECT *, 0 AS arm FROM dense),
+fused AS (SELECT qid, ord, score, rank AS seen FROM dense)"""
+
+
 def boosted_sql(fused: str = FUSED) -> str:
     return f"""{fused},
 boosted AS (SELECT f.qid, f.ord, f.seen, source AS doc_id,
@@ -177,5 +198,7 @@ QUERIES = {
     "diversify_cap": (diversified, f"WITH {diversified_sql(TOP)} SELECT * FROM chosen"),
     "rescue": (rescued, f"WITH {rescued_sql(3)} SELECT * FROM final"),
     "hybrid_search": (hybrid, HYBRID_SQL),
+    "dense_mode_search": (dense_mode, f"WITH {rescued_sql(5, DENSE_FUSED)} SELECT f.qid, f.rank, f.ord, f.score, d.rank AS dense_rank FROM final f LEFT JOIN dense d USING (qid, ord)"),
+    "degraded_search": (degraded, f"WITH {rescued_sql(5, SPARSE_FUSED)} SELECT f.qid, f.rank, f.ord, f.score, s.rank AS bm25_rank FROM final f LEFT JOIN sparse s USING (qid, ord)"),
     "bm25_mode_search": (bm25_mode, f"WITH {rescued_sql(5, SPARSE_FUSED)} SELECT f.qid, f.rank, f.ord, f.score, s.rank AS bm25_rank FROM final f LEFT JOIN sparse s USING (qid, ord)"),
 }

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators.chunks import dedupe, kind_counts
 from ..operators.dense import HashingEmbedder, Md5Embedder
 from ..operators.prompt import context, packed
+from ..sources.shared import ready
 from .common import collapse_sql, table, tokens_sql
 
 
@@ -85,9 +86,10 @@ def md5_embedding(spark, sf) -> DataFrame:
 
 
 def hash_embedding(spark, sf) -> DataFrame:
+    """The embeddings' dimensions that are not 0."""
+    ready(spark)
     v = table(spark, sf, "documents").select("doc_id", HashingEmbedder(512).encode(F.col("text")).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return v.select("doc_id", F.round(norm, 6).alias("norm"))
+    return v.select("doc_id", F.posexplode("v").alias("dim", "x")).filter("x <> 0").select("doc_id", "dim", F.round("x", 6).alias("x"))
 
 
 S = "regexp_replace({0}, '([。！？；!?;])\\s*', '\\1' || chr(31), 'g')"

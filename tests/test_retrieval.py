@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +39,22 @@ def test_bm25(spark):
     assert bm25_search(build_index(docs), queries(spark, "z")).count() == 0
 
 
+def test_bm25_in_blocks(spark, monkeypatch):
+    """However the queries' terms are split, and however documents are dealt, the hits are the same; and nothing is shuffled
+    by query and document.
+    """
+    from lodestone.operators import lexical
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 13}" for k in range(i % 9))) for i in range(80)], "ord bigint, text string")
+    asked = queries(spark, *(f"w{i} w{i + 1} w{(i * 7) % 13} the" for i in range(25)), "", "nothing")
+    want = sorted(map(tuple, bm25_search(build_index(docs), asked, 5).collect()))
+    assert len(want) == 25 * 5
+    plan = bm25_search(build_index(docs), asked, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(ord#" in plan and not re.search(r"hashpartitioning\(qid#\w+, ord#", plan)
+    monkeypatch.setattr(lexical, "TERM_ROWS", 20)
+    assert sorted(map(tuple, bm25_search(build_index(docs.repartition(7)), asked, 5).collect())) == want
+
+
 def test_cosine_batch_is_single(spark):
     v = spark.createDataFrame([(i, [math.sin(i * k + 1) for k in range(8)]) for i in range(20)], "ord bigint, v array<double>")
     q = spark.createDataFrame([(str(i), [math.cos(i + k) for k in range(8)]) for i in range(3)], "qid string, v array<double>")
@@ -49,6 +66,17 @@ def test_cosine_batch_is_single(spark):
     assert cosine_search(zero, q, 1).first().score == 0
 
 
+def test_cosine_in_blocks_of_queries(spark, monkeypatch):
+    """More queries than a block: products of matrices give what the JVM gives, ties and all."""
+    from lodestone.operators import dense
+
+    v = spark.createDataFrame([(i, [float((i * k) % 5) for k in range(6)]) for i in range(40)] + [(99, [0.0] * 6)], "ord bigint, v array<double>").repartition(4)
+    q = spark.createDataFrame([(str(i), [float((i + k) % 4) for k in range(6)]) for i in range(30)], "qid string, v array<double>")
+    whole = sorted(map(tuple, cosine_search(v, q, 7).collect()))
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 8)
+    assert sorted(map(tuple, cosine_search(v, q, 7).collect())) == whole and len(whole) == 30 * 7
+
+
 def ranking(spark, *rows):
     return spark.createDataFrame([("q", o, float(s), r) for r, (o, s) in enumerate(rows)], "qid string, ord bigint, score double, rank int")
 
@@ -166,6 +194,53 @@ def test_stream_stats(spark):
     assert (got["d"].n_tokens, got["d"].tps) == (0, 0.0)
 
 
+def plain_stats(pieces):
+    """n, time of the first piece that a reader sees, and pieces of thinking, from all that was said up to each piece."""
+    import re
+
+    seen, thought, answer, thinking, n = "", False, None, 0, 0
+    for t, piece in pieces:
+        if not piece:
+            continue
+        n += 1
+        seen += piece
+        now = "<think>" in seen and "</think>" not in seen
+        thought |= now
+        thinking += now and answer is None
+        text = re.sub(r"(?s)<think>.*?</think>\s*", "", seen)
+        if "</think>" in text:
+            text = re.sub(r"(?s)\A.*?</think>\s*", "", text)
+        text = re.sub(r"\s*/no_(?:think|output)\b\s*", " ", text).strip()
+        if answer is None and not now and (thought or "<think>" not in seen) and text:
+            answer = t
+    return n, answer, thinking
+
+
+def test_stream_stats_against_all_prefixes(spark):
+    import random
+
+    rng = random.Random(3)
+    parts = ["<think>", "</think>", "<thi", "nk>", "</th", "ink>", " ", "\n", "word", "", "/no_think", "a b", "<think>x</think>", "y</think> z"]
+    streams = {r: [(float(k), rng.choice(parts)) for k in range(rng.randint(1, 12))] for r in range(400)}
+    rows = [(r, k, t, p) for r, s in streams.items() for k, (t, p) in enumerate(s)]
+    starts = spark.createDataFrame([(r, 0.0, 99.0) for r in streams], "req_id int, t0 double, t_end double")
+    got = {x.req_id: x for x in stream_stats(spark.createDataFrame(rows, "req_id int, seq int, t double, piece string").repartition(5), starts).collect()}
+    for r, s in streams.items():
+        n, answer, thinking = plain_stats(s)
+        first = next((t for t, p in s if p), 0.0)
+        assert (got[r].n_tokens, got[r].thinking_tokens, got[r].ttft_answer_s) == (n, thinking, answer if answer is not None else first), s
+
+
+def test_reader_sees_no_reasoning():
+    from lodestone.operators.generation import shown_to_reader
+
+    say = lambda *pieces: list(shown_to_reader(pieces))
+    assert say("Hello", " <b>", "you") == ["Hello", " <b>", "you"]
+    assert say(" ", "<thi", "nk>hm", "m</think>\n ", "Yes", " no") == ["Yes", " no"]
+    assert say("<think>a</think> b", "c") == ["b", "c"]
+    assert say("<think>", "never ends") == [] and say() == [] and say("<") == ["<"]
+
+
 def test_sse(spark):
     lines = ['data: {"choices":[{"delta":{"content":"Hi"}}]}', ": ping", "data: broken", 'data: {"choices":[{"delta":{}}]}', "data: [DONE]", 'data: {"choices":[{"delta":{"content":"late"}}]}']
     df = spark.createDataFrame([("r", i, float(i), x) for i, x in enumerate(lines)], "req_id string, seq int, t double, line string")
