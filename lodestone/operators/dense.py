@@ -126,6 +126,11 @@ class ModelEmbedder:
 EMBEDDERS: dict[str, Callable[[], Embedder]] = {"hash": HashingEmbedder, "hashing": HashingEmbedder, "none": HashingEmbedder, "md5": Md5Embedder}
 
 
+def register_embedder(name: str, dim: int, load: Callable[[], Callable[[list[str]], np.ndarray]], query_prefix: str = "", passage_prefix: str = "") -> None:
+    """Make a model known by its name, with what its questions and passages must begin with."""
+    EMBEDDERS[name.lower()] = lambda: ModelEmbedder(name, dim, load, query_prefix, passage_prefix)
+
+
 def build_embedder(name: str) -> Embedder:
     if name.lower() not in EMBEDDERS:
         raise KeyError(f"no embedder {name!r}; known: {', '.join(sorted(EMBEDDERS))}")

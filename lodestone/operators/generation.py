@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import time
+import urllib.request
 from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
@@ -10,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let, strip_thinking, tokenize
+from ..sources.shared import ready
 
 #: They must hold a phrase of a refusal.
 REFUSAL = {"zh": "提供的規格資料中沒有這項資訊", "en": "That information is not in the provided specifications."}
@@ -60,9 +64,69 @@ class ModelGenerator:
         return prompts.withColumn("answer", run("messages"))
 
 
+def streamed(url: str, messages: list[dict[str, str]], options: dict, timeout: float) -> Iterator[str]:
+    """The pieces of a chat server's answer: a JSON request, answered by server-sent events up to `[DONE]`."""
+    body = json.dumps({"messages": messages, "stream": True, **options}).encode()
+    request = urllib.request.Request(url, body, {"Content-Type": "application/json"})
+    with urllib.request.urlopen(request, timeout=timeout) as lines:
+        for line in lines:
+            text = line.decode("utf-8", "replace").strip()
+            if not text.startswith("data:"):
+                continue
+            if (data := text[5:].strip()) == "[DONE]":
+                return
+            try:
+                piece = json.loads(data)["choices"][0]["delta"].get("content")
+            except (ValueError, LookupError, TypeError, AttributeError):
+                continue
+            if piece:
+                yield piece
+
+
+class ServerGenerator:
+    """A chat server that workers ask over HTTP. Its pieces are timed, so that stream_stats has figures of them."""
+
+    def __init__(self, name: str, url: str, max_tokens: int | None = None, timeout: float = 120.0):
+        self.name, self.url, self.timeout = name, url, timeout
+        self.options = {"model": name} | ({"max_tokens": max_tokens} if max_tokens else {})
+
+    def answer(self, prompts: DataFrame) -> DataFrame:
+        url, options, timeout = self.url, self.options, self.timeout
+        ready(prompts.sparkSession)
+
+        @F.pandas_udf("string")
+        def run(batch: pd.Series) -> pd.Series:
+            return batch.map(lambda ms: "".join(streamed(url, [{"role": m["role"], "content": m["content"]} for m in ms], options, timeout)))
+
+        return prompts.withColumn("answer", run.asNondeterministic()("messages"))
+
+    def pieces(self, prompts: DataFrame) -> DataFrame:
+        """(req_id, seq, t, piece, t0, t_end) for prompts (qid, messages): what stream_stats reads; a request without any piece
+        has one without a text.
+        """
+        url, options, timeout = self.url, self.options, self.timeout
+        ready(prompts.sparkSession)
+        rows = prompts.select("qid", "messages")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for qid, messages in zip(batch["qid"].tolist(), batch["messages"], strict=True):
+                    t0 = time.time()
+                    timed = [(time.time(), piece) for piece in streamed(url, [{"role": m["role"], "content": m["content"]} for m in messages], options, timeout)]
+                    t_end = time.time()
+                    yield pd.DataFrame([(qid, k, t, piece, t0, t_end) for k, (t, piece) in enumerate(timed or [(t_end, "")])], columns=["req_id", "seq", "t", "piece", "t0", "t_end"])
+
+        return rows.mapInPandas(run, f"req_id {rows.schema['qid'].dataType.simpleString()}, seq int, t double, piece string, t0 double, t_end double")
+
+
 GENERATORS: dict[str, Callable[..., Generator]] = {"extractive": ExtractiveGenerator}
 
 
+def register_generator(name: str, make: Callable[..., Generator]) -> None:
+    """Make a generator known by its name; `make` gets the options that build_generator is called with."""
+    GENERATORS[name] = make
+
+
 def build_generator(name: str, **options) -> Generator:
     if name not in GENERATORS:
         raise KeyError(f"no generator {name!r}; known: {', '.join(sorted(GENERATORS))}")
@@ -146,7 +210,16 @@ def stream_stats(pieces: DataFrame, starts: DataFrame) -> DataFrame:
     )
 
 
-def count_tokens(c: Column) -> Column:
-    """Tokens of the lexical tokenizer; model tokenizers are given by the generator."""
-    return F.size(tokenize(c))
+def count_tokens(c: Column, load: Callable[[], Callable[[str], int]] | None = None) -> Column:
+    """Tokens of the lexical tokenizer, or of a model's: `load` makes, once per worker, what counts those of a text."""
+    if load is None:
+        return F.size(tokenize(c))
+    loaded: list = []
+
+    @F.pandas_udf("int")
+    def count(batch: pd.Series) -> pd.Series:
+        if not loaded:
+            loaded.append(load())
+        return batch.map(lambda t: loaded[0](t or ""))
 
+    return count(c)

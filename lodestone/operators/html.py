@@ -129,12 +129,11 @@ def spec_rows(events: DataFrame, list_class: str = SPEC_LIST, title_class: str =
         .withColumn("line", F.coalesce(F.sum(cut.cast("int")).over(in_page().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     )
     linked = end("a") & (F.col("link") != "")
-    part = F.when((F.col("ev") == "data") & (F.col("mode") != ""), F.col("data")).when(linked, F.concat(F.lit(" ("), F.col("link"), F.lit(")")))
-    line = in_page("line")
-    so_far = F.array_join(F.collect_list("part").over(line.rowsBetween(Window.unboundedPreceding, -1)), "")
-    e = e.withColumn("part", part).withColumn("part", F.when(linked & F.contains(so_far, F.col("link")), None).otherwise(F.col("part")))
+    # What a line says, in order: its text, and the target of a link unless the line has it already.
+    part = F.when((F.col("ev") == "data") & (F.col("mode") != ""), F.struct("seq", F.lit("").alias("link"), F.col("data").alias("text"))).when(linked, F.struct("seq", "link", F.concat(F.lit(" ("), F.col("link"), F.lit(")")).alias("text")))
+    said = F.aggregate(F.array_sort(F.collect_list(part)), F.lit(""), lambda line, p: F.when((p["link"] != "") & F.contains(line, p["link"]), line).otherwise(F.concat(line, p["text"])))
     lines = e.groupBy("page_id", "item", "line").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("seq", "part")))), lambda p: p["part"]), "").alias("raw"),
+        said.alias("raw"),
         F.first("mode").alias("mode"),
         F.first("note").alias("note"),
         F.max(closes).alias("closed"),

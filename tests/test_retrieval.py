@@ -9,7 +9,7 @@ from lodestone.operators import fusion
 from lodestone.operators.dense import HashingEmbedder, ModelEmbedder, build_embedder, cosine_search
 from lodestone.operators.generation import ExtractiveGenerator, sse_pieces, stream_stats
 from lodestone.operators.lexical import bm25_search, build_index
-from lodestone.operators.prompt import build_prompts, context, packed, with_thinking_switch
+from lodestone.operators.prompt import build_plain_prompts, build_prompts, context, packed, with_thinking_switch
 from lodestone.plans.retrieval import Answering, Retriever, evaluate_generation, evaluate_retrieval, in_memory_retriever, load_retriever
 from lodestone.sources.tables import check_index, load_index, read_corpus, read_questions, save_index, write_corpus
 from lodestone.streaming.ingest import ingest, read_documents
@@ -163,6 +163,50 @@ def test_model_embedder_averages_tokens(spark):
     assert v == pytest.approx([0.6, 0.8])
 
 
+def test_registries(spark):
+    from lodestone.operators import dense, generation
+
+    dense.register_embedder("Toy", 2, lambda: lambda texts: [[len(t), 1.0] for t in texts], query_prefix="q: ")
+    row = spark.createDataFrame([("a",)], "t string").select(build_embedder("toy").encode(F.col("t")).alias("p"), build_embedder("TOY").encode(F.col("t"), True).alias("q"), generation.count_tokens(F.col("t"), lambda: len).alias("n")).first()
+    assert row.p == pytest.approx([0.5**0.5] * 2) and row.q[0] == pytest.approx(4 / 17**0.5) and row.n == 1
+    generation.register_generator("short", lambda **options: ExtractiveGenerator(**options))
+    assert generation.build_generator("short", max_tokens=3).max_tokens == 3
+    with pytest.raises(KeyError):
+        generation.build_generator("nothing")
+
+
+def test_a_server_is_asked_by_the_workers(spark):
+    import http.server
+    import json
+    import threading
+
+    from lodestone.operators.generation import ServerGenerator
+
+    class Chat(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            self.send_response(200)
+            self.end_headers()
+            for piece in ("<think>hm", "</think>", asked["messages"][-1]["content"].upper(), f" {asked['max_tokens']}"):
+                self.wfile.write(f"data: {json.dumps({'choices': [{'delta': {'content': piece}}]})}\n\n".encode())
+            self.wfile.write(b": ping\n\ndata: broken\n\ndata: {}\n\ndata: [DONE]\n\ndata: {\"choices\":[{\"delta\":{\"content\":\"late\"}}]}\n\n")
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Chat)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        g = ServerGenerator("m", f"http://127.0.0.1:{server.server_port}/v1/chat/completions", max_tokens=7)
+        prompts = build_plain_prompts(queries(spark, "one", "two"), {"zh": "z", "en": "e"})
+        assert sorted(r.answer for r in g.answer(prompts).collect()) == ["<think>hm</think>ONE 7", "<think>hm</think>TWO 7"]
+        pieces = g.pieces(prompts).cache()
+        got = stream_stats(pieces, pieces.select("req_id", "t0", "t_end").distinct()).collect()
+        assert [(r.n_tokens, r.thinking_tokens) for r in got] == [(4, 1)] * 2 and all(0 < r.ttft_s <= r.ttft_answer_s <= r.total_s for r in got)
+    finally:
+        server.shutdown()
+
+
 def test_corpus_and_questions(spark, tmp_path):
     write_corpus(chunks(spark), str(tmp_path / "c"))
     assert read_corpus(spark, str(tmp_path / "c")).orderBy("ord").first().text == CHUNKS[0][4]
