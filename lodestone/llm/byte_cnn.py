@@ -1,8 +1,8 @@
 """A byte-level convolutional network in numpy: filters of several widths, max-pooled over chunks, then a linear layer.
 
 A filter of width w is a table of w x 256 weights: its answer at a place is the sum of one entry for each of w bytes.
-A text is cut into chunks of a fixed length that overlap by the widest filter less one, so that every place of the
-whole text is seen once; bytes beyond the end count as 0. What chunks are combined to is the caller's choice.
+A text is cut into chunks of a fixed length that overlap by the widest filter less one at least, so that every place of the
+whole text is seen; bytes beyond the end count as 0. What chunks are combined to is the caller's choice.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ ROWS = 512
 
 
 def chunks_of(texts: list[bytes], widest: int, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all chunks (n, chunk + widest - 1), and the number of chunks of each text (at least 1)."""
+    """Bytes of all chunks (n, chunk + widest - 1), and the number of chunks of each text (at least 1). `widest` is that of
+    the filters, or more, by which chunks overlap more; at most a chunk.
+    """
     counts = np.array([max(1, -(-len(t) // chunk)) for t in texts], dtype=np.int64)
     flat = np.zeros(int(counts.sum()) * chunk + widest - 1, dtype=np.uint8)
     at = 0

@@ -21,6 +21,8 @@ from .language_id import parts
 
 WIDTHS = (1, 3, 5)
 FILTERS = 8
+#: Bytes of the next chunk that a chunk sees, too.
+OVERLAP = 32
 THRESHOLD = 0.3
 #: Bounds of the training sample: documents, and characters in all.
 SAMPLE, TOTAL = 3000, 24_000_000
@@ -35,7 +37,7 @@ class Model:
     bias: np.ndarray
 
     def predict(self, whole: list[bytes]) -> np.ndarray:
-        rows, counts = chunks_of(whole, self.filters.widest)
+        rows, counts = chunks_of(whole, OVERLAP + 1)
         return 1 / (1 + np.exp(-np.clip(combined(self.filters.pooled(rows), counts) @ self.weights + self.bias[0], -30, 30)))
 
 
@@ -70,7 +72,7 @@ def fit(whole: list[str], labels: list[int], steps: int = STEPS, seed: int = 5)
         model.weights[:] = 0
         model.bias[:] = 4 * (y.mean() - 0.5) if len(y) else 0
         return model
-    rows, counts = chunks_of([t.encode() for t in whole], filters.widest)
+    rows, counts = chunks_of([t.encode() for t in whole], OVERLAP + 1)
     starts = np.cumsum(counts) - counts
     adam = Adam([*filters.tables, model.weights, model.bias], rate=0.02, decay=1e-4)
     for step in range(steps):
