@@ -69,29 +69,30 @@ def values(text: str) -> list[tuple[int, int]]:
     return found + [m.span() for p in (ACCESS, HEX) for m in p.finditer(text)]
 
 
-def entropy(token: str) -> int:
-    n = len(token)
-    return int(-sum(k / n * math.log2(k / n) for k in Counter(token).values()) * 2)
-
-
-VOWELS = frozenset("aeiouyAEIOUY")
-
-
-def shape(token: str) -> list[str]:
-    """Features of the token by itself, all of it."""
-    n = len(token)
-    kinds = ["d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "p" for c in token]
-    held = Counter(kinds)
-    turns = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
-    letters = held["l"] + held["u"]
-    vowels = sum(c in VOWELS for c in token)
-    run = longest = 0
-    for c, k in zip(token, kinds, strict=True):
-        run = run + 1 if k in "lu" and c not in VOWELS else 0
-        longest = max(longest, run)
+#: Letters as vowels (v) or consonants (c), large or small, digits as d, dots and slashes as they are, hyphens and underscores
+#: as -, plus signs as p; and the same by kinds of characters only.
+FORM = str.maketrans({c: ("v" if c.lower() in "aeiouy" else "c") if c.islower() else ("V" if c.lower() in "aeiouy" else "C") for c in string.ascii_letters} | dict.fromkeys(string.digits, "d") | {"_": "-", "+": "p"})
+KIND = str.maketrans({"v": "l", "c": "l", "V": "u", "C": "u", ".": "p", "/": "p", "-": "p"})
+ALIKE, CONSONANTS, ALL_HEX = re.compile("l+|u+|d+|p+"), re.compile("[cC]+"), re.compile("[0-9a-f]+")
+
+
+def form(token: str) -> tuple[str, int, bool, str]:
+    """All that shape() looks at: the form of the token, its number of different characters, whether all are hex digits,
+    and what a long token begins with.
+    """
+    return token.translate(FORM), len(set(token)), ALL_HEX.fullmatch(token) is not None, token[:4] if len(token) >= 12 and token[:4].isalpha() else ""
+
+
+def shape(of: str, different: int, hexa: bool, head: str) -> list[str]:
+    """Features of a token by itself, all of it, from its form."""
+    n, kinds = len(of), of.translate(KIND)
+    held = {k: kinds.count(k) for k in "lupd"}
+    turns = len(ALIKE.findall(kinds)) - 1
+    letters, vowels = held["l"] + held["u"], of.count("v") + of.count("V")
+    longest = max(map(len, CONSONANTS.findall(of)), default=0)
     size = f"{min(n, 8)}" if n < 12 else f"{min(n // 4, 10) * 4}+"
     which = "".join(k for k in "lupd" if held[k])
-    usual = "w" if kinds[1:].count("l") == n - 1 else "U" if held["u"] == n else ""
+    usual = "w" if held["l"] - (kinds[0] == "l") == n - 1 else "U" if held["u"] == n else ""
     return [
         "any",
         f"size={size}",
@@ -100,15 +101,16 @@ def shape(token: str) -> list[str]:
         f"digits={held['d'] * 4 // n}",
         f"turns={min(turns * 8 // n, 5)}",
         f"turns,size={min(turns, 6)},{min(n // 8, 4)}",
-        f"hex={int(all(c in '0123456789abcdef' for c in token))},{min(n // 8, 3)}",
+        f"hex={int(hexa)},{min(n // 8, 3)}",
         f"vowels={vowels * 6 // max(letters, 1) if letters else 'none'}",
         f"consonants={min(longest, 7)}",
         f"consonants,usual={min(longest, 7)},{usual},{min(n // 8, 3)}",
-        f"dots={min(token.count('.'), 3)}",
-        f"slashes={min(token.count('/'), 3)}",
-        f"marks={min(token.count('-') + token.count('_'), 5)},{which}",
-        f"entropy={entropy(token)}",
-        f"head={token[:4]}" if token[:4].isalpha() and n >= 12 else "head",
+        f"dots={min(of.count('.'), 3)}",
+        f"slashes={min(of.count('/'), 3)}",
+        f"marks={min(of.count('-'), 5)},{which}",
+        f"different={min(different, 24)}",
+        f"different,size={different * 8 // n},{min(n // 8, 4)}",
+        f"head={head}",
     ]
 
 
@@ -153,7 +155,7 @@ class Field:
         out = np.zeros((len(spans), 3))
         for i, (start, end) in enumerate(spans):
             before, after, gap, following = around(*neighbours(text, spans, i))
-            out[i] = whole + self.of(shape(text[start:end])) + self.of([before], "before=?") + self.of([after], "after=?") + self.of([gap, following])
+            out[i] = whole + self.of(shape(*form(text[start:end]))) + self.of([before], "before=?") + self.of([after], "after=?") + self.of([gap, following])
         return out
 
     def viterbi(self, unary: np.ndarray) -> list[int]:
@@ -178,18 +180,30 @@ class Decoder(dict):
         self.field = field
         gains = lambda v: (float(v[B] - v[O]), float(v[I] - v[O]))
         self.gains = gains
+        self.feature = {name: gains(field.seen[k]) for name, k in field.names.items()}
+        self.forms: dict[tuple, tuple[float, float]] = {}
         steps = field.steps
         # What the steps to and from a tag can give more than those to and from O, at most.
         into, out = steps - steps[:, [O]], steps - steps[[O], :]
         self.slack = tuple(float(into[:, t].max() + out[t].max()) for t in (B, I))
-        self.gaps = {side: {k: gains(field.of([f"{side}={k}"])) for k in ("", "=", ":", "@", "'")} for side in ("gap", "next")}
-        self.none = gains(field.of(["before="], "before=?")), gains(field.of(["after="], "after=?"))
+        self.gaps = {side: {k: self.feature.get(f"{side}={k}", (0.0, 0.0)) for k in ("", "=", ":", "@", "'")} for side in ("gap", "next")}
+        rare = [self.feature.get(f, (0.0, 0.0)) for f in ("before=?", "after=?")]
+        self.none = tuple(self.feature.get(f, r) for f, r in zip(("before=", "after="), rare, strict=True))
+        self.rare = rare[0] + rare[1]
+        self.beside = {name.split("=", 1)[1]: () for name in field.names if name.startswith(("before=", "after="))}
+        for word in self.beside:
+            self.beside[word] = self.feature.get(f"before={word}", rare[0]) + self.feature.get(f"after={word}", rare[1])
 
     def __missing__(self, token: str) -> tuple[float, ...]:
         if len(self) >= KEPT:
             self.clear()
-        field, low = self.field, token.lower()
-        self[token] = found = (*self.gains(field.of(shape(token))), *self.gains(field.of([f"before={low}"], "before=?")), *self.gains(field.of([f"after={low}"], "after=?")))
+        own = form(token)
+        if (gain := self.forms.get(own)) is None:
+            if len(self.forms) >= KEPT:
+                self.forms.clear()
+            known = [self.feature[f] for f in shape(*own) if f in self.feature]
+            gain = self.forms[own] = (math.fsum(g for g, _ in known), math.fsum(g for _, g in known))
+        self[token] = found = gain + self.beside.get(token.lower(), self.rare)
         return found
 
     def spans(self, text: str) -> list[tuple[int, int]]:
@@ -380,7 +394,7 @@ def fit(sample: list[str], pieces: int = PIECES, epochs: int = 90, rate: float =
     for c, (text, spans, marks, file) in enumerate(chains):
         tags[c, : len(marks)] = marks
         for i, (start, end) in enumerate(spans):
-            for f in shape(text[start:end]) + file:
+            for f in shape(*form(text[start:end])) + file:
                 own_at.append(c * t + i)
                 own.append(names.setdefault(f, len(names)))
             for f in near[c][i]:
