@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
-from ..operators.generation import stream_stats
+from ..operators.generation import REFUSAL, build_generator, stream_stats
+from ..plans.retrieval import Answering
 from ..sources.shared import stored
-from .common import table
-from .retrieval import TOP, bm25_sql, bm25_topk
+from .common import table, tokens_sql
+from .retrieval import DENSE_FUSED, FUSED, SPARSE_FUSED, TOP, bm25_sql, bm25_topk, rescued_sql, retriever
 
 
 def gold(spark, sf) -> DataFrame:
@@ -42,6 +43,27 @@ def recall_sweep(spark, sf) -> DataFrame:
     return E.retrieval_scores(sets.select("qid").crossJoin(F.broadcast(configs.select("config"))).join(first, ["config", "qid"], "left"), (1, 3), by=["config"])
 
 
+def mode_sweep(spark, sf) -> DataFrame:
+    """Each mode's own hits, scored against the same gold."""
+    sets = stored(gold(spark, sf))
+    r, asked = retriever(spark, sf)
+    first = None
+    for mode in ("dense", "bm25", "hybrid"):
+        r.mode = mode
+        hits = r.search(asked, 5).select("qid", "rank", F.col("ord").alias("doc_id"))
+        one = E.first_gold(hits, sets).withColumn("mode", F.lit(mode))
+        first = one if first is None else first.unionByName(one)
+    return E.retrieval_scores(first, by=["mode"])
+
+
+def answers(spark, sf) -> DataFrame:
+    """Items answered from the context of their lexical hits, by the generator that quotes."""
+    r, asked = retriever(spark, sf)
+    r.mode = "bm25"
+    made = Answering(r, build_generator("extractive"), "Pro 16", 5).answer(asked.select("qid", "text"))
+    return made.select("qid", "lang", "n_used", "context_chars", F.md5("answer").alias("answer_md5"))
+
+
 def latency_medians(spark, sf) -> DataFrame:
     runs = table(spark, sf, "events").select(F.col("user_id").alias("qid"), "event_type", "value")
     per = runs.groupBy("qid", "event_type").agg(F.percentile("value", 0.5).alias("value"))
@@ -81,6 +103,7 @@ qs AS (SELECT DISTINCT qid FROM gold)"""
 FIRST = "SELECT q.qid, min(s.rank) AS first FROM qs q LEFT JOIN (SELECT s.* FROM sparse s JOIN gold g USING (qid, ord)) s USING (qid) GROUP BY q.qid"
 RATE = "round(avg(CASE WHEN first < {0} THEN 1.0::DOUBLE ELSE 0.0 END), 4) AS recall_at_{0}"
 MRR = "round(avg(coalesce(1.0::DOUBLE / (first + 1), 0.0)), 4) AS mrr"
+MODES = " UNION ALL ".join(f"SELECT '{mode}' AS mode, qid, ord, rank FROM (WITH {rescued_sql(5, fused)} SELECT qid, ord, rank FROM final)" for mode, fused in (("dense", DENSE_FUSED), ("bm25", SPARSE_FUSED), ("hybrid", FUSED)))
 PIECES = """p AS (SELECT user_id AS req_id, epoch_us(ts) AS seq, epoch_us(ts) / 1e6 AS t,
        CASE event_type WHEN 'view' THEN '<think>' WHEN 'click' THEN '</think>' WHEN 'error' THEN '' ELSE event_type END AS piece FROM events),
 k AS (SELECT *, max((piece = '<think>')::INT) OVER w AS opened, max((piece = '</think>')::INT) OVER w AS closed, string_agg(piece, '') OVER w AS seen
@@ -99,6 +122,24 @@ QUERIES = {
         recall_sweep,
         f"WITH {GOLD}, cfg AS (SELECT * FROM (VALUES ('narrow', 3), ('wide', {TOP})) t(config, top_k)), f AS (SELECT c.config, q.qid, min(s.rank) AS first FROM cfg c CROSS JOIN qs q LEFT JOIN (SELECT s.* FROM sparse s JOIN gold g USING (qid, ord)) s ON s.qid = q.qid AND s.rank < c.top_k GROUP BY ALL) SELECT config, count(*) AS n_questions, {RATE.format(1)}, {RATE.format(3)}, {MRR} FROM f GROUP BY config",
     ),
+    "mode_sweep": (
+        mode_sweep,
+        f"""WITH hits AS ({MODES}), gold AS (SELECT DISTINCT b.item_id AS qid, d.doc_id AS ord FROM benchmark b JOIN documents d ON contains(d.text, b.text) JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1),
+qs AS (SELECT DISTINCT qid, mode FROM gold, (SELECT unnest(['dense', 'bm25', 'hybrid']) AS mode)), f AS (SELECT q.mode, q.qid, min(h.rank) AS first FROM qs q LEFT JOIN (SELECT * FROM hits JOIN gold USING (qid, ord)) h ON h.qid = q.qid AND h.mode = q.mode GROUP BY ALL)
+SELECT mode, count(*) AS n_questions, {RATE.format(1)}, {RATE.format(3)}, {RATE.format(5)}, {MRR} FROM f GROUP BY mode""",
+    ),
+    "answers": (
+        answers,
+        f"""WITH {rescued_sql(5, SPARSE_FUSED)},
+l AS (SELECT f.qid, f.rank, '[' || row_number() OVER (PARTITION BY f.qid ORDER BY f.rank) || '] ' || d.text AS line FROM final f JOIN documents d ON d.doc_id = f.ord),
+u AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY qid ORDER BY rank) - 1 AS upto FROM l),
+c AS (SELECT qid, count(*) AS n, string_agg(line, chr(10) ORDER BY rank) AS context FROM u WHERE upto <= 2400 GROUP BY qid),
+a AS (SELECT item_id AS qid, {tokens_sql("text")} AS asked, coalesce(n, 0) AS n_used, coalesce(context, '') AS context FROM benchmark LEFT JOIN c ON c.qid = item_id),
+x AS (SELECT qid, asked, unnest(list_filter(string_split(context, chr(10)), lambda x: x <> '')) AS line, generate_subscripts(list_filter(string_split(context, chr(10)), lambda x: x <> ''), 1) AS i FROM a),
+y AS (SELECT qid, line, i, len(list_intersect(asked, {tokens_sql("line")})) AS n FROM x),
+best AS (SELECT qid, arg_max(line, n * 100000 - i) AS line FROM y WHERE n > 0 GROUP BY qid)
+SELECT a.qid, 'en' AS lang, n_used, length(context)::INT AS context_chars, md5(CASE WHEN line IS NULL THEN '{REFUSAL["en"]}' ELSE regexp_replace(line, '^(\\[\\d+\\]) (.*)$', '\\2 \\1') END) AS answer_md5 FROM a LEFT JOIN best USING (qid)""",
+    ),
     "latency_medians": (latency_medians, "SELECT event_type, coalesce(round(quantile_cont(CASE WHEN v <> 0 THEN v END, 0.5), 4), 0.0) AS value_median, count(*) AS n FROM (SELECT user_id, event_type, quantile_cont(value, 0.5) AS v FROM events GROUP BY ALL) GROUP BY event_type"),
     "token_stats": (
         token_stats,
