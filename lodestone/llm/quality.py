@@ -60,9 +60,7 @@ def spread(upper: np.ndarray, pooled: np.ndarray, counts: np.ndarray) -> np.ndar
 
 
 def fit(whole: list[str], labels: list[int], steps: int = STEPS, seed: int = 5) -> Model:
-    """Both classes have the same weight in training; the bias is then moved by the logarithm of their odds, so that scores
-    are probabilities at the classes' true shares.
-    """
+    """Both classes have the same weight in training, so scores are probabilities as if they were equally frequent."""
     rng = np.random.default_rng(seed)
     filters = Filters.random(WIDTHS, FILTERS, rng)
     model = Model(filters, rng.normal(0, 0.05, 3 * FILTERS * len(WIDTHS)).astype(np.float32), np.zeros(1, dtype=np.float32))
@@ -88,7 +86,6 @@ def fit(whole: list[str], labels: list[int], steps: int = STEPS, seed: int = 5)
         seen = combined(pooled, n)
         g = ((1 / (1 + np.exp(-np.clip(seen @ model.weights + model.bias[0], -30, 30))) - y[picked]) / len(picked)).astype(np.float32)
         adam.step([*filters.gradient(part, places, spread(g[:, None] * model.weights, pooled, n)), seen.T @ g, g.sum(keepdims=True)])
-    model.bias += np.float32(np.log(len(groups[1]) / len(groups[0])))
     return model
 
 
