@@ -379,7 +379,7 @@ def log_likelihood(unary: np.ndarray, steps: np.ndarray, tags: np.ndarray, lengt
     return by_token, by_step
 
 
-def fit(sample: list[str], pieces: int = PIECES, epochs: int = 90, rate: float = 0.15, decay: float = 2e-4, hidden: float = 0.5, seed: int = 7) -> Field:
+def fit(sample: list[str], pieces: int = PIECES, epochs: int = 50, rate: float = 0.2, decay: float = 2e-4, hidden: float = 0.5, seed: int = 7) -> Field:
     """A field fitted to pieces of the sample by gradient steps on all of them; without any text it tags all as outside."""
     made = examples(sample, pieces, random.Random(seed))
     chains = [(text, spans, tags_of(spans, secrets), file) for text, secrets, file in made if (spans := [m.span() for m in TOKEN.finditer(text)])]
