@@ -64,8 +64,9 @@ def dropped(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder. One of less than SMALL bytes, in which a task or two would read all, is dealt to all cores
-    first; larger ones are read as they lie.
+    first, to as many parts as shuffles have at least; larger ones are read as they lie.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(spark.sparkContext.defaultParallelism) if (1 << 16) < size < SMALL else df
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts) if (1 << 16) < size < SMALL else df
