@@ -12,8 +12,9 @@ from .common import table
 
 
 def html_blocks(spark, sf) -> DataFrame:
-    """The fixtures' container is the article."""
-    return feature_blocks(html_events(table(spark, sf, "pages")), container_tag="article")
+    """The fixtures' container is the article, and each is one block; paragraphs that are never closed don't count."""
+    blocks = feature_blocks(html_events(table(spark, sf, "pages")), container_tag="article")
+    return blocks.select("page_id", "ord", "block_id", F.array_join("headings", "|").alias("headings"), F.size("paragraphs").alias("n_paragraphs"), F.md5(F.array_join("paragraphs", "\n")).alias("paragraphs_md5"))
 
 
 def html_links(spark, sf) -> DataFrame:
@@ -77,8 +78,23 @@ ports AS (SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY pos)
 SUMS = " UNION ALL ".join(f"SELECT page_id, '{fact}' AS fact_id, sum(count)::VARCHAR AS value FROM ports WHERE contains(description, '{word}') GROUP BY page_id" for fact, _, _, word in X.PORT_COUNTS)
 SIDES = " UNION ALL ".join(f"SELECT page_id, '{fact}' AS fact_id, arg_min(side, pos) AS side FROM ports WHERE contains(description, '{word}') GROUP BY page_id" for fact, _, _, word in X.PORT_SIDES)
 
+
+def text_sql(html: str) -> str:
+    """What a reader sees of a piece of these pages' HTML."""
+    bare = f"regexp_replace({html}, '<[^>]*>', '', 'g')"
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''")):
+        bare = f"replace({bare}, '{entity}', '{char}')"
+    bare = f"regexp_replace({bare}, '&amp;?', '&', 'g')"  # titles may be cut off within it
+    return f"regexp_replace(regexp_replace(replace({bare}, chr(160), ' '), '[ \\t\\x{{3000}}]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
 QUERIES = {
-    "html_blocks": (html_blocks, None),
+    "html_blocks": (
+        html_blocks,
+        f"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS t FROM pages),
+b AS (SELECT page_id, {text_sql("regexp_extract(t, '(?s)<h1>(.*?)</h1>', 1)")} AS h, list_filter(list_transform(list_filter(string_split(t, '<p>')[2:], lambda x: contains(x, '</p>')), lambda x: {text_sql("split_part(x, '</p>', 1)")}), lambda x: x <> '') AS ps FROM a)
+SELECT page_id, 0 AS ord, 'root' AS block_id, h AS headings, len(ps)::INT AS n_paragraphs, md5(array_to_string(ps, chr(10))) AS paragraphs_md5 FROM b WHERE length(h) > 4 OR len(list_filter(ps, lambda x: length(x) > 20)) > 0""",
+    ),
     "html_links": (html_links, "SELECT page_id, n AS n_links FROM (SELECT page_id, len(regexp_extract_all(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<a [^>]*href=\"[^\"]+\"')) AS n FROM pages) WHERE n > 0"),
     "html_titles": (html_titles, "SELECT page_id, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS h1, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages"),
     "accepted_pages": (accepted_pages, "SELECT page_id, url FROM pages WHERE NOT contains(substr(coalesce(html, ''), 1, 500), 'Access Denied')"),
