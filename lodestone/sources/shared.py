@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Bytes below which a table is taken to lie in a row group or two, which no more tasks than that can read.
 SMALL = 64 << 20
+#: Bytes of a part that such a table is dealt to, unless there are more cores.
+PART = 128 << 10
 
 
 def ready(spark: SparkSession) -> None:
@@ -64,9 +66,9 @@ def dropped(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder. One of less than SMALL bytes, in which a task or two would read all, is dealt to all cores
-    first, to as many parts as shuffles have at least; larger ones are read as they lie.
+    first, or to as many parts as shuffles have, if these are not too small; larger ones are read as they lie.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(spark.sparkContext.defaultParallelism, min(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART))
     return df.repartition(parts) if (1 << 16) < size < SMALL else df
