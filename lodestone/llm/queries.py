@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, exact_dedup, language_id, near_dedup, quality, secret_scan, token_counts, toxicity, url_filter
+from . import byte_bpe, decontamination, exact_dedup, language_id, near_dedup, quality, quality_rules, secret_scan, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op12_quality_rules": quality_rules.op12_quality_rules,
 }
 
 ORACLE_SQL = {
     "op5_url_filters": url_filter.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op12_quality_rules": quality_rules.ORACLE_SQL,
 }
