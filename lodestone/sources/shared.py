@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,10 +46,38 @@ def _hadoop(spark: SparkSession, path: str):
     return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+#: Tables that stored() wrote since the innermost scratch() began.
+_SCRATCH: ContextVar[list[DataFrame]] = ContextVar("scratch", default=[])  # noqa: B039
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A span whose stored tables are deleted when it ends, but for those given to the function that it yields.
+
+    What is returned must read none of the others any more: only tables that were kept, and no lazy plan over the rest.
+    """
+    outer, made, kept = _SCRATCH.get(), [], set()
+    token = _SCRATCH.set(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.stored_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _SCRATCH.reset(token)
+        for df in made:
+            if df.stored_at in kept:
+                outer.append(df)
+            else:
+                dropped(df)
+
+
 def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and lost executors cost nothing before it.
 
-    The files go when the driver's JVM ends, or by dropped().
+    The files go when the driver's JVM ends, by dropped(), or at the end of the scratch() that they are made in.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
@@ -55,6 +86,7 @@ def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     files.deleteOnExit(hadoop_path)
     back = spark.read.schema(df.schema).parquet(path)
     back.stored_at = path
+    _SCRATCH.get().append(back)
     return back
 
 
