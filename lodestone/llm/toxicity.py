@@ -25,10 +25,15 @@ from .labelled import labelled_sample
 
 #: Identity terms whose exchange must not change a score.
 IDENTITY_TERMS = """
-women men girls boys gay lesbian transgender straight black white asian latino arab african european american
-mexican chinese indian jewish muslim christian hindu buddhist atheist catholic immigrants refugees disabled deaf
-blind elderly young poor veterans femmes hommes noirs juifs musulmans immigrés frauen männer schwarze juden muslime
-flüchtlinge mujeres hombres negros judíos musulmanes inmigrantes
+woman women man men girl girls boy boys female females male males lady ladies mother mothers father fathers
+gay gays lesbian lesbians bisexual bisexuals trans transgender transsexual queer straight heterosexual homosexual homosexuals nonbinary intersex asexual
+black blacks white whites brown asian asians latino latinos latina hispanic hispanics arab arabs african africans european europeans american americans
+mexican mexicans chinese japanese korean vietnamese indian indians pakistani russian russians german germans french spanish italian polish turkish irish
+jewish jews jew muslim muslims islamic christian christians hindu hindus buddhist buddhists sikh atheist atheists catholic catholics protestant mormon
+immigrant immigrants migrant migrants refugee refugees foreigner foreigners disabled deaf blind autistic elderly old young poor rich homeless teenagers veterans gypsy roma native indigenous
+femme femmes homme hommes noir noirs noire juif juifs juive musulman musulmans musulmane arabe arabes étranger étrangers immigré immigrés réfugié réfugiés gays lesbiennes homosexuels
+frau frauen mann männer schwarze schwarzen jude juden jüdisch muslimisch muslime ausländer flüchtling flüchtlinge einwanderer schwule lesben behinderte türken
+mujer mujeres hombre hombres negro negros negra judío judíos musulmán musulmanes musulmana árabe árabes inmigrante inmigrantes extranjero extranjeros refugiados gitano gitanos
 """.split()
 WORD = re.compile(r"[^\W\d_]+")
 SLOTS = 1 << 18

@@ -275,3 +275,36 @@ def test_secrets(spark, edge_docs, no_docs, field):
     rows = sorted(S.digest(S.scan_secrets(docs, field)).collect(), key=lambda r: -len(r.spans))
     assert rows[0].spans == "assign:2:30,hex:14:30,crf:14:30,crf:36:76" and rows[0].base_sha256 == hashlib.sha256(b"assign:2:30,hex:14:30").hexdigest()
     assert [(r.n_assign, r.spans, r.base_sha256) for r in rows[1:]] == [(0, "", hashlib.sha256(b"").hexdigest())] * 2
+
+
+def test_a_text_beyond_the_bound_is_passed_over(spark):
+    """One text of 30 million characters: it stays where it is, and the sample goes on without it."""
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, F.repeat(F.concat(F.lit("abcde "), "id"), F.lit(4_300_000))).otherwise(F.concat(F.lit("text "), "id")).alias("text"))
+    docs = docs.unionByName(docs.filter("doc_id = 3"))
+    labels = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    texts, marks = labelled_sample(docs, labels, "quality", 100, 24_000_000, held_out=9)
+    assert sorted(texts) == sorted(f"text {i}" for i in range(40) if i != 7) and len(marks) == 39
+    assert sorted(sample_texts(docs, 100, 24_000_000)) == sorted(texts)
+    assert sample_texts(docs.filter("doc_id = 7"), 100, 24_000_000) == []
+
+
+def test_mentions_of_groups_that_are_not_listed(spark):
+    """Neutral sentences on groups, in words that training never swapped, are no more toxic than without the mention."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(400)]
+    groups = ["women", "muslims", "gay", "refugees"]
+    texts, marks = [], []
+    for i in range(1500):
+        ws = rng.choices(words, k=20)
+        if i % 4 == 0:
+            ws[3:3] = ["stupid", "disgusting", "idiots"] + [rng.choice(groups)] * (i % 8 == 0)
+        elif i % 40 == 1:
+            ws[5:5] = [rng.choice(groups)]
+        texts.append(" ".join(ws))
+        marks.append(int(i % 4 == 0))
+    model = X.fit(texts, marks)
+    neutral = [" ".join(rng.choices(words, k=20)) for _ in range(200)]
+    for term in ["women", "transgender", "samoans", "quechua", "zoroastrians"]:
+        change = [model.logit(X.words_of(t + " " + term)) - model.logit(X.words_of(t)) for t in neutral]
+        assert max(change) < 0.5
+    assert sum(model.logit(X.words_of(t + " stupid disgusting idiots")) > 0 for t in neutral) > 180
