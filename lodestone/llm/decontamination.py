@@ -23,6 +23,7 @@ import string
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 from itertools import chain, repeat
 
 import numpy as np
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready, table, texts
+from .common import ready, stored, table, texts
 
 #: Words of half a passage.
 HALF = 32
@@ -53,8 +54,8 @@ LONGEST, ITEMS, TOGETHER = 60, 20_000, 2000
 RUN = 1 << 13
 #: Terms of a slice when sums are moved.
 SLICE = 64
-#: Words of the benchmark that a worker holds; of a larger benchmark it works out the words' rows as it meets them, and keeps
-#: those of so many.
+#: Words of the benchmark that a worker holds as such; of a larger benchmark it holds 8 bytes of a second digest for each word,
+#: and the rows of so many words that it has met.
 KEPT = 400_000
 
 SPACES = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
@@ -90,34 +91,48 @@ def hashed(word: bytes) -> int:
     return zlib.crc32(word) % HASHES
 
 
+def digest(word: bytes) -> int:
+    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+
+
 class Rows(dict):
-    """The rows of the words met so far; -1 for hashes that no item's word has."""
+    """The rows of the words met so far; -1 for words that no item has, whatever their hash: digests tell them apart."""
 
-    def __init__(self, place: np.ndarray):
+    def __init__(self, place: np.ndarray, digests: np.ndarray):
         super().__init__()
-        self.place = place
+        self.place, self.digests = place, digests
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= KEPT:
             self.clear()
-        self[word] = found = int(self.place[hashed(word)])
-        return found
+        row = int(self.place[hashed(word)])
+        if row >= 0:
+            own = np.uint64(digest(word))
+            at = int(np.searchsorted(self.digests, own))
+            row = row if at < len(self.digests) and self.digests[at] == own else -1
+        self[word] = row
+        return row
 
 
 @dataclass
 class Vocabulary:
-    """The row of each hash that a word of an item has (else -1), the number of rows, and the words if they are few enough."""
+    """The row of each hash that a word of an item has (else -1), the number of rows, and the words if they are few enough, or
+    else their digests in order.
+    """
 
     place: np.ndarray
     size: int
     words: dict[bytes, int] | None
+    digests: np.ndarray
 
     @classmethod
     def of(cls, items: list[Item]) -> Vocabulary:
         place, words = np.full(HASHES, -1, dtype=np.int32), {w for item in items for w in item.words}
         used = sorted({hashed(w) for w in words})
         place[used] = np.arange(len(used)) % ROWS
-        return cls(place, min(len(used), ROWS), {w: int(place[hashed(w)]) for w in words} if len(words) <= KEPT else None)
+        few = len(words) <= KEPT
+        digests = np.zeros(0, np.uint64) if few else np.sort(np.fromiter(map(digest, words), np.uint64, len(words)))
+        return cls(place, min(len(used), ROWS), {w: int(place[hashed(w)]) for w in words} if few else None, digests)
 
     def rows(self, words: list[bytes]) -> np.ndarray:
         return self.place[[hashed(w) for w in words]]
@@ -127,7 +142,7 @@ class Corpus:
     """Texts as arrays of benchmark words."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.known, self.rows = vocabulary.words, Rows(vocabulary.place)
+        self.known, self.rows = vocabulary.words, Rows(vocabulary.place, vocabulary.digests)
 
     def read(self, whole: list[str]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
         """Words of each text; number of halves of each; and, for words of items, half and row."""
@@ -361,25 +376,31 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
     lcs is the share of the item's words, in their order, that a passage has; answer the share of its answer's words
     (those of answer_col, else its rarest). Null and empty texts on either side hold nothing; a null or empty answer is
-    taken to be missing. Repeated rows give repeated results; null ids are kept; of parts or items that tie the best cosine
+    taken to be missing. Texts of any length are read whole, some thousand characters at a time. Repeated rows give repeated
+    results; null ids are kept; items that share an id, or have none, count as one; of parts or items that tie the best cosine
     counts; further columns are ignored; empty tables give an empty result. Items of more than 60 words are looked for in
     parts, one of which is enough; each part keeps the item's answer. The benchmark is the query set: it comes to the
     driver, and goes to the machines in blocks of 20,000 items, each with its own search of the corpus in the space that
-    all blocks share.
+    all blocks share. With several blocks the rows are stored first, under a number of their own.
     """
     ready(docs.sparkSession)
     rows = texts(docs, id_col, text_col)
     asked = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text"), (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("answer"))
     asked = asked.filter(F.col("text").isNotNull()).distinct()
-    kinds = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {asked.schema['item_id'].dataType.simpleString()}, cosine double, lcs double, answer double"
+    kinds = f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {asked.schema['item_id'].dataType.simpleString()}, cosine double, lcs double, answer double"
     items = parts_of(sorted(((r.item_id, r.text, r.answer) for r in asked.toLocalIterator()), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or "")))
     found = docs.sparkSession.createDataFrame([], kinds)
+    many = len(items) > ITEMS
+    # A row is known by its number in all blocks' searches, so what it holds of several blocks meets, and no other row's does.
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id())) if many else rows.withColumn("row", F.lit(0).cast("long"))
     if (space := fit(rows, items, rank)) is not None:
         sent = docs.sparkSession.sparkContext.broadcast(space)
         for k in range(0, len(items), ITEMS):
             search = searched(rows, items[k : k + ITEMS], sent, kinds)
-            found = search if len(items) <= ITEMS else found.unionByName(search)
-    return found if len(items) <= ITEMS else found.groupBy("doc_id", "item_id").agg(*[F.max_by(c, F.struct("lcs", "answer", "cosine")).alias(c) for c in ("cosine", "lcs", "answer")])
+            found = found.unionByName(search) if many else search
+    if many:
+        found = found.groupBy("row", "doc_id", "item_id").agg(*[F.max_by(c, F.struct("lcs", "answer", "cosine")).alias(c) for c in ("cosine", "lcs", "answer")])
+    return found.drop("row")
 
 
 def searched(rows: DataFrame, items: list[Item], sent, kinds: str) -> DataFrame:
@@ -387,10 +408,10 @@ def searched(rows: DataFrame, items: list[Item], sent, kinds: str) -> DataFrame:
         space = sent.value
         checker, corpus = Checker(items, space), Corpus(space.vocabulary)
         for batch in batches:
-            whole, doc = batch["text"].tolist(), batch["doc_id"].tolist()
+            whole, doc, row = batch["text"].tolist(), batch["doc_id"].tolist(), batch["row"].tolist()
             for part in runs_of(whole):
                 if out := checker.leaks(whole[part], corpus):
-                    yield pd.DataFrame([(doc[part.start + t], i, c, lcs, a) for t, i, c, lcs, a in out], columns=["doc_id", "item_id", "cosine", "lcs", "answer"])
+                    yield pd.DataFrame([(row[part.start + t], doc[part.start + t], i, c, lcs, a) for t, i, c, lcs, a in out], columns=["row", "doc_id", "item_id", "cosine", "lcs", "answer"])
 
     return rows.mapInPandas(run, kinds)
 
