@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import dropped, ready, shared_dir, stored, table
+from ..sources.shared import dropped, ready, scratch, shared_dir, stored, table
 
-__all__ = ["crc_mod", "dropped", "hot_keys", "join_one", "ready", "shared_dir", "stored", "table", "texts"]
+__all__ = ["crc_mod", "dropped", "hot_keys", "join_one", "ready", "scratch", "shared_dir", "stored", "table", "texts"]
 
 #: A key with more than one row in so many is hot: there are fewer of them than that, whatever the size of the input.
 HOT_SHARE = 4096

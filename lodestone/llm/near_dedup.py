@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_one, ready, stored, table, texts
+from .common import hot_keys, join_one, ready, scratch, stored, table, texts
 from .components import components
 
 WORDS = 5
@@ -39,6 +39,8 @@ LEFT_BLOCK, ALL_BLOCK = 1024, 2048
 #: Buckets of more nodes, with more than CROWD * LEFT_BLOCK pairs to compare, get new centres first, up to STEPS times
 #: and as long as a time saves SAVED of these pairs. What is apart then is compared whole all the same.
 CROWD, STEPS, SAVED = 2048, 24, 0.05
+#: Pairs of one centre that meet a copy of its bag.
+MEET = 1024
 #: About so many nodes of a crowded bucket say what a new centre should look like.
 SAMPLE = 512
 #: Bytes of text hashed at once.
@@ -229,6 +231,20 @@ def overlap(h1: bytes, c1: bytes, h2: bytes, c2: bytes) -> float:
     return both / (total - both) if total > both else 1.0
 
 
+def to_both(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (u, v), stored, with what left has for u and right for v.
+
+    Many pairs may share their v, the centre of a bucket. The rows of right for such v are copied for every MEET pairs or so, and
+    the pairs dealt to the copies, so that no task gets all of them. v that are not hot have no more rows than one in HOT_SHARE.
+    """
+    counts = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    often = F.broadcast(hot_keys(counts, "n", pairs.count()).select("v", F.ceil(F.col("n") / MEET).alias("copies")))
+    copies = F.coalesce("copies", F.lit(1).cast("long"))
+    dealt = pairs.join(often, "v", "left").withColumn("copy", F.pmod(F.xxhash64("u"), copies)).drop("copies")
+    copied = right.join(often, "v", "left").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("copies")
+    return dealt.join(left, "u").join(copied, ["v", "copy"]).drop("copy")
+
+
 def confirm(pairs: DataFrame, bagged: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) whose bags overlap so far."""
     left = bagged.select(F.col("node").alias("u"), F.col("h").alias("h1"), F.col("c").alias("c1"))
@@ -239,7 +255,7 @@ def confirm(pairs: DataFrame, bagged: DataFrame, similarity: float) -> DataFrame
             keep = [overlap(*x) >= similarity - 1e-9 for x in zip(b["h1"], b["c1"], b["h2"], b["c2"], strict=True)]
             yield b.loc[np.array(keep, dtype=bool), ["u", "v"]]
 
-    return stored(pairs.join(left, "u").join(right, "v").mapInPandas(run, "u long, v long"))
+    return stored(to_both(stored(pairs), left, right).mapInPandas(run, "u long, v long"))
 
 
 def estimate(equal: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
@@ -258,7 +274,7 @@ def plausible_pairs(pairs: DataFrame, sigs: DataFrame, plausible: float) -> Data
                 one, two = (np.frombuffer(b"".join(b[s]), dtype=np.uint8).reshape(len(b), -1) for s in ("s1", "s2"))
                 yield b.loc[estimate((one == two).sum(axis=1)) >= plausible, ["u", "v"]]
 
-    return pairs.join(left, "u").join(right, "v").mapInPandas(run, "u long, v long")
+    return to_both(stored(pairs), left, right).mapInPandas(run, "u long, v long")
 
 
 def spread(shared: DataFrame, ends: DataFrame) -> DataFrame:
@@ -393,20 +409,47 @@ def across(members: DataFrame, plausible: float, similarity: float) -> DataFrame
     return stored(dealt.mapInPandas(run, "u long, v long").distinct())
 
 
+def told_apart(signed: DataFrame) -> DataFrame:
+    """signed with another node for all but one of the bags that share one by chance, told by their signatures: of 10 ** 10 bags
+    some three pairs do. Bags that share both have the same shingles but for another chance in 2 ** 64.
+    """
+    sig = F.coalesce("sig", F.lit(b""))
+    bags_of = signed.select("node", sig.alias("sig")).distinct()
+    shared = stored(bags_of.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("sig").alias("least")).filter("n > 1").select("node", "least"))
+    if shared.isEmpty():
+        return signed
+    other = F.when(sig != F.col("least"), F.xxhash64("node", sig)).otherwise(F.col("node"))
+    return stored(signed.join(F.broadcast(shared), "node", "left").withColumn("node", other).drop("least"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: doc_id, class_id (the least doc_id of its class), class_size (rows), kept, text_hash
     (xxhash64 of the text, null as empty).
 
     Documents are in one class if links of `similarity` or more connect them. The row with the least doc_id stays, and of
     several texts with that id the one with the least hash; null ids come last, so class_id is null only where a class has
-    no other. Texts with equal bags are in one class; so are all texts without words, among them null and empty ones. Rows
-    that repeat id and text tie and are all kept or all dropped. Further columns are ignored; an empty table gives an empty
-    result.
+    no other. Texts with equal bags are in one class; so are all texts without words, among them null and empty ones. Texts of any
+    length are read whole, in pieces. Rows that repeat id and text tie and are all kept or all dropped. Further columns are
+    ignored; an empty table gives an empty result.
     """
     ready(docs.sparkSession)
-    plausible = PLAUSIBLE - SIMILARITY + similarity
     rows = texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("t"), "text")
-    signed = stored(sign(rows))
+    with scratch() as keep:
+        signed = stored(sign(rows))
+        signed = told_apart(signed)
+        final = linked(rows, signed, PLAUSIBLE - SIMILARITY + similarity, similarity)
+        held = signed.groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+        labels_of = stored(held.join(final, "node", "left").select("node", "copies", F.coalesce("label", "node").alias("label")))
+        classed = keep(stored(join_one(signed.select("doc_id", "t", "node"), labels_of, ["node"], "copies").select("doc_id", "t", "label")))
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first")
+        classes = keep(stored(classed.groupBy("label").agg(least, F.count(F.lit(1)).alias("class_size"))))
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))
+    found = join_one(classed, classes, ["label"], "class_size")
+    return found.select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", kept.alias("kept"), F.col("t").alias("text_hash"))
+
+
+def linked(rows: DataFrame, signed: DataFrame, plausible: float, similarity: float) -> DataFrame:
+    """(node, label) of the nodes that have links: rows (doc_id, t, text), signed (doc_id, t, node, sig)."""
     one = F.min(F.struct("t", "doc_id")).alias("one")
     nodes = stored(signed.filter(F.col("sig").isNotNull()).groupBy("node", "sig").agg(F.count(F.lit(1)).alias("copies"), one))
     pieces_of = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * BAND + 1, BAND)) for i in range(BANDS)])
@@ -441,15 +484,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     dealt = left.unionByName(right).join(labelled, "node").join(bagged, "node")
     second = across(dealt, plausible, similarity)
 
-    final = components(first.unionByName(second))
-    held = signed.groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
-    labels_of = stored(held.join(final, "node", "left").select("node", "copies", F.coalesce("label", "node").alias("label")))
-    classed = stored(join_one(signed.select("doc_id", "t", "node"), labels_of, ["node"], "copies").select("doc_id", "t", "label"))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first")
-    classes = stored(classed.groupBy("label").agg(least, F.count(F.lit(1)).alias("class_size")))
-    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))
-    found = join_one(classed, classes, ["label"], "class_size")
-    return found.select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", kept.alias("kept"), F.col("t").alias("text_hash"))
+    return components(first.unionByName(second))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

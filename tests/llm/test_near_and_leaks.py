@@ -2,9 +2,11 @@ import collections
 import os
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import decontamination as D
 from lodestone.llm import near_dedup as N
@@ -397,3 +399,117 @@ def test_a_crowd_of_edited_copies_is_compared_whole(spark, words, monkeypatch, c
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
     sizes = {r.doc_id: r.class_size for r in N.near_duplicates(docs).filter("doc_id = class_id").collect()}
     assert want == len(texts) and sizes[0] >= 0.998 * want
+
+
+def test_bags_that_share_a_hash(spark, words, monkeypatch):
+    """Nodes with the same hash by chance are told apart by their signatures, and classes stay what they are."""
+    rng = random.Random(21)
+    base = [" ".join(rng.choices(words, k=30)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, base[i % 60] + (" more" if i >= 120 else "")) for i in range(180)] + [(500, ""), (501, None)], "doc_id bigint, text string").repartition(3)
+    want = sorted(map(tuple, N.near_duplicates(docs).collect()), key=str)
+    true = N.contents
+    monkeypatch.setattr(N, "contents", lambda *x: true(*x) % 7)
+    signed = N.told_apart(N.sign(docs.select("doc_id", F.lit(0).cast("long").alias("t"), F.coalesce("text", F.lit("")).alias("text"))))
+    assert signed.select("node").distinct().count() == 121
+    assert sorted(map(tuple, N.near_duplicates(docs).collect()), key=str) == want
+
+
+def test_popular_centres_are_copied(spark, monkeypatch):
+    """A centre that most pairs share: its bag is copied, and each copy meets a bounded number of pairs."""
+    monkeypatch.setattr(N, "MEET", 50)
+    pairs = spark.range(2000).select(F.col("id").alias("u"), F.when(F.col("id") < 1500, -1).otherwise(-F.col("id")).alias("v"))
+    left, right = pairs.select("u", F.lit("l").alias("x")), pairs.select("v").distinct().withColumn("y", F.col("v"))
+    got = N.to_both(N.stored(pairs), left, right)
+    assert sorted((r.u, r.v, r.y) for r in got.collect()) == sorted((r.u, r.v, r.v) for r in pairs.collect())
+
+
+def test_repeated_rows_in_several_blocks(spark, words, monkeypatch):
+    """Rows that share id and text, or have no id, stay rows of their own however many blocks of items there are."""
+    rng = random.Random(3)
+    items = [(k, " ".join(rng.choices(words, k=20))) for k in range(12)] + [(None, " ".join(rng.choices(words, k=20)))]
+    docs = [(1, items[0][1]), (1, items[0][1]), (None, items[9][1]), (None, items[9][1]), (2, items[3][1] + " " + items[11][1] + " " + items[12][1])]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = lambda: sorted(((r.doc_id, r.item_id) for r in D.find_leaks(frame, bench).collect()), key=str)
+    one = rows()
+    assert one == sorted([(1, 0), (1, 0), (None, 9), (None, 9), (2, 3), (2, 11), (2, None)], key=str)
+    monkeypatch.setattr(D, "ITEMS", 5)
+    assert rows() == one
+
+
+def test_foreign_words_are_told_by_digests(words, monkeypatch):
+    """With half a million words a third of all hashes is used; a word of no item still has no row."""
+    own = [f"{w}{k}" for k in range(170) for w in words][:500_000]
+    items = [D.Item(k, [w.encode() for w in own[k * 50 : k * 50 + 50]], None, 50) for k in range(10_000)]
+    vocabulary = D.Vocabulary.of(items)
+    assert vocabulary.words is None and (vocabulary.place >= 0).mean() > 0.3
+    corpus = D.Corpus(vocabulary)
+    foreign = [f"foreign{k}" for k in range(20_000)]
+    assert len(corpus.read([" ".join(foreign)])[3]) == 0
+    assert len(corpus.read([" ".join(own[:1000])])[3]) == 1000
+
+
+def test_leaks_beyond_the_rows_of_the_matrix(spark):
+    """100,000 words share 65,536 rows: reworded items are found as well as among fewer."""
+    rng = random.Random(14)
+    own = [f"w{k}" for k in range(100_000)]
+    rng.shuffle(own)
+    items = [(k, " ".join(own[k * 25 : k * 25 + 25])) for k in range(4000)]
+    assert len({D.hashed(w.encode()) for w in own}) > D.ROWS
+    docs, want = planted(rng, own, items, 300, 0.15, (20, 120))
+    found = leaks_of(spark, docs, items)
+    assert not found - want and len(want - found) <= 0.05 * len(want)
+
+
+def plain_leaks(texts, items):
+    """Every passage held against every item by the same two conditions, without any search before: what the operator may find."""
+    found = set()
+    for d, text in texts.items():
+        words = D.words_of(text or "")
+        for k, item in items.items():
+            whole = D.words_of(item or "")
+            n = -(-len(whole) // D.LONGEST)
+            for part in (whole[i * len(whole) // n : (i + 1) * len(whole) // n] for i in range(n)):
+                if not set(part) & set(words):
+                    continue
+                masks = {}
+                for at, w in enumerate(part):
+                    masks[w] = masks.get(w, 0) | 1 << at
+                for half in range(max(1, -(-len(words) // D.HALF))):
+                    near = words[max(0, half * D.HALF - len(part)) : (half + 2) * D.HALF + len(part)]
+                    if D.common_subsequence(masks, len(part), near) / len(part) >= D.COPY:
+                        found.add((d, k))
+                        break
+    return found
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_queries_over_the_tables(spark):
+    """The registered queries: leaks against every passage compared with every item, classes against all pairs."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    leaks = D.op3_decontamination(spark, sf).collect()
+    copies = {(r.doc_id, r.item_id) for r in leaks if r.lcs >= D.COPY}
+    want = plain_leaks(texts, items)
+    assert want and copies <= want and len(want - copies) <= 0.02 * len(want)
+    assert {(r.doc_id, r.item_id) for r in leaks} - copies == {(r.doc_id, r.item_id) for r in leaks if r.lcs < D.COPY and r.lcs >= D.REWORDED and r.answer >= D.ANSWERED}
+
+    bags, root = {d: bag(t) for d, t in texts.items()}, {d: d for d in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(texts)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = sum((bags[a] & bags[b]).values())
+            total = sum(bags[a].values()) + sum(bags[b].values()) - both
+            if (total == 0) or both >= 0.8 * total:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = {r.doc_id: (r.class_id, r.class_size, r.kept) for r in N.op8_minhash_near_dedup(spark, sf).collect()}
+    sizes = Counter(find(d) for d in ids)
+    assert got == {d: (find(d), sizes[find(d)], find(d) == d) for d in ids}
