@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_one, stored, table, texts
+from .common import dropped, join_one, stored, table, texts
 
-#: The directory never grows beyond 2 ** MAX_DEPTH entries.
+#: The directory never grows beyond 2 ** MAX_DEPTH entries; from some 8.6 thousand million keys on its buckets hold more than
+#: their capacity, and none is lost.
 MAX_DEPTH = 20
 
 
@@ -99,13 +100,14 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are compared as they are; a null text counts as empty and so equals other nulls and empty texts. Of equal
     texts the largest doc_id stays; null ids rank lowest. Rows that repeat both text and doc_id tie, and have the
-    same answer. Further columns are ignored. An empty table gives an empty result.
+    same answer. Texts of any length are compared whole. Further columns are ignored. An empty table gives an empty result.
     """
     rows = texts(docs, id_col, text_col)
     keys = stored(rows.groupBy(F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("n")))
     entries, depth = directory(keys, capacity)
     entries = stored(entries)
     index = owned(parts(rows, keys), entries, depth)
+    dropped(keys)
     asked = routed(rows.select("doc_id", F.xxhash64("text").alias("h"), F.unhex(F.sha2("text", 256)).alias("sha")), entries, depth)
     # Documents of popular texts meet their row of the index where they are.
     found = join_one(asked, index.select("bucket", "h", "sha", "keep_id", "group_size"), ["bucket", "h", "sha"], "group_size")
