@@ -302,7 +302,8 @@ def closed_itemsets(lines: DataFrame, *, basket_col: str = "sale_id", item_col:
     each = each.select("items", "support", "size", "a", F.get("items", F.col("i")).alias("rank"), rest.alias("rest"))
     asked = each.filter("rest IS NOT NULL").select(F.col("rest").alias("items")).distinct()
     told = supports(baskets, asked, items, groups, class_rows).withColumnsRenamed({"items": "rest", "n": "told"})
-    named = meets_items(each, items, "rank", n_items, most_items).join(told, "rest", "left")
+    known = each.filter("rest IS NULL").withColumn("told", F.lit(None).cast("long")).unionByName(each.filter("rest IS NOT NULL").join(told, "rest"))
+    named = meets_items(known, items, "rank", n_items, most_items)
     sets = named.groupBy("items", "support").agg(F.array_sort(F.collect_list(F.struct("item", F.coalesce("a", "told").alias("rest"), F.col("n").alias("own")))).alias("members"), F.sum("n").alias("all"))
     # The rest of a pair is its other item.
     rests = F.when(F.size("members") == 2, F.transform("members", lambda m: F.struct(m["item"].alias("item"), (F.col("all") - m["own"]).alias("rest"), m["own"].alias("own")))).when(F.size("members") > 2, F.col("members"))
