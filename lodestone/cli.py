@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .operators.chunks import kind_counts
 from .operators.dense import build_embedder, embed_corpus
 from .operators.generation import build_generator, shown_to_reader
+from .operators.segments import SegmentIndex
 from .plans.retrieval import Answering, Retriever, build_corpus, evaluate_generation, evaluate_retrieval, load_retriever
 from .sources.tables import cache_status, not_cached, read_corpus, read_manifest, read_pages, read_questions, save_index, write_corpus
 
@@ -52,6 +53,7 @@ def build(spark: SparkSession, a: argparse.Namespace) -> None:
     write_corpus(corpus, f"{a.data}/corpus")
     stored, embedder = read_corpus(spark, f"{a.data}/corpus"), build_embedder(a.embed_model)
     save_index(embed_corpus(stored, embedder), f"{a.data}/index", embedder.name, embedder.dim)
+    SegmentIndex.create(spark, f"{a.data}/index/lexical", stored).vacuum()
     shown(kind_counts(stored))
 
 

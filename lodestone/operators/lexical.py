@@ -1,4 +1,4 @@
-"""BM25 over an inverted index that is three DataFrames."""
+"""BM25 over an inverted index that is three DataFrames, every matching posting scored; for an index that is kept see segments.py."""
 
 from __future__ import annotations
 
@@ -25,13 +25,8 @@ class LexicalIndex:
     term_df: DataFrame
     stats: DataFrame
 
-    def persisted(self, path: str, buckets: int | None = None) -> LexicalIndex:
-        """Written as Parquet, postings clustered by term so that a query's terms prune row groups, and read back."""
-        spark = self.postings.sparkSession
-        parts = {"postings": self.postings.repartitionByRange("term").sortWithinPartitions("term", "ord") if buckets is None else self.postings.repartitionByRange(buckets, "term").sortWithinPartitions("term", "ord"), "term_df": self.term_df, "stats": self.stats}
-        for name, df in parts.items():
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
-        return LexicalIndex(*(spark.read.parquet(f"{path}/{name}") for name in parts))
+    def search(self, queries: DataFrame, top_k: int = 10) -> DataFrame:
+        return bm25_search(self, queries, top_k)
 
 
 def term_counts(docs: DataFrame, text: str = "text", ord_col: str = "ord") -> DataFrame:
@@ -43,6 +38,12 @@ def term_counts(docs: DataFrame, text: str = "text", ord_col: str = "ord") -> Da
     return counted.groupBy("ord", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(n_docs, avg_len), one row, in one pass: no postings are needed for it."""
+    lengths = docs.select(F.size(tokenize(F.coalesce(F.col(text), F.lit("")))).alias("n"))
+    return lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avg_len"))
+
+
 def build_index(docs: DataFrame, text: str = "text", ord_col: str = "ord") -> LexicalIndex:
     """Documents are tokenised once: the postings are stored, and the rest follows from them. Documents without tokens
     have no postings, but count in n_docs and avg_len.
@@ -71,8 +72,10 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, top_k: int = 10) -> Dat
     blocks of TERM_ROWS or so, where they are: a document's scores for all queries are added up in one place, and no more
     than top_k rows of a query leave it. So neither a frequent term nor the number of pairs of query and document is shuffled.
     """
-    terms = queries.select("qid", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
-    weighted = terms.join(index.term_df, "term").crossJoin(F.broadcast(index.stats))  # stats: one row
+    terms = stored(queries.select("qid", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term")))
+    asked = index.postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    term_df = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # of the queries' terms only
+    weighted = terms.join(term_df, "term").crossJoin(F.broadcast(index.stats))  # stats: one row
     weighted = stored(weighted.select("qid", "term", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avg_len"))
     blocks = max(1, -(-weighted.count() // TERM_ROWS))
     found = None

@@ -16,8 +16,9 @@ from ..operators.evaluate import first_gold, generation_scores, per_question_med
 from ..operators.facts import extract_facts
 from ..operators.generation import Generator
 from ..operators.html import feature_blocks, html_events, sku_variants, spec_rows, validate_spec_items
-from ..operators.lexical import LexicalIndex, bm25_search, build_index
+from ..operators.lexical import LexicalIndex, build_index
 from ..operators.prompt import build_plain_prompts, build_prompts, default_plain, default_system
+from ..operators.segments import SegmentIndex
 from ..sources.shared import stored
 from ..sources.tables import load_index
 
@@ -39,7 +40,7 @@ class Retriever:
     """chunks (CHUNK), a lexical index, and vectors with the embedder of the questions, if there are any."""
 
     chunks: DataFrame
-    lexical: LexicalIndex
+    lexical: LexicalIndex | SegmentIndex
     vectors: DataFrame | None = None
     embedder: Embedder | None = None
     mode: str = "hybrid"
@@ -49,7 +50,7 @@ class Retriever:
     def arms(self, queries: DataFrame, pool: int = fusion.POOL) -> DataFrame:
         """Candidates of both arms for queries (qid, text[, v]); v, where given, is the question's vector."""
         empty = self.chunks.sparkSession.createDataFrame([], "qid string, ord bigint, score double, rank int")
-        sparse = bm25_search(self.lexical, queries, pool) if self.mode != "dense" else None
+        sparse = self.lexical.search(queries, pool) if self.mode != "dense" else None
         dense = None
         if self.mode != "bm25" and self.vectors is not None and (self.embedder is not None or "v" in queries.columns):
             asked = queries.select("qid", "v") if "v" in queries.columns else queries.select("qid", self.embedder.encode(F.col("text"), is_query=True).alias("v"))
@@ -65,15 +66,25 @@ class Retriever:
 
 
 def load_retriever(chunks: DataFrame, index_path: str | None = None, embedder: Embedder | None = None, mode: str = "hybrid", on_degrade: Callable[[str], None] | None = None) -> Retriever:
-    """A retriever over chunks. bm25 needs no vectors; hybrid without an embedder falls back to bm25 and says so."""
-    lexical = build_index(chunks)
+    """A retriever over chunks. bm25 needs no vectors; hybrid without an embedder falls back to bm25 and says so.
+
+    The folder's lexical index is opened as it is; without one, an index is built that lasts as long as the session. ValueError if the
+    index is of another number of chunks.
+    """
+    spark = chunks.sparkSession
+    if index_path is not None and SegmentIndex.exists(spark, f"{index_path}/lexical"):
+        lexical = SegmentIndex.open(spark, f"{index_path}/lexical")
+        if lexical.n_docs != (n := chunks.count()):
+            raise ValueError(f"the lexical index has {lexical.n_docs} chunks, the corpus {n}: build it again")
+    else:
+        lexical = SegmentIndex.temporary(chunks)
     if mode == "bm25":
         return Retriever(chunks, lexical, mode="bm25")
     if embedder is None or index_path is None:
         if on_degrade:
             on_degrade("no embedder or no vectors: lexical search only")
         return Retriever(chunks, lexical, mode="bm25")
-    return Retriever(chunks, lexical, load_index(chunks.sparkSession, index_path, embedder.name), embedder, mode)
+    return Retriever(chunks, lexical, load_index(spark, index_path, embedder.name), embedder, mode)
 
 
 def in_memory_retriever(chunks: DataFrame, embedder: Embedder, mode: str = "hybrid") -> Retriever:

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..operators import fusion
 from ..operators.dense import cosine_search
-from ..operators.lexical import bm25_search, build_index
+from ..operators import lexical as L
+from ..operators.lexical import build_index
+from ..operators.segments import SegmentIndex
 from ..plans.retrieval import Retriever, load_retriever
-from ..sources.shared import stored
+from ..sources.shared import shared_dir, stored
 from .common import table, tokens_sql
 
 TOP, POOL = 10, 25
@@ -31,11 +33,39 @@ def term_df_topk(spark, sf) -> DataFrame:
 
 
 def corpus_stats(spark, sf) -> DataFrame:
-    return build_index(corpus(spark, sf)).stats.select("n_docs", F.round("avg_len", 6).alias("avg_len"))
+    return L.corpus_stats(corpus(spark, sf)).select("n_docs", F.round("avg_len", 6).alias("avg_len"))
+
+
+def kept_index(spark, sf) -> SegmentIndex:
+    """The lexical index of the folder's documents, kept in the shared folder for as long as their files are the same."""
+    docs = corpus(spark, sf)
+    files = spark.read.parquet(f"{sf}/documents.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    key = files.agg(F.md5(F.to_json(F.array_sort(F.collect_list(F.struct("*"))))).alias("key")).first().key
+    path = f"{shared_dir(spark)}/lodestone-lexical-{key}"
+    return SegmentIndex.open(spark, path) if SegmentIndex.exists(spark, path) else SegmentIndex.create(spark, path, docs)
 
 
 def bm25_topk(spark, sf) -> DataFrame:
-    return bm25_search(build_index(corpus(spark, sf)), questions(spark, sf), TOP)
+    return kept_index(spark, sf).search(questions(spark, sf), TOP)
+
+
+def bm25_whole(spark, sf) -> DataFrame:
+    """The same by scoring every posting of every question."""
+    return build_index(corpus(spark, sf)).search(questions(spark, sf), TOP)
+
+
+def index_changes(spark, sf) -> DataFrame:
+    """An index that was changed: other languages first, then English with the texts of one source lost, these put back in their
+    documents' place, another source's documents deleted, all merged, and that source's appended and deleted again.
+    """
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text", "lang", "source")
+    lost = F.when(F.col("source") == "src1", "").otherwise(F.col("text"))
+    index = SegmentIndex.temporary(docs.filter("lang <> 'en'"))
+    index = index.append(docs.filter("lang = 'en'").withColumn("text", lost))
+    index = index.replace(docs.filter("lang = 'en' AND source = 'src1'"))
+    gone = docs.filter("source = 'src0'")
+    index = index.delete(gone).merged().append(gone).delete(gone)
+    return index.search(questions(spark, sf), TOP)
 
 
 def vectors(spark, sf) -> DataFrame:
@@ -59,13 +89,13 @@ def retriever(spark, sf) -> tuple[Retriever, DataFrame]:
     c, v = chunks(spark, sf), vectors(spark, sf)
     asked = questions(spark, sf).join(v.select(F.col("ord").alias("qid"), "v"), "qid", "left")
     own = v.join(c.select("ord"), "ord", "left_semi")
-    return Retriever(c, build_index(c), own), asked
+    return Retriever(c, kept_index(spark, sf), own), asked
 
 
 def arms(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     r, asked = retriever(spark, sf)
     dense = cosine_search(r.vectors, asked.filter("v IS NOT NULL").select("qid", "v"), POOL)
-    return stored(fusion.arms_of(dense, bm25_search(r.lexical, asked, POOL))), r.chunks, asked
+    return stored(fusion.arms_of(dense, r.lexical.search(asked, POOL))), r.chunks, asked
 
 
 def rrf(spark, sf) -> DataFrame:
@@ -119,9 +149,9 @@ def degraded(spark, sf) -> DataFrame:
 
 
 @lru_cache
-def bm25_sql(top: int, name: str = "sparse") -> str:
+def bm25_sql(top: int, name: str = "sparse", rows: str = "documents") -> str:
     return f"""
-toks AS (SELECT doc_id AS ord, {tokens_sql("coalesce(text, '')")} AS ts FROM documents),
+toks AS (SELECT doc_id AS ord, {tokens_sql("coalesce(text, '')")} AS ts FROM {rows}),
 stats AS (SELECT count(*) AS n_docs, avg(len(ts)) AS avg_len FROM toks),
 postings AS (SELECT ord, doc_len, term, count(*) AS tf FROM (SELECT ord, len(ts) AS doc_len, unnest(ts) AS term FROM toks) GROUP BY ALL),
 term_df AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
@@ -188,10 +218,14 @@ SELECT f.qid, f.rank, f.ord, f.score, f.rescued, d.rank AS dense_rank, s.rank AS
        CASE x.lang WHEN 'en' THEN 'fact' WHEN 'fr' THEN 'spec_line' WHEN 'de' THEN 'spec_row' ELSE 'feature' END AS kind
 FROM final f LEFT JOIN dense d USING (qid, ord) LEFT JOIN sparse s USING (qid, ord) JOIN documents x ON x.doc_id = f.ord"""
 
+WITHOUT_SRC0 = "(SELECT * FROM documents WHERE source <> 'src0')"
+
 QUERIES = {
     "term_df_topk": (term_df_topk, f"WITH {bm25_sql(1)} SELECT term, df FROM term_df ORDER BY df DESC, term LIMIT 20"),
     "corpus_stats": (corpus_stats, f"WITH {bm25_sql(1)} SELECT n_docs, round(avg_len, 6) AS avg_len FROM stats"),
     "bm25_topk": (bm25_topk, f"WITH {bm25_sql(TOP)} SELECT * FROM sparse"),
+    "bm25_whole": (bm25_whole, f"WITH {bm25_sql(TOP)} SELECT * FROM sparse"),
+    "index_changes": (index_changes, f"WITH {bm25_sql(TOP, rows=WITHOUT_SRC0)} SELECT * FROM sparse"),
     "cosine_topk": (cosine_topk, "WITH " + cosine_sql("SELECT vec_id AS ord, embedding AS v FROM embeddings", "SELECT vec_id AS qid, embedding AS v FROM embeddings WHERE vec_id % 50 = 0", TOP, "found") + " SELECT * FROM found"),
     "rrf_fuse": (rrf, f"WITH {FUSED} SELECT qid, ord, score, (seen // 1000)::INT AS arm, (seen % 1000)::INT AS rank FROM fused"),
     "key_boost": (boosted, f"WITH {boosted_sql()} SELECT qid, ord, score FROM boosted"),

@@ -41,7 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop(spark: SparkSession, path: str):
+    """The path and its file system, as Hadoop knows them."""
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -82,7 +83,7 @@ def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    hadoop_path, files = _hadoop(spark, path)
+    hadoop_path, files = hadoop(spark, path)
     files.deleteOnExit(hadoop_path)
     back = spark.read.schema(df.schema).parquet(path)
     back.stored_at = path
@@ -92,7 +93,7 @@ def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Delete the files of a DataFrame that stored() returned and that nothing reads any more."""
-    hadoop_path, files = _hadoop(df.sparkSession, df.stored_at)
+    hadoop_path, files = hadoop(df.sparkSession, df.stored_at)
     files.delete(hadoop_path, True)
 
 
