@@ -9,16 +9,21 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import let, tokenize
 from ..sources.shared import stored
 from .lexical import DIGITS, ranked
 
 FLOOR = 1e-12
-#: Queries that one task compares its rows with at once.
-QUERY_BLOCK = 4096
+#: Queries that one task compares its rows with at once, and rows of one product of matrices.
+QUERY_BLOCK, ROW_BLOCK = 4096, 1024
+#: Bytes of vectors from which tasks' results are merged in two steps, the first in so many parts a query.
+MANY_BYTES, FAN = 8 << 30, 64
 
 
 def normalised(v: Column) -> Column:
@@ -142,42 +147,100 @@ def embed_corpus(chunks: DataFrame, embedder: Embedder) -> DataFrame:
     return chunks.select("ord", embedder.encode(F.col("text")).alias("v"))
 
 
+def matrix_of(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of a column of lists of numbers, of length 1; a zero vector stays zero. ValueError if one has another dimension."""
+    lengths = np.diff(column.offsets.to_numpy())
+    if len(lengths) and (lengths != dim).any():
+        raise ValueError(f"vectors of {sorted(set(lengths.tolist()))} numbers; the queries' have {dim}")
+    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), FLOOR)
+
+
+class Best:
+    """The top_k rows of each of n queries among those seen so far, by rounded score, then ord."""
+
+    def __init__(self, n: int, top_k: int):
+        self.top_k, self.least = top_k, np.full(n, -np.inf)
+        self.query, self.ord, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, query: np.ndarray, ords: np.ndarray, score: np.ndarray) -> None:
+        """Rows that may be among the best: those whose score is not below the query's least one."""
+        query, ords, score = (np.concatenate(x) for x in ((self.query, query), (self.ord, ords), (self.score, score)))
+        order = np.lexsort((ords, -score, query))
+        query, ords, score = query[order], ords[order], score[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        keep = place < self.top_k
+        self.query, self.ord, self.score = query[keep], ords[keep], score[keep]
+        last = place[keep] == self.top_k - 1
+        self.least[self.query[last]] = self.score[last]
+
+    def offer(self, score: np.ndarray, ords: np.ndarray, queries: np.ndarray | None = None) -> None:
+        """Scores (queries, rows)."""
+        own = self.least if queries is None else self.least[queries]
+        q, r = np.nonzero(score >= own[:, None])
+        if len(q):
+            self.add(q if queries is None else queries[q], ords[r], score[q, r])
+
+
+def rounded(score: np.ndarray) -> np.ndarray:
+    return np.round(score, DIGITS) + 0.0
+
+
+def query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
+    """ids and vectors of queries (qid, v), QUERY_BLOCK or so at a time; queries without a vector are left out."""
+    asked = queries.select("qid", F.transform("v", lambda x: x.cast("double")).alias("v")).filter("v IS NOT NULL")
+    first = asked.limit(QUERY_BLOCK + 1).collect()
+    if len(first) <= QUERY_BLOCK:
+        blocks = [first] if first else []
+    else:
+        numbered = stored(asked)
+        n = -(-numbered.count() // QUERY_BLOCK)
+        blocks = (numbered.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == k).collect() for k in range(n))
+    for block in blocks:
+        if block:
+            v = np.array([r.v for r in block])
+            yield [r.qid for r in block], v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), FLOOR)
+
+
 def cosine_search(vectors: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
-    """(qid, ord, score, rank) for vectors (ord, v) and queries (qid, v); all scores count, whatever their sign.
+    """(qid, ord, score, rank) for vectors (ord, v) and queries (qid, v); all scores count, whatever their sign. Rows without a
+    vector are left out.
 
-    Exact: every vector meets every query, as the query set is stated. Up to QUERY_BLOCK queries are broadcast and compared
-    in the JVM; WindowGroupLimit keeps top_k rows of a task before the shuffle. Larger sets are searched for block by
-    block, each a product of matrices over batches of the vectors, of which a batch gives top_k rows a query.
+    Exact: every vector meets every query, as the query set is stated. Queries are sent to the machines in blocks of QUERY_BLOCK;
+    a task holds the best top_k rows of each through all its batches, and gives no more than these. Over many tasks they are
+    merged in two steps.
     """
-    asked = queries.select("qid", normalised(F.col("v")).alias("q"))
-    rows = vectors.select("ord", normalised(F.col("v")).alias("d"))
-    n = queries.count()
-    if n <= QUERY_BLOCK:
-        scored = rows.crossJoin(F.broadcast(asked)).select("qid", "ord", F.round(dot(F.col("d"), F.col("q")), DIGITS).alias("score"))
-        return ranked(scored, top_k)
-    blocks = -(-n // QUERY_BLOCK)
-    number = F.pmod(F.xxhash64("qid"), F.lit(blocks))
-    numbered = stored(asked.withColumn("block", number))
+    qid, known = queries.schema["qid"].dataType, vectors.filter("v IS NOT NULL").select(F.col("ord").cast("bigint").alias("ord"), "v")
+    schema = f"qid {qid.simpleString()}, ord bigint, score double, task int"
     found = None
-    for k in range(blocks):
-        block = [(r.qid, r.q) for r in numbered.filter(F.col("block") == k).select("qid", "q").collect()]  # QUERY_BLOCK rows or so
-        best = best_of_batches(rows, [qid for qid, _ in block], np.array([q for _, q in block]), top_k, asked.schema["qid"].dataType.simpleString()) if block else None
-        found = best if found is None else found if best is None else found.unionByName(best)
-    return ranked(found, top_k)
+    for qids, q in query_blocks(queries):
+        best = known.mapInArrow(best_of(vectors.sparkSession.sparkContext.broadcast((pa.array(qids, to_arrow_type(qid)), q)), top_k), schema)
+        found = best if found is None else found.unionByName(best)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], f"qid {qid.simpleString()}, ord bigint, score double, rank int")
+    if int(str(known._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > MANY_BYTES:
+        place = F.row_number().over(Window.partitionBy("qid", F.pmod("task", F.lit(FAN))).orderBy(F.desc("score"), "ord"))
+        found = found.withColumn("place", place).filter(F.col("place") <= top_k)
+    return ranked(found.select("qid", "ord", "score"), top_k)
 
 
-def best_of_batches(rows: DataFrame, qids: list, q: np.ndarray, top_k: int, qid_type: str) -> DataFrame:
-    """(qid, ord, score): the top_k of rows (ord, d) for each query in each batch."""
-    sent = rows.sparkSession.sparkContext.broadcast((qids, q.T.copy()))
+def best_of(sent, top_k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (qid, ord, score, task): the top_k of a task's rows (ord, v) for each query that was sent."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = sent.value
+        best = Best(len(q), top_k)
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.iloc[at : at + 1024].sort_values("ord")
-                score = np.round(np.stack(part["d"].to_numpy()) @ q, DIGITS)
-                top = np.argsort(-score, axis=0, kind="stable")[:top_k]
-                ords = part["ord"].to_numpy()
-                yield pd.DataFrame({"qid": np.repeat(np.array(qids, dtype=object), len(top)).tolist(), "ord": ords[top.T.ravel()], "score": np.take_along_axis(score, top, 0).T.ravel()})
-
-    return rows.mapInPandas(run, f"qid {qid_type}, ord {rows.schema['ord'].dataType.simpleString()}, score double")
+            rows = matrix_of(batch.column("v"), q.shape[1])
+            ords = batch.column("ord").to_numpy()
+            for at in range(0, len(rows), ROW_BLOCK):
+                best.offer(rounded(q @ rows[at : at + ROW_BLOCK].T), ords[at : at + ROW_BLOCK])
+        yield best_batch(best, qids)
+
+    return run
+
+
+def best_batch(best: Best, qids: pa.Array) -> pa.RecordBatch:
+    context = TaskContext.get()
+    task = np.full(len(best.ord), context.partitionId() if context else 0, np.int32)
+    return pa.RecordBatch.from_arrays([qids.take(pa.array(best.query)), pa.array(best.ord), pa.array(best.score), pa.array(task)], names=["qid", "ord", "score", "task"])

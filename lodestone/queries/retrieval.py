@@ -11,6 +11,7 @@ from ..operators import fusion
 from ..operators.dense import cosine_search
 from ..operators import lexical as L
 from ..operators.lexical import build_index
+from ..operators.pivots import PivotIndex
 from ..operators.segments import SegmentIndex
 from ..plans.retrieval import Retriever, load_retriever
 from ..sources.shared import shared_dir, stored
@@ -77,6 +78,12 @@ def cosine_topk(spark, sf) -> DataFrame:
     return cosine_search(rows, rows.filter("ord % 50 = 0").select(F.col("ord").alias("qid"), "v"), TOP)
 
 
+def cosine_pivots(spark, sf) -> DataFrame:
+    """The same search over an index that skips what is too far."""
+    rows = vectors(spark, sf)
+    return PivotIndex.temporary(rows).search(rows.filter("ord % 50 = 0").select(F.col("ord").alias("qid"), "v"), TOP)
+
+
 def chunks(spark, sf) -> DataFrame:
     """Documents as chunks: the source is the document of the per-document cap, the first word the key."""
     kind = F.when(F.col("lang") == "en", "fact").when(F.col("lang") == "fr", "spec_line").when(F.col("lang") == "de", "spec_row").otherwise("feature")
@@ -218,6 +225,7 @@ SELECT f.qid, f.rank, f.ord, f.score, f.rescued, d.rank AS dense_rank, s.rank AS
        CASE x.lang WHEN 'en' THEN 'fact' WHEN 'fr' THEN 'spec_line' WHEN 'de' THEN 'spec_row' ELSE 'feature' END AS kind
 FROM final f LEFT JOIN dense d USING (qid, ord) LEFT JOIN sparse s USING (qid, ord) JOIN documents x ON x.doc_id = f.ord"""
 
+COSINE_SQL = "WITH " + cosine_sql("SELECT vec_id AS ord, embedding AS v FROM embeddings", "SELECT vec_id AS qid, embedding AS v FROM embeddings WHERE vec_id % 50 = 0", TOP, "found") + " SELECT * FROM found"
 WITHOUT_SRC0 = "(SELECT * FROM documents WHERE source <> 'src0')"
 
 QUERIES = {
@@ -226,7 +234,8 @@ QUERIES = {
     "bm25_topk": (bm25_topk, f"WITH {bm25_sql(TOP)} SELECT * FROM sparse"),
     "bm25_whole": (bm25_whole, f"WITH {bm25_sql(TOP)} SELECT * FROM sparse"),
     "index_changes": (index_changes, f"WITH {bm25_sql(TOP, rows=WITHOUT_SRC0)} SELECT * FROM sparse"),
-    "cosine_topk": (cosine_topk, "WITH " + cosine_sql("SELECT vec_id AS ord, embedding AS v FROM embeddings", "SELECT vec_id AS qid, embedding AS v FROM embeddings WHERE vec_id % 50 = 0", TOP, "found") + " SELECT * FROM found"),
+    "cosine_topk": (cosine_topk, COSINE_SQL),
+    "cosine_pivots": (cosine_pivots, COSINE_SQL),
     "rrf_fuse": (rrf, f"WITH {FUSED} SELECT qid, ord, score, (seen // 1000)::INT AS arm, (seen % 1000)::INT AS rank FROM fused"),
     "key_boost": (boosted, f"WITH {boosted_sql()} SELECT qid, ord, score FROM boosted"),
     "diversify_cap": (diversified, f"WITH {diversified_sql(TOP)} SELECT * FROM chosen"),
