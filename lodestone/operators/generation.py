@@ -12,8 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import let, strip_thinking, tokenize
+from ..functions.text import tokenize
 from ..sources.shared import ready
+from ..streaming.figures import figures_of
 
 #: They must hold a phrase of a refusal.
 REFUSAL = {"zh": "提供的規格資料中沒有這項資訊", "en": "That information is not in the provided specifications."}
@@ -171,29 +172,10 @@ def stream_stats(pieces: DataFrame, starts: DataFrame) -> DataFrame:
     """One row per request of starts (req_id, t0, t_end; seconds): figures of its pieces (req_id, seq, t, piece).
 
     ttft_s: to the first piece; ttft_answer_s: to the first piece that a reader sees, else ttft_s; thinking_tokens:
-    pieces inside an open reasoning block before that; decode_s: first to last piece. Empty pieces count for nothing.
+    pieces inside an open reasoning block before that; decode_s: first to last piece. Empty pieces count for nothing. Rows of a
+    request are read one after the other: none is gathered whole. streaming/figures.py has the same for a stream.
     """
-    told = pieces.filter("piece <> ''").groupBy("req_id").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "t", "piece"))).alias("told"), F.count(F.lit(1)).alias("n_tokens"), F.min("t").alias("t_first"), F.max("t").alias("t_last")
-    )
-    start = F.struct(F.lit("").alias("seen"), F.lit(False).alias("thought"), F.lit(None).cast("double").alias("t_answer"), F.lit(0).cast("long").alias("thinking_tokens"))
-
-    def step(so_far: Column, p: Column) -> Column:
-        """What a reader has seen. Of an open reasoning block only the end is kept, in which its end tag may begin, and nothing
-        more is collected once there is an answer: so a stream costs no more than its length.
-        """
-        return F.when(so_far["t_answer"].isNotNull(), so_far).otherwise(let(F.concat(so_far["seen"], p["piece"]), lambda seen: read(so_far, p, seen)))
-
-    def read(so_far: Column, p: Column, seen: Column) -> Column:
-        opened = F.contains(seen, F.lit("<think>"))
-        thinking = opened & ~F.contains(seen, F.lit("</think>"))
-        thought = so_far["thought"] | thinking
-        visible = ~thinking & (thought | ~opened) & (strip_thinking(seen) != "")
-        inside = F.instr(seen, "<think>") + 7
-        kept = F.when(thinking, F.concat(F.substring(seen, F.lit(1), inside - 1), F.right(F.substring(seen, inside, F.length(seen)), F.lit(8)))).otherwise(seen)
-        return F.struct(kept.alias("seen"), thought.alias("thought"), F.when(visible, p["t"]).alias("t_answer"), (so_far["thinking_tokens"] + thinking.cast("long")).alias("thinking_tokens"))
-
-    figures = told.select("req_id", "n_tokens", "t_first", "t_last", F.aggregate("told", start, step).alias("end")).select("req_id", "n_tokens", "t_first", "t_last", "end.t_answer", "end.thinking_tokens")
+    figures = figures_of(pieces)
     rows = starts.join(figures, "req_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     ttft, decode, total, n = zero(F.col("t_first") - F.col("t0")), zero(F.col("t_last") - F.col("t_first")), F.col("t_end") - F.col("t0"), F.coalesce("n_tokens", F.lit(0))
