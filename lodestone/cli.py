@@ -16,6 +16,8 @@ from .operators.dense import build_embedder, embed_corpus
 from .operators.generation import build_generator, shown_to_reader
 from .operators.segments import SegmentIndex
 from .plans.retrieval import Answering, Retriever, build_corpus, evaluate_generation, evaluate_retrieval, load_retriever
+from .sources.fetch import http_pages
+from .sources.shared import replaced_text, stored
 from .sources.tables import cache_status, not_cached, read_corpus, read_manifest, read_pages, read_questions, save_index, write_corpus
 
 MODES = ("dense", "bm25", "hybrid")
@@ -37,13 +39,25 @@ def retriever(spark: SparkSession, a: argparse.Namespace, mode: str | None = Non
 
 
 def fetch(spark: SparkSession, a: argparse.Namespace) -> None:
-    """What the cache holds; fetching itself is left to whatever fills the folder: without --status what is left to fetch is
-    listed, with --force all of it.
-    """
-    manifest = read_manifest(spark, f"{a.data}/raw/manifest.json")
+    """Fetch the pages of raw/manifest.json that are not there; with --force all, with --status only say what is there."""
+    path = f"{a.data}/raw/manifest.json"
+    manifest = read_manifest(spark, path)
     sources = manifest.select("key", "url")
     status = cache_status(sources, manifest.filter("fetched_at IS NOT NULL"))
-    shown((status if a.status else not_cached(sources, status.filter("cached"), "key", a.force)).orderBy("key"))
+    if a.status:
+        return shown(status.orderBy("key"))
+    wanted = not_cached(sources, status.filter("cached"), "key", a.force)
+    got = stored(http_pages(wanted, timeout=a.timeout, attempts=a.attempts))
+    shown(got.drop("html", "etag", "last_modified").orderBy("key"))
+    good = got.filter("html IS NOT NULL")
+    for row in good.select("key").collect():  # a page each, written where it is
+        good.filter(F.col("key") == row.key).select("html").coalesce(1).write.mode("overwrite").text(f"{a.data}/raw/{row.key}.html")
+    fresh = {r.key: {"url": r.url, "fetched_at": r.fetched_at.isoformat(), "bytes": r.bytes, "status": r.status} for r in good.drop("html").collect()}
+    if fresh:
+        known = json.loads("".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+        replaced_text(spark, path, json.dumps(known | fresh, ensure_ascii=False, indent=2))
+    if bad := got.filter("error IS NOT NULL").orderBy("key").first():
+        raise ValueError(f"{bad.url}: {bad.error}")
 
 
 def build(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -51,10 +65,10 @@ def build(spark: SparkSession, a: argparse.Namespace) -> None:
     optional = lambda name: page(name) if name in a.features else None
     corpus = build_corpus(page("spec_zh"), page("spec_en"), a.product, optional("feature_zh"), optional("feature_en"), not a.no_validation, tuple(a.marker))
     write_corpus(corpus, f"{a.data}/corpus")
-    stored, embedder = read_corpus(spark, f"{a.data}/corpus"), build_embedder(a.embed_model)
-    save_index(embed_corpus(stored, embedder), f"{a.data}/index", embedder.name, embedder.dim)
-    SegmentIndex.create(spark, f"{a.data}/index/lexical", stored).vacuum()
-    shown(kind_counts(stored))
+    chunks, embedder = read_corpus(spark, f"{a.data}/corpus"), build_embedder(a.embed_model)
+    save_index(embed_corpus(chunks, embedder), f"{a.data}/index", embedder.name, embedder.dim)
+    SegmentIndex.create(spark, f"{a.data}/index/lexical", chunks).vacuum()
+    shown(kind_counts(chunks))
 
 
 def inspect(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -126,7 +140,7 @@ def parser() -> argparse.ArgumentParser:
     flag = {"action": "store_true"}
     questions, output = ("--questions", {"default": "data/eval/qa.jsonl"}), ("--output", {"default": None})
     most = ("--max-tokens", {"type": int, "default": 384})
-    command(fetch, ("--status", flag), ("--force", flag))
+    command(fetch, ("--status", flag), ("--force", flag), ("--timeout", {"type": float, "default": 30.0}), ("--attempts", {"type": int, "default": 4}))
     command(build, ("--features", {"nargs": "*", "default": ["feature_zh", "feature_en"]}), ("--no-validation", flag), ("--marker", {"action": "append", "default": []}))
     command(inspect, ("--facts", flag))
     command(search, ("question", {}), ("--top-k", {"type": int, "default": 5}))

@@ -47,6 +47,20 @@ def hadoop(spark: SparkSession, path: str):
     return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def replaced_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file written beside its place and renamed there, over an older one: readers see the one or the other, whole."""
+    jvm = spark.sparkContext._jvm
+    draft, files = hadoop(spark, f"{path}.{uuid.uuid4().hex}")
+    where, _ = hadoop(spark, path)
+    out = files.create(draft, False)
+    out.write(text.encode())
+    out.close()
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.makeQualified(where).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(files.makeQualified(draft), files.makeQualified(where), how)
+
+
 #: Tables that stored() wrote since the innermost scratch() began.
 _SCRATCH: ContextVar[list[DataFrame]] = ContextVar("scratch", default=[])  # noqa: B039
 
