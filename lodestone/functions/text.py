@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,6 +52,16 @@ def tokenize(c: Column) -> Column:
     return F.concat(latin, F.flatten(F.transform(runs, grams)))
 
 
+LATIN_RUN, CJK_RUN = re.compile(LATIN_TOKEN), re.compile("[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]+")
+
+
+def tokens_of(text: str) -> list[str]:
+    """What tokenize() gives, in Python: Spark doesn't hand expressions with lambdas to Python functions."""
+    low = text.lower()
+    grams = [run[i : i + n] for run in CJK_RUN.findall(low) for n in (1, 2) for i in range(len(run) - n + 1)]
+    return LATIN_RUN.findall(low) + grams
+
+
 def detect_language(c: Column) -> Column:
     """zh if there are CJK characters and at least half as many as ASCII letters, else en."""
     cjk = F.regexp_count(c, F.lit(f"[{CJK_LANGUAGE}]"))

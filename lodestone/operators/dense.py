@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import re
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.text import let, tokenize
+from ..functions.text import let, tokenize, tokens_of
 from ..sources.shared import stored
 from .lexical import DIGITS, ranked
 
@@ -45,16 +45,6 @@ class Embedder(Protocol):
     def encode(self, texts: Column, is_query: bool = False) -> Column: ...
 
 
-LATIN, CJK = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"), re.compile("[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]+")
-
-
-def tokens_of(text: str) -> list[str]:
-    """What tokenize() gives, in Python: Spark doesn't hand expressions with lambdas to Python functions."""
-    low = text.lower()
-    grams = [run[i : i + n] for run in CJK.findall(low) for n in (1, 2) for i in range(len(run) - n + 1)]
-    return LATIN.findall(low) + grams
-
-
 class HashingEmbedder:
     """Tokens hashed to signed buckets: blake2b of 64 bits, little-endian, the top bit for the sign."""
 
@@ -240,6 +230,32 @@ def best_of(sent, top_k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
+def cosine_latency(vectors: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
+    """(qid, seconds) that each query takes by itself, timed in the worker: of its tasks, which work side by side, the slowest."""
+    qid = queries.schema["qid"].dataType
+    known = vectors.filter("v IS NOT NULL").select(F.col("ord").cast("bigint").alias("ord"), "v")
+    found = vectors.sparkSession.createDataFrame([], f"qid {qid.simpleString()}, seconds double")
+
+    def timed(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qids, q = sent.value
+            best, took = [Best(1, top_k) for _ in q], np.zeros(len(q))
+            for batch in batches:
+                rows, ords = matrix_of(batch.column("v"), q.shape[1]), batch.column("ord").to_numpy()
+                for k in range(len(q)):
+                    began = time.perf_counter()
+                    best[k].offer(rounded(q[k : k + 1] @ rows.T), ords)
+                    took[k] += time.perf_counter() - began
+            yield pa.RecordBatch.from_arrays([qids, pa.array(took)], names=["qid", "seconds"])
+
+        return run
+
+    for qids, q in query_blocks(queries):
+        sent = vectors.sparkSession.sparkContext.broadcast((pa.array(qids, to_arrow_type(qid)), q))
+        found = found.unionByName(known.mapInArrow(timed(sent), f"qid {qid.simpleString()}, seconds double"))
+    return found.groupBy("qid").agg(F.max("seconds").alias("seconds"))
+
+
 def best_batch(best: Best, qids: pa.Array) -> pa.RecordBatch:
     context = TaskContext.get()
     task = np.full(len(best.ord), context.partitionId() if context else 0, np.int32)

@@ -22,10 +22,13 @@ def first_gold(hits: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def retrieval_scores(first: DataFrame, ks: tuple[int, ...] = KS, by: list[str] | None = None) -> DataFrame:
-    """n_questions, recall_at_k for each k, and mrr; of each configuration, if `by` names columns of it."""
+    """n_questions, recall_at_k for each k, and mrr; of each configuration, if `by` names columns of it. With a column retrieval_s
+    also latency_ms_median.
+    """
     rate = lambda c: F.coalesce(F.round(F.avg(c), DIGITS), F.lit(0.0))
     found = [rate(F.when(F.col("first") < k, 1.0).otherwise(0.0)).alias(f"recall_at_{k}") for k in ks]
-    return first.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n_questions"), *found, rate(F.coalesce(1.0 / (F.col("first") + 1), F.lit(0.0))).alias("mrr"))
+    timed = [F.coalesce(F.round(F.percentile(F.col("retrieval_s") * 1000, 0.5), 3), F.lit(0.0)).alias("latency_ms_median")] if "retrieval_s" in first.columns else []
+    return first.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n_questions"), *found, *timed, rate(F.coalesce(1.0 / (F.col("first") + 1), F.lit(0.0))).alias("mrr"))
 
 
 def sweep(hits: DataFrame, ks: DataFrame) -> DataFrame:

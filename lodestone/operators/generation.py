@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 import urllib.request
 from collections.abc import Callable, Iterable, Iterator
@@ -12,9 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import tokenize, tokens_of
 from ..sources.shared import ready
 from ..streaming.figures import figures_of
+from .answers import PIECES, Ask, KeptAnswers, Patience, plain_messages, timed_pieces
 
 #: They must hold a phrase of a refusal.
 REFUSAL = {"zh": "提供的規格資料中沒有這項資訊", "en": "That information is not in the provided specifications."}
@@ -46,6 +48,39 @@ class ExtractiveGenerator:
         return prompts.withColumn("answer", said if self.max_tokens is None else F.regexp_extract(said, rf"(?U)^(\s*(?:\S+\s*){{0,{self.max_tokens}}})", 1))
 
 
+    def pieces(self, prompts: DataFrame) -> DataFrame:
+        """(req_id, seq, t, piece, t0, t_end) for prompts (qid, question, lang, context): the same answers, found question by question
+        in the workers, and timed there.
+        """
+        ready(prompts.sparkSession)
+        most = self.max_tokens
+        rows = prompts.select("qid", "question", "lang", "context")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = []
+                for qid, question, lang, text in batch.itertuples(index=False, name=None):
+                    t0 = time.time()
+                    said = quoted(question, lang, text or "")
+                    said = said if most is None else re.match(rf"\s*(?:\S+\s*){{0,{most}}}", said).group()
+                    t_end = time.time()
+                    out.append((qid, 0, t_end, said, t0, max(t_end, t0 + 1e-6)))
+                yield pd.DataFrame(out, columns=["req_id", "seq", "t", "piece", "t0", "t_end"])
+
+        return rows.mapInPandas(run, f"req_id {rows.schema['qid'].dataType.simpleString()}, {PIECES}")
+
+
+def quoted(question: str, lang: str, text: str) -> str:
+    """The line of the text that shares most tokens with the question, its number behind it; a refusal if none shares any."""
+    asked, best, most = set(tokens_of(question)), "", 0
+    for line in filter(None, text.split("\n")):
+        if (n := len(asked & set(tokens_of(line)))) > most:
+            best, most = line, n
+    if not most:
+        return REFUSAL["zh" if lang == "zh" else "en"]
+    return re.sub(r"(?s)\A(\[\d+\]) (.*)\Z", r"\2 \1", best)
+
+
 class ModelGenerator:
     """A model that `load` makes once per worker: a list of messages to a text."""
 
@@ -64,6 +99,19 @@ class ModelGenerator:
 
         return prompts.withColumn("answer", run("messages"))
 
+    def asker(self) -> Callable[[], Ask]:
+        load = self.load
+
+        def make() -> Ask:
+            model = load()
+            return lambda messages: [model(messages)]
+
+        return make
+
+    def pieces(self, prompts: DataFrame) -> DataFrame:
+        """(req_id, seq, t, piece, t0, t_end) for prompts (qid, messages): an answer is one piece."""
+        return timed_pieces(prompts, self.asker())
+
 
 def streamed(url: str, messages: list[dict[str, str]], options: dict, timeout: float) -> Iterator[str]:
     """The pieces of a chat server's answer: a JSON request, answered by server-sent events up to `[DONE]`."""
@@ -85,39 +133,40 @@ def streamed(url: str, messages: list[dict[str, str]], options: dict, timeout: f
 
 
 class ServerGenerator:
-    """A chat server that workers ask over HTTP. Its pieces are timed, so that stream_stats has figures of them."""
+    """A chat server that workers ask over HTTP, some requests at once in each task, and again where it fails for a while. Its pieces are
+    timed, so that stream_stats has figures of them.
+    """
 
-    def __init__(self, name: str, url: str, max_tokens: int | None = None, timeout: float = 120.0):
-        self.name, self.url, self.timeout = name, url, timeout
+    def __init__(self, name: str, url: str, max_tokens: int | None = None, timeout: float = 120.0, patience: Patience | None = None):
+        self.name, self.url, self.timeout, self.patience = name, url, timeout, patience or Patience()
         self.options = {"model": name} | ({"max_tokens": max_tokens} if max_tokens else {})
 
-    def answer(self, prompts: DataFrame) -> DataFrame:
+    def asker(self) -> Callable[[], Ask]:
         url, options, timeout = self.url, self.options, self.timeout
+        return lambda: lambda messages: streamed(url, messages, options, timeout)
+
+    def answer(self, prompts: DataFrame) -> DataFrame:
+        load, patience = self.asker(), self.patience
         ready(prompts.sparkSession)
 
         @F.pandas_udf("string")
         def run(batch: pd.Series) -> pd.Series:
-            return batch.map(lambda ms: "".join(streamed(url, [{"role": m["role"], "content": m["content"]} for m in ms], options, timeout)))
+            out = []
+            for got in patience.over(load(), map(plain_messages, batch)):
+                if isinstance(got, Exception):
+                    raise got
+                out.append("".join(piece for _, piece in got[1]))
+            return pd.Series(out, dtype=object)
 
         return prompts.withColumn("answer", run.asNondeterministic()("messages"))
 
-    def pieces(self, prompts: DataFrame) -> DataFrame:
-        """(req_id, seq, t, piece, t0, t_end) for prompts (qid, messages): what stream_stats reads; a request without any piece
-        has one without a text.
-        """
-        url, options, timeout = self.url, self.options, self.timeout
-        ready(prompts.sparkSession)
-        rows = prompts.select("qid", "messages")
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for qid, messages in zip(batch["qid"].tolist(), batch["messages"], strict=True):
-                    t0 = time.time()
-                    timed = [(time.time(), piece) for piece in streamed(url, [{"role": m["role"], "content": m["content"]} for m in messages], options, timeout)]
-                    t_end = time.time()
-                    yield pd.DataFrame([(qid, k, t, piece, t0, t_end) for k, (t, piece) in enumerate(timed or [(t_end, "")])], columns=["req_id", "seq", "t", "piece", "t0", "t_end"])
+    def kept(self, path: str, per_task: int = 64) -> KeptAnswers:
+        """The same server, with answers kept in a folder and asked for only once."""
+        return KeptAnswers(self.name, self.asker(), path, self.options | {"url": self.url}, self.patience, per_task)
 
-        return rows.mapInPandas(run, f"req_id {rows.schema['qid'].dataType.simpleString()}, seq int, t double, piece string, t0 double, t_end double")
+    def pieces(self, prompts: DataFrame) -> DataFrame:
+        """(req_id, seq, t, piece, t0, t_end) for prompts (qid, messages): see timed_pieces()."""
+        return timed_pieces(prompts, self.asker(), self.patience)
 
 
 GENERATORS: dict[str, Callable[..., Generator]] = {"extractive": ExtractiveGenerator}

@@ -10,6 +10,7 @@ rename, and readers of an older one keep what they have.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -333,6 +334,16 @@ class SegmentIndex:
 
         return self._searched(queries, count, ["scored bigint", "postings bigint"]).groupBy("qid").agg(F.sum("scored").alias("scored"), F.sum("postings").alias("postings"))
 
+    def latency(self, queries: DataFrame, top_k: int = 10) -> DataFrame:
+        """(qid, seconds) that each query takes by itself, timed in the worker: of its shards, which work side by side, the slowest."""
+
+        def timed(shard: Shard, query: list[tuple[str, float]]) -> list[tuple[float]]:
+            began = time.perf_counter()
+            shard.best(query, top_k)
+            return [(time.perf_counter() - began,)]
+
+        return self._searched(queries, timed, ["seconds double"]).groupBy("qid").agg(F.max("seconds").alias("seconds"))
+
     def _searched(self, queries: DataFrame, run: Callable, columns: list[str]) -> DataFrame:
         """What run gives for each query and shard. Weights go to the machines in blocks of TERM_ROWS or so; of the index only
         blocks of the queries' terms are read, and go to their shards.

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import tokenize
 from ..operators import chunks as C
 from ..operators import fusion
-from ..operators.dense import Embedder, cosine_search, embed_corpus
+from ..operators.answers import answers_of
+from ..operators.dense import Embedder, cosine_latency, cosine_search, embed_corpus
 from ..operators.evaluate import first_gold, generation_scores, per_question_medians, retrieval_scores, score_answers
 from ..operators.facts import extract_facts
-from ..operators.generation import Generator
+from ..operators.generation import Generator, stream_stats
 from ..operators.html import feature_blocks, html_events, sku_variants, spec_rows, validate_spec_items
-from ..operators.lexical import LexicalIndex, build_index
+from ..operators.lexical import LexicalIndex
 from ..operators.prompt import build_plain_prompts, build_prompts, default_plain, default_system
 from ..operators.segments import SegmentIndex
 from ..sources.shared import stored
@@ -51,12 +52,29 @@ class Retriever:
         """Candidates of both arms for queries (qid, text[, v]); v, where given, is the question's vector."""
         empty = self.chunks.sparkSession.createDataFrame([], "qid string, ord bigint, score double, rank int")
         sparse = self.lexical.search(queries, pool) if self.mode != "dense" else None
-        dense = None
-        if self.mode != "bm25" and self.vectors is not None and (self.embedder is not None or "v" in queries.columns):
-            asked = queries.select("qid", "v") if "v" in queries.columns else queries.select("qid", self.embedder.encode(F.col("text"), is_query=True).alias("v"))
-            dense = cosine_search(self.vectors, asked.filter("v IS NOT NULL"), pool)
+        asked = self.asked_vectors(queries)
+        dense = None if asked is None else cosine_search(self.vectors, asked, pool)
         return fusion.arms_of(empty if dense is None else dense, empty if sparse is None else sparse)
 
+    def asked_vectors(self, queries: DataFrame) -> DataFrame | None:
+        """(qid, v) of the questions, if the mode has a dense arm."""
+        if self.mode == "bm25" or self.vectors is None or not (self.embedder is not None or "v" in queries.columns):
+            return None
+        asked = queries.select("qid", "v") if "v" in queries.columns else queries.select("qid", self.embedder.encode(F.col("text"), is_query=True).alias("v"))
+        return asked.filter("v IS NOT NULL")
+
+    def latency(self, queries: DataFrame, pool: int = fusion.POOL) -> DataFrame:
+        """(qid, retrieval_s): how long each question's arms take by themselves, one after the other, timed in the workers."""
+        arms = [self.lexical.latency(queries, pool)] if self.mode != "dense" and isinstance(self.lexical, SegmentIndex) else []
+        if (asked := self.asked_vectors(queries)) is not None:
+            arms.append(cosine_latency(self.vectors, asked, pool))
+        took = None
+        for arm in arms:
+            took = arm if took is None else took.unionByName(arm)
+        if took is None:
+            return queries.select("qid", F.lit(0.0).alias("retrieval_s"))
+        return queries.select("qid").join(took.groupBy("qid").agg(F.sum("seconds").alias("s")), "qid", "left").select("qid", F.coalesce("s", F.lit(0.0)).alias("retrieval_s"))
+
     def search(self, queries: DataFrame, top_k: int = 4, pool: int = fusion.POOL) -> DataFrame:
         """Hits (qid, ord, score, rank, rescued, dense_rank, bm25_rank, and the chunk) of many questions at once."""
         arms = stored(self.arms(queries, pool))  # 2 * pool rows a question, read four times
@@ -88,7 +106,7 @@ def load_retriever(chunks: DataFrame, index_path: str | None = None, embedder: E
 
 
 def in_memory_retriever(chunks: DataFrame, embedder: Embedder, mode: str = "hybrid") -> Retriever:
-    return Retriever(chunks, build_index(chunks), embed_corpus(chunks, embedder), embedder, mode)
+    return Retriever(chunks, SegmentIndex.temporary(chunks), embed_corpus(chunks, embedder), embedder, mode)
 
 
 @dataclass
@@ -99,35 +117,74 @@ class Answering:
     top_k: int = 5
     max_context_chars: int = 2400
 
-    def answer(self, queries: DataFrame, top_k: int | None = None, use_context: bool = True) -> DataFrame:
-        """queries with their prompt and answer."""
+    def prompts(self, queries: DataFrame, top_k: int | None = None, use_context: bool = True) -> DataFrame:
+        """What the generator is given for each question."""
         if not use_context:
-            plain = build_plain_prompts(queries, default_plain(self.product)).withColumns({"context": F.lit(""), "n_used": F.lit(0), "context_chars": F.lit(0)})
-            return self.generator.answer(plain)
+            return build_plain_prompts(queries, default_plain(self.product)).withColumns({"context": F.lit(""), "n_used": F.lit(0), "context_chars": F.lit(0)})
         hits = self.retriever.search(queries, top_k or self.top_k)
-        return self.generator.answer(build_prompts(queries, hits, default_system(self.product), self.max_context_chars))
+        return build_prompts(queries, hits, default_system(self.product), self.max_context_chars)
+
+    def answer(self, queries: DataFrame, top_k: int | None = None, use_context: bool = True) -> DataFrame:
+        """queries with their prompt and answer."""
+        return self.generator.answer(self.prompts(queries, top_k, use_context))
+
+
+def retrieval_rows(retriever: Retriever, questions: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """(qid, first, retrieved, retrieval_s): for each question with gold, the rank of its first gold document, the documents found at
+    the largest k, and how long its search takes by itself.
+    """
+    asked = questions.filter(F.size("gold_docs") > 0).select("qid", "text")
+    hits = stored(retriever.search(asked, max(ks)).select("qid", "rank", "doc_id"))
+    docs = F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda h: h["doc_id"])
+    rows = first_gold(hits, questions).join(hits.groupBy("qid").agg(docs.alias("retrieved")), "qid", "left").join(retriever.latency(asked), "qid", "left")
+    return rows.withColumn("retrieved", F.coalesce("retrieved", F.array().cast("array<string>")))
 
 
 def evaluate_retrieval(retriever: Retriever, questions: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
-    """Questions are searched once, at the largest k."""
-    hits = retriever.search(questions.filter(F.size("gold_docs") > 0).select("qid", "text"), max(ks))
-    return retrieval_scores(first_gold(hits.select("qid", "rank", "doc_id"), questions), ks)
+    """Questions are searched once, at the largest k. See retrieval_rows() for the questions' own rows."""
+    return retrieval_scores(retrieval_rows(retriever, questions, ks), ks)
 
 
-def evaluate_generation(answering: Answering, questions: DataFrame, top_k: int | None = None, use_context: bool = True, repeats: int = 1, warmup: bool = False) -> DataFrame:
-    """Scores of the last of `repeats` runs, with the medians over runs of the seconds a question and of the context's
-    length. The first of all runs starts workers and models: with warmup one question is answered before any is timed.
+#: What is told of the questions' own requests, each a median over the runs.
+TIMED = ["ttft_s", "ttft_answer_s", "thinking_tokens", "tps", "e2e_tps", "retrieval_ms", "answer_s"]
+TOLD = [*TIMED, "prompt_tokens", "context_chars"]
+
+
+def one_run(answering: Answering, asked: DataFrame, top_k: int | None, use_context: bool) -> DataFrame:
+    """(qid, answer, context, TOLD) of one run. Each question's request is timed where it is made; ttft_s, ttft_answer_s and answer_s
+    begin with its search. A generator that has no pieces has no figures of them.
+    """
+    prompts = stored(answering.prompts(asked, top_k, use_context))
+    took = answering.retriever.latency(asked) if use_context else asked.select("qid", F.lit(0.0).alias("retrieval_s"))
+    spoken = F.aggregate(F.transform("messages", lambda m: F.size(tokenize(m["content"]))), F.lit(0), lambda a, n: a + n)
+    rows = prompts.select("qid", "context", F.col("context_chars").cast("double").alias("context_chars"), spoken.cast("double").alias("prompt_tokens")).join(took, "qid")
+    if not hasattr(answering.generator, "pieces"):
+        said = answering.generator.answer(prompts).select("qid", "answer")
+        none = {c: F.lit(0.0) for c in TIMED if c != "retrieval_ms"}
+        return rows.join(said, "qid").withColumns(none).withColumn("retrieval_ms", F.col("retrieval_s") * 1000).select("qid", "answer", "context", *TOLD)
+    pieces = stored(answering.generator.pieces(prompts))
+    spans = pieces.groupBy("req_id").agg(F.min("t0").alias("t0"), F.max("t_end").alias("t_end"))
+    told = stream_stats(pieces, spans).join(answers_of(pieces), "req_id").withColumnRenamed("req_id", "qid")
+    both = rows.join(told, "qid").withColumns({"retrieval_ms": F.col("retrieval_s") * 1000, "answer_s": F.col("retrieval_s") + F.col("total_s"), "thinking_tokens": F.col("thinking_tokens").cast("double")})
+    return both.withColumns({c: F.col("retrieval_s") + F.col(c) for c in ("ttft_s", "ttft_answer_s")}).select("qid", "answer", "context", *TOLD)
+
+
+def generation_rows(answering: Answering, questions: DataFrame, top_k: int | None = None, use_context: bool = True, repeats: int = 1, warmup: bool = False) -> DataFrame:
+    """A row for each question: its last run's answer, what a reader sees of it, its scores, and TOLD as medians over `repeats` runs.
+    The first of all runs starts workers and models: with warmup one question is answered before any is timed.
     """
     asked = questions.select("qid", "text", "lang")
-    n = max(asked.count(), 1)
     if warmup:
         answering.answer(asked.limit(1), top_k, use_context).collect()
     runs = None
     for _ in range(max(repeats, 1)):
-        began = time.perf_counter()
-        answers = stored(answering.answer(asked, top_k, use_context).select("qid", "answer", "context", "context_chars"))
-        one = answers.select("qid", F.lit((time.perf_counter() - began) / n).alias("answer_s"), F.col("context_chars").cast("double").alias("context_chars"))
-        runs = one if runs is None else runs.unionByName(one)
-    rows = answers.drop("context_chars").join(questions.select("qid", "type", "must_include"), "qid")
-    medians = ["answer_s", "context_chars"]
-    return generation_scores(score_answers(rows).join(per_question_medians(runs, medians), "qid"), medians)
+        last = stored(one_run(answering, asked, top_k, use_context))
+        figures = last.select("qid", *TOLD)
+        runs = figures if runs is None else runs.unionByName(figures)
+    rows = last.select("qid", "answer", "context").join(questions.select("qid", "type", "lang", "text", "must_include"), "qid")
+    return score_answers(rows).join(per_question_medians(runs, TOLD), "qid")
+
+
+def evaluate_generation(answering: Answering, questions: DataFrame, top_k: int | None = None, use_context: bool = True, repeats: int = 1, warmup: bool = False) -> DataFrame:
+    """Scores of the last of `repeats` runs, with the medians over questions of TOLD. See generation_rows() for the questions' own rows."""
+    return generation_scores(generation_rows(answering, questions, top_k, use_context, repeats, warmup), TOLD)

@@ -70,12 +70,12 @@ def latency_medians(spark, sf) -> DataFrame:
     return per.groupBy("event_type").agg(E.median_of_nonzero("value").alias("value_median"), F.count(F.lit(1)).alias("n"))
 
 
-def pieces(spark, sf) -> DataFrame:
+def pieces(spark, sf, request: str = "user_id") -> DataFrame:
     """Events as pieces of a stream: views open a reasoning block, clicks close it, the rest is text."""
     e = table(spark, sf, "events")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     piece = F.when(F.col("event_type") == "view", "<think>").when(F.col("event_type") == "click", "</think>").when(F.col("event_type") == "error", "").otherwise(F.col("event_type"))
-    return e.select(F.col("user_id").alias("req_id"), micros.alias("seq"), (micros / 1e6).alias("t"), piece.alias("piece"))
+    return e.select(F.expr(request).alias("req_id"), micros.alias("seq"), (micros / 1e6).alias("t"), piece.alias("piece"))
 
 
 def token_stats(spark, sf) -> DataFrame:
@@ -85,6 +85,15 @@ def token_stats(spark, sf) -> DataFrame:
     return s.select("req_id", "n_tokens", "thinking_tokens", *[F.round(c, 3).alias(c) for c in ("ttft_s", "ttft_answer_s", "decode_s", "total_s")], F.round("tps", 9).alias("tps"), F.round("e2e_tps", 9).alias("e2e_tps"))
 
 
+def question_figures(spark, sf) -> DataFrame:
+    """Each user's events as three runs of one question: figures of each run's pieces, and their medians over the runs."""
+    p = pieces(spark, sf, "user_id * 3 + event_id % 3")
+    spans = p.groupBy("req_id").agg((F.min("t") - 1).alias("t0"), (F.max("t") + 1).alias("t_end"))
+    runs = stream_stats(p, spans).withColumn("qid", F.floor(F.col("req_id") / 3))
+    medians = E.per_question_medians(runs, ["n_tokens", "thinking_tokens", "ttft_s", "ttft_answer_s", "decode_s"])
+    return medians.select("qid", *[F.round(c, 3).alias(c) for c in medians.columns[1:]])
+
+
 def answer_scores(spark, sf) -> DataFrame:
     """Assistant turns as answers, the turns before them as context; user turns of 1 as negative."""
     c = table(spark, sf, "conversations")
@@ -147,6 +156,12 @@ SELECT a.qid, 'en' AS lang, n_used, length(context)::INT AS context_chars, md5(C
        round(coalesce(t_answer - t0, t_first - t0, 0.0), 3) AS ttft_answer_s, round(coalesce(t_last - t_first, 0.0), 3) AS decode_s, round(t_end - t0, 3) AS total_s,
        round(CASE WHEN t_last > t_first AND n > 1 THEN (n - 1) / (t_last - t_first) ELSE 0.0 END, 9) AS tps, round(coalesce(n, 0) / (t_end - t0), 9) AS e2e_tps
 FROM spans s LEFT JOIN f USING (req_id)""",
+    ),
+    "question_figures": (
+        question_figures,
+        f"""WITH {PIECES.replace("user_id AS req_id", "user_id * 3 + event_id % 3 AS req_id")},
+r AS (SELECT s.req_id // 3 AS qid, coalesce(n, 0) AS n, coalesce(th, 0) AS th, coalesce(t_first - t0, 0.0) AS ttft, coalesce(t_answer - t0, t_first - t0, 0.0) AS answer, coalesce(t_last - t_first, 0.0) AS decode FROM spans s LEFT JOIN f USING (req_id))
+SELECT qid, round(median(n::DOUBLE), 3) AS n_tokens, round(median(th::DOUBLE), 3) AS thinking_tokens, round(median(ttft), 3) AS ttft_s, round(median(answer), 3) AS ttft_answer_s, round(median(decode), 3) AS decode_s FROM r GROUP BY qid""",
     ),
     "generation_scores": (
         answer_scores,
