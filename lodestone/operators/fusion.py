@@ -46,6 +46,23 @@ def fuse(arms: DataFrame, mode: str = "hybrid", **options) -> DataFrame:
     return rrf_fuse(arms.join(has_dense, "qid", "left_semi"), **options).unionByName(own.join(has_dense, "qid", "left_anti"))
 
 
+CONFIGS = "config string, mode string, rrf_k int, pool int, dense_weight double, bm25_weight double"
+
+
+def configured(arms: DataFrame, configs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """arms and fuse() for each of many configurations (CONFIGS) in one plan: the qid of what comes back is a struct of config and qid.
+    The arms are read as they are; a pool takes the first rows of each. Configurations are broadcast: a sweep has a few.
+    """
+    both = arms.crossJoin(F.broadcast(configs)).filter(F.col("rank") < F.col("pool"))
+    both = both.filter((F.col("mode") == "hybrid") | (F.col("arm") == F.when(F.col("mode") == "dense", 0).otherwise(1)))
+    both = both.withColumn("qid", F.struct("config", "qid"))
+    has_dense = both.filter("arm = 0 AND mode = 'hybrid'").select("qid").distinct()
+    weight = F.when(F.col("arm") == 0, F.col("dense_weight")).otherwise(F.col("bm25_weight"))
+    fused = both.join(has_dense, "qid", "left_semi").groupBy("qid", "ord").agg(F.round(F.sum(weight / (F.col("rrf_k") + F.col("rank") + 1)), DIGITS).alias("score"), F.min(F.struct("arm", "rank")).alias("first_seen"))
+    own = both.join(has_dense, "qid", "left_anti").select("qid", "ord", "score", F.struct("arm", "rank").alias("first_seen"))
+    return both.select("qid", "ord", "score", "rank", "arm"), fused.unionByName(own)
+
+
 def key_boost(fused: DataFrame, queries: DataFrame, chunks: DataFrame, boost: float = KEY_BOOST) -> DataFrame:
     """Scores times 1 + boost where a key of the chunk (2 characters in zh, 3 in en at least) is in the question."""
     if boost <= 0:

@@ -10,11 +10,11 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean
-from ..sources.shared import ready
+from ..sources.shared import ready, stored
 
 #: The class names and style that the pages use.
 SPEC_LIST, SPEC_TITLE, SPEC_DESC = "spec-item-list", "spec-title", "spec-desc"
@@ -53,6 +53,20 @@ def events_of(page: str | None) -> list[tuple]:
     return parser.rows
 
 
+@F.udtf(returnType=EVENTS)
+class HtmlEvents:
+    """Events of a page as a table function: SELECT ... FROM pages, LATERAL html_events(html)."""
+
+    def eval(self, html: str):
+        yield from events_of(html)
+
+
+def register_html(spark: SparkSession) -> None:
+    """Make html_events(html) known to SQL."""
+    ready(spark)
+    spark.udtf.register("html_events", HtmlEvents)
+
+
 def html_events(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, seq, ev, tag, cls, id, style, href, data): a row for each start tag, end tag and text of each page.
 
@@ -184,7 +198,9 @@ def feature_blocks(events: DataFrame, container: str = CONTAINER, section_prefix
     e = e.withColumn("block", carried(F.when(is_root | inner, F.col("seq")), by_level))
     e = e.withColumn("closes", F.first(F.when(closing, F.col("seq")), ignorenulls=True).over(by_level.rowsBetween(1, Window.unboundedFollowing)))
     named = F.when(F.col("id") != "", F.col("id")).otherwise(F.get(F.filter(F.split("cls", r"\s+"), lambda c: F.startswith(c, F.lit(section_prefix))), F.lit(0)))
-    blocks = e.filter(is_root | inner).select("page_id", "block", "closes", F.when(is_root, "root").otherwise(named).alias("name"))
+    # Blocks and their texts both come from here: pages are parsed, and depths worked out, once.
+    e = stored(e.select("page_id", "seq", "ev", "tag", "data", "root", "block", "closes", (is_root | inner).alias("begins"), F.when(is_root, "root").otherwise(named).alias("name")))
+    blocks = e.filter("begins").select("page_id", "block", "closes", "name")
 
     e = e.withColumn("piece", F.sum(((F.col("seq") > F.col("root")) & start(*TEXT_TAGS)).cast("int")).over(in_page())).filter("piece > 0")
     per_piece = Window.partitionBy("page_id", "piece")
@@ -202,7 +218,7 @@ def feature_blocks(events: DataFrame, container: str = CONTAINER, section_prefix
         return F.transform(F.array_sort(F.collect_list(F.when(condition, placed))), lambda x: x["text"])
 
     prose = pieces.groupBy("page_id", "block").agg(texts_where(F.col("tag") != "p").alias("headings"), texts_where(F.col("tag") == "p").alias("paragraphs"))
-    closed = blocks.filter("closes IS NOT NULL").join(prose, ["page_id", "block"])
+    closed = stored(blocks.filter("closes IS NOT NULL").join(prose, ["page_id", "block"]))
     # A section without a name is called by the number of blocks that were closed before it began.
     ends = closed.select("page_id", F.col("closes").alias("at"), F.lit(1).alias("n"), F.lit(None).cast("int").alias("block"))
     begins = closed.filter("name IS NULL").select("page_id", F.col("block").alias("at"), F.lit(0).alias("n"), "block")
@@ -256,15 +272,16 @@ SKU_NAMES = r'(?s)<div class="model-base-info-subtitle">(.*?)</div>'
 SKU_CELL = r'(?s)<div class="spec-item-list" data-spec-row="(\d+)">(.*?)</div>'
 
 
-def sku_variants(pages: DataFrame, product: str, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def sku_variants(pages: DataFrame, product: str | Column, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, col, code, full_name, row, value) of the rows in which a page's models differ.
 
-    Models are called `product` and a code, in the order of the cells of each row. A page with a row that has not one
+    Models are called `product` (a name, or a column of the pages) and a code, in the order of the cells of each row. A page with a row that has not one
     cell for each model gives nothing at all.
     """
-    page = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"))
+    name = product if isinstance(product, Column) else F.lit(product)
+    page = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"), name.alias("product"))
     names = unescape(F.regexp_extract("html", SKU_NAMES, 1))
-    code = F.regexp_extract_all(names, F.lit(rf"\Q{product}\E ([A-Z0-9]+)"), F.lit(1))
+    code = F.regexp_extract_all(names, F.concat(F.lit(r"\Q"), F.col("product"), F.lit(r"\E ([A-Z0-9]+)")), F.lit(1))
     page = page.withColumn("codes", code).filter(F.size("codes") > 0)
     cells = page.select("page_id", F.size("codes").alias("n"), F.posexplode(F.arrays_zip(F.regexp_extract_all("html", F.lit(SKU_CELL), F.lit(1)).alias("row"), F.regexp_extract_all("html", F.lit(SKU_CELL), F.lit(2)).alias("raw"))).alias("at", "cell"))
     cells = cells.select("page_id", "n", "at", F.col("cell.row").cast("int").alias("row"), sku_cell_text(F.col("cell.raw")).alias("value"))
@@ -273,5 +290,5 @@ def sku_variants(pages: DataFrame, product: str, id_col: str = "page_id", html_c
     differing = rows.filter("kinds > 1").select("page_id", "row").join(sound, "page_id")
     col = F.row_number().over(Window.partitionBy("page_id", "row").orderBy("at")) - 1
     values = cells.withColumn("col", col).join(differing, ["page_id", "row"])
-    models = page.select("page_id", F.posexplode("codes").alias("col", "code"))
-    return values.join(models, ["page_id", "col"]).select("page_id", "col", "code", F.concat(F.lit(product + " "), F.col("code")).alias("full_name"), "row", "value")
+    models = page.select("page_id", "product", F.posexplode("codes").alias("col", "code"))
+    return values.join(models, ["page_id", "col"]).select("page_id", "col", "code", F.concat("product", F.lit(" "), "code").alias("full_name"), "row", "value")

@@ -36,6 +36,24 @@ def build_corpus(spec_zh: DataFrame, spec_en: DataFrame, product: str, feature_z
     return C.renumbered(C.dedupe(stored(C.in_order(*map(stored, stages)))))
 
 
+def build_corpora(spec_zh: DataFrame, spec_en: DataFrame, products: DataFrame, feature_zh: DataFrame | None = None, feature_en: DataFrame | None = None, validate: bool = True, markers: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks of many products at once, with page_id beside the columns of CHUNK: (page_id, chunk_id) tells them apart.
+
+    Pages (page_id, html) of all kinds share the page_id of their product; products (page_id, product) names it. ord runs through one
+    product after the other, each in the order of build_corpus; equal texts stay once in each product.
+    """
+    zh, en = (stored(spec_rows(html_events(p))) for p in (spec_zh, spec_en))
+    if validate:
+        for items in (zh, en):
+            validate_spec_items(items, markers=markers)
+    known = products.select("page_id", "product")
+    name = F.col("product")
+    variants = sku_variants(spec_zh.join(known, "page_id"), name).join(known, "page_id")
+    stages = [C.fact_chunks(extract_facts(zh, en)), C.spec_chunks(zh, en), C.sku_chunks(variants, zh, en, name)]
+    stages += [C.feature_chunks(feature_blocks(html_events(p)).join(known, "page_id"), lang, name) for p, lang in ((feature_zh, "zh"), (feature_en, "en")) if p is not None]
+    return C.renumbered(C.dedupe(stored(C.in_order(*map(stored, stages), by_page=True)), within=["page_id"]))
+
+
 @dataclass
 class Retriever:
     """chunks (CHUNK), a lexical index, and vectors with the embedder of the questions, if there are any."""
@@ -83,6 +101,19 @@ class Retriever:
         return fusion.hits(fusion.rescue(selected, arms, top_k), arms, self.chunks)
 
 
+def sweep(retriever: Retriever, queries: DataFrame, configs: DataFrame, top_k: int = 5) -> DataFrame:
+    """Hits of many configurations (fusion.CONFIGS), with the column config: the arms are searched once, for the largest pool, and all
+    that comes after that is one plan over the configurations.
+    """
+    most = configs.agg(F.max("pool")).first()[0] or 0
+    asked = queries.crossJoin(F.broadcast(configs.select("config"))).withColumn("qid", F.struct("config", "qid"))
+    arms, fused = fusion.configured(stored(retriever.arms(queries, most)), configs)
+    arms = stored(arms)
+    selected = fusion.diversify(fusion.key_boost(fused, asked, retriever.chunks, retriever.key_boost), retriever.chunks, top_k, retriever.max_per_doc)
+    found = fusion.hits(fusion.rescue(stored(selected), arms, top_k), arms, retriever.chunks)
+    return found.withColumns({"config": F.col("qid.config"), "qid": F.col("qid.qid")})
+
+
 def load_retriever(chunks: DataFrame, index_path: str | None = None, embedder: Embedder | None = None, mode: str = "hybrid", on_degrade: Callable[[str], None] | None = None) -> Retriever:
     """A retriever over chunks. bm25 needs no vectors; hybrid without an embedder falls back to bm25 and says so.
 

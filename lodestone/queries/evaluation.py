@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
+from ..operators import fusion
 from ..operators.generation import REFUSAL, build_generator, stream_stats
-from ..plans.retrieval import Answering
+from ..plans.retrieval import Answering, sweep
 from ..sources.shared import stored
 from .common import table, tokens_sql
 from .retrieval import DENSE_FUSED, FUSED, SPARSE_FUSED, TOP, bm25_sql, bm25_topk, rescued_sql, retriever
@@ -47,13 +48,11 @@ def mode_sweep(spark, sf) -> DataFrame:
     """Each mode's own hits, scored against the same gold."""
     sets = stored(gold(spark, sf))
     r, asked = retriever(spark, sf)
-    first = None
-    for mode in ("dense", "bm25", "hybrid"):
-        r.mode = mode
-        hits = r.search(asked, 5).select("qid", "rank", F.col("ord").alias("doc_id"))
-        one = E.first_gold(hits, sets).withColumn("mode", F.lit(mode))
-        first = one if first is None else first.unionByName(one)
-    return E.retrieval_scores(first, by=["mode"])
+    modes = spark.createDataFrame([(m, m, fusion.RRF_K, fusion.POOL, 1.0, 1.0) for m in ("dense", "bm25", "hybrid")], fusion.CONFIGS)
+    hits = sweep(r, asked, modes).select("config", "qid", "rank", F.col("ord").alias("doc_id"))
+    found = hits.join(sets.select("qid", F.explode("gold_docs").alias("doc_id")), ["qid", "doc_id"], "left_semi").groupBy("config", "qid").agg(F.min("rank").alias("first"))
+    every = sets.select("qid").crossJoin(F.broadcast(modes.select("config"))).join(found, ["config", "qid"], "left")
+    return E.retrieval_scores(every.withColumnRenamed("config", "mode"), by=["mode"])
 
 
 def answers(spark, sf) -> DataFrame:

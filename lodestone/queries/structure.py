@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import facts as X
-from ..operators.html import feature_blocks, html_events, links
+from ..operators.html import feature_blocks, html_events, links, register_html
 from ..sources.tables import accepted, cache_status
 from .common import table
 
@@ -21,6 +21,13 @@ def html_links(spark, sf) -> DataFrame:
     return links(html_events(table(spark, sf, "pages"))).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"))
 
 
+def html_tags(spark, sf) -> DataFrame:
+    """Start tags of each page, by the parser as a table function in SQL."""
+    register_html(spark)
+    pages = table(spark, sf, "pages")
+    return spark.sql("SELECT page_id, tag, count(*) AS n FROM {pages}, LATERAL html_events(html) WHERE ev = 'start' AND tag IN ('p', 'b', 'a', 'h1', 'article', 'title') GROUP BY page_id, tag", pages=pages)
+
+
 def html_titles(spark, sf) -> DataFrame:
     pages = table(spark, sf, "pages")
     return pages.select("page_id", F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1).alias("h1"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))
@@ -94,6 +101,11 @@ QUERIES = {
         f"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS t FROM pages),
 b AS (SELECT page_id, {text_sql("regexp_extract(t, '(?s)<h1>(.*?)</h1>', 1)")} AS h, list_filter(list_transform(list_filter(string_split(t, '<p>')[2:], lambda x: contains(x, '</p>')), lambda x: {text_sql("split_part(x, '</p>', 1)")}), lambda x: x <> '') AS ps FROM a)
 SELECT page_id, 0 AS ord, 'root' AS block_id, h AS headings, len(ps)::INT AS n_paragraphs, md5(array_to_string(ps, chr(10))) AS paragraphs_md5 FROM b WHERE length(h) > 4 OR len(list_filter(ps, lambda x: length(x) > 20)) > 0""",
+    ),
+    "html_tags": (
+        html_tags,
+        """WITH p AS (SELECT page_id, regexp_replace(html, '(?s)<(script|style).*?</(script|style)>', '', 'g') AS h FROM pages), t AS (SELECT unnest(['p', 'b', 'a', 'h1', 'article', 'title']) AS tag)
+SELECT page_id, tag, len(regexp_extract_all(lower(h), '<' || tag || '[ >]'))::BIGINT AS n FROM p, t WHERE len(regexp_extract_all(lower(h), '<' || tag || '[ >]')) > 0""",
     ),
     "html_links": (html_links, "SELECT page_id, n AS n_links FROM (SELECT page_id, len(regexp_extract_all(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<a [^>]*href=\"[^\"]+\"')) AS n FROM pages) WHERE n > 0"),
     "html_titles": (html_titles, "SELECT page_id, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS h1, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages"),

@@ -3,8 +3,10 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import chunks as C
 from lodestone.operators import facts as X
-from lodestone.operators.html import feature_blocks, html_events, links, sku_variants, spec_rows, spec_violations, validate_spec_items
-from lodestone.plans.retrieval import build_corpus
+from lodestone.operators.html import feature_blocks, html_events, links, register_html, sku_variants, spec_rows, spec_violations, validate_spec_items
+from lodestone.operators import ordinals
+from lodestone.operators.ordinals import with_ordinals
+from lodestone.plans.retrieval import build_corpora, build_corpus
 
 SPEC = """<html><script>var x = "</ul><ul class='spec-item-list'>";</script>
 <div class="spec-item-list"><li class="spec-title">No</li></div>
@@ -125,3 +127,38 @@ def test_rules_are_data(spark):
     assert [(r.value) for r in X.rule_facts(pairs, X.rules_table(spark, rule)).collect()] == ["<９>"]
     first_line = X.rule_facts(pairs.withColumn("value", F.lit("a\rb\nc")), X.rules_table(spark, [X.Rule("a", "K", "", "", "^(.+)$", r"\1")])).first()
     assert first_line.value == "a\rb"
+
+
+def test_many_products_at_once(spark):
+    """Each product's chunks are those of a build of its own, in their order, whatever the others are."""
+    own = {1: ("Pro 16", SPEC + SKU, FEATURE), 2: ("Air 9", SPEC.replace("240Hz", "120Hz") + SKU.replace("Pro 16", "Air 9"), FEATURE.replace("Cooling", "Silent")), 3: ("Pro 16", SPEC, FEATURE)}
+    spec = spark.createDataFrame([(k, v[1]) for k, v in own.items()], "page_id bigint, html string")
+    prose = spark.createDataFrame([(k, v[2]) for k, v in own.items()], "page_id bigint, html string")
+    products = spark.createDataFrame([(k, v[0]) for k, v in own.items()], "page_id bigint, product string")
+    got = build_corpora(spec, spec, products, prose, prose, validate=False).orderBy("ord").collect()
+    assert [r.ord for r in got] == list(range(len(got))) and [r.page_id for r in got] == sorted(r.page_id for r in got)
+    assert len({(r.page_id, r.chunk_id) for r in got}) == len(got) > len({r.chunk_id for r in got})
+    for k, (name, html, text) in own.items():
+        alone = build_corpus(pages(spark, html), pages(spark, html), name, pages(spark, text), pages(spark, text), validate=False).orderBy("ord").collect()
+        assert [(r.chunk_id, r.text) for r in got if r.page_id == k] == [(r.chunk_id, r.text) for r in alone]
+
+
+def test_places_in_an_order(spark, monkeypatch):
+    """Ranges of rows are numbered from the sums of the counts before them; ties get places of their own."""
+    monkeypatch.setattr(ordinals, "RANGE_ROWS", 20)
+    df = spark.createDataFrame([(i * 37 % 500 if i % 3 else 250, f"r{i}") for i in range(500)] + [(None, "none")], "k int, name string").repartition(6)
+    got = with_ordinals(df, [F.col("k")]).orderBy("ord").collect()
+    assert [r.ord for r in got] == list(range(501)) and got[0].name == "none"
+    assert [r.k for r in got[1:]] == sorted(r.k for r in got[1:])
+    assert with_ordinals(df.limit(0), [F.col("k")]).count() == 0
+    starts = ordinals.range_starts(ordinals.ranges(df, [F.col("k")]), ["k"]).collect()
+    assert sum(r.total for r in starts if r["first"] == 0) == 501
+
+
+def test_pages_are_parsed_once(spark):
+    """Sections come from stored events: no Python is left in their plan, and SQL can use the parser too."""
+    df = pages(spark, FEATURE)
+    assert "Python" not in (plan := feature_blocks(html_events(df))._jdf.queryExecution().executedPlan().toString()) and "MapInPandas" not in plan
+    register_html(spark)
+    rows = spark.sql("SELECT seq, ev, tag FROM {pages}, LATERAL html_events(html) ORDER BY seq", pages=df).collect()
+    assert [(r.seq, r.ev, r.tag) for r in rows] == [(r.seq, r.ev, r.tag) for r in html_events(df).orderBy("seq").collect()]
