@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import detect_language
 
+#: Characters of a context, and what stands above the context and the question.
 MAX_CONTEXT_CHARS = 2400
 REFERENCE_HEADER = {"zh": "參考資料：", "en": "Reference:"}
 QUESTION_HEADER = {"zh": "問題：", "en": "Question:"}

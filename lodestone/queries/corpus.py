@@ -216,8 +216,8 @@ def model_embedder(spark, sf) -> DataFrame:
     """The hook for models, with its prefixes for passages and queries."""
     ready(spark)
     model = ModelEmbedder("toy", 3, vowels_and_length, "query: ", "p ")
-    made = table(spark, sf, "benchmark").select("item_id", model.encode(F.col("text")).alias("p"), model.encode(F.col("text"), is_query=True).alias("q"))
-    return made.select("item_id", *[F.round(F.col(c)[k], 6).alias(f"{c}{k}") for c in "pq" for k in range(2)])
+    made = table(spark, sf, "documents").select("doc_id", model.encode(F.col("text")).alias("p"), model.encode(F.col("text"), is_query=True).alias("q"))
+    return made.select("doc_id", *[F.round(F.col(c)[k], 6).alias(f"{c}{k}") for c in "pq" for k in range(2)])
 
 
 def own_folder(spark) -> str:
@@ -357,8 +357,8 @@ SELECT item_id AS qid, 'en' AS lang, coalesce(n, 0) AS n_used, length(coalesce(c
     "count_tokens": (token_counts, f"SELECT doc_id, len({tokens_sql('text')})::INT AS n_tokens FROM documents"),
     "model_embedder": (
         model_embedder,
-        "WITH p AS (SELECT item_id, length(text) + 2 AS n, (length(text) - length(replace(text, 'e', '')))::DOUBLE AS e FROM benchmark), "
-        "s AS (SELECT item_id, n, e, n + 5 AS m, e + 1 AS f FROM p) SELECT item_id, round(n / sqrt(n * n + e * e + 1), 6) AS p0, round(e / sqrt(n * n + e * e + 1), 6) AS p1, round(m / sqrt(m * m + f * f + 1), 6) AS q0, round(f / sqrt(m * m + f * f + 1), 6) AS q1 FROM s",
+        "WITH p AS (SELECT doc_id, length(text) + 2 AS n, (length(text) - length(replace(text, 'e', '')))::DOUBLE AS e FROM documents), "
+        "s AS (SELECT doc_id, n, e, n + 5 AS m, e + 1 AS f FROM p) SELECT doc_id, round(n / sqrt(n * n + e * e + 1), 6) AS p0, round(e / sqrt(n * n + e * e + 1), 6) AS p1, round(m / sqrt(m * m + f * f + 1), 6) AS q0, round(f / sqrt(m * m + f * f + 1), 6) AS q1 FROM s",
     ),
     "index_files": (
         embedded_index,

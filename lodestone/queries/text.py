@@ -81,8 +81,10 @@ def context_pack(spark, sf) -> DataFrame:
 
 
 def md5_embedding(spark, sf) -> DataFrame:
-    v = table(spark, sf, "benchmark").select("item_id", Md5Embedder(64).encode(F.col("text")).alias("v"))
-    return v.select("item_id", F.posexplode("v").alias("dim", "x")).select("item_id", "dim", F.round("x", 6).alias("x"))
+    """The embeddings' dimensions that are not 0, and each embedding's norm, which is 1 unless a text has no tokens."""
+    v = table(spark, sf, "documents").select("doc_id", Md5Embedder(64).encode(F.col("text")).alias("v"))
+    norm = F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), 6)
+    return v.select("doc_id", norm.alias("norm"), F.posexplode("v").alias("dim", "x")).filter("x <> 0").select("doc_id", "norm", "dim", F.round("x", 6).alias("x"))
 
 
 def hash_embedding(spark, sf) -> DataFrame:
@@ -130,7 +132,7 @@ QUERIES = {
     ),
     "hash_embed_norms": (
         md5_embedding,
-        f"WITH h AS (SELECT item_id, md5(t) AS m FROM (SELECT item_id, unnest({tokens_sql('text')}) AS t FROM benchmark)), s AS (SELECT item_id, (('0x' || substr(m, 1, 7))::BIGINT % 64)::INT AS dim, sum(CASE WHEN substr(m, 8, 1) >= '8' THEN 1.0::DOUBLE ELSE -1.0 END) AS x FROM h GROUP BY ALL), n AS (SELECT item_id, sqrt(sum(x * x)) AS norm FROM s GROUP BY item_id) SELECT b.item_id, d.dim::INT AS dim, round(coalesce(s.x, 0.0) / greatest(coalesce(n.norm, 0.0), 1e-12), 6) AS x FROM benchmark b CROSS JOIN (SELECT unnest(range(64)) AS dim) d LEFT JOIN s ON s.item_id = b.item_id AND s.dim = d.dim LEFT JOIN n ON n.item_id = b.item_id",
+        f"WITH h AS (SELECT doc_id, md5(t) AS m FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS t FROM documents)), s AS (SELECT doc_id, (('0x' || substr(m, 1, 7))::BIGINT % 64)::INT AS dim, sum(CASE WHEN substr(m, 8, 1) >= '8' THEN 1.0::DOUBLE ELSE -1.0 END) AS x FROM h GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM s GROUP BY doc_id) SELECT doc_id, 1.0::DOUBLE AS norm, dim, round(x / norm, 6) AS x FROM s JOIN n USING (doc_id) WHERE x <> 0",
     ),
     "hash_embedding_blake2b": (hash_embedding, None),
 }

@@ -89,4 +89,5 @@ def check_index(vectors: DataFrame, chunks: DataFrame) -> None:
 
 
 def save_results(results: DataFrame, path: str) -> None:
-    results.coalesce(1).write.mode("overwrite").json(path)
+    """JSON lines in a folder, a file for each task."""
+    results.write.mode("overwrite").json(path)

@@ -60,3 +60,23 @@ def test_thinking(spark):
     assert one(spark, "rest</think> y /no_think ", T.strip_thinking) == "y"
     assert one(spark, "a</think>b</think>c", T.strip_thinking) == "b</think>c"
     assert one(spark, "<think></think>答 /no_output 案", T.strip_thinking) == "答 案"
+
+
+def test_hash_embedding_query(spark, tmp_path):
+    """The query's rows, dimension by dimension, against hashing each token plainly."""
+    import hashlib
+    import math
+
+    from lodestone.queries.text import hash_embedding
+
+    texts = ["Alpha beta alpha", "", None, "x-1 電池容量 y.2", "word " * 300 + "other"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for i, t in enumerate(texts):
+        v = [0.0] * 512
+        for w in tokens_of(t or ""):
+            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+            v[h % 512] += 1.0 if h >> 63 else -1.0
+        norm = math.sqrt(sum(x * x for x in v)) or 1.0
+        want |= {(i, d, round(x / norm, 6)) for d, x in enumerate(v) if x}
+    assert {(r.doc_id, r.dim, r.x) for r in hash_embedding(spark, str(tmp_path)).collect()} == want
