@@ -62,7 +62,7 @@ def replaced_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 #: Tables that stored() wrote since the innermost scratch() began.
-_SCRATCH: ContextVar[list[DataFrame]] = ContextVar("scratch", default=[])  # noqa: B039
+_SCRATCH: ContextVar[list[DataFrame] | None] = ContextVar("scratch", default=None)
 
 
 @contextmanager
@@ -83,10 +83,10 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     finally:
         _SCRATCH.reset(token)
         for df in made:
-            if df.stored_at in kept:
-                outer.append(df)
-            else:
+            if df.stored_at not in kept:
                 dropped(df)
+            elif outer is not None:
+                outer.append(df)
 
 
 def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
@@ -101,7 +101,8 @@ def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     files.deleteOnExit(hadoop_path)
     back = spark.read.schema(df.schema).parquet(path)
     back.stored_at = path
-    _SCRATCH.get().append(back)
+    if (made := _SCRATCH.get()) is not None:
+        made.append(back)
     return back
 
 
