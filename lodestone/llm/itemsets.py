@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordinals import with_ordinals
-from .common import join_one, stored, table
+from .common import join_one, scratch, stored, table
 
 #: An itemset is frequent with so many baskets and one in so many of all; a rule holds in so many of 100, and beats chance.
 LEAST, SHARE, CONFIDENCE = 5, 20_000, 60
@@ -282,20 +282,21 @@ def closed_itemsets(lines: DataFrame, *, basket_col: str = "sale_id", item_col:
     items gives no rows. A basket or an item may hold any share of the rows.
     """
     rows = lines.select(F.col(basket_col).alias("basket"), F.col(item_col).alias("item")).filter("basket IS NOT NULL AND item IS NOT NULL")
-    pairs = stored(rows.distinct())
-    n_baskets = pairs.select("basket").distinct().count()
-    least = max(least, -(-n_baskets // share))
-    often = stored(pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least))
-    n_items = often.count()
-    items = stored(with_ordinals(often, [F.col("n"), F.col("item")], "rank").select("item", "n", F.col("rank").cast("int").alias("rank")))
-    known = meets_items(pairs, items, "item", n_items, most_items).groupBy("basket").agg(F.array_sort(F.collect_list(F.struct("rank", "n"))).alias("items"))
-    baskets = stored(known.filter(F.size("items") > 1).select(F.xxhash64("basket").alias("salt"), "items"))
-    small = items.filter(F.col("n") <= class_rows)
-    groups = max(1, math.ceil((small.agg(F.sum("n")).first()[0] or 0) / group_rows))
-    classes = small.select(part_of(F.col("rank"), F.col("n"), F.lit(0), groups, class_rows).alias("part"), F.array("rank").alias("prefix"), F.col("rank").alias("cut"), F.col("n").alias("support"))
-    found = class_rows_of(baskets, groups, class_rows, hot=False).groupBy("part").cogroup(classes.groupBy("part")).applyInArrow(mine(least), FOUND)
-    hot = hot_classes(baskets, items, least, class_rows, group_rows)
-    found = stored(found if hot is None else found.unionByName(hot))
+    with scratch() as keep:
+        pairs = stored(rows.distinct())
+        n_baskets = pairs.select("basket").distinct().count()
+        least = max(least, -(-n_baskets // share))
+        often = stored(pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least))
+        n_items = often.count()
+        items = keep(stored(with_ordinals(often, [F.col("n"), F.col("item")], "rank").select("item", "n", F.col("rank").cast("int").alias("rank"))))
+        known = meets_items(pairs, items, "item", n_items, most_items).groupBy("basket").agg(F.array_sort(F.collect_list(F.struct("rank", "n"))).alias("items"))
+        baskets = keep(stored(known.filter(F.size("items") > 1).select(F.xxhash64("basket").alias("salt"), "items")))
+        small = items.filter(F.col("n") <= class_rows)
+        groups = max(1, math.ceil((small.agg(F.sum("n")).first()[0] or 0) / group_rows))
+        classes = small.select(part_of(F.col("rank"), F.col("n"), F.lit(0), groups, class_rows).alias("part"), F.array("rank").alias("prefix"), F.col("rank").alias("cut"), F.col("n").alias("support"))
+        found = class_rows_of(baskets, groups, class_rows, hot=False).groupBy("part").cogroup(classes.groupBy("part")).applyInArrow(mine(least), FOUND)
+        hot = hot_classes(baskets, items, least, class_rows, group_rows)
+        found = keep(stored(found if hot is None else found.unionByName(hot)))
 
     each = found.select("items", "support", F.posexplode("rests").alias("i", "a"), F.size("items").alias("size"))
     rest = F.when((F.col("size") > 2) & F.col("a").isNull(), F.array_remove("items", F.get("items", F.col("i"))))

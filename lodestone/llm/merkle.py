@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordinals import range_of, range_starts, ranges, with_ordinals
-from .common import crc_mod, stored, table
+from .common import crc_mod, dropped, scratch, stored, table
 
 #: Nodes that make up one node of the next level.
 ARITY = 8
@@ -212,25 +212,26 @@ def manifest(leaves: DataFrame, arity: int = ARITY) -> Manifest:
 
     A group may hold any share of the leaves. An empty table has no groups and no root.
     """
-    dealt = ranges(leaves, [F.col("grp"), F.col("doc_id"), F.col("leaf")]).withColumn("range", range_of(F.col("seq")))
-    starts = stored(range_starts(dealt, ["grp"]))
-    nodes = stored(local_nodes(dealt.select("range", "seq", "grp", "leaf"), starts, arity))
-    most = starts.agg(F.max("total")).first()[0] or 0
-    runs, subroots = finished(nodes, levels_of(most, arity), arity)
-    subroots = stored(subroots)
-    n = subroots.count()
-    placed = with_ordinals(subroots, [F.col("grp")], "place").select(F.col("grp").alias("sub"), F.col("total").alias("leaves"), F.lit("").alias("grp"), F.lit(n).cast("long").alias("total"), F.lit(0).alias("level"), "place", F.col("root").alias("digest"))
-    placed = stored(placed)
-    top_runs, roots = finished(placed.drop("sub", "leaves"), levels_of(n, arity), arity)
-    root = roots.first()
-    root = root and root["root"]
-    whole = leaves.sparkSession.createDataFrame([("", n, [])], "grp string, total long, path array<struct<left string, right string>>")
-    top = paths(top_runs, whole, arity).filter("level = 0").select("place", "path")
-    above = stored(placed.join(top, "place").select(F.col("sub").alias("grp"), F.col("leaves").alias("total"), "path", F.col("digest").alias("subroot")))
-    below = paths(runs, above, arity)
-    ends = nodes.select("range", "grp", "total", "level", "place").join(below, ["grp", "level", "place"]).join(starts.select("range", "grp", "first"), ["range", "grp"])
-    ends = ends.join(above.select("grp", "subroot"), "grp").withColumn("root", F.lit(root).cast("string"))
-    return Manifest(root, above.select("grp", "total", "subroot"), dealt, stored(ends), arity)
+    with scratch() as keep:
+        dealt = keep(ranges(leaves, [F.col("grp"), F.col("doc_id"), F.col("leaf")])).withColumn("range", range_of(F.col("seq")))
+        starts = stored(range_starts(dealt, ["grp"]))
+        nodes = stored(local_nodes(dealt.select("range", "seq", "grp", "leaf"), starts, arity))
+        most = starts.agg(F.max("total")).first()[0] or 0
+        runs, subroots = finished(nodes, levels_of(most, arity), arity)
+        subroots = stored(subroots)
+        n = subroots.count()
+        placed = with_ordinals(subroots, [F.col("grp")], "place").select(F.col("grp").alias("sub"), F.col("total").alias("leaves"), F.lit("").alias("grp"), F.lit(n).cast("long").alias("total"), F.lit(0).alias("level"), "place", F.col("root").alias("digest"))
+        placed = stored(placed)
+        top_runs, roots = finished(placed.drop("sub", "leaves"), levels_of(n, arity), arity)
+        root = roots.first()
+        root = root and root["root"]
+        whole = leaves.sparkSession.createDataFrame([("", n, [])], "grp string, total long, path array<struct<left string, right string>>")
+        top = paths(top_runs, whole, arity).filter("level = 0").select("place", "path")
+        above = keep(stored(placed.join(top, "place").select(F.col("sub").alias("grp"), F.col("leaves").alias("total"), "path", F.col("digest").alias("subroot"))))
+        below = paths(runs, above, arity)
+        ends = nodes.select("range", "grp", "total", "level", "place").join(below, ["grp", "level", "place"]).join(starts.select("range", "grp", "first"), ["range", "grp"])
+        ends = keep(stored(ends.join(above.select("grp", "subroot"), "grp").withColumn("root", F.lit(root).cast("string"))))
+    return Manifest(root, above.select("grp", "total", "subroot"), dealt, ends, arity)
 
 
 def merkle_manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, *, id_col: str = "doc_id", group_col: str = "lang", altered: dict[str, Column] | None = None, arity: int = ARITY) -> Manifest:
@@ -241,7 +242,10 @@ def merkle_manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, *, id_col
     """
     alt = [(altered or {}).get(c, F.col(c)) for c in fields]
     rows = docs.select(F.col(id_col).alias("doc_id"), group_key(F.col(group_col)).alias("grp"), leaf_digest(*map(F.col, fields)).alias("leaf"), leaf_digest(*alt).alias("alt"))
-    return manifest(stored(rows), arity)
+    rows = stored(rows)
+    made = manifest(rows, arity)
+    dropped(rows)
+    return made
 
 
 def op13_merkle_manifest(spark, sf_dir: str) -> DataFrame:
