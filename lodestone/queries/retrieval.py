@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -14,7 +15,7 @@ from ..operators.lexical import build_index
 from ..operators.pivots import PivotIndex
 from ..operators.segments import SegmentIndex
 from ..plans.retrieval import Retriever, load_retriever
-from ..sources.shared import shared_dir, stored
+from ..sources.shared import hadoop, shared_dir, stored
 from .common import table, tokens_sql
 
 TOP, POOL = 10, 25
@@ -40,8 +41,12 @@ def corpus_stats(spark, sf) -> DataFrame:
 def kept_index(spark, sf) -> SegmentIndex:
     """The lexical index of the folder's documents, kept in the shared folder for as long as their files are the same."""
     docs = corpus(spark, sf)
-    files = spark.read.parquet(f"{sf}/documents.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    key = files.agg(F.md5(F.to_json(F.array_sort(F.collect_list(F.struct("*"))))).alias("key")).first().key
+    where, files = hadoop(spark, f"{sf}/documents.parquet")
+    listed, found = files.listFiles(where, True), []
+    while listed.hasNext():
+        status = listed.next()
+        found.append(f"{status.getPath()} {status.getLen()} {status.getModificationTime()}")
+    key = hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:32]
     path = f"{shared_dir(spark)}/lodestone-lexical-{key}"
     return SegmentIndex.open(spark, path) if SegmentIndex.exists(spark, path) else SegmentIndex.create(spark, path, docs)
 
