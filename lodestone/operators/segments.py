@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,7 +26,9 @@ from ..sources.shared import hadoop, ready, shared_dir, stored
 from .lexical import DIGITS, K1, TERM_ROWS, B, idf, ranked
 
 #: Documents of a shard, and postings of a block.
-SHARD, BLOCK = 32_768, 128
+SHARD, BLOCK = 16_384, 128
+#: No token: its postings are the documents themselves, with their lengths.
+DOCS = ""
 #: Terms that are pushed to the scan as a list.
 PUSHED = 1_000
 #: What is below the threshold by no more than this may reach it when scores are rounded.
@@ -35,17 +37,80 @@ SLACK = 10.0**-DIGITS
 BLOCKS = "shard int, term string, block int, ords array<bigint>, tfs array<int>, lens array<int>, best_tf array<int>, best_len array<int>"
 
 
+LISTS = "shard int, term string, ords array<bigint>, tfs array<int>, lens array<int>"
+
+
+def whole(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column if isinstance(column, pa.Array) else column.chunk(0)
+
+
+def runs(key: np.ndarray) -> np.ndarray:
+    """Where equal keys that follow one another begin, and the end."""
+    return np.append(np.flatnonzero(np.diff(key, prepend=key[:1] - 1)), len(key)) if len(key) else np.zeros(1, np.int64)
+
+
+def lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """LISTS of rows (shard, ord, tokens): a batch's postings of each term and shard together, and its documents under DOCS."""
+    for batch in batches:
+        tokens, n = whole(batch.column("tokens")), batch.num_rows
+        shard, ords = batch.column("shard").to_numpy(), batch.column("ord").to_numpy(zero_copy_only=False)
+        size = np.diff(tokens.offsets.to_numpy())
+        coded = tokens.flatten().dictionary_encode()
+        names = pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.array([DOCS], pa.string())])
+        row = np.repeat(np.arange(n), size)
+        pairs, tf = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(n, 1) + row, return_counts=True)
+        code = np.concatenate([pairs // max(n, 1), np.full(n, len(names) - 1)])
+        row, tf = np.concatenate([pairs % max(n, 1), np.arange(n)]), np.concatenate([tf, np.zeros(n, np.int64)])
+        key = shard[row].astype(np.int64) * len(names) + code
+        order = np.argsort(key, kind="stable")
+        key, row, tf = key[order], row[order], tf[order]
+        ends = runs(key)
+        first = key[ends[:-1]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(first // len(names), pa.int32()), names.take(pa.array(first % len(names))), lists(ords[row], ends, pa.int64()), lists(tf, ends, pa.int32()), lists(size[row], ends, pa.int32())],
+            names=["shard", "term", "ords", "tfs", "lens"],
+        )
+
+
+def blocks_of(size_of_block: int) -> Callable[[pa.Table], pa.Table]:
+    """BLOCKS of one shard's LISTS."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        flat = {c: whole(rows.column(c)).flatten().to_numpy(zero_copy_only=False) for c in ("ords", "tfs", "lens")}
+        coded = whole(rows.column("term")).dictionary_encode()
+        place = np.argsort(np.argsort(np.array(coded.dictionary.to_pylist(), dtype=object), kind="stable"), kind="stable")
+        names = coded.dictionary.take(pa.array(np.argsort(place)))
+        term = np.repeat(place[coded.indices.to_numpy(zero_copy_only=False)], np.diff(whole(rows.column("ords")).offsets.to_numpy()))
+        order = np.lexsort((flat["ords"], term))
+        term = term[order]
+        ords, tf, size = (flat[c][order] for c in ("ords", "tfs", "lens"))
+        starts = runs(term)
+        at = np.arange(len(term)) - np.repeat(starts[:-1], np.diff(starts))
+        ends = np.append(np.flatnonzero(at % size_of_block == 0), len(term))
+        block = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        # In order of length, only a higher frequency than all before in the block is not beaten.
+        by = np.lexsort((-tf, size, block))
+        rank = block * (1 << 32) + tf[by]
+        best = np.flatnonzero(rank > np.append(-1, np.maximum.accumulate(rank)[:-1]))
+        kept = np.append(np.searchsorted(block[best], np.arange(len(ends) - 1)), len(best))
+        head = ends[:-1]
+        return pa.table(
+            [pa.array(np.full(len(head), rows.column("shard")[0].as_py()), pa.int32()), names.take(pa.array(term[head])), pa.array(at[head] // size_of_block, pa.int32()), lists(ords, ends, pa.int64()), lists(tf, ends, pa.int32()), lists(size, ends, pa.int32()), lists(tf[by][best], kept, pa.int32()), lists(size[by][best], kept, pa.int32())],
+            names=["shard", "term", "block", "ords", "tfs", "lens", "best_tf", "best_len"],
+        )
+
+    return run
+
+
 def posting_blocks(postings: DataFrame) -> DataFrame:
     """BLOCKS of postings (shard, term, ord, tf, doc_len): by ord, so many to a block."""
-    lists = postings.groupBy("shard", "term").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("tf").cast("int").alias("tf"), F.col("doc_len").cast("int").alias("len")))).alias("p"))
-    n = F.ceil(F.size("p") / BLOCK).cast("int")
-    cut = lists.select("shard", "term", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice("p", k * BLOCK + 1, F.lit(BLOCK)))).alias("block", "p"))
-    # In order of length, only a higher frequency than all before is not beaten.
-    by_length = F.array_sort(F.transform("p", lambda x: F.struct(x["len"].alias("len"), (-x["tf"]).alias("less"))))
-    start = F.array().cast("array<struct<len:int,less:int>>")
-    best = F.aggregate(by_length, start, lambda a, x: F.when((F.size(a) == 0) | (x["less"] < F.coalesce(F.get(a, F.size(a) - 1)["less"], F.lit(0))), F.concat(a, F.array(x))).otherwise(a))
-    part = lambda name: F.transform("p", lambda x: x[name]).alias(f"{name}s")
-    return cut.withColumn("best", best).select("shard", "term", "block", part("ord"), part("tf"), part("len"), F.transform("best", lambda x: -x["less"]).alias("best_tf"), F.transform("best", lambda x: x["len"]).alias("best_len"))
+    one = lambda c, kind: F.array(F.col(c).cast(kind))
+    return postings.select(F.col("shard").cast("int"), "term", one("ord", "bigint").alias("ords"), one("tf", "int").alias("tfs"), one("doc_len", "int").alias("lens")).groupBy("shard").applyInArrow(blocks_of(BLOCK), BLOCKS)
 
 
 def shard_of(ord_col: Column, shards: int) -> Column:
@@ -218,7 +283,7 @@ class SegmentIndex:
         out = None
         for x in parts:
             one = self.spark.read.parquet(f"{self.path}/{x['id']}/{name}")
-            if name in ("blocks", "docs") and "segment" not in one.columns:
+            if name == "blocks":
                 one = one.withColumn("segment", F.lit(x["id"]))
             out = one if out is None else out.unionByName(one)
         return self.spark.createDataFrame([], schema) if out is None else out
@@ -228,7 +293,8 @@ class SegmentIndex:
 
     def docs(self) -> DataFrame:
         """(segment, shard, ord, doc_len) of all documents, deleted ones too."""
-        return self._all(self.segments, "docs", "segment string, shard int, ord bigint, doc_len int")
+        rows = self.blocks().filter(F.col("term") == DOCS).select("segment", "shard", F.explode(F.arrays_zip("ords", "lens")).alias("p"))
+        return rows.select("segment", "shard", F.col("p.ords").alias("ord"), F.col("p.lens").alias("doc_len"))
 
     def deleted(self) -> DataFrame:
         """(segment, shard, ord, doc_len) of deleted documents that a segment still holds."""
@@ -254,27 +320,26 @@ class SegmentIndex:
 
     # --- changes
 
-    def _write(self, postings: DataFrame, docs: DataFrame, shards: int) -> dict:
-        """A segment of postings (shard, term, ord, tf, doc_len) and docs (shard, ord, doc_len)."""
+    def _write(self, blocks: DataFrame) -> dict:
+        """A segment of BLOCKS, a shard's by term."""
         name = f"s-{uuid.uuid4().hex}"
         at = f"{self.path}/{name}"
-        blocks = posting_blocks(postings)
-        blocks.repartition(min(shards, max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))), "shard").sortWithinPartitions("term", "shard", "block").write.parquet(f"{at}/blocks")
+        blocks.sortWithinPartitions("term", "shard", "block").write.parquet(f"{at}/blocks")
         written = self.spark.read.parquet(f"{at}/blocks")
-        written.groupBy("term").agg(F.sum(F.size("ords")).alias("df")).sortWithinPartitions("term").write.parquet(f"{at}/terms")
-        docs.write.parquet(f"{at}/docs")
-        total = self.spark.read.parquet(f"{at}/docs").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("t")).first()
+        written.filter(F.col("term") != DOCS).groupBy("term").agg(F.sum(F.size("ords")).alias("df")).sortWithinPartitions("term").write.parquet(f"{at}/terms")
+        docs = written.filter(F.col("term") == DOCS).select(F.size("ords").alias("n"), F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x).alias("t"))
+        total = docs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
         return {"id": name, "docs": total.n, "tokens": total.t}
 
+    def _shards(self, n: int) -> int:
+        return max(1, -(-n // SHARD), min(self.spark.sparkContext.defaultParallelism, n // 1024))
+
     def _segment(self, docs: DataFrame, text: str, ord_col: str) -> dict:
-        n = docs.count()
-        shards = max(1, -(-n // SHARD), min(self.spark.sparkContext.defaultParallelism, n // 1024))
+        """Documents are tokenised once, and counted where they are read; what is shuffled is their postings, by shard."""
+        ready(self.spark)
         keyed = docs.select(F.col(ord_col).cast("bigint").alias("ord"), tokenize(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-        # Documents are tokenised once; counting a document's own terms needs no shuffle.
-        counted = stored(keyed.select(shard_of(F.col("ord"), shards).alias("shard"), "ord", F.size("tokens").alias("doc_len"), F.monotonically_increasing_id().alias("row"), "tokens"))
-        tokens = counted.select("shard", "ord", "doc_len", "row", F.explode("tokens").alias("term"))
-        postings = tokens.groupBy("shard", "row", "term", "ord", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
-        return self._write(postings, counted.select("shard", "ord", "doc_len"), shards)
+        rows = keyed.select(shard_of(F.col("ord"), self._shards(docs.count())).alias("shard"), "ord", "tokens")
+        return self._write(rows.mapInArrow(counted, LISTS).groupBy("shard").applyInArrow(blocks_of(BLOCK), BLOCKS))
 
     def append(self, docs: DataFrame, text: str = "text", ord_col: str = "ord") -> SegmentIndex:
         """The version with docs added. Null texts count as empty: such documents have no postings, but count in the statistics.
@@ -289,7 +354,7 @@ class SegmentIndex:
         known = self.docs().join(wanted, "ord", "left_semi").join(self.deleted().select("segment", "ord"), ["segment", "ord"], "left_anti")
         known.select("segment", "shard", "ord", "doc_len").write.parquet(f"{at}/docs")
         gone = self.spark.read.parquet(f"{at}/docs")
-        places = self.blocks().join(gone.select("segment", "shard").distinct(), ["segment", "shard"], "left_semi").select("segment", "term", F.explode("ords").alias("ord"))
+        places = self.blocks().filter(F.col("term") != DOCS).join(gone.select("segment", "shard").distinct(), ["segment", "shard"], "left_semi").select("segment", "term", F.explode("ords").alias("ord"))
         places.join(gone.select("segment", "ord").distinct(), ["segment", "ord"], "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{at}/terms")
         total = gone.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("t")).first()
         return {"id": name, "docs": total.n, "tokens": total.t}
@@ -305,11 +370,11 @@ class SegmentIndex:
 
     def merged(self) -> SegmentIndex:
         """The version with one segment and no marks: postings are dealt anew, no text is read again."""
-        shards = max(1, -(-self.n_docs // SHARD), min(self.spark.sparkContext.defaultParallelism, self.n_docs // 1024))
+        shards = self._shards(self.n_docs)
         gone = self.deleted().select("segment", "ord").distinct()
         each = self.blocks().select("segment", "term", F.explode(F.arrays_zip("ords", "tfs", "lens")).alias("p")).select("segment", "term", F.col("p.ords").alias("ord"), F.col("p.tfs").alias("tf"), F.col("p.lens").alias("doc_len"))
-        live = lambda df: df.join(gone, ["segment", "ord"], "left_anti").withColumn("shard", shard_of(F.col("ord"), shards))
-        return self.commit([self._write(live(each).drop("segment"), live(self.docs()).select("shard", "ord", "doc_len"), shards)], [])
+        live = each.join(gone, ["segment", "ord"], "left_anti").withColumn("shard", shard_of(F.col("ord"), shards))
+        return self.commit([self._write(posting_blocks(live))], [])
 
     # --- search
 
