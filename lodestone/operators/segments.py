@@ -27,6 +27,8 @@ from .lexical import DIGITS, K1, TERM_ROWS, B, idf, ranked
 
 #: Documents of a shard, and postings of a block.
 SHARD, BLOCK = 16_384, 128
+#: Documents counted at once, and parts of a shard's terms that are made into blocks by themselves: what a task holds stays small.
+TOGETHER, PARTS = 2048, 4
 #: No token: its postings are the documents themselves, with their lengths.
 DOCS = ""
 #: Terms that are pushed to the scan as a list.
@@ -56,7 +58,7 @@ def lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.ListArr
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """LISTS of rows (shard, ord, tokens): a batch's postings of each term and shard together, and its documents under DOCS."""
-    for batch in batches:
+    for batch in (big.slice(k, TOGETHER) for big in batches for k in range(0, big.num_rows, TOGETHER)):
         tokens, n = whole(batch.column("tokens")), batch.num_rows
         shard, ords = batch.column("shard").to_numpy(), batch.column("ord").to_numpy(zero_copy_only=False)
         size = np.diff(tokens.offsets.to_numpy())
@@ -107,6 +109,10 @@ def blocks_of(size_of_block: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+def part_of_terms() -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(PARTS)).alias("part")
+
+
 def posting_blocks(postings: DataFrame) -> DataFrame:
     """BLOCKS of postings (shard, term, ord, tf, doc_len): by ord, so many to a block."""
     one = lambda c, kind: F.array(F.col(c).cast(kind))
@@ -339,7 +345,7 @@ class SegmentIndex:
         ready(self.spark)
         keyed = docs.select(F.col(ord_col).cast("bigint").alias("ord"), tokenize(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
         rows = keyed.select(shard_of(F.col("ord"), self._shards(docs.count())).alias("shard"), "ord", "tokens")
-        return self._write(rows.mapInArrow(counted, LISTS).groupBy("shard").applyInArrow(blocks_of(BLOCK), BLOCKS))
+        return self._write(rows.mapInArrow(counted, LISTS).groupBy("shard", part_of_terms()).applyInArrow(blocks_of(BLOCK), BLOCKS))
 
     def append(self, docs: DataFrame, text: str = "text", ord_col: str = "ord") -> SegmentIndex:
         """The version with docs added. Null texts count as empty: such documents have no postings, but count in the statistics.
