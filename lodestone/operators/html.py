@@ -199,7 +199,9 @@ def feature_blocks(events: DataFrame, container: str = CONTAINER, section_prefix
     e = e.withColumn("closes", F.first(F.when(closing, F.col("seq")), ignorenulls=True).over(by_level.rowsBetween(1, Window.unboundedFollowing)))
     named = F.when(F.col("id") != "", F.col("id")).otherwise(F.get(F.filter(F.split("cls", r"\s+"), lambda c: F.startswith(c, F.lit(section_prefix))), F.lit(0)))
     # Blocks and their texts both come from here: pages are parsed, and depths worked out, once.
-    e = stored(e.select("page_id", "seq", "ev", "tag", "data", "root", "block", "closes", (is_root | inner).alias("begins"), F.when(is_root, "root").otherwise(named).alias("name")))
+    # Only sections, texts and their tags matter from here on.
+    e = e.select("page_id", "seq", "ev", "tag", "data", "root", "block", "closes", (is_root | inner).alias("begins"), F.when(is_root | inner, F.when(is_root, "root").otherwise(named)).alias("name"))
+    e = stored(e.filter(F.col("begins") | start(*TEXT_TAGS) | end(*TEXT_TAGS) | (F.col("ev") == "data")), "zstd")
     blocks = e.filter("begins").select("page_id", "block", "closes", "name")
 
     e = e.withColumn("piece", F.sum(((F.col("seq") > F.col("root")) & start(*TEXT_TAGS)).cast("int")).over(in_page())).filter("piece > 0")
