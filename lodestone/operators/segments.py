@@ -139,7 +139,8 @@ class Shard:
         self.starts = arrays["ords"].offsets.to_numpy()
         bounds = arrays["best_tf"].offsets.to_numpy()[:-1]
         self.bound = np.maximum.reduceat(impact(flat["best_tf"], flat["best_len"], avg_len), bounds)
-        self.ords, self.at = np.unique(flat["ords"], return_inverse=True)
+        self.ords = np.unique(flat["ords"])
+        self.at = np.searchsorted(self.ords, flat["ords"]).astype(np.int32)  # half the memory of what unique() would give
         self.tf, self.length, self.avg_len = flat["tfs"], flat["lens"], avg_len
         terms = blocks.column("term").to_pylist()
         first = [k for k, t in enumerate(terms) if k == 0 or t != terms[k - 1]]
