@@ -25,9 +25,11 @@ from ..functions.text import tokenize
 from ..sources.shared import hadoop, ready, shared_dir, stored
 from .lexical import DIGITS, K1, TERM_ROWS, B, idf, ranked
 
-#: Documents of a shard, and postings of a block.
-SHARD, BLOCK = 16_384, 128
-#: Documents counted at once, and parts of a shard's terms that are made into blocks by themselves: what a task holds stays small.
+#: Documents of a shard, characters of its texts, and postings of a block: what a task holds is a shard, whatever the corpus.
+SHARD, SHARD_CHARS, BLOCK = 4096, 16 << 20, 128
+#: Characters that a token stands for where texts are not read again.
+TOKEN_CHARS = 8
+#: Documents counted at once, and parts of a shard's terms that single postings are made into blocks by.
 TOGETHER, PARTS = 2048, 4
 #: No token: its postings are the documents themselves, with their lengths.
 DOCS = ""
@@ -79,6 +81,16 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def counted_blocks(size_of_block: int) -> Callable[[pa.Table], pa.Table]:
+    """BLOCKS of one shard's rows (shard, ord, tokens)."""
+    blocks = blocks_of(size_of_block)
+
+    def run(rows: pa.Table) -> pa.Table:
+        return blocks(pa.Table.from_batches(counted(iter(rows.combine_chunks().to_batches()))))
+
+    return run
+
+
 def blocks_of(size_of_block: int) -> Callable[[pa.Table], pa.Table]:
     """BLOCKS of one shard's LISTS."""
 
@@ -109,14 +121,43 @@ def blocks_of(size_of_block: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def part_of_terms() -> Column:
-    return F.pmod(F.xxhash64("term"), F.lit(PARTS)).alias("part")
-
-
 def posting_blocks(postings: DataFrame) -> DataFrame:
     """BLOCKS of postings (shard, term, ord, tf, doc_len): by ord, so many to a block."""
-    one = lambda c, kind: F.array(F.col(c).cast(kind))
-    return postings.select(F.col("shard").cast("int"), "term", one("ord", "bigint").alias("ords"), one("tf", "int").alias("tfs"), one("doc_len", "int").alias("lens")).groupBy("shard").applyInArrow(blocks_of(BLOCK), BLOCKS)
+    blocks = blocks_of(BLOCK)
+
+    def run(rows: pa.Table) -> pa.Table:
+        ends = np.arange(rows.num_rows + 1)
+        single = [lists(rows.column(c).to_numpy(), ends, kind) for c, kind in (("ord", pa.int64()), ("tf", pa.int32()), ("doc_len", pa.int32()))]
+        return blocks(pa.table([rows.column("shard"), rows.column("term"), *single], names=["shard", "term", "ords", "tfs", "lens"]))
+
+    rows = postings.select(F.col("shard").cast("int"), "term", F.col("ord").cast("bigint"), F.col("tf").cast("int"), F.col("doc_len").cast("int"))
+    return rows.groupBy("shard", F.pmod(F.xxhash64("term"), F.lit(PARTS)).alias("part")).applyInArrow(run, BLOCKS)
+
+
+def held(blocks: pa.Table, gone: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Of a shard's postings, those of documents that are gone, and where each block begins, and the end."""
+    ords = whole(blocks.column("ords"))
+    return np.isin(ords.flatten().to_numpy(), gone.column("ord").to_numpy()), ords.offsets.to_numpy()
+
+
+def lost_terms(blocks: pa.Table, gone: pa.Table) -> pa.Table:
+    """(term, df) of the documents of one shard that are gone."""
+    if not blocks.num_rows:
+        return pa.table([pa.array([], pa.string()), pa.array([], pa.int64())], names=["term", "df"])
+    lost, starts = held(blocks, gone)
+    df = np.diff(np.append(0, np.cumsum(lost))[starts])
+    some = np.flatnonzero(df)
+    return pa.table([blocks.column("term").take(pa.array(some)), pa.array(df[some], pa.int64())], names=["term", "df"])
+
+
+def live_lists(blocks: pa.Table, gone: pa.Table) -> pa.Table:
+    """(term, ords, tfs, lens) of the documents of one shard that are not gone."""
+    kinds = {"ords": pa.int64(), "tfs": pa.int32(), "lens": pa.int32()}
+    if not blocks.num_rows:
+        return pa.table([pa.array([], pa.string()), *(pa.array([], pa.list_(t)) for t in kinds.values())], names=["term", *kinds])
+    lost, starts = held(blocks, gone)
+    ends = np.append(0, np.cumsum(~lost))[starts]
+    return pa.table([blocks.column("term"), *(lists(whole(blocks.column(c)).flatten().to_numpy()[~lost], ends, t) for c, t in kinds.items())], names=["term", *kinds])
 
 
 def shard_of(ord_col: Column, shards: int) -> Column:
@@ -338,15 +379,18 @@ class SegmentIndex:
         total = docs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
         return {"id": name, "docs": total.n, "tokens": total.t}
 
-    def _shards(self, n: int) -> int:
-        return max(1, -(-n // SHARD), min(self.spark.sparkContext.defaultParallelism, n // 1024))
+    def _shards(self, n: int, chars: int = 0) -> int:
+        return max(1, -(-n // SHARD), -(-chars // SHARD_CHARS), min(self.spark.sparkContext.defaultParallelism, n // 1024))
 
     def _segment(self, docs: DataFrame, text: str, ord_col: str) -> dict:
-        """Documents are tokenised once, and counted where they are read; what is shuffled is their postings, by shard."""
+        """Texts are shuffled once, by shard, tokenised there and made into the shard's blocks: what is moved are the texts, however
+        many shards there are.
+        """
         ready(self.spark)
-        keyed = docs.select(F.col(ord_col).cast("bigint").alias("ord"), tokenize(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-        rows = keyed.select(shard_of(F.col("ord"), self._shards(docs.count())).alias("shard"), "ord", "tokens")
-        return self._write(rows.mapInArrow(counted, LISTS).groupBy("shard", part_of_terms()).applyInArrow(blocks_of(BLOCK), BLOCKS))
+        rows = docs.select(F.col(ord_col).cast("bigint").alias("ord"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+        dealt = rows.select(shard_of(F.col("ord"), self._shards(size.n, size.chars)).alias("shard"), "ord", "text").repartition("shard").sortWithinPartitions("shard")
+        return self._write(dealt.select("shard", "ord", tokenize(F.col("text")).alias("tokens")).groupBy("shard").applyInArrow(counted_blocks(BLOCK), BLOCKS))
 
     def append(self, docs: DataFrame, text: str = "text", ord_col: str = "ord") -> SegmentIndex:
         """The version with docs added. Null texts count as empty: such documents have no postings, but count in the statistics.
@@ -354,6 +398,11 @@ class SegmentIndex:
         """
         return self.commit([*self.segments, self._segment(docs, text, ord_col)], self.marks)
 
+    def _with(self, gone: DataFrame, blocks: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+        """run of each shard's blocks and the documents of it that are gone: postings meet these where they are, as lists."""
+        ready(self.spark)
+        return blocks.groupBy("segment", "shard").cogroup(gone.select("segment", "shard", "ord").groupBy("segment", "shard")).applyInArrow(run, schema)
+
     def _mark(self, ords: DataFrame) -> dict:
         name = f"d-{uuid.uuid4().hex}"
         at = f"{self.path}/{name}"
@@ -361,8 +410,8 @@ class SegmentIndex:
         known = self.docs().join(wanted, "ord", "left_semi").join(self.deleted().select("segment", "ord"), ["segment", "ord"], "left_anti")
         known.select("segment", "shard", "ord", "doc_len").write.parquet(f"{at}/docs")
         gone = self.spark.read.parquet(f"{at}/docs")
-        places = self.blocks().filter(F.col("term") != DOCS).join(gone.select("segment", "shard").distinct(), ["segment", "shard"], "left_semi").select("segment", "term", F.explode("ords").alias("ord"))
-        places.join(gone.select("segment", "ord").distinct(), ["segment", "ord"], "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{at}/terms")
+        places = self.blocks().filter(F.col("term") != DOCS).join(gone.select("segment", "shard").distinct(), ["segment", "shard"], "left_semi")
+        self._with(gone, places.select("segment", "shard", "term", "ords"), lost_terms, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df")).write.parquet(f"{at}/terms")
         total = gone.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("t")).first()
         return {"id": name, "docs": total.n, "tokens": total.t}
 
@@ -377,11 +426,10 @@ class SegmentIndex:
 
     def merged(self) -> SegmentIndex:
         """The version with one segment and no marks: postings are dealt anew, no text is read again."""
-        shards = self._shards(self.n_docs)
-        gone = self.deleted().select("segment", "ord").distinct()
-        each = self.blocks().select("segment", "term", F.explode(F.arrays_zip("ords", "tfs", "lens")).alias("p")).select("segment", "term", F.col("p.ords").alias("ord"), F.col("p.tfs").alias("tf"), F.col("p.lens").alias("doc_len"))
-        live = each.join(gone, ["segment", "ord"], "left_anti").withColumn("shard", shard_of(F.col("ord"), shards))
-        return self.commit([self._write(posting_blocks(live))], [])
+        shards = self._shards(self.n_docs, round((self.avg_len or 0) * self.n_docs) * TOKEN_CHARS)
+        lists = self._with(self.deleted(), self.blocks().select("segment", "shard", "term", "ords", "tfs", "lens"), live_lists, "term string, ords array<bigint>, tfs array<int>, lens array<int>")
+        each = lists.select("term", F.explode(F.arrays_zip("ords", "tfs", "lens")).alias("p")).select("term", F.col("p.ords").alias("ord"), F.col("p.tfs").alias("tf"), F.col("p.lens").alias("doc_len"))
+        return self.commit([self._write(posting_blocks(each.withColumn("shard", shard_of(F.col("ord"), shards))))], [])
 
     # --- search
 

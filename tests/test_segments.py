@@ -164,3 +164,29 @@ def test_a_kept_index_is_opened(spark, tmp_path, monkeypatch):
     assert [r.ord for r in load_retriever(chunks, str(tmp_path), mode="bm25").search(asked).collect()] == [0]
     with pytest.raises(ValueError, match="build it again"):
         load_retriever(chunks.filter(F.col("ord") == 0), str(tmp_path), mode="bm25")
+
+
+def test_a_shard_stays_small(spark, monkeypatch):
+    """What a task holds doesn't grow with the corpus: shards follow its documents and its characters; and what is shuffled to build
+    them are texts, once.
+    """
+    index = SegmentIndex(spark, "unused")
+    assert index._shards(4_000_000) * 4096 >= 4_000_000 and index._shards(10, 1 << 30) >= 64
+    plans = []
+    monkeypatch.setattr(SegmentIndex, "_write", lambda self, blocks: plans.append(blocks._jdf.queryExecution().executedPlan().toString()) or {})
+    index._segment(frame(spark, corpus(random.Random(6), 50)), "text", "ord")
+    assert plans[0].count("hashpartitioning") == 1 and "MapInArrow" not in plans[0]
+
+
+def test_changed_postings_are_not_exploded(spark, small_blocks, monkeypatch):
+    """Deleted documents meet the postings of their shard as lists, and leave every other one."""
+    import numpy as np
+    import pyarrow as pa
+
+    blocks = pa.table([pa.array(["a", "b", "c"]), pa.array([[1, 2], [2], [3, 4, 5]]), pa.array([[1, 2], [3], [4, 5, 6]], pa.list_(pa.int32())), pa.array([[9, 8], [8], [7, 6, 5]], pa.list_(pa.int32()))], names=["term", "ords", "tfs", "lens"])
+    gone = pa.table([pa.array([2, 4, 99])], names=["ord"])
+    assert segments.lost_terms(blocks, gone).to_pylist() == [{"term": "a", "df": 1}, {"term": "b", "df": 1}, {"term": "c", "df": 1}]
+    left = segments.live_lists(blocks, gone)
+    assert left.column("ords").to_pylist() == [[1], [], [3, 5]] and left.column("tfs").to_pylist() == [[1], [], [4, 6]] and left.column("lens").to_pylist() == [[9], [], [7, 5]]
+    assert np.array_equal(segments.live_lists(blocks, gone.slice(0, 0)).column("ords").to_pylist()[2], [3, 4, 5])
+    assert segments.live_lists(blocks.slice(0, 0), gone).num_rows == segments.lost_terms(blocks.slice(0, 0), gone).num_rows == 0
