@@ -55,6 +55,25 @@ def test_bm25_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, bm25_search(build_index(docs.repartition(7)), asked, 5).collect())) == want
 
 
+def test_bm25_adds_up_in_bounded_parts(spark, monkeypatch):
+    """Pairs of query and document make no rows of Spark, and batches that cut a document in two change nothing."""
+    from lodestone.operators import lexical
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 13}" for k in range(i % 9))) for i in range(80)], "ord bigint, text string")
+    asked = queries(spark, *(f"w{i} w{i + 1} w{(i * 7) % 13}" for i in range(25)))
+    index = build_index(docs)
+    want = sorted(map(tuple, bm25_search(index, asked, 5).collect()))
+    plan = bm25_search(index, asked, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "sum(" not in plan and "MapInArrow" in plan
+    monkeypatch.setattr(lexical, "SUMS", 30)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert sorted(map(tuple, bm25_search(index, asked, 5).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_cosine_batch_is_single(spark):
     v = spark.createDataFrame([(i, [math.sin(i * k + 1) for k in range(8)]) for i in range(20)], "ord bigint, v array<double>")
     q = spark.createDataFrame([(str(i), [math.cos(i + k) for k in range(8)]) for i in range(3)], "qid string, v array<double>")
