@@ -54,6 +54,10 @@ def build_corpora(spec_zh: DataFrame, spec_en: DataFrame, products: DataFrame, f
     return C.renumbered(C.dedupe(stored(C.in_order(*map(stored, stages), by_page=True)), within=["page_id"]))
 
 
+#: Rows of the arms up to which their ords are broadcast, 8 MB or so, to read the chunks that they name.
+FEW_ARMS = 1_000_000
+
+
 @dataclass
 class Retriever:
     """chunks (CHUNK), a lexical index, and vectors with the embedder of the questions, if there are any."""
@@ -96,9 +100,15 @@ class Retriever:
     def search(self, queries: DataFrame, top_k: int = 4, pool: int = fusion.POOL) -> DataFrame:
         """Hits (qid, ord, score, rank, rescued, dense_rank, bm25_rank, and the chunk) of many questions at once."""
         arms = stored(self.arms(queries, pool))  # 2 * pool rows a question, read four times
-        fused = fusion.key_boost(fusion.fuse(arms, self.mode), queries, self.chunks, self.key_boost)
-        selected = fusion.diversify(fused, self.chunks, top_k, self.max_per_doc)
-        return fusion.hits(fusion.rescue(selected, arms, top_k), arms, self.chunks)
+        chunks = self.candidates(arms)
+        fused = fusion.key_boost(fusion.fuse(arms, self.mode), queries, chunks, self.key_boost)
+        selected = fusion.diversify(fused, chunks, top_k, self.max_per_doc)
+        return fusion.hits(fusion.rescue(selected, arms, top_k), arms, chunks)
+
+    def candidates(self, arms: DataFrame) -> DataFrame:
+        """The chunks of the arms' rows: the corpus is read once, and not shuffled while the rows are few."""
+        ords = arms.select("ord").distinct()
+        return stored(self.chunks.join(F.broadcast(ords) if arms.count() <= FEW_ARMS else ords, "ord", "left_semi"))
 
 
 def sweep(retriever: Retriever, queries: DataFrame, configs: DataFrame, top_k: int = 5) -> DataFrame:
@@ -109,8 +119,9 @@ def sweep(retriever: Retriever, queries: DataFrame, configs: DataFrame, top_k: i
     asked = queries.crossJoin(F.broadcast(configs.select("config"))).withColumn("qid", F.struct("config", "qid"))
     arms, fused = fusion.configured(stored(retriever.arms(queries, most)), configs)
     arms = stored(arms)
-    selected = fusion.diversify(fusion.key_boost(fused, asked, retriever.chunks, retriever.key_boost), retriever.chunks, top_k, retriever.max_per_doc)
-    found = fusion.hits(fusion.rescue(stored(selected), arms, top_k), arms, retriever.chunks)
+    chunks = retriever.candidates(arms)
+    selected = fusion.diversify(fusion.key_boost(fused, asked, chunks, retriever.key_boost), chunks, top_k, retriever.max_per_doc)
+    found = fusion.hits(fusion.rescue(stored(selected), arms, top_k), arms, chunks)
     return found.withColumns({"config": F.col("qid.config"), "qid": F.col("qid.qid")})
 
 

@@ -328,3 +328,11 @@ def test_streaming_ingest(spark, tmp_path):
     spark.createDataFrame([(2, "b"), (3, "cc")], "doc_id int, text string").write.mode("append").parquet(src)
     ingest(read_documents(spark, src, "doc_id int, text string"), lambda d: d.withColumn("n", F.length("text")), out, str(tmp_path / "ck"), "doc_id").awaitTermination()
     assert sorted((r.doc_id, r.n) for r in spark.read.parquet(out).collect()) == [(1, 1), (2, 1), (3, 2)]
+
+
+def test_the_corpus_is_read_once_for_its_candidates(spark):
+    """Boost, order, cap and hits work on the chunks that the arms name, a stored table; the corpus itself isn't in their plan."""
+    corpus = chunks(spark)
+    arms = spark.createDataFrame([("q", 1), ("r", 1)], "qid string, ord bigint")
+    kept = Retriever(corpus, None).candidates(arms)
+    assert [r.ord for r in kept.collect()] == [1] and kept.columns == corpus.columns and hasattr(kept, "stored_at")
