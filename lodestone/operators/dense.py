@@ -20,8 +20,9 @@ from ..sources.shared import stored
 from .lexical import DIGITS, ranked
 
 FLOOR = 1e-12
-#: Queries that one task compares its rows with at once, and rows of one product of matrices.
-QUERY_BLOCK, ROW_BLOCK = 4096, 1024
+#: Queries that are sent at once, and queries and rows of one product of matrices: what a task holds of scores stays the same, however
+#: many queries come.
+QUERY_BLOCK, PRODUCT, ROW_BLOCK = 4096, 256, 1024
 #: Bytes of vectors from which tasks' results are merged in two steps, the first in so many parts a query.
 MANY_BYTES, FAN = 8 << 30, 64
 
@@ -219,13 +220,14 @@ def best_of(sent, top_k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = sent.value
-        best = Best(len(q), top_k)
-        for batch in batches:
-            rows = matrix_of(batch.column("v"), q.shape[1])
-            ords = batch.column("ord").to_numpy()
-            for at in range(0, len(rows), ROW_BLOCK):
-                best.offer(rounded(q @ rows[at : at + ROW_BLOCK].T), ords[at : at + ROW_BLOCK])
-        yield best_batch(best, qids)
+        parts = [slice(k, k + PRODUCT) for k in range(0, len(q), PRODUCT)]
+        best = [Best(len(q[part]), top_k) for part in parts]
+        for batch in (big.slice(k, ROW_BLOCK) for big in batches for k in range(0, big.num_rows, ROW_BLOCK)):
+            rows, ords = matrix_of(batch.column("v"), q.shape[1]), batch.column("ord").to_numpy()
+            for part, own in zip(parts, best, strict=True):
+                own.offer(rounded(q[part] @ rows.T), ords)
+        for part, own in zip(parts, best, strict=True):
+            yield best_batch(own, qids[part])
 
     return run
 

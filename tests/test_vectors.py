@@ -97,3 +97,23 @@ def test_a_kept_index(spark, tmp_path):
     vectors, queries = frames(spark, rows, asked)
     PivotIndex.create(vectors, str(tmp_path / "p"), 6)
     assert rows_of(PivotIndex.open(spark, str(tmp_path / "p")).search(queries, 9)) == plain(rows, asked, 9)
+
+
+def test_scores_are_held_for_some_queries_at_a_time(monkeypatch):
+    """A task's product of matrices stays small, however many queries were sent and rows come at once."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestone.operators import dense
+
+    rng, sizes, true = np.random.default_rng(7), [], dense.rounded
+    q, v = rng.normal(size=(700, 8)), rng.normal(size=(3000, 8))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    monkeypatch.setattr(dense, "rounded", lambda score: sizes.append(score.shape) or true(score))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array(v.tolist())], names=["ord", "v"])
+    sent = type("Sent", (), {"value": (pa.array(range(700), pa.int64()), q)})
+    got = [r for b in dense.best_of(sent, 3)(iter([batch])) for r in b.to_pylist()]
+    assert max(a * b for a, b in sizes) <= 256 * 1024
+    score = true(q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T)
+    want = {(k, int(o)) for k in range(700) for o in np.lexsort((np.arange(3000), -score[k]))[:3]}
+    assert {(r["qid"], r["ord"]) for r in got} == want and len(got) == 2100
