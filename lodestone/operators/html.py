@@ -6,12 +6,15 @@ All results are per page. Selectors are parameters.
 from __future__ import annotations
 
 import html as html_lib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.text import clean
 from ..sources.shared import ready, stored
@@ -22,8 +25,8 @@ FOOTNOTE_STYLE = r"(?i)font-size:\s*80%"
 CONTAINER, SECTION_PREFIX = "key-features", "section-"
 SPEC_ROWS = 17
 TEXT_TAGS = ["h1", "h2", "h3", "h4", "h5", "h6", "p"]
-#: Events that leave Python at once, and those of one page more.
-EVENT_ROWS = 20_000
+#: Pages that are made Python strings at once, and events that leave Python at once, and those of one page more.
+PAGE_ROWS, EVENT_ROWS = 64, 8_000
 EVENTS = "seq int, ev string, tag string, cls string, id string, style string, href string, data string"
 
 
@@ -33,6 +36,9 @@ class _Events(HTMLParser):
         self.rows: list[tuple] = []
 
     def put(self, ev: str, tag: str = "", attrs=(), data: str = "") -> None:
+        if not attrs:
+            self.rows.append((len(self.rows), ev, tag, "", "", "", None, data))
+            return
         at = {k: v or "" for k, v in attrs}
         self.rows.append((len(self.rows), ev, tag, at.get("class", ""), at.get("id", ""), at.get("style", ""), at.get("href"), data))
 
@@ -67,27 +73,36 @@ def register_html(spark: SparkSession) -> None:
     spark.udtf.register("html_events", HtmlEvents)
 
 
-def html_events(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(page_id, seq, ev, tag, cls, id, style, href, data): a row for each start tag, end tag and text of each page.
+def html_events(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", tags: tuple[str, ...] | None = None) -> DataFrame:
+    """(page_id, seq, ev, tag, cls, id, style, href, data): a row for each start tag, end tag and text of each page; with tags, only
+    for the start and end tags of these.
 
     Null pages have no events. Pages are parsed one by one, in Arrow batches.
     """
     ready(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"))
-    names = [c.split(" ")[0] for c in EVENTS.split(", ")]
+    schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, {EVENTS}"
+    return rows.mapInArrow(event_batches(None if tags is None else frozenset(tags), to_arrow_schema(StructType.fromDDL(schema))), schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            held: list[tuple] = []
-            for page, text in zip(batch["page_id"].tolist(), batch["html"], strict=True):
-                held += [(page, *event) for event in events_of(text)]
+
+def event_batches(tags: frozenset[str] | None, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of schema for the events of pages (page_id, html): some pages are held as strings at a time, and some thousand events."""
+
+    def made(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in (big.slice(k, PAGE_ROWS) for big in batches for k in range(0, big.num_rows, PAGE_ROWS)):
+            for page, text in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                held += [(page, *event) for event in events_of(text) if tags is None or event[2] in tags]
                 if len(held) >= EVENT_ROWS:
-                    yield pd.DataFrame(held, columns=["page_id", *names])
+                    yield made(held)
                     held = []
-            if held:
-                yield pd.DataFrame(held, columns=["page_id", *names])
+        if held:
+            yield made(held)
 
-    return rows.mapInPandas(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, {EVENTS}")
+    return run
 
 
 def in_page(*more: str) -> Window:
@@ -232,6 +247,10 @@ def feature_blocks(events: DataFrame, container: str = CONTAINER, section_prefix
     return named_all.filter(useful).select("page_id", order.alias("ord"), "block_id", "headings", "paragraphs")
 
 
+#: What links() needs of a page.
+LINK_TAGS = ("script", "style", "a")
+
+
 def links(events: DataFrame) -> DataFrame:
     """(page_id, seq, href) of links outside scripts and styles."""
     return outside(events, "script", "style").filter(start("a") & (F.coalesce("href", F.lit("")) != "")).select("page_id", "seq", "href")

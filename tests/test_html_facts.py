@@ -162,3 +162,19 @@ def test_pages_are_parsed_once(spark):
     register_html(spark)
     rows = spark.sql("SELECT seq, ev, tag FROM {pages}, LATERAL html_events(html) ORDER BY seq", pages=df).collect()
     assert [(r.seq, r.ev, r.tag) for r in rows] == [(r.seq, r.ev, r.tag) for r in html_events(df).orderBy("seq").collect()]
+
+
+def test_pages_are_held_a_few_at_a_time(spark):
+    """However many pages a batch has, events leave by the thousand; and with tags only their start and end tags are made, with the
+    places that they have among all events.
+    """
+    import pyarrow as pa
+
+    from lodestone.operators import html as H
+
+    schema = pa.schema([("page_id", pa.int64()), ("seq", pa.int32()), *((c, pa.string()) for c in ("ev", "tag", "cls", "id", "style", "href", "data"))])
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(5000)), "html": ["<p>a<a href=x>b</a></p>"] * 4999 + [None]})
+    out = list(H.event_batches(None, schema)(iter([batch])))
+    assert sum(b.num_rows for b in out) == 4999 * 6 and max(b.num_rows for b in out) < H.EVENT_ROWS + 6
+    some = next(H.event_batches(frozenset(["a"]), schema)(iter([batch.slice(0, 1)]))).to_pylist()
+    assert [(r["seq"], r["ev"], r["tag"], r["href"]) for r in some] == [(2, "start", "a", "x"), (4, "end", "a", None)]
