@@ -17,8 +17,14 @@ def first_gold(hits: DataFrame, questions: DataFrame) -> DataFrame:
     """
     scored = questions.filter(F.size("gold_docs") > 0)
     gold = scored.select("qid", F.explode(F.array_distinct("gold_docs")).alias("doc_id"))
-    found = hits.join(gold, ["qid", "doc_id"], "left_semi").groupBy("qid").agg(F.min("rank").alias("first"))
-    return scored.select("qid").join(found, "qid", "left")
+    return scored.select("qid").join(first_found(hits, gold), "qid", "left")
+
+
+def first_found(hits: DataFrame, gold: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(qid, first), of each configuration if `by` names columns of it: the least rank of a hit (qid, rank, doc_id) that is among the
+    pairs gold (qid, doc_id). Questions without such a hit are left out.
+    """
+    return hits.join(gold, ["qid", "doc_id"], "left_semi").groupBy(*(by or []), "qid").agg(F.min("rank").alias("first"))
 
 
 def retrieval_scores(first: DataFrame, ks: tuple[int, ...] = KS, by: list[str] | None = None) -> DataFrame:

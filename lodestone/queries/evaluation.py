@@ -14,18 +14,38 @@ from .common import table, tokens_sql
 from .retrieval import DENSE_FUSED, FUSED, SPARSE_FUSED, TOP, bm25_sql, bm25_topk, rescued_sql, retriever
 
 
+#: Words that items and documents meet on.
+MEET_WORDS = 5
+
+
 def gold(spark, sf) -> DataFrame:
-    """(qid, gold_docs): the documents labelled as good that hold the item's text; items that none holds are left out.
+    """(qid, doc_id): the documents labelled as good that hold the item's text, wherever it begins and ends; each pair once.
 
-    Documents and items meet on a hash of five words, the item's first ones; then the whole text must be there.
+    All words of an item but the first and the last are whole words of any document that holds it. Documents and items meet on a hash
+    of the first five of these, or of all if they are fewer; then the whole text must be there. An item without such words is looked
+    for in every document.
     """
-    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
+    words = F.split("text", r"\s+")
+    items = table(spark, sf, "benchmark").filter("text IS NOT NULL").select(F.col("item_id").alias("qid"), F.col("text").alias("item"), words.alias("w"))
+    items = items.withColumn("inner", F.slice("w", F.lit(2), F.least(F.greatest(F.size("w") - 2, F.lit(0)), F.lit(MEET_WORDS)))).withColumn("n", F.size("inner"))
+    sizes = sorted(r.n for r in items.select("n").distinct().collect())
     good = table(spark, sf, "labels").filter("quality = 1").select("doc_id")
-    docs = table(spark, sf, "documents").join(good, "doc_id", "left_semi").select("doc_id", "text", words("text").alias("w")).filter(F.size("w") >= 5)
-    fives = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(F.slice("w", i, 5))))
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"), F.xxhash64(F.slice(words("text"), 1, 5)).alias("h"))
-    met = docs.select("doc_id", "text", F.explode(fives).alias("h")).join(items, "h").filter(F.contains("text", "item"))
-    return met.groupBy("qid").agg(F.collect_set("doc_id").alias("gold_docs"))
+    docs = table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", "text")
+
+    def runs(n: int):
+        """Hashes of all runs of n words."""
+        hashes = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.slice("w", i, n)))
+        return F.when(F.size("w") >= n, hashes).otherwise(F.array().cast("array<bigint>"))
+
+    every = F.array_distinct(F.flatten(F.array(*[runs(n) for n in sizes if n]).cast("array<array<bigint>>")))
+    keys = items.filter("n > 0").select(F.xxhash64("inner").alias("h"), "qid", "item")
+    # Only pairs are shuffled, with the items' texts: labels are asked for these, and documents' texts come back for what is left.
+    met = docs.select("doc_id", words.alias("w")).select("doc_id", F.explode(every).alias("h")).join(keys, "h").select("doc_id", "qid", "item").distinct()
+    found = docs.join(stored(met.join(good, "doc_id", "left_semi")), "doc_id").filter(F.contains("text", "item")).select("qid", "doc_id")
+    if 0 in sizes:
+        anywhere = docs.join(items.filter("n = 0"), F.contains("text", "item")).select("qid", "doc_id").distinct()
+        found = found.unionByName(anywhere.join(good, "doc_id", "left_semi").select("qid", "doc_id"))
+    return found.distinct()
 
 
 def ranked_hits(spark, sf) -> DataFrame:
@@ -33,25 +53,26 @@ def ranked_hits(spark, sf) -> DataFrame:
 
 
 def recall_mrr(spark, sf) -> DataFrame:
-    return E.retrieval_scores(E.first_gold(ranked_hits(spark, sf), gold(spark, sf)), (1, 3, 5))
+    pairs = stored(gold(spark, sf))
+    return E.retrieval_scores(pairs.select("qid").distinct().join(E.first_found(ranked_hits(spark, sf), pairs), "qid", "left"), (1, 3, 5))
 
 
 def recall_sweep(spark, sf) -> DataFrame:
-    sets, found = stored(gold(spark, sf)), ranked_hits(spark, sf)
+    pairs, found = stored(gold(spark, sf)), ranked_hits(spark, sf)
     configs = spark.createDataFrame([("narrow", 3), ("wide", TOP)], "config string, top_k int")
     swept = E.sweep(found, configs)
-    first = swept.join(sets.select("qid", F.explode("gold_docs").alias("doc_id")), ["qid", "doc_id"], "left_semi").groupBy("config", "qid").agg(F.min("rank").alias("first"))
-    return E.retrieval_scores(sets.select("qid").crossJoin(F.broadcast(configs.select("config"))).join(first, ["config", "qid"], "left"), (1, 3), by=["config"])
+    first = E.first_found(swept, pairs, by=["config"])
+    return E.retrieval_scores(pairs.select("qid").distinct().crossJoin(F.broadcast(configs.select("config"))).join(first, ["config", "qid"], "left"), (1, 3), by=["config"])
 
 
 def mode_sweep(spark, sf) -> DataFrame:
     """Each mode's own hits, scored against the same gold."""
-    sets = stored(gold(spark, sf))
+    pairs = stored(gold(spark, sf))
     r, asked = retriever(spark, sf)
     modes = spark.createDataFrame([(m, m, fusion.RRF_K, fusion.POOL, 1.0, 1.0) for m in ("dense", "bm25", "hybrid")], fusion.CONFIGS)
     hits = sweep(r, asked, modes).select("config", "qid", "rank", F.col("ord").alias("doc_id"))
-    found = hits.join(sets.select("qid", F.explode("gold_docs").alias("doc_id")), ["qid", "doc_id"], "left_semi").groupBy("config", "qid").agg(F.min("rank").alias("first"))
-    every = sets.select("qid").crossJoin(F.broadcast(modes.select("config"))).join(found, ["config", "qid"], "left")
+    found = E.first_found(hits, pairs, by=["config"])
+    every = pairs.select("qid").distinct().crossJoin(F.broadcast(modes.select("config"))).join(found, ["config", "qid"], "left")
     return E.retrieval_scores(every.withColumnRenamed("config", "mode"), by=["mode"])
 
 
