@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.text import clean
-from ..sources.shared import ready, stored
+from ..sources.shared import dropped, ready, stored
 
 #: The class names and style that the pages use.
 SPEC_LIST, SPEC_TITLE, SPEC_DESC = "spec-item-list", "spec-title", "spec-desc"
@@ -210,41 +210,41 @@ def feature_blocks(events: DataFrame, container: str = CONTAINER, section_prefix
     closing = shut & ((F.col("was") > 1) | last)
     e = e.withColumn("level", level)
     by_level = in_page("level")
-    e = e.withColumn("block", carried(F.when(is_root | inner, F.col("seq")), by_level))
     e = e.withColumn("closes", F.first(F.when(closing, F.col("seq")), ignorenulls=True).over(by_level.rowsBetween(1, Window.unboundedFollowing)))
     named = F.when(F.col("id") != "", F.col("id")).otherwise(F.get(F.filter(F.split("cls", r"\s+"), lambda c: F.startswith(c, F.lit(section_prefix))), F.lit(0)))
-    # Blocks and their texts both come from here: pages are parsed, and depths worked out, once.
-    # Only sections, texts and their tags matter from here on.
-    e = e.select("page_id", "seq", "ev", "tag", "data", "root", "block", "closes", (is_root | inner).alias("begins"), F.when(is_root | inner, F.when(is_root, "root").otherwise(named)).alias("name"))
-    e = stored(e.filter(F.col("begins") | start(*TEXT_TAGS) | end(*TEXT_TAGS) | (F.col("ev") == "data")), "zstd")
-    blocks = e.filter("begins").select("page_id", "block", "closes", "name")
+    begun = F.when(is_root | inner, F.struct(F.col("seq").alias("block"), "closes", F.when(is_root, "root").otherwise(named).alias("name")))
+    # Texts carry their block. Only they and their tags matter from here on.
+    e = e.withColumn("within", carried(begun, by_level)).select("page_id", "seq", "ev", "tag", "data", "root", "within")
+    texts = stored(e.filter(start(*TEXT_TAGS) | end(*TEXT_TAGS) | (F.col("ev") == "data")), "zstd")
 
-    e = e.withColumn("piece", F.sum(((F.col("seq") > F.col("root")) & start(*TEXT_TAGS)).cast("int")).over(in_page())).filter("piece > 0")
+    e = texts.withColumn("piece", F.sum(((F.col("seq") > F.col("root")) & start(*TEXT_TAGS)).cast("int")).over(in_page())).filter("piece > 0")
     per_piece = Window.partitionBy("page_id", "piece")
     e = e.withColumn("opened", F.first("tag").over(in_page("piece")))
     e = e.withColumn("done", F.min(F.when((F.col("ev") == "end") & (F.col("tag") == F.col("opened")), F.col("seq"))).over(per_piece))
     pieces = e.filter(F.col("seq") <= F.col("done")).groupBy("page_id", "piece").agg(
         F.first("opened").alias("tag"),
-        F.max_by("block", F.when(F.col("seq") == F.col("done"), 1)).alias("block"),
+        F.max_by("within", F.when(F.col("seq") == F.col("done"), 1)).alias("within"),
         clean(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("ev") == "data", F.struct("seq", "data")))), lambda p: p["data"]), "")).alias("text"),
     )
-    pieces = pieces.filter("text <> ''")
+    pieces = pieces.filter("text <> '' AND within.closes IS NOT NULL").select("page_id", "within.*", "piece", "tag", "text")
     placed = F.struct("piece", "text")
 
     def texts_where(condition: Column) -> Column:
         return F.transform(F.array_sort(F.collect_list(F.when(condition, placed))), lambda x: x["text"])
 
-    prose = pieces.groupBy("page_id", "block").agg(texts_where(F.col("tag") != "p").alias("headings"), texts_where(F.col("tag") == "p").alias("paragraphs"))
-    closed = stored(blocks.filter("closes IS NOT NULL").join(prose, ["page_id", "block"]))
+    closed = stored(pieces.groupBy("page_id", "block", "closes", "name").agg(texts_where(F.col("tag") != "p").alias("headings"), texts_where(F.col("tag") == "p").alias("paragraphs")))
+    dropped(texts)
     # A section without a name is called by the number of blocks that were closed before it began.
     ends = closed.select("page_id", F.col("closes").alias("at"), F.lit(1).alias("n"), F.lit(None).cast("int").alias("block"))
     begins = closed.filter("name IS NULL").select("page_id", F.col("block").alias("at"), F.lit(0).alias("n"), "block")
     so_far = F.sum("n").over(Window.partitionBy("page_id").orderBy("at"))
     numbers = ends.unionByName(begins).withColumn("n", so_far).filter("block IS NOT NULL").select("page_id", "block", "n")
-    named_all = closed.join(numbers, ["page_id", "block"], "left").withColumn("block_id", F.coalesce("name", F.concat(F.lit("block"), F.col("n").cast("string"))))
     useful = F.exists("paragraphs", lambda p: F.length(p) > 20) | F.exists("headings", lambda h: F.length(h) > 4)
     order = F.row_number().over(Window.partitionBy("page_id").orderBy("closes")) - 1
-    return named_all.filter(useful).select("page_id", order.alias("ord"), "block_id", "headings", "paragraphs")
+    # Names and places are found without the texts, which are shuffled once.
+    marks = closed.filter(useful).select("page_id", "block", "closes", "name").join(numbers, ["page_id", "block"], "left")
+    marks = marks.select("page_id", "block", order.alias("ord"), F.coalesce("name", F.concat(F.lit("block"), F.col("n").cast("string"))).alias("block_id"))
+    return closed.select("page_id", "block", "headings", "paragraphs").join(marks, ["page_id", "block"]).select("page_id", "ord", "block_id", "headings", "paragraphs")
 
 
 #: What links() needs of a page.
