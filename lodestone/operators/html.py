@@ -75,7 +75,7 @@ def register_html(spark: SparkSession) -> None:
 
 def html_events(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", tags: tuple[str, ...] | None = None) -> DataFrame:
     """(page_id, seq, ev, tag, cls, id, style, href, data): a row for each start tag, end tag and text of each page; with tags, only
-    for the start and end tags of these.
+    for the start and end tags of these, and for texts if one of them is empty.
 
     Null pages have no events. Pages are parsed one by one, in Arrow batches.
     """
@@ -184,6 +184,10 @@ def spec_rows(events: DataFrame, list_class: str = SPEC_LIST, title_class: str =
     return kept.select("page_id", (F.row_number().over(Window.partitionBy("page_id").orderBy("item")) - 1).alias("idx"), "key", "lines", "footnotes")
 
 
+#: What feature_blocks() needs of a page besides its container: `` stands for texts.
+BLOCK_TAGS = ("", "script", "style", "svg", "noscript", "section", "div", *TEXT_TAGS)
+
+
 def feature_blocks(events: DataFrame, container: str = CONTAINER, section_prefix: str = SECTION_PREFIX, container_tag: str | None = None) -> DataFrame:
     """(page_id, ord, block_id, headings, paragraphs): prose of the sections inside the first container of each page.
 
@@ -213,11 +217,11 @@ def feature_blocks(events: DataFrame, container: str = CONTAINER, section_prefix
     e = e.withColumn("closes", F.first(F.when(closing, F.col("seq")), ignorenulls=True).over(by_level.rowsBetween(1, Window.unboundedFollowing)))
     named = F.when(F.col("id") != "", F.col("id")).otherwise(F.get(F.filter(F.split("cls", r"\s+"), lambda c: F.startswith(c, F.lit(section_prefix))), F.lit(0)))
     begun = F.when(is_root | inner, F.struct(F.col("seq").alias("block"), "closes", F.when(is_root, "root").otherwise(named).alias("name")))
-    # Texts carry their block. Only they and their tags matter from here on.
-    e = e.withColumn("within", carried(begun, by_level)).select("page_id", "seq", "ev", "tag", "data", "root", "within")
-    texts = stored(e.filter(start(*TEXT_TAGS) | end(*TEXT_TAGS) | (F.col("ev") == "data")), "zstd")
+    # Only texts and their tags matter from here on; end tags carry their block.
+    e = e.withColumn("within", F.when(end(*TEXT_TAGS), carried(begun, by_level))).filter(start(*TEXT_TAGS) | end(*TEXT_TAGS) | (F.col("ev") == "data"))
+    texts = stored(e.select("page_id", "seq", "ev", "tag", "data", ((F.col("seq") > F.col("root")) & start(*TEXT_TAGS)).alias("opens"), "within"), "zstd")
 
-    e = texts.withColumn("piece", F.sum(((F.col("seq") > F.col("root")) & start(*TEXT_TAGS)).cast("int")).over(in_page())).filter("piece > 0")
+    e = texts.withColumn("piece", F.sum(F.col("opens").cast("int")).over(in_page())).filter("piece > 0").drop("opens")
     per_piece = Window.partitionBy("page_id", "piece")
     e = e.withColumn("opened", F.first("tag").over(in_page("piece")))
     e = e.withColumn("done", F.min(F.when((F.col("ev") == "end") & (F.col("tag") == F.col("opened")), F.col("seq"))).over(per_piece))
@@ -232,7 +236,7 @@ def feature_blocks(events: DataFrame, container: str = CONTAINER, section_prefix
     def texts_where(condition: Column) -> Column:
         return F.transform(F.array_sort(F.collect_list(F.when(condition, placed))), lambda x: x["text"])
 
-    closed = stored(pieces.groupBy("page_id", "block", "closes", "name").agg(texts_where(F.col("tag") != "p").alias("headings"), texts_where(F.col("tag") == "p").alias("paragraphs")))
+    closed = stored(pieces.groupBy("page_id", "block", "closes", "name").agg(texts_where(F.col("tag") != "p").alias("headings"), texts_where(F.col("tag") == "p").alias("paragraphs")), "zstd")
     dropped(texts)
     # A section without a name is called by the number of blocks that were closed before it began.
     ends = closed.select("page_id", F.col("closes").alias("at"), F.lit(1).alias("n"), F.lit(None).cast("int").alias("block"))
